@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, urlfilter
-from .common import table
+from . import bpe, decontaminate, langid, minhash, quality, secrets, simhash, toxicity, urlfilter
+from .common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -25,9 +25,63 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.report(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    count = lambda c: F.size(F.filter("spans", c)).cast("long")
+    return out.select(
+        "doc_id",
+        *(count(lambda x, k=k: x["kind"] == k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)),
+        F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.digest(F.col("spans")).alias("spans"),
+        count(lambda x: x["specific"]).alias("n_owner_specific"),
+        count(lambda x: ~x["specific"]).alias("n_copied"),
+    )
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.edit_likeness(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        minhash.packed("bins").alias("fingerprint"), minhash.packed("edited_bins").alias("edited_fingerprint"),
+        minhash.likeness("bins", "edited_bins").alias("near_edited"), minhash.likeness("bins", "next_bins").alias("near_next"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def _labelled(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod(3) != 1)
+    return _labelled(quality.score(docs, model), crc_mod(3) == 1)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs, crc_mod(3) != 1))
+    return out.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod(5) != 0)
+    return _labelled(toxicity.score(docs, model), crc_mod(5) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
