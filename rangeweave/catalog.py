@@ -2,10 +2,270 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rangeweave.functions.geometry import in_view
+from rangeweave.operators import background, depth, evaluate, filters, flow, occupancy, poses, projection, tracks
+from rangeweave.plans import fixtures as fx
+from rangeweave.plans import oracles
+
+SPEC = fx.SPEC
+#: Displacements searched by the registered flow queries, and rounds of the solver.
+SEARCH, ROUNDS = 3, 3
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return occupancy.accumulate(fx.raw_scan(spark, d), SPEC)
+
+
+# Occupancy
+
+
+def occupancy_grid(spark, d):
+    return _grid(spark, d)
+
+
+def grid_merge(spark, d):
+    g = _grid(spark, d)
+    return occupancy.merge(g.where("frame <= 2"), g.where("frame > 2"))
+
+
+def grid_clean(spark, d):
+    return occupancy.clean(_grid(spark, d)).select("frame", "key", "val")
+
+
+def column_occupancy(spark, d):
+    return occupancy.column_counts(_grid(spark, d), SPEC)
+
+
+def z_slice(spark, d):
+    g = _grid(spark, d).select("frame", *SPEC.ijk(), "val").where("k = 7")
+    return g.select("frame", "i", "j", occupancy.sign(F.col("val")).alias("s"))
+
+
+def mle_state(spark, d):
+    return _grid(spark, d).groupBy("frame", occupancy.state(F.col("val")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def occupancy_prob(spark, d):
+    return _grid(spark, d).select("frame", "key", _r(occupancy.probability(F.col("val"))).alias("p"))
+
+
+def multires_grid(spark, d):
+    return occupancy.levels(fx.raw_scan(spark, d), SPEC, 3)
+
+
+def occluded_cells(spark, d):
+    e = occupancy.ends(fx.raw_scan(spark, d), SPEC)
+    return occupancy.occluded(e, _grid(spark, d), SPEC)
+
+
+def grid_subset(spark, d):
+    target = type(SPEC)(80, 80, 14, 0.3)
+    return occupancy.resample(_grid(spark, d), SPEC, target, (1.5, -0.6, 0.0))
+
+
+def dense_trits(spark, d):
+    g = _grid(spark, d).where("frame = 1")
+    dense = occupancy.densify(g, g.select("frame").distinct(), SPEC)
+    return dense.select("key", F.when(F.col("val") > 0.1, 1).when(F.col("val") < -0.1, -1).otherwise(0).alias("t"))
+
+
+def count_nonzero(spark, d):
+    return _grid(spark, d).groupBy("frame").agg(F.count_if(F.abs("val") > 1e-3).alias("n"))
+
+
+# Background
+
+
+def background_filter(spark, d):
+    return background.classify(fx.valued_cells(spark, d), fx.bg_model(spark, d), SPEC, fx.FILTER_OFFSET)
+
+
+def filter_smooth(spark, d):
+    return background.smooth(background_filter(spark, d), SPEC)
+
+
+def foreground_cells(spark, d):
+    return background.foreground(fx.valued_cells(spark, d), background_filter(spark, d))
+
+
+# Flow
+
+
+def _scores(spark, d):
+    return flow.column_scores(fx.scan_cells(spark, d), fx.level_weights(spark, d), SPEC, SEARCH, fx.MATCH_OFFSET).where(f"frame < {fx.FRAMES - 1}")
+
+
+def column_scores(spark, d):
+    return _scores(spark, d)
+
+
+def windowed_scores(spark, d):
+    return flow.windowed(_scores(spark, d), SPEC)
+
+
+def flow_estep(spark, d):
+    return flow.propose(windowed_scores(spark, d), SPEC)
+
+
+def flow_mstep(spark, d):
+    return flow.resolve(flow_estep(spark, d))
+
+
+def flow_solve(spark, d):
+    return flow.solve(windowed_scores(spark, d).cache(), SPEC, ROUNDS)
+
+
+def flow_reverse(spark, d):
+    return flow.reverse(flow_mstep(spark, d))
+
+
+# Poses and tracks
+
+
+def poses_mercator(spark, d):
+    p = poses.from_positions(fx.positions(spark, d))
+    return p.select("log", "frame", _r("x", 3).alias("x"), _r("y", 3).alias("y"), "z", _r("h").alias("h"))
+
+
+def relative_pose(spark, d):
+    s = poses.steps(fx.pose_observations(spark, d), "key", "seq")
+    return s.select("key", "seq", *(_r(c).alias(c) for c in ("dx", "dy", "dh")))
+
+
+def pose_chain(spark, d):
+    s = fx.pose_observations(spark, d).selectExpr("key", "seq", "v_f / 10 AS dx", "CAST(0 AS DOUBLE) AS dy", "h / 100 AS dh")
+    return poses.chain(s, "key", "seq").select("key", "seq", *(_r(c, 4).alias(c) for c in ("x", "y", "h")))
+
+
+def _places(spark, d):
+    cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
+    return cells.select("frame", "i", "j", SPEC.metres(F.col("i"), 0).alias("x"), SPEC.metres(F.col("j"), 1).alias("y"))
+
+
+def _ground(spark, d):
+    return poses.project_points(_places(spark, d).select("frame", "x", "y"), fx.poses(spark, d))
+
+
+def ego_project(spark, d):
+    return _ground(spark, d).select("frame", *(_r(c).alias(c) for c in ("x", "y", "x2", "y2")))
+
+
+def object_at(spark, d):
+    out = tracks.object_at(_places(spark, d), fx.tracks(spark, d))
+    return out.select("frame", _r("x").alias("x"), _r("y").alias("y"), "type")
+
+
+def active_tracks(spark, d):
+    nested = fx.tracks(spark, d).groupBy("track_id", "objectType", "l", "w").agg(F.lit(0).alias("first_frame"), F.transform(F.array_sort(F.collect_list(F.struct("frame", "tx", "ty", "rz"))), lambda x: F.struct(x["tx"].alias("tx"), x["ty"].alias("ty"), x["rz"].alias("rz"))).alias("poses"))
+    return tracks.active(nested)
+
+
+def _match(spark, d):
+    return tracks.correspondence(_places(spark, d), fx.tracks(spark, d), _ground(spark, d))
+
+
+def correspondence(spark, d):
+    return _match(spark, d).select("frame", *(_r(c).alias(c) for c in ("x", "y", "x2", "y2")), "is_tracklet")
+
+
+def camera_visible(spark, d):
+    p = _places(spark, d)
+    return p.select("frame", "i", "j", in_view(F.col("x"), F.col("y"), fx.CAMERA).cast("int").alias("seen"))
+
+
+# Evaluation and training
+
+
+def _eval(spark, d):
+    cells = fx.scan_cells(spark, d)
+    p = _places(spark, d)
+    types = tracks.object_at(p, fx.tracks(spark, d))
+    return evaluate.eval_rows(cells, flow_mstep(spark, d), background_filter(spark, d), _match(spark, d), types, _ground(spark, d), fx.CAMERA, SPEC)
+
+
+def eval_rows(spark, d):
+    return _eval(spark, d).select("frame", *(_r(c).alias(c) for c in ("x", "y", "x2", "y2", "u", "v")), "filter", "is_tracklet", "type")
+
+
+def eval_by_type(spark, d):
+    return evaluate.errors_by(_eval(spark, d)).withColumn("mean_error", _r("mean_error", 4))
+
+
+def train_filter_rows(spark, d):
+    on = tracks.object_at(_places(spark, d), fx.tracks(spark, d))
+    label = _places(spark, d).join(on, ["frame", "x", "y"]).select("frame", "i", "j", (F.col("type") != tracks.NOTHING).cast("int").alias("label"))
+    return evaluate.training_columns(fx.valued_cells(spark, d), label, SPEC)
+
+
+# Filters, projection, depth
+
+
+def pose_filter(spark, d):
+    return filters.filter_poses(fx.pose_observations(spark, d))
+
+
+def tracklets(spark, d):
+    f = flow_mstep(spark, d).withColumn("sequence", F.lit(0).cast("long"))
+    return filters.tracklets(f, SPEC.res, SPEC.dims[:2])
+
+
+def project_grid(spark, d):
+    motion = _places(spark, d).selectExpr("frame", "i", "j", "(i % 7) * 0.3 - 0.9 AS h", "CAST(j % 11 AS DOUBLE) AS v", "CAST(((i + j) % 5) * 0.1 AS DOUBLE) AS w")
+    return projection.project_grid(fx.valued_cells(spark, d), motion, SPEC, 0.5)
+
+
+def _points(spark, d):
+    cells = fx.scan_cells(spark, d)
+    return cells.select("frame", *(SPEC.metres(F.col(c), a).alias(n) for a, (c, n) in enumerate(zip("ijk", "xyz", strict=True))))
+
+
+def zbuffer(spark, d):
+    return depth.zbuffer(_points(spark, d), fx.CAMERA, 1242, 375).withColumn("depth", _r("depth"))
+
+
+def depth_fill(spark, d):
+    small = [c / (8 if a < 8 else 1) for a, c in enumerate(fx.CAMERA)]
+    return depth.fill(depth.zbuffer(_points(spark, d), small, 155, 47), 155, 47)
+
+
+# Views
+
+
+def occupied_boxes(spark, d):
+    g = _grid(spark, d).where("val > 0").select("frame", *SPEC.ijk())
+    return g.select("frame", *(_r(SPEC.metres(F.col(c), a)).alias(n) for a, (c, n) in enumerate(zip("ijk", "xyz", strict=True))), F.lit(round(0.75 * SPEC.res, 6)).alias("size"))
+
+
+def flow_arrows(spark, d):
+    f = flow_mstep(spark, d).where("valid = 1")
+    x, y = SPEC.metres(F.col("i"), 0), SPEC.metres(F.col("j"), 1)
+    return f.select("frame", _r(x).alias("x"), _r(y).alias("y"), _r(x - F.col("u") * SPEC.res).alias("x_from"), _r(y - F.col("v") * SPEC.res).alias("y_from"))
+
+
+def pose_trail(spark, d):
+    p = fx.poses(spark, d)
+    last = p.agg(F.max_by(F.struct("x", "y"), "frame").alias("c"))
+    return p.join(F.broadcast(last)).select("frame", _r(F.col("x") - F.col("c.x")).alias("x"), _r(F.col("y") - F.col("c.y")).alias("y"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (
+        occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
+        grid_subset, dense_trits, count_nonzero, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
+        flow_estep, flow_mstep, flow_solve, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
+        correspondence, camera_visible, eval_rows, eval_by_type, train_filter_rows, pose_filter, tracklets, project_grid, zbuffer,
+        depth_fill, occupied_boxes, flow_arrows, pose_trail,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_oracles()
