@@ -12,16 +12,15 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeweave.session import ship
+
 _own_dirs: dict[str, str] = {}
-_shipped: set[str] = set()
 
 #: Rows in an Arrow batch handed to Python; bounds a worker's memory where texts are long.
 ARROW_ROWS = 400
@@ -48,10 +47,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Before Python runs on executors: the size of its batches, and this package for its workers."""
-    if (app := spark.sparkContext.applicationId) not in _shipped:
-        _shipped.add(app)
-        top = Path(__file__).resolve().parents[2]
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/rangeweave", "zip", top, "rangeweave"))
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

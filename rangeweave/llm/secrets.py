@@ -94,11 +94,18 @@ def report(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
+#: Spans that may be in a broadcast (under 100 bytes each); more are joined by a shuffle.
+BROADCAST_SPANS = 500_000
+
+
 def redact(docs: DataFrame, mark: str = "[secret]", **how) -> DataFrame:
     """docs with every span replaced by the mark (overlapping spans by one); all columns, all rows."""
-    s = scan(docs, **how).select(F.col("doc_id").alias("_d"), "_th", "spans")
-    d = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = d.join(s, d["doc_id"].eqNullSafe(s["_d"]) & (d["_h"] == s["_th"]), "left")
+    s = staged(scan(docs, **how).select(F.col("doc_id").alias("_d"), "_th", "spans"), "spans")
+    if (s.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+        s = F.broadcast(s)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")  # names in docs can't meet ours
+    d = docs.select(row, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).withColumn("text", F.col("_row.text"))
+    out = d.join(s, d["_row.doc_id"].eqNullSafe(s["_d"]) & (d["_h"] == s["_th"]), "left")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -110,7 +117,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", **how) -> DataFrame:
         return F.concat(F.array_join(acc["parts"], ""), F.substring("text", acc["at"] + 1, F.length("text")))
 
     clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", state, step, text))
-    return out.withColumn("text", clean).select(*docs.columns)
+    return out.select(*(clean.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def digest(spans: Column) -> Column:
