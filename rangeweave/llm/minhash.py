@@ -51,14 +51,17 @@ def with_bins(df: DataFrame, name: str) -> DataFrame:
     s, d, e, g = name, f"_d_{name}", f"_e_{name}", f"_g_{name}"
     first = lambda x, i: (i == 0) | (F.shiftright(x, _SHIFT) != F.shiftright(F.get(s, i - 1), _SHIFT))
     df = df.withColumn(d, F.filter(s, first))
-    df = df.withColumn(e, F.transform(d, lambda x: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))))
+    df = df.withColumn(e, F.transform(d, lambda x: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, x)))
     probes = [_longs(p, "int") for p in _PROBE]
     df = df.withColumn(g, F.transform(e, lambda x, b: F.coalesce(x, *(F.get(e, F.get(p, b)) for p in probes))))
     # What no probe met: the filled bin that comes first in the bin's own order of all bins.
     known = F.filter(F.transform(e, lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda y: y["x"].isNotNull())
     df = df.withColumn(f"_k_{name}", F.when(F.exists(g, lambda x: x.isNull()), known))
     rest = lambda b: F.array_min(F.transform(f"_k_{name}", lambda y: F.struct(F.xxhash64(b, y["j"]).alias("r"), y["x"].alias("x"))))["x"]
-    full = F.when(F.col(f"_k_{name}").isNull(), F.col(g)).otherwise(F.transform(g, lambda x, b: F.coalesce(x, rest(b))))
+    df = df.withColumn(g, F.when(F.col(f"_k_{name}").isNull(), F.col(g)).otherwise(F.transform(g, lambda x, b: F.coalesce(x, rest(b)))))
+    # A value that fills several bins is hashed with the bin, or else its few bits would agree by chance in all of them.
+    own = lambda x, b: F.when(F.get(e, b).isNull(), F.xxhash64(x, b)).otherwise(x)
+    full = F.transform(g, lambda x, b: own(x, b).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
     return df.withColumn(name, full).drop(d, e, g, f"_k_{name}")
 
 
