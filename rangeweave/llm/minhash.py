@@ -87,25 +87,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "bins", packed("bins").alias("fingerprint"))
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """docs with _b: the run, by ascending doc_id, that a row belongs to. Null ids are in the first.
+def _run(docs: DataFrame) -> Column:
+    """The run, by ascending doc_id, that a row of docs belongs to. Null ids are in the first.
 
     Runs are cut at quantiles of the ids, so they are even whatever the ids look like; the search
-    among the cuts goes in two steps.
+    among the cuts goes in two steps. The cuts are found once and are literals from then on.
     """
-    n = docs.count()
-    parts = -(-n // RUN)
-    if parts <= 1:
-        return docs.withColumn("_b", F.lit(0))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    parts = -(-docs.count() // RUN)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    if not cuts:
+        return F.lit(0)
     cuts = sorted(set(cuts))
     step = max(1, round(len(cuts) ** 0.5))
     kind = docs.schema["doc_id"].dataType.simpleString()
     coarse, fine = _longs(cuts[::step], kind), _longs(cuts, kind)
-    docs = docs.withColumn("_c", F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))))
-    inside = F.slice(fine, (F.col("_c") - 1) * step + 1, F.lit(step))
-    b = F.when(F.coalesce("_c", F.lit(0)) <= 0, 0).otherwise((F.col("_c") - 1) * step + F.size(F.filter(inside, lambda c: c <= F.col("doc_id"))))
-    return docs.withColumn("_b", b).drop("_c")
+    c = F.size(F.filter(coarse, lambda x: x <= F.col("doc_id")))
+    inside = F.slice(fine, (c - 1) * step + 1, F.lit(step))
+    fit = (c - 1) * step + F.size(F.filter(inside, lambda x: x <= F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull() | (c == 0), 0).otherwise(fit)
 
 
 def following(docs: DataFrame) -> tuple[DataFrame, object, Column]:
@@ -115,11 +114,13 @@ def following(docs: DataFrame) -> tuple[DataFrame, object, Column]:
     Each run ends with a copy of the first rows of the next run (after the last run: of the first),
     so that every document's next one is in its own run; text is shuffled once.
     """
-    d = _runs(text_of(docs)).withColumn("_th", F.xxhash64("text"))
-    first = _runs(docs.select("doc_id")).groupBy("_b").agg(F.min(F.struct("doc_id")).alias("f"))
+    docs = text_of(docs)
+    run = _run(docs.select("doc_id"))
+    d = docs.withColumn("_b", run).withColumn("_th", F.xxhash64("text"))
+    first = docs.select("doc_id", run.alias("_b")).groupBy("_b").agg(F.min(F.struct("doc_id")).alias("f"))
     w = Window.orderBy("_b")  # of the runs: a row for each RUN documents
     first = first.select(F.col("f.doc_id").alias("_f"), F.coalesce(F.lag("_b").over(w), F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
-    if docs.count() <= 100_000 * RUN:  # 100,000 runs at most: under 4 MB
+    if first.count() <= 100_000:  # under 4 MB
         first = F.broadcast(first)
     edge = d.join(first, d["doc_id"].eqNullSafe(first["_f"])).select("doc_id", "text", F.col("_to").alias("_b"), "_th", F.lit(True).alias("_edge"))
     rows = d.select("doc_id", "text", "_b", "_th", F.lit(False).alias("_edge")).unionByName(edge)
