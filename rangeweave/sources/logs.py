@@ -17,7 +17,7 @@ TRACK_POSE = "tx double, ty double, tz double, rx double, ry double, rz double,
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """frame and the record's fields: single-precision floats, then integers (null where the row is shorter)."""
-    rows = spark.read.text(path).select(frame_of(F.input_file_name()).alias("frame"), F.split(F.trim("value"), r"\s+").alias("f"))
+    rows = spark.read.text(path).select(frame_of(F.input_file_name()).alias("frame"), F.split(F.trim("value", F.lit(" \t\r\n")), r"\s+").alias("f"))
     fields = [F.get("f", F.lit(k)).cast("float").alias(c) for k, c in enumerate(FLOATS)]
     fields += [F.get("f", F.lit(len(FLOATS) + k)).cast("int").alias(c) for k, c in enumerate(INTS)]
     return unbroken(rows.select("frame", *fields))
@@ -25,7 +25,7 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matched_poses(spark: SparkSession, path: str) -> DataFrame:
     """frame, x, y, z, r, p, h from a file of six numbers a line; the frame is the first of a line's number."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\R")).alias("frame", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value", F.lit(" \t\r\n")), r"\R")).alias("frame", "line"))
     part = F.split(F.trim("line"), r"[\s,]+")
     return rows.select("frame", *(F.get(part, F.lit(a)).cast("double").alias(c) for a, c in enumerate("xyzrph")))
 
@@ -38,7 +38,7 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """di, dj, k, w from a file of 350 numbers in (di, dj, k) order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"[\s,]+")).alias("n", "w"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value", F.lit(" \t\r\n")), r"[\s,]+")).alias("n", "w"))
     return rows.select(F.expr("CAST(n div 70 - 2 AS INT)").alias("di"), F.expr("CAST(n div 14 % 5 - 2 AS INT)").alias("dj"), F.expr("CAST(n % 14 AS INT)").alias("k"), F.col("w").cast("double").alias("w"))
 
 

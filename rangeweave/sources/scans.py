@@ -30,7 +30,10 @@ def unbroken(files: DataFrame) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Scans of little-endian float32 records x, y, z, intensity; intensity becomes 0 to 255."""
+    """Scans of little-endian float32 records x, y, z, intensity; intensity becomes 0 to 255.
+
+    A file without a byte counts as missing, so the sequence ends before it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
     files = unbroken(files.select(frame_of(F.col("path")).alias("frame"), "content"))
 
@@ -62,7 +65,7 @@ def encode_binary(points: DataFrame) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """frame, point_id, x, y, z of text scans: four rows of sensor places, a count, then x,y,z rows."""
-    files = spark.read.text(path, wholetext=True).select(frame_of(F.input_file_name()).alias("frame"), F.split(F.trim("value"), r"\R").alias("rows"))
+    files = spark.read.text(path, wholetext=True).select(frame_of(F.input_file_name()).alias("frame"), F.split(F.trim("value", F.lit(" \t\r\n")), r"\R").alias("rows"))
     lines = files.select("frame", F.posexplode(F.slice("rows", 6, 1 << 30)).alias("point_id", "line"))
     part = lambda a: F.get(F.split("line", ","), F.lit(a)).cast("double")
     return lines.select("frame", "point_id", part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
