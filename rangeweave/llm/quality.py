@@ -29,25 +29,82 @@ RATE = 0.5
 #: Documents of the training sample, at most.
 ROWS = 4_000
 #: Words a worker remembers before it starts anew.
-MEMO = 200_000
+MEMO = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MASK = np.uint64(BUCKETS - 1)
+_SHIFT = np.uint64(64 - 18)
 #: The pair of a word with itself, whatever the word: repetition as such.
 _TWICE = 1
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word and of its character n-grams (over at most 40 bytes at either end)."""
-    w = b"<" + (word if len(word) <= 80 else word[:40] + word[-40:]) + b">"
-    grams = [w[i : i + n] for n in range(NGRAM[0], NGRAM[1] + 1) for i in range(len(w) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(g) % BUCKETS for g in (word, *grams)]
+def _bucket(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h ^ (h >> np.uint64(31))) * _MIX >> _SHIFT).astype(np.int32)
+
+
+def ngrams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: the bucket of the n-gram that begins at each byte of <w1><w2>..., and whether it ends
+    within its word."""
+    x = np.frombuffer(b"<" + b"><".join(words) + b">", dtype=np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(x))
+    h = np.zeros(len(x), dtype=np.uint64)
+    for n in range(1, NGRAM[1] + 1):
+        with np.errstate(over="ignore"):
+            h[: len(x) - n + 1] = h[: len(x) - n + 1] * _MIX + x[n - 1 :] + np.uint64(n)
+        if n >= NGRAM[0]:
+            yield _bucket(h), left >= n
+
+
+def keys_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def pairs(keys: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring words, given the words' 64-bit keys."""
     a, b = keys[:-1], keys[1:]
-    h = (a * _MIX) ^ (b >> np.uint64(7)) ^ (b << np.uint64(13))
-    return np.where(a == b, _TWICE, ((h * _MIX) >> np.uint64(40)) & _MASK).astype(np.int64)
+    with np.errstate(over="ignore"):
+        h = (a * _MIX) ^ (b >> np.uint64(7)) ^ (b << np.uint64(13))
+    return np.where(a == b, _TWICE, _bucket(h))
+
+
+class Scorer:
+    """Scores batches of texts. What a word adds is computed once, for all new words of a batch together."""
+
+    def __init__(self, model: Model):
+        self.model, self.slot = model, {}
+        self.sums, self.counts, self.keys = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.uint64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        weights, keys = self.model.weights, keys_of(new)
+        size = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 2
+        begin = np.cumsum(size) - size
+        sums, counts = weights[_bucket(keys)], np.ones(len(new))
+        for ids, ok in ngrams(new):
+            sums = sums + np.add.reduceat(np.where(ok, weights[ids], 0.0), begin)
+            counts += np.add.reduceat(ok, begin, dtype=np.float64)
+        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
+        self.sums, self.counts, self.keys = (np.concatenate(p) for p in ((self.sums, sums), (self.counts, counts), (self.keys, keys)))
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """0 to 1, higher for class 1; a text without words has the prior's score."""
+        split = [(t or "").encode().split() for t in texts]
+        words = [w for s in split for w in s]
+        z = np.full(len(texts), self.model.bias)
+        if words:
+            if len(self.slot) > MEMO:
+                self.__init__(self.model)
+            if new := list(set(words).difference(self.slot)):
+                self._learn(new)
+            at = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
+            n = np.array([len(s) for s in split])
+            there = np.nonzero(n)[0]
+            begin = (np.cumsum(n) - n)[there]
+            both = self.model.weights[pairs(self.keys[at])]
+            both = np.append(both, 0.0)
+            both[(np.cumsum(n) - 1)[there]] = 0.0  # the pair of one text's last word with the next text's first
+            total = np.add.reduceat(self.sums[at] + both, begin)
+            z[there] += total / (np.add.reduceat(self.counts[at], begin) + n[there] - 1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
@@ -55,37 +112,19 @@ class Model:
     weights: np.ndarray  # of each bucket, for class 1 against class 0
     bias: float
 
-    def scorer(self):
-        memo: dict[bytes, tuple[float, int, int]] = {}
-        weights, bias = self.weights, self.bias
-
-        def score(text: str) -> float:
-            """0 to 1, higher for class 1; a text without words has the prior's score."""
-            words = text.encode().split()
-            if not words:
-                return 1 / (1 + np.exp(-bias))
-            for w in set(words).difference(memo):
-                ids = subwords(w)
-                memo[w] = (float(weights[ids].sum()), len(ids), xxhash.xxh3_64_intdigest(w))
-            sums, counts, keys = zip(*map(memo.__getitem__, words), strict=True)
-            both = pairs(np.array(keys, dtype=np.uint64))
-            z = (sum(sums) + weights[both].sum()) / (sum(counts) + len(both)) + bias
-            if len(memo) > MEMO:
-                memo.clear()
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-        return score
-
-
-def features(text: str, memo: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and the share of each."""
     words = text.encode().split()
-    for w in set(words).difference(memo):
-        memo[w] = subwords(w)
-    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    ids = np.concatenate([np.fromiter((i for w in words for i in memo[w]), dtype=np.int64), pairs(keys)])
+    if not words:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
+    keys = keys_of(words)
+    ids = np.concatenate([_bucket(keys), pairs(keys), *(i[ok] for i, ok in ngrams(words))])
     distinct, n = np.unique(ids, return_counts=True)
-    return distinct.astype(np.int32), (n / max(1, len(ids))).astype(np.float32)
+    return distinct.astype(np.int32), (n / len(ids)).astype(np.float32)
 
 
 def train(sample: pd.DataFrame, seed: int = 5) -> Model:
@@ -94,8 +133,7 @@ def train(sample: pd.DataFrame, seed: int = 5) -> Model:
     prior = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), float(prior))
-    memo: dict[bytes, list[int]] = {}
-    x = [features(t, memo) for t in sample["text"]]
+    x = [features(t) for t in sample["text"]]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), dtype=np.float32)
@@ -132,8 +170,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value.scorer()
         for b in batches:
-            s = pa.array([f(t) for t in b.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), s], ["doc_id", "score"])
+            s = f(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     return text_of(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -146,6 +184,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value.scorer()
         for b in batches:
-            yield b.filter(pa.array([f(t or "") >= threshold for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(f(b.column("text").to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
