@@ -142,7 +142,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     if not sizes:
         return Model.of({})
     # Hashes up to a bound: three samples' worth of text is expected under it, and the first document always.
-    bound = {r["lang"]: max(r["least"], int(min(1.0, 3 * sample / r["chars"]) * (2**64 - 1)) - 2**63) for r in sizes}
+    bound = {r["lang"]: max(r["least"], min(2**63 - 1, int(min(1.0, 3 * sample / r["chars"]) * 2**64) - 2**63)) for r in sizes}
     limits = docs.sparkSession.createDataFrame(list(bound.items()), "lang string, bound bigint")
     near = rows.join(F.broadcast(limits), "lang").where("o <= bound")
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
