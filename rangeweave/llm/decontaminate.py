@@ -65,12 +65,14 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: occurrences in docs of the given distinct terms."""
-    tokens = text_of(docs).select(F.explode(words(F.col("text"))).alias("_raw")).select(fold(F.col("_raw")).alias("term"))
+    # explode_outer: explode would add a filter that tokenises every text once more.
+    tokens = text_of(docs).select(F.explode_outer(words(F.col("text"))).alias("_raw")).select(F.coalesce(fold(F.col("_raw")), F.lit("")).alias("term"))
     return _union([tokens.join(F.broadcast(b), "term").groupBy("term").agg(F.count("*").alias("n")) for b in blocks(terms, "term")])
 
 
 def ranked(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """phrase, rarest (term), at (its offset), rest (the other (at, term), rarest first), size.
+    """phrase, size, text (the terms joined by spaces), rarest (term), at (its offset), rest (the other
+    (at, term), rarest first).
 
     phrases: phrase (key), terms (array).
     """
@@ -79,25 +81,38 @@ def ranked(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     lists = each.join(counts, "term").groupBy("phrase", "size").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("_l"))
     lists = lists.where(F.size("_l") == F.col("size"))  # at most as long as a phrase
     first = F.col("_l")[0]
-    return lists.select(
-        "phrase", "size", first["term"].alias("rarest"), first["at"].alias("at"),
+    return lists.join(phrases.select("phrase", F.array_join("terms", " ").alias("text")), "phrase").select(
+        "phrase", "size", "text", first["term"].alias("rarest"), first["at"].alias("at"),
         F.transform(F.slice("_l", 2, 1 << 30), lambda x: F.struct(x["at"].alias("at"), x["term"].alias("term"))).alias("rest"),
     )
 
 
 def _postings(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """A row for each posting of a phrase's rarest term: the phrase, the position, the tokens around in place."""
+    """A row for each posting of a phrase's rarest term: the phrase, the position _p, the document's tokens _w.
+
+    _w is there for generated code to look into: up to the join it is one reference a document. Higher-order
+    functions are not generated code; used right on top of this, they would have it copied for every word.
+    """
     tokens = _documents(docs).select("doc_id", "_th", words(F.col("text")).alias("_w"))
-    each = tokens.select("doc_id", "_th", "_w", F.posexplode("_w").alias("_p", "_raw")).withColumn("rarest", fold(F.col("_raw")))
+    each = tokens.select("doc_id", "_th", "_w", F.posexplode_outer("_w").alias("_p", "_raw")).withColumn("rarest", F.coalesce(fold(F.col("_raw")), F.lit("")))
     return each.join(F.broadcast(phrases), "rarest")
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """doc_id, _th, phrase, start (from 0), size: every occurrence, once."""
-    there = F.forall("rest", lambda x: F.coalesce(fold(F.get("_w", F.col("_p") - F.col("at") + x["at"])) == x["term"], F.lit(False)))
+    """doc_id, _th, phrase, start (from 0), size: every occurrence, once.
+
+    The lists of the second and third rarest terms are met next, one look each; then the whole phrase.
+    """
+    start = F.col("_p") - F.col("at")
+
+    def holds(r: Column) -> Column:
+        return r.isNull() | F.coalesce(fold(F.get("_w", start + r["at"])) == r["term"], F.lit(False))
+
+    whole = fold(F.array_join(F.slice("_w", F.greatest(start + 1, F.lit(1)), F.col("size")), " ")) == F.col("text")
+    short = phrases.select("phrase", "size", "text", "rarest", "at", F.get("rest", F.lit(0)).alias("r2"), F.get("rest", F.lit(1)).alias("r3"))
     found = [
-        _postings(docs, b).where((F.col("_p") >= F.col("at")) & there).select("doc_id", "_th", "phrase", (F.col("_p") - F.col("at")).alias("start"), "size")
-        for b in blocks(phrases, "phrase")
+        _postings(docs, b).where((start >= 0) & holds(F.col("r2")) & holds(F.col("r3")) & whole).select("doc_id", "_th", "phrase", start.alias("start"), "size")
+        for b in blocks(staged(short, "short"), "phrase")
     ]
     return staged(_union(found), "matches")
 
@@ -105,10 +120,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     """doc_id, phrase, position: postings of a phrase's rarest term with all its terms within `span` words."""
     lo = F.greatest(F.col("_p") - span, F.lit(0))
-    around = F.transform(F.slice("_w", lo + 1, F.col("_p") - lo + span + 1), fold)
-    near = F.size(F.array_except(F.transform("rest", lambda x: x["term"]), around)) == 0
-    found = [_postings(docs, b).where(near).select("doc_id", "_th", "phrase", F.col("_p").alias("position")) for b in blocks(phrases, "phrase")]
-    return _union(found).distinct().drop("_th")
+    around = F.slice("_w", lo + 1, F.col("_p") - lo + span + 1)
+    found = [_postings(docs, b).select("doc_id", "_th", "phrase", "rest", F.col("_p").alias("position"), around.alias("around")) for b in blocks(phrases, "phrase")]
+    near = F.size(F.array_except(F.transform("rest", lambda x: x["term"]), F.transform("around", fold))) == 0
+    return staged(_union(found), "postings").where(near).select("doc_id", "_th", "phrase", "position").distinct().drop("_th")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
