@@ -23,5 +23,38 @@ FROM best WHERE n = 1
 """
 
 
+_CLEAN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CLEAN} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_CLEAN} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS p
+  FROM (SELECT item, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda k: w[k:k + 12])) AS x FROM i WHERE len(w) > 0)),
+runs AS (
+  SELECT rid, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: {{'s': k, 'p': array_to_string(w[k:k + n - 1], ' ')}})) AS x
+  FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n),
+hits AS (SELECT r.rid, r.x.s AS s, r.n, v.item FROM runs r JOIN wins v ON v.n = r.n AND v.p = r.x.p),
+places AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(s, s + n)) AS at FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+"""
+
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT rid, doc_id, unnest(list_transform(range(1, len(w) - 48), lambda k: {'s': k, 'p': sha256(array_to_string(w[k:k + 49], ' '))})) AS x
+  FROM d WHERE len(w) >= 50),
+firsts AS (SELECT x.p AS p, min(doc_id) AS first FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT rid, unnest(range(x.s, x.s + 50)) AS pos FROM runs JOIN firsts ON p = x.p WHERE first < doc_id),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6}
+    return {"op2_decontamination": OP2, "op6_url_filter": OP6, "op7_substrings": OP7}
