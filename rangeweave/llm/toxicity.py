@@ -22,7 +22,7 @@ from .common import small_batches, text_of
 from .learn import labelled_sample
 
 BUCKETS = 1 << 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.1
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.1
 EPOCHS = 4
 #: Documents of the training sample, at most.
 ROWS = 10_000
