@@ -33,7 +33,7 @@ from .fmindex import FMIndex
 WINDOW = 50
 GRAM = 10
 #: Contexts of a shard, about; different contexts of an anchor, beyond which it is hot.
-SHARD, HOT = 40_000, 4_000
+SHARD, HOT = 12_000, 4_000
 #: Documents that may be named in a broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Words a worker remembers before it starts anew.
