@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeweave.functions import colour
 from rangeweave.functions.geometry import in_view
-from rangeweave.operators import background, depth, evaluate, filters, flow, occupancy, poses, projection, tracks
+from rangeweave.operators import background, depth, evaluate, filters, flow, occupancy, patches, poses, projection, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
 
@@ -206,6 +207,16 @@ def train_filter_rows(spark, d):
     return evaluate.training_columns(fx.valued_cells(spark, d), label, SPEC)
 
 
+def train_match_rows(spark, d):
+    return evaluate.match_rows(_match(spark, d), fx.scan_cells(spark, d), SPEC)
+
+
+def pick_lookup(spark, d):
+    picks = fx.tracks(spark, d).selectExpr("frame", "tx AS x", "ty AS y").distinct()
+    out = evaluate.lookup(picks, flow_mstep(spark, d), background_filter(spark, d), tracks.object_at(picks, fx.tracks(spark, d)), fx.CAMERA, SPEC)
+    return out.withColumn("x", _r("x")).withColumn("y", _r("y"))
+
+
 # Filters, projection, depth
 
 
@@ -237,9 +248,32 @@ def depth_fill(spark, d):
     return depth.fill(depth.zbuffer(_points(spark, d), small, 155, 47), 155, 47)
 
 
+def roi_samples(spark, d):
+    cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
+    return patches.samples(cells, fx.CAMERA, SPEC, 4, 8).withColumn("depth", _r("depth"))
+
+
+def depth_errors(spark, d):
+    cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
+    pixels = depth.zbuffer(_points(spark, d), fx.CAMERA, 1242, 375)
+    return patches.depth_errors(cells, pixels, fx.CAMERA, SPEC, 4, 8).groupBy("frame", "i", "j").agg(F.count_if(F.col("error") < 255).alias("known"), F.sum("error").alias("total"))
+
+
 # Views
 
 
+def point_colours(spark, d):
+    p = fx.raw_scan(spark, d)
+    far = colour.by_depth(F.hypot("x", "y"))
+    r, g, b = colour.jet(far)
+    return p.groupBy(colour.byte(F.col("z"), -2.0, 3.0).alias("z8"), colour.byte(colour.by_height(F.col("z")), 0.0, 1.0).alias("height"), r.alias("r"), g.alias("g"), b.alias("b")).agg(F.count("*").alias("n"))
+
+
+def flow_table(spark, d):
+    f = flow_mstep(spark, d)
+    return f.select("frame", "i", "j", _r(F.col("u") * SPEC.res / 0.1).alias("u"), _r(F.col("v") * SPEC.res / 0.1).alias("v"), "valid")
+
+
 def occupied_boxes(spark, d):
     g = _grid(spark, d).where("val > 0").select("frame", *SPEC.ijk())
     return g.select("frame", *(_r(SPEC.metres(F.col(c), a)).alias(n) for a, (c, n) in enumerate(zip("ijk", "xyz", strict=True))), F.lit(round(0.75 * SPEC.res, 6)).alias("size"))
@@ -263,7 +297,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         grid_subset, dense_trits, count_nonzero, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
         flow_estep, flow_mstep, flow_solve, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, train_filter_rows, pose_filter, tracklets, project_grid, zbuffer,
-        depth_fill, occupied_boxes, flow_arrows, pose_trail,
+        depth_fill, train_match_rows, pick_lookup, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}
 
 

@@ -42,6 +42,32 @@ def sampled(a, b, n: int = 10):
     return (a * 7919 + b * 104729) % n == 0
 
 
+def match_rows(match: DataFrame, columns: DataFrame, spec: GridSpec, span: int = 15) -> DataFrame:
+    """frame, i, j, i2, j2, label: pairs of columns to learn matching from.
+
+    columns: frame, i, j of columns with an occupied cell; match: frame, x, y, x2, y2 of their places.
+    A column and the column of its correspondence are a positive pair if the next scan has the latter;
+    a sampled part of the columns also gives a negative pair, displaced by a fixed pseudo-random step.
+    """
+    at = match.select("frame", *(spec.nearest(F.col(c), a).alias(n) for a, c, n in ((0, "x", "i"), (1, "y", "j"), (0, "x2", "i2"), (1, "y2", "j2"))))
+    later = columns.select((F.col("frame") - 1).alias("frame"), F.col("i").alias("i2"), F.col("j").alias("j2")).distinct()
+    good = at.join(later, ["frame", "i2", "j2"]).select("frame", "i", "j", "i2", "j2", F.lit(1).alias("label"))
+    side = 2 * span + 1
+    pick = (F.col("i") * 31 + F.col("j") * 17) % (side * side)
+    moved = at.where(sampled(F.col("i"), F.col("j"))).select("frame", "i", "j", "i2", "j2", (F.col("i") + F.expr(f"CAST(((i * 31 + j * 17) % {side * side}) div {side} AS INT)") - span).alias("n2"), (F.col("j") + pick % side - span).alias("m2"))
+    bad = moved.where("n2 <> i2 OR m2 <> j2").where(spec.inside(F.col("n2"), F.col("m2"))).select("frame", "i", "j", F.col("n2").alias("i2"), F.col("m2").alias("j2"), F.lit(0).alias("label"))
+    return good.unionByName(bad)
+
+
+def lookup(points: DataFrame, flow: DataFrame, filtered: DataFrame, types: DataFrame, camera: list[float], spec: GridSpec) -> DataFrame:
+    """points (frame, x, y) with i, j (its cell), u, v, valid, background, type, seen: all that is known of a place."""
+    at = points.select("frame", "x", "y", spec.nearest(F.col("x"), 0).alias("i"), spec.nearest(F.col("y"), 1).alias("j"))
+    cell = ["frame", "i", "j"]
+    at = at.join(flow.select(*cell, "u", "v", "valid"), cell, "left").join(filtered.select(*cell, "background"), cell, "left").join(types, ["frame", "x", "y"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return at.select("frame", "x", "y", "i", "j", zero("u"), zero("v"), zero("valid"), zero("background"), "type", in_view(F.col("x"), F.col("y"), camera).cast("int").alias("seen"))
+
+
 def training_columns(cells: DataFrame, labels: DataFrame, spec: GridSpec) -> DataFrame:
     """frame, i, j, label, di, dj, k, state: the occupied cells around sampled columns, in long form.
 

@@ -166,12 +166,46 @@ def _travel() -> tuple[str, str]:
     return tuple(f"list_sum(list_transform({steps}, lambda t: v * 0.001 * {f}(h + w * 0.001 * t)))" for f in ("cos", "sin"))
 
 
+def _unit(c: str) -> str:
+    return f"greatest(0, least(1, {c}))"
+
+
+def _samples() -> str:
+    h = SPEC.n2 * SPEC.res
+    x = f"((i - {_N0 // 2}) * {RES} - {SPEC.res / 2!r})"
+    y = f"((j - {_N1 // 2}) * {RES} - {SPEC.res / 2!r} + (a + 0.5) * {SPEC.res / 4!r})"
+    z = f"((b + 0.5) * {h / 8!r} - {h / 2!r})"
+    u, v, d = (f"({CAMERA[4 * a]} * {x} + {CAMERA[4 * a + 1]} * {y} + {CAMERA[4 * a + 2]} * {z} + {CAMERA[4 * a + 3]})" for a in range(3))
+    return f"SELECT frame, i, j, a, b, CAST(round({u} / {d}) AS INT) AS w, CAST(round({v} / {d}) AS INT) AS h, {d} AS depth FROM (SELECT DISTINCT frame, i, j FROM scan_cells), (SELECT CAST(a AS INT) AS a FROM range(4) t(a)), (SELECT CAST(b AS INT) AS b FROM range(8) t(b)) WHERE {d} > 0"
+
+
 def all_oracles() -> dict[str, str]:
     x, y, h = ("lag({0}) OVER (PARTITION BY key ORDER BY seq) AS p{0}".format(c) for c in "xyh")
     dx, dy = _travel()
     u, v, dep = (f"({CAMERA[4 * a]} * x + {CAMERA[4 * a + 1]} * y + {CAMERA[4 * a + 2]} * z + {CAMERA[4 * a + 3]})" for a in range(3))
     xyz = f"{_xy()}, (k - {SPEC.n2 // 2}) * {RES} AS z"
+    image = f"SELECT frame, CAST(trunc(u + 0.5) AS INT) AS w, CAST(trunc(v + 0.5) AS INT) AS h, min(d) AS measured FROM (SELECT frame, {u} / {dep} AS u, {v} / {dep} AS v, {dep} AS d FROM pts WHERE {dep} > 0) WHERE u > -1.5 AND v > -1.5 GROUP BY ALL"
+    cell = ", ".join(f"CAST(round({c} / {RES}) AS INT) + {n // 2} AS {k}" for c, n, k in (("x", _N0, "i"), ("y", _N1, "j"), ("x2", _N0, "i2"), ("y2", _N1, "j2")))
+    ramp = [f"CAST(round({_unit(f'1.5 - abs(4 * s - {m})')} * 255) AS INT) AS {c}" for c, m in zip("rgb", (3.0, 2.0, 1.0), strict=True)]
     return {
+        "train_match_rows": on_tracks(
+            f"SELECT p.frame, p.i, p.j, p.i2, p.j2, 1 AS label FROM paired p SEMI JOIN scan_cells c ON c.frame = p.frame + 1 AND c.i = p.i2 AND c.j = p.j2 UNION ALL "
+            f"SELECT frame, i, j, i + n // 31 - 15, j + n % 31 - 15, 0 FROM (SELECT *, (i * 31 + j * 17) % 961 AS n FROM paired WHERE (i * 7919 + j * 104729) % 10 = 0) WHERE (i + n // 31 - 15 <> i2 OR j + n % 31 - 15 <> j2) AND i + n // 31 - 15 BETWEEN 0 AND {_N0 - 1} AND j + n % 31 - 15 BETWEEN 0 AND {_N1 - 1}",
+            paired=f"SELECT frame, {cell} FROM match",
+        ),
+        "pick_lookup": on_eval(
+            f"SELECT p.frame, round(p.x, 6) AS x, round(p.y, 6) AS y, p.i, p.j, coalesce(f.u, 0) AS u, coalesce(f.v, 0) AS v, coalesce(f.valid, 0) AS valid, coalesce(b.background, 0) AS background, coalesce(t.type, 'NO_OBJECT') AS type, CAST({_in_view('p.x', 'p.y')} AS INT) AS seen "
+            f"FROM (SELECT DISTINCT frame, tx AS x, ty AS y, CAST(round(tx / {RES}) AS INT) + {_N0 // 2} AS i, CAST(round(ty / {RES}) AS INT) + {_N1 // 2} AS j FROM tracks) p "
+            "LEFT JOIN m1 f ON f.frame = p.frame AND f.i = p.i AND f.j = p.j LEFT JOIN filtered b ON b.frame = p.frame AND b.i = p.i AND b.j = p.j "
+            "LEFT JOIN (SELECT q.frame, q.tx AS x, q.ty AS y, arg_min(k.objectType, k.track_id) AS type FROM (SELECT DISTINCT frame, tx, ty FROM tracks) q JOIN tracks k ON k.frame = q.frame AND abs(cos(k.rz) * (q.tx - k.tx) + sin(k.rz) * (q.ty - k.ty)) < k.l / 2 AND abs(-sin(k.rz) * (q.tx - k.tx) + cos(k.rz) * (q.ty - k.ty)) < k.w / 2 GROUP BY ALL) t ON t.frame = p.frame AND t.x = p.x AND t.y = p.y"
+        ),
+        "roi_samples": with_views("SELECT frame, i, j, a, b, w, h, round(depth, 6) AS depth FROM samples", "scan_cells", samples=_samples()),
+        "depth_errors": with_views(
+            "SELECT frame, i, j, count(*) FILTER (e < 255) AS known, CAST(sum(e) AS BIGINT) AS total FROM (SELECT s.frame, s.i, s.j, CASE WHEN coalesce(m.measured, 0) < 1e-3 THEN 255 ELSE greatest(0, least(255, CAST(round((m.measured - s.depth) * 100) AS INT) + 127)) END AS e FROM samples s LEFT JOIN image m ON m.frame = s.frame AND m.w = s.w AND m.h = s.h AND m.w BETWEEN 0 AND 1241 AND m.h BETWEEN 0 AND 374) GROUP BY ALL",
+            "scan_cells", samples=_samples(), pts=f"SELECT frame, {xyz} FROM scan_cells", image=image,
+        ),
+        "point_colours": with_views(f"SELECT z8, height, {', '.join(ramp)}, count(*) AS n FROM (SELECT CAST(round({_unit('(z + 2) / 5')} * 255) AS INT) AS z8, CAST(round(CASE WHEN z < 0 THEN {_unit('-z / 5')} ELSE {_unit('(z + 4) / 12')} END * 255) AS INT) AS height, {_unit('sqrt(x * x + y * y) / 40')} AS s FROM raw_scan) GROUP BY ALL", "raw_scan"),
+        "flow_table": on_flow(f"SELECT frame, i, j, round(u * {RES} / CAST(0.1 AS DOUBLE), 6) AS u, round(v * {RES} / CAST(0.1 AS DOUBLE), 6) AS v, valid FROM m1"),
         "occupancy_grid": on_grid("SELECT * FROM grid"),
         "grid_merge": on_grid("SELECT key, CAST(sum(n_free) AS BIGINT) AS n_free, CAST(sum(n_occ) AS BIGINT) AS n_occ, (10 * sum(n_occ) - sum(n_free)) / 10 AS val FROM grid GROUP BY key"),
         "grid_clean": on_grid("SELECT frame, key, val FROM grid WHERE abs(val) >= 0.01"),
