@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from rangeweave.llm import secrets
+
 OP6 = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -42,6 +46,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
 """
 
+_quoted = lambda p: "'" + p.replace("'", "''") + "'"
+_FOUND = " UNION ALL ".join(
+    f"SELECT rid, doc_id, source, {k} AS kind, string_split_regex(t, {_quoted(p)}) AS ps, regexp_extract_all(t, {_quoted(p)}) AS ms FROM d"
+    for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.LIVE))
+)
+OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+each AS (
+  SELECT rid, doc_id, source, kind, unnest(list_transform(range(1, len(ms) + 1), lambda k: {{
+    's': list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0), 'm': ms[k]}})) AS x
+  FROM found WHERE len(ms) > 0),
+cand AS (
+  SELECT rid, doc_id, source, kind, CAST(x.s AS BIGINT) AS s, CAST(x.s AS BIGINT) + length(x.m) AS e,
+         CASE WHEN kind = 0 THEN regexp_extract(x.m, {_quoted(secrets.ASSIGN)}, 2) ELSE x.m END AS v
+  FROM each),
+good AS (
+  SELECT * FROM cand
+  WHERE CASE kind WHEN 0 THEN length(v) >= 8 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') ELSE true END),
+owned AS (
+  SELECT v, count(*) AS n_repositories, count(DISTINCT o) AS n_owners
+  FROM (SELECT DISTINCT v, coalesce(source, '') AS o, coalesce(CAST(doc_id AS VARCHAR), '') AS r FROM good) GROUP BY v),
+known AS (
+  SELECT g.*, n_owners <= {secrets.MAX_OWNERS} AND n_repositories <= {secrets.MAX_REPOSITORIES} AS own,
+         ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || e AS label
+  FROM good g JOIN owned USING (v)),
+spans AS (
+  SELECT * FROM known k
+  WHERE kind < 3 OR (own AND NOT EXISTS (SELECT 1 FROM good b WHERE b.rid = k.rid AND b.kind < 3 AND b.s < k.e AND k.s < b.e))),
+per AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(label, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(label, ',' ORDER BY s, kind) AS spans,
+         count(*) FILTER (own) AS n_owner_specific, count(*) FILTER (NOT own) AS n_copied
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN per USING (rid)
+"""
+
 OP7 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 runs AS (
@@ -57,4 +101,4 @@ FROM d LEFT JOIN kept USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op6_url_filter": OP6, "op7_substrings": OP7}
+    return {"op2_decontamination": OP2, "op4_secrets": OP4, "op6_url_filter": OP6, "op7_substrings": OP7}

@@ -38,9 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.report(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] < 3)
     count = lambda c: F.size(F.filter("spans", c)).cast("long")
+    of_kind = lambda k: lambda x: x["kind"] == k
     return out.select(
         "doc_id",
-        *(count(lambda x, k=k: x["kind"] == k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)),
+        *(count(of_kind(k)).alias(f"n_{secrets.KINDS[k]}") for k in range(3)),
         F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"),
         secrets.digest(F.col("spans")).alias("spans"),
         count(lambda x: x["specific"]).alias("n_owner_specific"),

@@ -19,9 +19,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Generic tokens: long runs with a digit, a capital and a small letter.
-LIVE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}"
-LIVE_HINT = r"[A-Za-z0-9+/_-]{20,}"
+#: Generic tokens: long runs; those with a digit, a capital and a small letter are candidates.
+LIVE = r"[A-Za-z0-9+/_-]{20,}"
 MIN_ASSIGN = 8
 KINDS = ("assign", "access", "hex", "live")
 #: A value is owner-specific when at most this many owners have it ...
@@ -43,7 +42,7 @@ def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     """
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
     d = d.withColumn("_th", F.xxhash64("text"))
-    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), _pieces(*p).alias("z")) for i, p in enumerate([(ASSIGN, ASSIGN_HINT), (ACCESS, ACCESS), (HEX, HEX), (LIVE, LIVE_HINT)])))
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), _pieces(*p).alias("z")) for i, p in enumerate([(ASSIGN, ASSIGN_HINT), (ACCESS, ACCESS), (HEX, HEX), (LIVE, LIVE)])))
     key = ["doc_id", "_th"]
     rows = d.select(*key, "repository", "owner", F.explode(kinds).alias("k")).where("k.z IS NOT NULL")
     rows = rows.select(*key, "repository", "owner", "k.kind", F.posexplode("k.z").alias("at", "x")).where("x.m IS NOT NULL")
@@ -53,7 +52,9 @@ def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     end = F.sum(F.col("gap") + F.length("match")).over(w)
     value = F.when(F.col("kind") == 0, F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match"))
     out = rows.withColumn("end", end).withColumn("value", value).withColumn("start", F.col("end") - F.length("match"))
-    return out.where((F.col("kind") > 0) | (F.length("value") >= MIN_ASSIGN)).select(*key, "repository", "owner", "kind", "start", "end", "value")
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]")
+    good = F.when(F.col("kind") == 0, F.length("value") >= MIN_ASSIGN).when(F.col("kind") == 3, mixed).otherwise(True)
+    return out.where(good).select(*key, "repository", "owner", "kind", "start", "end", "value")
 
 
 def ownership(found: DataFrame) -> DataFrame:
