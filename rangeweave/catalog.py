@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rangeweave.functions import colour
 from rangeweave.functions.geometry import in_view
-from rangeweave.operators import background, depth, evaluate, filters, flow, occupancy, patches, poses, projection, tracks
+from rangeweave.operators import background, depth, evaluate, filters, flow, matching, occupancy, patches, poses, projection, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
 
@@ -248,6 +248,13 @@ def depth_fill(spark, d):
     return depth.fill(depth.zbuffer(_points(spark, d), small, 155, 47), 155, 47)
 
 
+def scan_match(spark, d):
+    p = _points(spark, d).select("frame", ((F.col("frame") * 1000 + F.round(F.col("x") / SPEC.res + 83)) * 1000000 + F.round(F.col("y") / SPEC.res + 83) * 1000 + F.round(F.col("z") / SPEC.res + 7)).cast("long").alias("point_id"), "x", "y", "z")
+    seeds = fx.poses(spark, d).where(f"frame < {fx.FRAMES - 1}").select("frame", F.lit(-0.5).alias("x"), F.lit(0.25).alias("y"), F.lit(0.0).alias("h"))
+    out = matching.match_scans(p, seeds, 2, 0.9)
+    return out.select("frame", _r("x", 4).alias("x"), _r("y", 4).alias("y"), _r("h", 4).alias("h"), "n", _r("error", 4).alias("error"))
+
+
 def roi_samples(spark, d):
     cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
     return patches.samples(cells, fx.CAMERA, SPEC, 4, 8).withColumn("depth", _r("depth"))
@@ -297,7 +304,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         grid_subset, dense_trits, count_nonzero, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
         flow_estep, flow_mstep, flow_solve, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, train_filter_rows, pose_filter, tracklets, project_grid, zbuffer,
-        depth_fill, train_match_rows, pick_lookup, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
+        depth_fill, train_match_rows, pick_lookup, scan_match, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}
 
 

@@ -179,6 +179,16 @@ def _samples() -> str:
     return f"SELECT frame, i, j, a, b, CAST(round({u} / {d}) AS INT) AS w, CAST(round({v} / {d}) AS INT) AS h, {d} AS depth FROM (SELECT DISTINCT frame, i, j FROM scan_cells), (SELECT CAST(a AS INT) AS a FROM range(4) t(a)), (SELECT CAST(b AS INT) AS b FROM range(8) t(b)) WHERE {d} > 0"
 
 
+def _match_round(last: str, n: int) -> dict[str, str]:
+    return {
+        f"put{n}": f"SELECT p.frame - 1 AS frame, p.id, p.x AS px, p.y AS py, p.z AS pz, s.x + cos(s.h) * p.x - sin(s.h) * p.y AS sx, s.y + sin(s.h) * p.x + cos(s.h) * p.y AS sy FROM pts p JOIN {last} s ON s.frame = p.frame - 1",
+        f"near{n}": f"SELECT a.frame, a.id, min({{'d': (sx - q.x) ** 2 + (sy - q.y) ** 2 + (pz - q.z) ** 2, 'qx': q.x, 'qy': q.y, 'px': px, 'py': py}}) AS m FROM put{n} a JOIN pts q ON q.frame = a.frame AND q.x BETWEEN sx - 0.9 AND sx + 0.9 AND q.y BETWEEN sy - 0.9 AND sy + 0.9 WHERE (sx - q.x) ** 2 + (sy - q.y) ** 2 + (pz - q.z) ** 2 <= CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE) GROUP BY ALL",
+        f"sums{n}": f"SELECT frame, count(*) AS n, avg(m.d) AS e, avg(m.px) AS px, avg(m.py) AS py, avg(m.qx) AS qx, avg(m.qy) AS qy, sum(m.px * m.qy - m.py * m.qx) AS s, sum(m.px * m.qx + m.py * m.qy) AS c FROM near{n} GROUP BY frame",
+        f"turn{n}": f"SELECT *, atan2(s - n * (px * qy - py * qx), c - n * (px * qx + py * qy)) AS h FROM sums{n}",
+        f"pose{n}": f"SELECT frame, qx - cos(h) * px + sin(h) * py AS x, qy - sin(h) * px - cos(h) * py AS y, h, n, sqrt(e) AS error FROM turn{n}",
+    }
+
+
 def all_oracles() -> dict[str, str]:
     x, y, h = ("lag({0}) OVER (PARTITION BY key ORDER BY seq) AS p{0}".format(c) for c in "xyh")
     dx, dy = _travel()
@@ -199,6 +209,11 @@ def all_oracles() -> dict[str, str]:
             "LEFT JOIN m1 f ON f.frame = p.frame AND f.i = p.i AND f.j = p.j LEFT JOIN filtered b ON b.frame = p.frame AND b.i = p.i AND b.j = p.j "
             "LEFT JOIN (SELECT q.frame, q.tx AS x, q.ty AS y, arg_min(k.objectType, k.track_id) AS type FROM (SELECT DISTINCT frame, tx, ty FROM tracks) q JOIN tracks k ON k.frame = q.frame AND abs(cos(k.rz) * (q.tx - k.tx) + sin(k.rz) * (q.ty - k.ty)) < k.l / 2 AND abs(-sin(k.rz) * (q.tx - k.tx) + cos(k.rz) * (q.ty - k.ty)) < k.w / 2 GROUP BY ALL) t ON t.frame = p.frame AND t.x = p.x AND t.y = p.y"
         ),
+        "scan_match": with_views(
+            f"SELECT frame, {_rounded('x', 'y', 'h', 'error', digits=4)}, n FROM pose2",
+            "scan_cells", pts=f"SELECT frame, row_number() OVER () AS id, {xyz} FROM scan_cells", seeds=f"SELECT CAST(f AS INT) AS frame, CAST(-0.5 AS DOUBLE) AS x, CAST(0.25 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS h FROM range({FRAMES - 1}) t(f)",
+            **_match_round("seeds", 1), **_match_round("pose1", 2),
+        ),
         "roi_samples": with_views("SELECT frame, i, j, a, b, w, h, round(depth, 6) AS depth FROM samples", "scan_cells", samples=_samples()),
         "depth_errors": with_views(
             "SELECT frame, i, j, count(*) FILTER (e < 255) AS known, CAST(sum(e) AS BIGINT) AS total FROM (SELECT s.frame, s.i, s.j, CASE WHEN coalesce(m.measured, 0) < 1e-3 THEN 255 ELSE greatest(0, least(255, CAST(round((m.measured - s.depth) * 100) AS INT) + 127)) END AS e FROM samples s LEFT JOIN image m ON m.frame = s.frame AND m.w = s.w AND m.h = s.h AND m.w BETWEEN 0 AND 1241 AND m.h BETWEEN 0 AND 374) GROUP BY ALL",

@@ -66,3 +66,19 @@ def test_depth_fill_keeps_measured(spark):
     image[1, 1], image[4, 4] = 5.0, 9.0
     full = fill_image(image, 10)
     assert full[1, 1] == 5.0 and full[4, 4] == 9.0 and (full > 0).all()
+
+
+def test_scan_match_recovers_a_motion(spark):
+    import numpy as np
+
+    from rangeweave.operators.matching import match_scans
+
+    rng = np.random.default_rng(3)
+    world = rng.uniform(-20, 20, (400, 3))
+    c, s = np.cos(0.02), np.sin(0.02)
+    local = (world[:, :2] - [0.3, -0.2]) @ np.array([[c, -s], [s, c]])  # the same places seen from the pose (0.3, -0.2, 0.02)
+    rows = [(0, i, *map(float, p)) for i, p in enumerate(world)] + [(1, i, float(a), float(b), float(p[2])) for i, ((a, b), p) in enumerate(zip(local, world, strict=True))]
+    points = spark.createDataFrame(rows, "frame int, point_id long, x double, y double, z double")
+    seeds = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "frame int, x double, y double, h double")
+    (r,) = match_scans(points, seeds, 6, 2.0).collect()
+    assert (r["x"], r["y"], r["h"]) == pytest.approx((0.3, -0.2, 0.02), abs=1e-6)
