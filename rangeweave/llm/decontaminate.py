@@ -6,7 +6,8 @@
 3. Postings of the phrases' rarest terms: a second scan makes (term, document, position) rows, meets
    the phrases by term, and intersects the offset-adjusted positions of the other terms, rarest
    first, in the document's own token array, which stays in the row's task. What survives is an
-   occurrence; the occurrences are stored as a table in the shared folder.
+   occurrence; the occurrences, and each document's number of words, are stored as a table in the
+   shared folder.
 
 Neither scan shuffles text. The phrase side is broadcast in blocks of at most ``BLOCK`` rows; more
 test phrases mean more blocks (and scans), never a larger broadcast.
@@ -87,19 +88,23 @@ def ranked(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _postings(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+def _postings(docs: DataFrame, phrases: DataFrame, how: str = "inner") -> DataFrame:
     """A row for each posting of a phrase's rarest term: the phrase, the position _p, the document's tokens _w.
 
+    Each document's tokens are followed by an empty one, which no phrase has. With how="left" that row
+    is kept, and its position is the number of the document's words.
+
     _w is there for generated code to look into: up to the join it is one reference a document. Higher-order
     functions are not generated code; used right on top of this, they would have it copied for every word.
     """
-    tokens = _documents(docs).select("doc_id", "_th", words(F.col("text")).alias("_w"))
+    tokens = _documents(docs).select("doc_id", "_th", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("_w"))
     each = tokens.select("doc_id", "_th", "_w", F.posexplode_outer("_w").alias("_p", "_raw")).withColumn("rarest", F.coalesce(fold(F.col("_raw")), F.lit("")))
-    return each.join(F.broadcast(phrases), "rarest")
+    return each.join(F.broadcast(phrases), "rarest", how)
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """doc_id, _th, phrase, start (from 0), size: every occurrence, once.
+def scan(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, _th, phrase, start (from 0), size: every occurrence, once; and for each row of docs a row
+    with a null phrase and the number of its words as start.
 
     The lists of the second and third rarest terms are met next, one look each; then the whole phrase.
     """
@@ -109,12 +114,18 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
         return r.isNull() | F.coalesce(fold(F.get("_w", start + r["at"])) == r["term"], F.lit(False))
 
     whole = fold(F.array_join(F.slice("_w", F.greatest(start + 1, F.lit(1)), F.col("size")), " ")) == F.col("text")
+    here = F.coalesce((start >= 0) & holds(F.col("r2")) & holds(F.col("r3")) & whole, F.lit(False))
     short = phrases.select("phrase", "size", "text", "rarest", "at", F.get("rest", F.lit(0)).alias("r2"), F.get("rest", F.lit(1)).alias("r3"))
-    found = [
-        _postings(docs, b).where((start >= 0) & holds(F.col("r2")) & holds(F.col("r3")) & whole).select("doc_id", "_th", "phrase", start.alias("start"), "size")
-        for b in blocks(staged(short, "short"), "phrase")
-    ]
-    return staged(_union(found), "matches")
+    found = []
+    for k, b in enumerate(blocks(staged(short, "short"), "phrase")):
+        rows = _postings(docs, b, "inner" if k else "left").where(here | (F.col("rarest") == "") if not k else here)
+        found.append(rows.select("doc_id", "_th", "phrase", F.coalesce(start, F.col("_p")).alias("start"), "size"))
+    return staged(_union(found), "occurrences")
+
+
+def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, phrase, start (from 0), size: every occurrence, once a row of docs."""
+    return scan(docs, phrases).where("phrase IS NOT NULL").drop("_th")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
@@ -136,7 +147,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     docs = docs.select("doc_id", "text")
     wins = staged(windows(items, size).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "terms"), "windows")
     ids = staged(wins.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
-    matches = phrase_matches(docs, staged(ranked(ids, docs), "ranked")).distinct()
+    seen = scan(docs, staged(ranked(ids, docs), "ranked"))
+    matches = seen.where("phrase IS NOT NULL").distinct()
 
     key = ["doc_id", "_th"]
     before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy(*key).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
@@ -145,7 +157,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     named = matches.select(*key, "phrase").distinct().join(ids.join(wins, "terms").select("phrase", "item"), "phrase")
     named = named.select(*key, "item").distinct().groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
-    d = _documents(docs).select(*key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    d = seen.where("phrase IS NULL").select(*key, F.col("start").cast("long").alias("n_words"))
     s = spans.join(named, (spans["doc_id"].eqNullSafe(named["doc_id"])) & (spans["_th"] == named["_th"])).select(spans["doc_id"].alias("_d"), spans["_th"].alias("_h"), "n_hit", "items")
     out = d.join(s, d["doc_id"].eqNullSafe(s["_d"]) & (d["_th"] == s["_h"]), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
