@@ -41,31 +41,40 @@ def origin_cell(spec: GridSpec, origin: tuple[float, float, float]) -> tuple[int
     return tuple(round(o / spec.res) + n // 2 for o, n in zip(origin, spec.dims, strict=True))
 
 
-def walk(rays: DataFrame, spec: GridSpec, origin: tuple[float, float, float] = ORIGIN, max_cells: int | None = None) -> DataFrame:
-    """rays with a row for each free cell inside the grid on the way to the end cell: adds key.
+def _stepped(rays: DataFrame, spec: GridSpec, origin: tuple[float, float, float], max_cells: int | None) -> DataFrame:
+    """rays with a row for each cell of their walk that is inside the grid: adds key, and last for the end cell.
 
     The walk takes one step along the dominant axis at a time; the other axes advance by rounded
-    integer proportion. It ends before the end cell, at the grid's edge, or after max_cells - 1 cells.
+    integer proportion. It passes free cells up to the end cell, the grid's edge or max_cells - 1 cells,
+    and none if the origin is outside the grid; the end cell comes in any case. What a ray's steps share is
+    worked out before the expansion, so that little is left to do for each of the many rows after it.
     """
     p0 = origin_cell(spec, origin)
-    if not all(0 <= p < n for p, n in zip(p0, spec.dims, strict=True)):
-        return rays.withColumn("key", F.lit(None).cast("long")).where(F.lit(False))
-    limit = max_cells or max(spec.dims)
-    d = [F.abs(F.col(f"e{a}") - p0[a]) for a in range(3)]
-    steps = F.greatest(*d)
-    stepped = rays.withColumn("_n", steps).where("_n > 0").withColumn("_s", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(limit - 1)) - 1)))
-    ahead = [F.expr(f"(2 * abs(e{a} - {p0[a]}) * _s + _n) div (2 * _n)").cast("int") for a in range(3)]
-    cell = [F.when(F.col(f"e{a}") < p0[a], p0[a] - ahead[a]).otherwise(p0[a] + ahead[a]) for a in range(3)]
-    return stepped.withColumn("key", spec.key(*cell)).where("key >= 0").drop("_n", "_s")
+    there = all(0 <= p < n for p, n in zip(p0, spec.dims, strict=True))
+    names = rays.columns
+    far = F.greatest(*(F.abs(F.col(f"e{a}") - p0[a]) for a in range(3)))
+    rays = rays.withColumn("_n", far)
+    way = [F.when(F.col(f"e{a}") < p0[a], -1).otherwise(1).alias(f"_w{a}") for a in range(3)]
+    twice = [(2 * F.abs(F.col(f"e{a}") - p0[a])).alias(f"_d{a}") for a in range(3)]
+    free = F.least(F.col("_n"), F.lit((max_cells or max(spec.dims)) - 1)) if there else F.lit(0)
+    rays = rays.select(*names, "_n", F.greatest(2 * F.col("_n"), F.lit(1)).alias("_m"), *way, *twice, free.alias("_free"))
+    each = rays.withColumn("_s", F.explode(F.sequence(F.lit(0), "_free")))
+    each = each.withColumn("_t", F.when(F.col("_s") == F.col("_free"), F.col("_n")).otherwise(F.col("_s")))
+    cell = [F.expr(f"CAST({p0[a]} + _w{a} * ((_d{a} * _t + _n) div _m) AS INT)") for a in range(3)]
+    each = each.where(spec.inside(*cell))
+    return each.select(*names, ((cell[0].cast("long") * spec.n1 + cell[1]) * spec.n2 + cell[2]).alias("key"), (F.col("_s") == F.col("_free")).alias("last"))
+
+
+def walk(rays: DataFrame, spec: GridSpec, origin: tuple[float, float, float] = ORIGIN, max_cells: int | None = None) -> DataFrame:
+    """rays with a row for each free cell inside the grid on the way to the end cell: adds key."""
+    return _stepped(rays, spec, origin, max_cells).where("NOT last").drop("last")
 
 
 def accumulate(points: DataFrame, spec: GridSpec, origin: tuple[float, float, float] = ORIGIN, masked: bool = True, max_cells: int | None = None) -> DataFrame:
     """frame, key, n_free, n_occ, val: the sparse grid of every frame. val is not clamped."""
-    e = ends(points, spec, masked)
-    free = walk(e, spec, origin, max_cells).select("frame", "key", F.col("rays").alias("n_free"), F.lit(0).cast("long").alias("n_occ"))
-    key = spec.key(*(F.col(f"e{a}") for a in range(3)))
-    hit = e.where("hits > 0").select("frame", key.alias("key"), F.lit(0).cast("long").alias("n_free"), F.col("hits").alias("n_occ")).where("key >= 0")
-    return totals(free.unionByName(hit), "frame", "key")
+    each = _stepped(ends(points, spec, masked), spec, origin, max_cells).where("NOT last OR hits > 0")
+    nothing = F.lit(0).cast("long")
+    return totals(each.select("frame", "key", F.when(F.col("last"), nothing).otherwise(F.col("rays")).alias("n_free"), F.when(F.col("last"), F.col("hits")).otherwise(nothing).alias("n_occ")), "frame", "key")
 
 
 def totals(counts: DataFrame, *by: str) -> DataFrame:

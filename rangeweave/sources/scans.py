@@ -126,3 +126,40 @@ def decode_grid(files: DataFrame) -> DataFrame:
 
     ship(files.sparkSession)
     return files.select("content").mapInArrow(run, "frame int, key bigint, val float")
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """frame, content of an image sequence up to its first gap."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
+    return unbroken(files.select(frame_of(F.col("path")).alias("frame"), "content"))
+
+
+def encode_flow(flow: DataFrame, dims: tuple[int, int], res: float, dt: float) -> DataFrame:
+    """frame, content: each frame's motion (frame, i, j, u, v, valid) as one binary: two int32 dims, float res and
+    dt, then the int32 planes u, v and valid, zero where there is no row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        planes = np.zeros((3, *dims), dtype="<i4")
+        at = t.column("i").to_numpy(), t.column("j").to_numpy()
+        for k, c in enumerate(("u", "v", "valid")):
+            planes[k][at] = t.column(c).to_numpy()
+        raw = struct.pack("<2i2f", *dims, res, dt) + planes.tobytes()
+        return pa.table({"frame": pa.array([t.column("frame")[0].as_py()], pa.int32()), "content": pa.array([raw], pa.binary())})
+
+    ship(flow.sparkSession)
+    return flow.select(F.col("frame").cast("int").alias("frame"), "i", "j", "u", "v", "valid").groupBy("frame").applyInArrow(run, "frame int, content binary")
+
+
+def decode_flow(files: DataFrame) -> DataFrame:
+    """frame, i, j, u, v, valid of every cell from encode_flow's binaries (frame, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for frame, raw in zip(b.column("frame").to_pylist(), b.column("content").to_pylist(), strict=True):
+                n0, n1, _, _ = struct.unpack_from("<2i2f", raw)
+                planes = np.frombuffer(raw, "<i4", 3 * n0 * n1, 16).reshape(3, -1)
+                i, j = (x.ravel().astype(np.int32) for x in np.indices((n0, n1)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n0 * n1, frame, dtype=np.int32), i, j, *planes)], ["frame", "i", "j", "u", "v", "valid"])
+
+    ship(files.sparkSession)
+    return files.select("frame", "content").mapInArrow(run, "frame int, i int, j int, u int, v int, valid int")

@@ -86,3 +86,13 @@ def test_pose_stream_equals_batch(spark, data, tmp_path):
     got = {(r["key"], r["seq"]): r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r["key"], r["seq"]): r["x"] for r in filter_poses(seen).collect()}
     assert got == pytest.approx(want)
+
+
+def test_flow_files_and_images(spark, tmp_path):
+    flow = spark.createDataFrame([(0, 1, 2, 3, -1, 1), (0, 4, 0, 0, 0, 0), (5, 0, 0, -2, 2, 1)], "frame int, i int, j int, u int, v int, valid int")
+    back = scans.decode_flow(scans.encode_flow(flow, (5, 3), 0.3, 0.1))
+    assert back.count() == 30
+    assert sorted(tuple(r) for r in back.where("valid = 1").collect()) == sorted(tuple(r) for r in flow.where("valid = 1").collect())
+    for f in (0, 1, 3):
+        (tmp_path / f"{f:010d}.png").write_bytes(bytes([f, 1]))
+    assert sorted(r["frame"] for r in scans.read_images(spark, str(tmp_path)).collect()) == [0, 1]
