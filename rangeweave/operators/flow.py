@@ -76,8 +76,9 @@ def propose(win: DataFrame, spec: GridSpec, last: DataFrame | None = None, weigh
         owners = held.select("frame", (F.col("i") + F.col("u")).alias("i2"), (F.col("j") + F.col("v")).alias("j2"), F.col("i").alias("oi"), F.col("j").alias("oj"), F.col("score").alias("os"))
         c = c.withColumn("score", F.col("score") - weight * pull).join(owners, ["frame", "i2", "j2"], "left")
         c = c.where("os IS NULL OR score > os OR (oi = i AND oj = j)")
-    best = Window.partitionBy("frame", "i", "j").orderBy(F.desc("score"), "du", "dv")
-    best = c.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("frame", "i", "j", "du", "dv", "score")
+    # The best by score, then least du, then least dv: an aggregate with map-side combining, not a sort.
+    best = c.groupBy("frame", "i", "j").agg(F.max(F.struct("score", (-F.col("du")).alias("du"), (-F.col("dv")).alias("dv"))).alias("b"))
+    best = best.select("frame", "i", "j", (-F.col("b.du")).alias("du"), (-F.col("b.dv")).alias("dv"), "b.score")
     every = win.select("frame", "i", "j").distinct().join(best, ["frame", "i", "j"], "left")
     return every.select("frame", "i", "j", F.coalesce("du", F.lit(0)).alias("u"), F.coalesce("dv", F.lit(0)).alias("v"), F.when(F.col("score").isNull(), 0).otherwise(1).alias("valid"), "score")
 
