@@ -83,6 +83,19 @@ class Motion:
         z[2] = wrapped(z[2])
         return self._update(np.eye(5), np.diag(np.square(OBSERVE_POSE)), z)
 
+    def seen_from(self, x: float, y: float, h: float, delta: float = 1e-3) -> Motion:
+        """The same motion in the frame of another planar pose; the covariance by a numeric Jacobian."""
+        c, s = math.cos(h), math.sin(h)
+
+        def move(mu: np.ndarray) -> np.ndarray:
+            dx, dy = mu[0] + self.x0 - x, mu[1] + self.y0 - y
+            return np.array([c * dx + s * dy, c * dy - s * dx, mu[2] - h, mu[3], mu[4]])
+
+        base = move(self.mu)
+        j = np.stack([(move(self.mu + delta * e) - base) / delta for e in np.eye(5)], axis=1)
+        base[2] = wrapped(base[2])
+        return Motion(base, None, age=self.age, sigma=j @ self.sigma @ j.T)
+
     @property
     def place(self) -> tuple[float, float, float]:
         return self.mu[0] + self.x0, self.mu[1] + self.y0, self.mu[2]

@@ -82,3 +82,15 @@ def test_scan_match_recovers_a_motion(spark):
     seeds = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "frame int, x double, y double, h double")
     (r,) = match_scans(points, seeds, 6, 2.0).collect()
     assert (r["x"], r["y"], r["h"]) == pytest.approx((0.3, -0.2, 0.02), abs=1e-6)
+
+
+def test_motion_seen_from_another_pose():
+    import numpy as np
+
+    from rangeweave.operators.filters import Motion
+
+    m = Motion.at_pose(3.0, 4.0, 0.5, 2.0, 0.1)
+    m.predict()
+    same, turned = m.seen_from(0.0, 0.0, 0.0), m.seen_from(1.0, 2.0, 0.5)
+    assert same.place == pytest.approx(m.place) and np.allclose(same.sigma, m.sigma, atol=1e-9)
+    assert turned.place[2] == pytest.approx(m.place[2] - 0.5) and np.trace(turned.sigma) == pytest.approx(np.trace(m.sigma))
