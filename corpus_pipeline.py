@@ -10,16 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeweave.llm import bpe, decontaminate, quality, secrets, simhash
-from rangeweave.llm.common import crc_mod, staged, table
+from rangeweave.llm.common import crc_mod, staged, table, with_hash
 
-#: Ids that may be named in a broadcast (8 bytes each); more ids are joined by a shuffle.
+#: Documents that may be named in a broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows that share a doc_id are told apart by the hash of their text.
+DOCUMENT = ["doc_id", "_th"]
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in ids. Null ids stay."""
-    ids = ids.distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+def _meeting(docs: DataFrame, documents: DataFrame, how: str) -> DataFrame:
+    """docs with _th, joined by document ("left_anti" or "left_semi"); a null id is an id like others."""
+    found = documents.select(*DOCUMENT).distinct().toDF("_d", "_h")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    return with_hash(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), how)
+
+
+def without(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """docs but those whose doc_id and text are in documents (doc_id, _th)."""
+    return _meeting(docs, documents, "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +36,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate component stays, once; rows without an id stay."""
-    found = staged(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
-    out = without(docs, found.where("doc_id <> component_id").select("doc_id"))
-    often = staged(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    """One row of each near-duplicate component stays: of the smallest doc_id (null last), then the least text hash."""
+    found = staged(simhash.keepers(docs), "keepers")
+    out = without(docs, found.where("NOT kept"))
+    often = staged(found.where("kept AND n > 1"), "repeated")
     if often.isEmpty():
         return out
-    return without(out, often).unionByName(out.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    once = _meeting(out, often, "left_semi").dropDuplicates(DOCUMENT).select(*docs.columns)
+    return without(out, often).unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, staged(found.where("contaminated").select("doc_id"), "contaminated"))
+    """Contaminated documents go, with an id or without."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), hashed=True)
+    return without(docs, staged(found.where("contaminated").select(*DOCUMENT), "contaminated"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,11 @@ def text_of(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def with_hash(df: DataFrame) -> DataFrame:
+    """df with _th, the hash of its text (null: empty): with doc_id it is the key of a document."""
+    return df.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def crc_mod(n: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

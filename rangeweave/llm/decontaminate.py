@@ -137,9 +137,11 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFra
     return staged(_union(found), "postings").where(near).select("doc_id", "_th", "phrase", "position").distinct().drop("_th")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, hashed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (array of item ids as strings, sorted), contaminated.
 
+    hashed: _th, the hash of the text, after doc_id.
+
     One row per input row. No text or no words: all zero, not contaminated. Items without words never
     occur; rows of one item_id belong to one item; a null item_id counts as the item "". No items:
     nothing is contaminated. A document word is hit once, however many windows cover it.
@@ -151,6 +153,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     matches = seen.where("phrase IS NOT NULL").distinct()
 
     key = ["doc_id", "_th"]
+    named_by = key if hashed else ["doc_id"]
     before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy(*key).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
     spans = matches.select(*key, "start", "size").distinct().withColumn("_n", fresh).groupBy(*key).agg(F.sum("_n").alias("n_hit"))
@@ -160,9 +163,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     d = seen.where("phrase IS NULL").select(*key, F.col("start").cast("long").alias("n_words"))
     s = spans.join(named, (spans["doc_id"].eqNullSafe(named["doc_id"])) & (spans["_th"] == named["_th"])).select(spans["doc_id"].alias("_d"), spans["_th"].alias("_h"), "n_hit", "items")
     out = d.join(s, d["doc_id"].eqNullSafe(s["_d"]) & (d["_th"] == s["_h"]), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        *named_by, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        *named_by, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_of
+from .common import small_batches, staged, text_of, with_hash
 from .graph import components
 
 SHINGLE = 3
@@ -44,16 +44,19 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (bigint, the 64 bits), one row per input row."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (bigint, the 64 bits), one row per input row; hashed: _th, the hash of the text, before fp."""
+    keys = ["doc_id", "_th"] if hashed else ["doc_id"]
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{', _th bigint' if hashed else ''}, fp bigint"
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, size) for t in b.column("text").to_pylist()), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fp.view(np.int64))], [*keys, "fp"])
 
-    return text_of(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    texts = text_of(docs)
+    return (with_hash(texts) if hashed else texts).mapInArrow(run, kinds)
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +119,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return alone.unionByName(pairs).mapInArrow(run, "a bigint, b bigint")
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (distinct fp, first) with root, the same for all fingerprints of a component and no others."""
+    found = components(links(nodes.select("fp"), radius))
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return staged(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links.
 
@@ -124,9 +134,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     """
     fps = staged(fingerprints(docs, size), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = staged(rooted, "rooted")
+    rooted = _rooted(nodes, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = staged(rooted.join(least, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keepers(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, _th, n, kept: one row per document (doc_id and hash of the text), n its rows in docs.
+
+    kept holds for one document of each component: the smallest doc_id, null last, then the least hash.
+    A component_id would not do here: unrelated components share it where rows share an id, or have none.
+    """
+    fps = staged(fingerprints(docs, size, hashed=True), "fingerprints")
+    document = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_th")
+    rooted = _rooted(staged(fps.groupBy("fp").agg(F.min(document).alias("first")), "distinct"), radius)
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    named = staged(rooted.join(least, "root").select("fp", "least"), "named")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("_th") == F.col("least._th"))
+    return fps.groupBy("doc_id", "_th", "fp").agg(F.count("*").alias("n")).join(named, "fp").select("doc_id", "_th", "n", kept.alias("kept"))

@@ -1,6 +1,7 @@
 """Every stage of the pipeline, and its whole, against brute force."""
 
 import hashlib
+from collections import Counter
 
 import corpus_pipeline as cp
 import numpy as np
@@ -8,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from rangeweave.llm import bpe, quality
+from rangeweave.llm import bpe, quality, simhash
 from rangeweave.llm.common import crc_mod
 from tests.llm import brute
 
@@ -65,3 +66,46 @@ def test_repeated_and_null_rows(spark, data, docs):
     assert cp.decontamination_stage(spark, docs, data).columns == docs.columns
     assert cp.secrets_stage(spark, docs, data).count() == docs.count()
     assert cp.bpe_stage(spark, docs.limit(0), data).count() == 0
+
+
+def _told_apart(spark, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+
+
+def _rows(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_near_duplicates_go_by_row(spark, data):
+    a, b, c, d, e, f = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcdef")
+    texts = [(7, a), (7, b), (3, b), (8, c), (8, d), (8, d), (9, d), (None, a), (None, e), (None, e), (None, f), (10, a)]
+    want = Counter([(7, a), (3, b), (8, c), (8, d), (None, e), (None, f)])
+    assert _rows(cp.near_duplicate_stage(spark, _told_apart(spark, texts), data)) == want
+    hot = [(1, " ".join(f"{name}x{k}" for k in range(30))) for name in range(50)]
+    assert _rows(cp.near_duplicate_stage(spark, _told_apart(spark, hot), data)) == Counter(hot)
+
+
+def test_near_duplicates_against_brute_force(spark, data, docs, rows):
+    fps = {t or "": simhash.fingerprint(t or "") for _, t in rows}
+    groups = []
+    for fp in set(fps.values()):
+        near = [g for g in groups if any((fp ^ x).bit_count() <= simhash.RADIUS for x in g)]
+        groups = [g for g in groups if g not in near] + [{fp}.union(*near)]
+    got = cp.near_duplicate_stage(spark, docs, data).collect()
+    kept = {}
+    for r in got:
+        (g,) = (k for k, x in enumerate(groups) if fps[r["text"] or ""] in x)
+        assert g not in kept
+        kept[g] = r["doc_id"]
+    for k, g in enumerate(groups):
+        ids = [i for i, t in rows if fps[t or ""] in g and i is not None]
+        assert kept[k] == min(ids, default=None)
+
+
+def test_contaminated_rows_go_by_row(spark, tmp_path):
+    leak, clean = " ".join(f"t{k}" for k in range(20)), " ".join(f"c{k}" for k in range(20))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, leak), (1, clean), (None, leak), (None, clean), (None, None), (2, leak), (2, leak), (3, clean)]
+    got = cp.decontamination_stage(spark, _told_apart(spark, texts), str(tmp_path))
+    assert _rows(got) == Counter([(1, clean), (None, clean), (None, None), (3, clean)])
