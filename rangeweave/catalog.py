@@ -244,8 +244,7 @@ def zbuffer(spark, d):
 
 
 def depth_fill(spark, d):
-    small = [c / (8 if a < 8 else 1) for a, c in enumerate(fx.CAMERA)]
-    return depth.fill(depth.zbuffer(_points(spark, d), small, 155, 47), 155, 47)
+    return depth.fill(depth.zbuffer(_points(spark, d), fx.CAMERA, 1242, 375), 1242, 375)
 
 
 def scan_match(spark, d):

@@ -68,6 +68,15 @@ def test_depth_fill_keeps_measured(spark):
     assert full[1, 1] == 5.0 and full[4, 4] == 9.0 and (full > 0).all()
 
 
+def test_depth_fill_is_of_the_whole_image(spark, data):
+    measured = catalog.zbuffer(spark, data).withColumnRenamed("depth", "measured")
+    full = catalog.depth_fill(spark, data).cache()
+    met = measured.join(full, ["frame", "w", "h"], "left")
+    assert met.where("depth IS NULL OR abs(depth - measured) > 1e-5").count() == 0
+    assert full.count() > 2 * measured.count()
+    assert full.where("w > 620").count() and full.where("h > 187").count()
+
+
 def test_scan_match_recovers_a_motion(spark):
     import numpy as np
 
