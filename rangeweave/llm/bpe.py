@@ -20,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_of
+from .common import MEMO_BYTES, small_batches, text_of
 
 #: Vocabularies beyond this are refused: what is broadcast has a proven bound.
 MAX_RANKS = 1_000_000
@@ -46,7 +46,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         self.n = n = len(keys)
-        self.m = m = max(1, n // 2)
+        self.m = m = max(1, n // 2)  # of no key there is no index to ask for
         self.slots: list[int] = [0] * n
         self.shift: list[int] = [0] * m
         for self.seed in range(100):
@@ -111,8 +111,8 @@ class Coder:
 
     def rank(self, piece: bytes) -> int:
         """The id of a vocabulary entry, -1 for other bytes."""
-        i = self.hash.index(piece)
-        return self.ids[i] if self.tokens[i] == piece else -1
+        i = self.hash.index(piece) if self.tokens else 0
+        return self.ids[i] if self.tokens and self.tokens[i] == piece else -1
 
     def merge(self, piece: bytes) -> list[int]:
         n, rank = len(piece), self.ranks.get
@@ -143,13 +143,18 @@ class Coder:
         """Ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
         pieces = self.split(text)
+        if len(memo) > MEMO:
+            memo.clear()
+        long: list[str] = []
         for p in set(pieces).difference(memo):
             raw = p.encode()
             i = self.rank(raw)
             memo[p] = np.array([i] if i >= 0 else self.merge(raw), dtype="<u4").tobytes()
+            if len(raw) > MEMO_BYTES:
+                long.append(p)
         out = b"".join(map(memo.__getitem__, pieces))
-        if len(memo) > MEMO:
-            memo.clear()
+        for p in long:
+            del memo[p]
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -159,7 +164,8 @@ class Coder:
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, ids (binary: little-endian uint32) and decoded (binary), one row per input row.
 
-    Null and empty texts: empty ids and bytes. Texts are whole, whatever their length; special
+    Null and empty texts: empty ids and bytes. A vocabulary must have the single bytes that texts are
+    made of; without any entry only empty texts can be encoded (KeyError for others). Texts are whole, whatever their length; special
     tokens in a text are ordinary characters.
     """
     spark = docs.sparkSession

@@ -22,15 +22,23 @@ from rangeweave.session import ship
 
 _own_dirs: dict[str, str] = {}
 
-#: Rows in an Arrow batch handed to Python; bounds a worker's memory where texts are long.
-ARROW_ROWS = 400
+#: Rows and bytes of an Arrow batch handed to Python; they bound a worker's memory where texts are long.
+ARROW_ROWS, ARROW_BYTES = 400, 32 << 20
+#: Words (or pieces) of more bytes than this are not remembered by the workers' memos, so that a
+#: memo's bound on entries bounds its bytes as well.
+MEMO_BYTES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster there is none to choose.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="rangeweave-")
@@ -45,10 +53,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Before Python runs on executors: the size of its batches, and this package for its workers."""
+def small_batches(spark: SparkSession) -> None:
+    """Before Python runs on executors: the size of its batches, and this package for its workers.
+
+    The size is a setting of the session, read when a job starts, so all operators use the same one.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def within(rows: DataFrame, small: DataFrame, on, how: str = "inner", bound: int = 1_000_000) -> DataFrame:
+    """rows joined with small, which is broadcast only if it has at most `bound` rows."""
+    return rows.join(F.broadcast(small) if small.count() <= bound else small, on, how)
+
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, n: str, hot: int = 100_000) -> DataFrame:
+    """rows joined with named, which has one row per key; n: its column with the number of rows of the key.
+
+    Keys of more than `hot` rows (one in `hot` rows at most, so few) meet theirs in a broadcast: no
+    task gets all rows of such a key. All others are joined by the key.
+    """
+    most = named.where(F.col(n) > hot)
+    rest = rows.join(F.broadcast(most.select(key)), key, "left_anti").join(named.where(F.col(n) <= hot), key)
+    return rows.join(F.broadcast(most), key).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
