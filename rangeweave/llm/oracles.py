@@ -33,17 +33,26 @@ OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CLEAN} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_CLEAN} AS w FROM benchmark),
 wins AS (
-  SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS p
+  SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS p, x
   FROM (SELECT item, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda k: w[k:k + 12])) AS x FROM i WHERE len(w) > 0)),
 runs AS (
   SELECT rid, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: {{'s': k, 'p': array_to_string(w[k:k + n - 1], ' ')}})) AS x
   FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n),
 hits AS (SELECT r.rid, r.x.s AS s, r.n, v.item FROM runs r JOIN wins v ON v.n = r.n AND v.p = r.x.p),
 places AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(s, s + n)) AS at FROM hits) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid),
+tok AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+terms AS (SELECT p, unnest(x) AS term, unnest(range(len(x))) AS place FROM (SELECT DISTINCT p, x FROM wins)),
+rk AS (SELECT p, term, row_number() OVER (PARTITION BY p ORDER BY n, place) AS r, count(n) OVER (PARTITION BY p) AS there, count(*) OVER (PARTITION BY p) AS size FROM terms LEFT JOIN cnt ON word = term),
+lead AS (SELECT p, max(term) FILTER (r = 1) AS t1, max(term) FILTER (r = 2) AS t2, max(term) FILTER (r = 3) AS t3 FROM rk WHERE there = size GROUP BY p),
+one AS (SELECT DISTINCT p, t2, t3, rid, pos FROM lead JOIN tok ON word = t1),
+two AS (SELECT DISTINCT o.* FROM one o JOIN tok b ON b.rid = o.rid AND b.word = o.t2 AND abs(b.pos - o.pos) <= 26 UNION SELECT * FROM one WHERE t2 IS NULL),
+three AS (SELECT DISTINCT o.rid, o.p FROM two o JOIN tok b ON b.rid = o.rid AND b.word = o.t3 AND abs(b.pos - o.pos) <= 26 UNION SELECT rid, p FROM two WHERE t3 IS NULL),
+near AS (SELECT rid, count(DISTINCT item) AS n_near FROM three JOIN wins USING (p) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)
 """
 
 _quoted = lambda p: "'" + p.replace("'", "''") + "'"
