@@ -1,12 +1,12 @@
 """SimHash near-duplicates: fingerprints within a Hamming radius, compared exactly tile by tile.
 
 Copies collapse first: only distinct fingerprints are compared. Two fingerprints that differ in at
-most ``RADIUS`` bits agree on one of RADIUS + 1 bit blocks, so distinct fingerprints are dealt by
-(block, block value); what shares a value forms a tile, and a value with more than ``TILE``
-fingerprints is dealt on by population count and a hash, its tile pairs joined only where the counts
-differ by no more than the radius. Inside a task numpy xors the tiles, counts bits and, again, skips
-runs whose population counts are too far apart. A task returns a spanning forest of the links it
-found, never all pairs; components of the forest are a Spark job.
+most ``RADIUS`` bits agree on one of RADIUS + 1 bit blocks, so each meets only those with which it
+shares a block's value. What shares a value is dealt into tiles by population count (and a hash where
+there are more than ``TILE``), whatever their number, and tile pairs are joined only where the counts
+differ by no more than the radius. A task xors two tiles with numpy, counts bits and, within a tile
+pair, again skips runs whose population counts are too far apart. It returns a spanning forest of the
+links it found, never all pairs; components of the forest are a Spark job.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_of, with_hash
+from .common import join_hot, small_batches, staged, text_of, with_hash
 from .graph import components
 
 SHINGLE = 3
@@ -92,18 +92,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     block = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)).alias("value")) for i in range(n)]
     keyed = nodes.select("fp", F.explode(F.array(*block)).alias("k")).select("fp", "k.*")
     counts = staged(keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1"), "tiles")
-    few = F.col("n") <= tile
-    dealt = keyed.join(counts, ["block", "value"]).select(
-        "block", "value", (~few).alias("large"),
-        F.when(few, 0).otherwise(F.bit_count("fp")).alias("pop"),
-        F.when(few, 0).otherwise(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / (4 * tile)))).alias("salt"), "fp",
-    )
-    tiles = staged(dealt.groupBy("block", "value", "large", "pop", "salt").agg(F.collect_list("fp").alias("fps")), "tiles")
+    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / (4 * tile)))
+    dealt = keyed.join(counts, ["block", "value"]).select("block", "value", F.bit_count("fp").alias("pop"), salt.alias("salt"), "fp")
+    tiles = staged(dealt.groupBy("block", "value", "pop", "salt").agg(F.collect_list("fp").alias("fps")), "tiles")
     alone = tiles.select(F.col("fps").alias("x"), F.lit(None).cast("array<bigint>").alias("y")).where(F.size("x") > 1)
-    large = tiles.where("large")
-    x = large.select("block", "value", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("_d"), "pop", F.col("salt").alias("_s"), F.col("fps").alias("x"))
+    x = tiles.select("block", "value", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("_d"), "pop", F.col("salt").alias("_s"), F.col("fps").alias("x"))
     x = x.withColumn("pop", F.col("pop") + F.col("_d"))
-    y = large.select("block", "value", "pop", "salt", F.col("fps").alias("y"))
+    y = tiles.select("block", "value", "pop", "salt", F.col("fps").alias("y"))
     pairs = x.join(y, ["block", "value", "pop"]).where("_d > 0 OR _s < salt").select("x", "y")
     small_batches(nodes.sparkSession)
 
@@ -120,9 +115,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
 
 
 def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes (distinct fp, first) with root, the same for all fingerprints of a component and no others."""
+    """nodes (distinct fp, first, n) with root, the same for all fingerprints of a component and no others."""
     found = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     return staged(rooted, "rooted")
 
 
@@ -133,11 +128,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     Null ids never are the smallest; a component of null ids alone has a null component_id.
     """
     fps = staged(fingerprints(docs, size), "fingerprints")
-    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     rooted = _rooted(nodes, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staged(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = staged(rooted.join(least, "root").select("fp", "component_id", "n"), "named")
+    return join_hot(fps, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keepers(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -148,8 +143,8 @@ def keepers(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataF
     """
     fps = staged(fingerprints(docs, size, hashed=True), "fingerprints")
     document = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_th")
-    rooted = _rooted(staged(fps.groupBy("fp").agg(F.min(document).alias("first")), "distinct"), radius)
+    rooted = _rooted(staged(fps.groupBy("fp").agg(F.min(document).alias("first"), F.count("*").alias("n")), "distinct"), radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    named = staged(rooted.join(least, "root").select("fp", "least"), "named")
+    named = staged(rooted.join(least, "root").select("fp", "least", F.col("n").alias("_n")), "named")
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("_th") == F.col("least._th"))
-    return fps.groupBy("doc_id", "_th", "fp").agg(F.count("*").alias("n")).join(named, "fp").select("doc_id", "_th", "n", kept.alias("kept"))
+    return join_hot(fps.groupBy("doc_id", "_th", "fp").agg(F.count("*").alias("n")), named, "fp", "_n").select("doc_id", "_th", "n", kept.alias("kept"))
