@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import join_hot, staged, text_of
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -58,11 +58,11 @@ def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repositories, n_owners of every candidate value. A null owner or repository is one of its own."""
+    """hash, n_repositories, n_owners, n (candidates) of every candidate value. A null owner or repository is one of its own."""
     each = found.select(F.sha2("value", 256).alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
-    pairs = each.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("_"))
-    per_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    pairs = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("c"))
+    per_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("r"), F.sum("c").alias("c"))
+    return per_owner.groupBy("hash").agg(F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("c").alias("n"))
 
 
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
@@ -81,7 +81,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     free = base | ((F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end")))
     clear = found.withColumn("_free", free).where("_free").withColumn("hash", F.sha2("value", 256))
     specific = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
-    known = clear.join(seen, "hash").withColumn("specific", specific).where(base | F.col("specific"))
+    known = join_hot(clear, seen, "hash", "n").withColumn("specific", specific).where(base | F.col("specific"))
     span = F.struct("start", "kind", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("name"), "n_repositories", "n_owners", "specific")
     return known.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
