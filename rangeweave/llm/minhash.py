@@ -16,15 +16,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import staged, text_of, within
 
 SHINGLE = 5
 #: Bins of a fingerprint (a power of two) and bits kept of each bin's minimum.
 BINS, BITS = 256, 4
 #: Probes of the first densification pass; the second covers whatever order is left.
 PROBES = 8
-#: Documents of one ordered run, in following().
-RUN = 8_000
+#: Documents of one ordered run, in following(), about; and the most runs, since their first keys (under
+#: 50 bytes each) go to every executor. More documents make longer runs.
+RUN, RUNS = 2_000, 1_000_000
 _SHIFT = 64 - BINS.bit_length() + 1
 _LOW = (1 << _SHIFT) - 1
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -87,42 +88,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "bins", packed("bins").alias("fingerprint"))
 
 
-def _run(docs: DataFrame) -> Column:
-    """The run, by ascending doc_id, that a row of docs belongs to. Null ids are in the first.
+def _firsts(docs: DataFrame) -> DataFrame:
+    """One row, keys: the first key (doc_id, _th) of every run, ascending.
 
-    Runs are cut at quantiles of the ids, so they are even whatever the ids look like; the search
-    among the cuts goes in two steps. The cuts are found once and are literals from then on.
+    Runs are ranges of the keys, so they are about even whatever the ids look like, of any type that
+    has an order, and rows that share an id (or have none) are dealt by their text.
     """
-    parts = -(-docs.count() // RUN)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    if not cuts:
-        return F.lit(0)
-    cuts = sorted(set(cuts))
-    step = max(1, round(len(cuts) ** 0.5))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    coarse, fine = _longs(cuts[::step], kind), _longs(cuts, kind)
-    c = F.size(F.filter(coarse, lambda x: x <= F.col("doc_id")))
-    inside = F.slice(fine, (c - 1) * step + 1, F.lit(step))
-    fit = (c - 1) * step + F.size(F.filter(inside, lambda x: x <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull() | (c == 0), 0).otherwise(fit)
+    keys = docs.select("doc_id", "_th")
+    n = docs.count()
+    parts = max(1, -(-n // max(RUN, -(-n // RUNS))))
+    first = keys.repartitionByRange(parts, "doc_id", "_th").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "_th")).alias("k"))
+    return staged(first.select("k"), "runs").agg(F.sort_array(F.collect_list("k")).alias("keys"))
+
+
+def _run(keys: Column, n: int) -> Column:
+    """The run of a row with doc_id and _th: the last of the n keys that is not after it. Found in two steps."""
+    step = max(1, round(n**0.5))
+    mine = F.struct("doc_id", "_th")
+    coarse = F.filter(keys, lambda x, i: i % step == 0)
+    c = F.size(F.filter(coarse, lambda x: x <= mine))
+    return (c - 1) * step + F.size(F.filter(F.slice(keys, (c - 1) * step + 1, F.lit(step)), lambda x: x <= mine)) - 1
 
 
 def following(docs: DataFrame) -> tuple[DataFrame, object, Column]:
     """docs (doc_id, text) in ordered runs, the window in which a row is followed by its next
     document, and the condition for a row to be one of docs.
 
-    Each run ends with a copy of the first rows of the next run (after the last run: of the first),
+    Each run ends with a copy of the first row of the next run (after the last run: of the first),
     so that every document's next one is in its own run; text is shuffled once.
     """
-    docs = text_of(docs)
-    run = _run(docs.select("doc_id"))
-    d = docs.withColumn("_b", run).withColumn("_th", F.xxhash64("text"))
-    first = docs.select("doc_id", run.alias("_b")).groupBy("_b").agg(F.min(F.struct("doc_id")).alias("f"))
-    w = Window.orderBy("_b")  # of the runs: a row for each RUN documents
-    first = first.select(F.col("f.doc_id").alias("_f"), F.coalesce(F.lag("_b").over(w), F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
-    if first.count() <= 100_000:  # under 4 MB
-        first = F.broadcast(first)
-    edge = d.join(first, d["doc_id"].eqNullSafe(first["_f"])).select("doc_id", "text", F.col("_to").alias("_b"), "_th", F.lit(True).alias("_edge"))
+    d = text_of(docs).withColumn("_th", F.xxhash64("text"))
+    one = _firsts(d)
+    n = one.select(F.size("keys")).first()[0]
+    d = d.withColumn("_keys", one.scalar()).withColumn("_b", _run(F.col("_keys"), n) if n else F.lit(0)).drop("_keys")
+    first = one.select(F.posexplode("keys").alias("_k", "_f")).select(F.col("_f.doc_id").alias("_f"), F.col("_f._th").alias("_h"), F.when(F.col("_k") == 0, n - 1).otherwise(F.col("_k") - 1).alias("_to"))
+    edge = within(d, first, F.col("doc_id").eqNullSafe(F.col("_f")) & (F.col("_th") == F.col("_h"))).select("doc_id", "text", F.col("_to").alias("_b"), "_th", F.lit(True).alias("_edge"))
     rows = d.select("doc_id", "text", "_b", "_th", F.lit(False).alias("_edge")).unionByName(edge)
     return rows, Window.partitionBy("_b").orderBy("_edge", "doc_id", "_th"), ~F.col("_edge")
 
@@ -133,7 +133,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     A document's edited text has its last floor(n/2) code points replaced by the first as many (or
     all) of the next document by ascending doc_id; the last is followed by the first, and a single
     document by itself. Rows with one doc_id follow each other by their texts' hash; null ids come
-    first.
+    first. Ids may be of any type that has an order.
     """
     rows, w, real = following(docs)
     n = F.length("text")
