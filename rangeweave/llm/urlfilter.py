@@ -2,9 +2,11 @@
 
 Every rule's host + path is hashed with 64-bit xxhash. The sorted keys, the offsets and the full
 strings go to one file that ``SparkContext.addFile`` brings to each executor once; its workers
-memory-map it and share its pages. A page's candidate strings (each host suffix with each path
-prefix as long as some rule's path) are probed together by a binary search over the array; a hit
-counts when the stored string is the probed one, so digest collisions cannot decide.
+memory-map it and share its pages. A page's candidate strings (host suffixes of as many labels as some
+rule's host has, path prefixes as long as some rule's path) are probed together by a binary search
+over the array, so a page's work follows its length times the rules' kinds, however many labels its
+host has. A hit counts when the stored string is the probed one, so digest collisions cannot decide.
+Rules are a parameter, of at most ``MAX_RULES``; the driver sorts them.
 """
 
 from __future__ import annotations
@@ -33,26 +35,31 @@ RULES = (
 )
 #: The verdict of a page that no rule fits.
 DEFAULT = "allow"
-_HEAD = 4  # of the file: int64 rules, hosts' lengths, path lengths, bytes of strings
+_HEAD = 4  # of the file: int64 rules, hosts' label counts, path lengths, bytes of strings
+MAX_RULES = 10_000_000
 
 
 def write_digests(rules: Iterable[tuple[str, str, str]], path: str) -> None:
-    """The file: keys sorted, then per key host length, verdict, string's end; path lengths; strings.
+    """The file: keys sorted, then per key host length, verdict, string's end; path lengths; hosts' label counts; strings.
 
     A rule given twice keeps its last verdict. Rules may come from any iterator; only distinct
     strings are kept.
     """
     last = {(h + p): (v, len(h.encode())) for v, h, p in rules}
+    if len(last) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     raw = [(xxhash.xxh64_intdigest(s), s.encode(), v, n) for s, (v, n) in last.items()]
     raw.sort()
     lengths = sorted({len(s.decode()) - len(s[:n].decode()) for _, s, _, n in raw})
+    labels = sorted({s[:n].decode().count(".") + 1 for _, s, _, n in raw})
     with open(path, "wb") as f:
-        np.array([len(raw), 0, len(lengths), sum(len(s) for _, s, _, _ in raw)], dtype="<i8").tofile(f)
+        np.array([len(raw), len(labels), len(lengths), sum(len(s) for _, s, _, _ in raw)], dtype="<i8").tofile(f)
         np.array([k for k, *_ in raw], dtype="<u8").tofile(f)
         np.array([n for *_, n in raw], dtype="<i8").tofile(f)
         np.array([v == "allow" for _, _, v, _ in raw], dtype="<i8").tofile(f)
         np.array(np.cumsum([len(s) for _, s, _, _ in raw]), dtype="<i8").tofile(f)
         np.array(lengths, dtype="<i8").tofile(f)
+        np.array(labels, dtype="<i8").tofile(f)
         f.write(b"".join(s for _, s, _, _ in raw))
 
 
@@ -61,12 +68,18 @@ class Digests:
 
     def __init__(self, path: str):
         m = np.memmap(path, dtype="u1", mode="r")
-        n, _, p, _ = m[: 8 * _HEAD].view("<i8")
-        parts = np.split(m[8 * _HEAD : 8 * (_HEAD + 4 * n + p)], 8 * n * np.arange(1, 5))
+        n, k, p, _ = m[: 8 * _HEAD].view("<i8")
+        parts = np.split(m[8 * _HEAD : 8 * (_HEAD + 4 * n + p + k)], 8 * np.array([n, 2 * n, 3 * n, 4 * n, 4 * n + p]))
         self.keys = parts[0].view("<u8")
-        self.host, self.allow, self.end, self.lengths = (x.view("<i8") for x in parts[1:])
-        self.strings = m[8 * (_HEAD + 4 * n + p) :]
-        self.lengths = self.lengths.tolist()
+        self.host, self.allow, self.end, self.lengths, self.labels = (x.view("<i8") for x in parts[1:])
+        self.strings = m[8 * (_HEAD + 4 * n + p + k) :]
+        self.lengths, self.labels = self.lengths.tolist(), self.labels.tolist()
+
+    def suffixes(self, host: str) -> list[str]:
+        """Those of host that have as many labels as some rule's host."""
+        parts = host.rsplit(".", self.labels[-1]) if self.labels else []
+        whole = len(parts) <= (self.labels[-1] if self.labels else 0)  # else parts[0] is what is left of the host
+        return [".".join(parts[-n:]) for n in self.labels if n <= len(parts) - (not whole)]
 
     def find(self, probes: list[str], hosts: list[int]) -> np.ndarray:
         """The rule of each probe whose string and host length are those stored, else -1."""
@@ -93,7 +106,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
     rules that fit, the longest host + path wins, then the longer host. No rules: all default.
     """
     spark = pages.sparkSession
-    small_batches(spark, 10_000)
+    small_batches(spark)
     name = f"digests-{uuid.uuid4().hex}.bin"
     write_digests(rules, at := os.path.join(tempfile.mkdtemp(), name))
     spark.sparkContext.addFile(at)
@@ -107,9 +120,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
         for b in batches:
             probes, owner, lengths = [], [], []
             for i, (h, p) in enumerate(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)):
-                labels = h.split(".")
-                for k in range(len(labels)):
-                    tail = ".".join(labels[k:])
+                for tail in digests.suffixes(h):
                     for n in digests.lengths:
                         if n <= len(p):
                             probes.append(tail + p[:n])
