@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_of
+from .common import MEMO_BYTES, small_batches, staged, text_of
 from .fmindex import FMIndex
 
 WINDOW = 50
@@ -58,9 +59,15 @@ class Words:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
+        long = []
         for w in set(words).difference(memo):
             memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+            if len(w) > MEMO_BYTES:
+                long.append(w)
+        codes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+        for w in long:
+            del memo[w]
+        return codes
 
 
 def contexts(codes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +163,8 @@ def _context_words(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
 def search_shard(shard: pa.Table, window: int) -> pa.Table:
     """h, c1, c2, lo, hi: runs of a context's windows that also are in a context of a smaller document."""
     codes = [np.frombuffer(x, dtype=np.uint64) for x in shard.column("codes").to_pylist()]
-    m = shard.column("m").to_numpy()
+    m = shard.column("m").combine_chunks()
+    m = pa.compute.rank(m, tiebreaker="dense").to_numpy().astype(np.int64)  # ids of any type, by their order
     length = np.array([len(c) for c in codes])
     symbols = np.unique(np.concatenate(codes), return_inverse=True)[1] + 1
     place = np.arange(len(symbols)) + np.repeat(np.arange(len(codes)), length)  # a 0 closes each text
@@ -197,10 +205,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     copy: the whole word sequence (of at least `window` words) is that of a document with a smaller id,
     so every word is repeated. Otherwise spans: array of (start, end) in words, end exclusive, that
     repeated windows cover (null: none; spans may overlap). Rows with a null doc_id neither repeat nor
-    are repeated, equal ids are not smaller ones.
+    are repeated, equal ids are not smaller ones. Ids may be of any type that has an order.
     """
     base = staged(scan(docs, window, gram), "scan")
-    firsts = base.groupBy("q1", "q2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = base.where(F.col("n_words") >= window).groupBy("q1", "q2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     seen = base.join(staged(firsts, "firsts"), ["q1", "q2"], "left").withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     seen = staged(seen.select("doc_id", "q1", "q2", "n_words", "whole_sha256", "later", F.when(~F.col("later") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "seen")
 
