@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .common import small_batches, text_of
+from .common import MEMO_BYTES, small_batches, text_of
 from .learn import labelled_sample
 
 BUCKETS = 1 << 18
@@ -32,8 +32,6 @@ ROWS = 4_000
 MEMO = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 18)
-#: The pair of a word with itself, whatever the word: repetition as such.
-_TWICE = 1
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -60,18 +58,19 @@ def keys_of(words: list[bytes]) -> np.ndarray:
 
 
 def pairs(keys: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words, given the words' 64-bit keys."""
-    a, b = keys[:-1], keys[1:]
+    """Buckets of neighbouring words: the hash of a pair is a function of the difference of its words' 64-bit keys.
+
+    So all pairs of a word with itself share a row, whose vector is learned like any other.
+    """
     with np.errstate(over="ignore"):
-        h = (a * _MIX) ^ (b >> np.uint64(7)) ^ (b << np.uint64(13))
-    return np.where(a == b, _TWICE, _bucket(h))
+        return _bucket(keys[1:] - keys[:-1])
 
 
 class Scorer:
     """Scores batches of texts. What a word adds is computed once, for all new words of a batch together."""
 
     def __init__(self, model: Model):
-        self.model, self.slot = model, {}
+        self.model, self.slot, self.held = model, {}, 0
         self.sums, self.counts, self.keys = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.uint64)
 
     def _learn(self, new: list[bytes]) -> None:
@@ -82,6 +81,7 @@ class Scorer:
         for ids, ok in ngrams(new):
             sums = sums + np.add.reduceat(np.where(ok, weights[ids], 0.0), begin)
             counts += np.add.reduceat(ok, begin, dtype=np.float64)
+        self.held += sum(map(len, new))
         self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
         self.sums, self.counts, self.keys = (np.concatenate(p) for p in ((self.sums, sums), (self.counts, counts), (self.keys, keys)))
 
@@ -91,7 +91,7 @@ class Scorer:
         words = [w for s in split for w in s]
         z = np.full(len(texts), self.model.bias)
         if words:
-            if len(self.slot) > MEMO:
+            if len(self.slot) > MEMO or self.held > MEMO * MEMO_BYTES:
                 self.__init__(self.model)
             if new := list(set(words).difference(self.slot)):
                 self._learn(new)

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are its distinct lower-cased words and their stems (first 4 to 6 bytes), neighbouring
-pairs and pairs with one word between, hashed to ``BUCKETS``. FTRL-proximal keeps a rate per coordinate; its L1 term leaves most
+Features of a text are its distinct word n-grams, hashed to ``BUCKETS``: single words in four normal forms
+(lower-cased and bare of punctuation, whole or cut to a stem of 4, 5 or 6 bytes, since insults come
+inflected), pairs of neighbours, and skip-grams with one word between. FTRL-proximal keeps a rate per coordinate; its L1 term leaves most
 weights at zero, so only the few others are broadcast (indices and values, 12 bytes each, BUCKETS at
 most). Training takes a bounded labelled sample (``ROWS`` documents); scoring is one pass without a
 shuffle.
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .common import small_batches, text_of
+from .common import MEMO_BYTES, small_batches, text_of
 from .learn import labelled_sample
 
 BUCKETS = 1 << 20
@@ -48,12 +49,17 @@ class Features:
             memo.clear()
             self.stems.clear()
         distinct = set(words)
+        long = []
         for w in distinct.difference(memo):
+            if len(w) > MEMO_BYTES:
+                long.append(w)
             bare = w.strip(_PUNCT)
             memo[w] = xxhash.xxh3_64_intdigest(bare)
             self.stems[w] = [xxhash.xxh3_64_intdigest(bare[:n], n) for n in STEMS if len(bare) >= n]
         stems = np.fromiter((h for w in distinct for h in self.stems[w]), dtype=np.uint64)
         k = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+        for w in long:
+            del memo[w], self.stems[w]
         with np.errstate(over="ignore"):
             near = (k[:-1] * _MIX) ^ k[1:]
             skip = (k[:-2] * _MIX * _MIX) ^ k[2:]
