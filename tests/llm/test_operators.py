@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeweave.llm import decontaminate, minhash, secrets, simhash, substrings, urlfilter
+from rangeweave.llm import common, decontaminate, minhash, secrets, simhash, substrings, urlfilter
 from rangeweave.llm.fmindex import FMIndex
 from rangeweave.llm.graph import components
 from tests.llm import brute
@@ -31,8 +31,8 @@ def test_decontaminate(docs, items, rows, size):
     assert any(v[1] for v in want.values())
 
 
-def test_decontaminate_in_blocks(docs, items, rows, monkeypatch):
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (400,))
+def test_decontaminate_beyond_a_broadcast(docs, items, rows, monkeypatch):
+    monkeypatch.setattr(common.within, "__defaults__", ("inner", 3))
     want = brute.decontaminate(rows, [tuple(r) for r in items.collect()])
     got = decontaminate.decontaminate(docs, items).select("doc_id", "n_hit")
     assert counted(got) == Counter((d, want[d, t][1]) for d, t in rows)
@@ -45,10 +45,10 @@ def test_decontaminate_empty(docs, nothing, items):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a x x b"), (2, "a " + "x " * 20 + "b"), (3, "b a")], "doc_id bigint, text string")
-    phrases = spark.createDataFrame([(0, ["a", "b"])], "phrase bigint, terms array<string>")
-    got = decontaminate.proximity_matches(docs, decontaminate.ranked(phrases, docs), 5)
-    assert {r["doc_id"] for r in got.collect()} == {1, 3}
+    docs = spark.createDataFrame([(1, "a x x b"), (2, "a " + "x " * 40 + "b"), (3, "b a"), (None, "b b a"), (4, "a b c"), (5, None)], "doc_id bigint, text string")
+    phrases = spark.createDataFrame([(0, ["a", "b"]), (1, ["c"]), (2, ["nowhere", "a"])], "phrase bigint, terms array<string>")
+    got = decontaminate.proximity_matches(docs, decontaminate.ranked(phrases, docs))
+    assert {(r["doc_id"], r["phrase"]) for r in got.collect()} == {(1, 0), (3, 0), (None, 0), (4, 0), (4, 1)}
 
 
 def test_simhash(docs, rows):
@@ -139,6 +139,9 @@ def test_minhash_order(spark, monkeypatch):
     rows = [(int(i), f"t{i} " + "ab " * int(rng.integers(0, 9))) for i in rng.choice(10**12, 40, replace=False)]
     got = {r["doc_id"]: r["edited"] for r in minhash.edit_likeness(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {d: e for d, e, _ in brute.edited(sorted(rows))}
+    named = [(f"k{d:013d}", t) for d, t in rows] + [(None, "first of all"), ("k9", "twice a"), ("k9", "twice b")]
+    got = {(r["doc_id"], r["edited"]) for r in minhash.edit_likeness(spark.createDataFrame(named, "doc_id string, text string")).collect()}
+    assert len(got) == len(named) and got >= {(d, e) for d, e, _ in brute.edited(sorted(named[:40]))[:-1]}
     one = minhash.edit_likeness(spark.createDataFrame(rows[:1], "doc_id bigint, text string")).collect()
     assert one[0]["edited"] == brute.edited(rows[:1])[0][1]
 
@@ -159,6 +162,13 @@ def test_substrings(docs, rows, size, hot, monkeypatch):
     assert sum(v[1] for v in want.values()) > 1000
 
 
+def test_substrings_of_named_documents(spark, rows):
+    some = [(None if d is None else f"d{d:05d}", t) for d, t in rows[:130]]
+    want = brute.substrings(some, 50)
+    got = substrings.summary(spark.createDataFrame(some, "doc_id string, text string"), 50)
+    assert counted(got) == Counter((d, *want[d, t]) for d, t in some)
+
+
 def test_substrings_empty(nothing):
     assert substrings.summary(nothing).count() == 0
 
@@ -192,4 +202,15 @@ def test_urls(spark):
         9: ("example.org", "/es", "org/", "allow"), 10: ("com", "/fr/", "com/fr/", "allow"),
     }
     assert urlfilter.judge(pages.limit(0)).count() == 0
+    odd = [(1, "http://" + "a." * 50_000 + "example.org/es/" + "x" * 50_000), (1, "http://EXAMPLE.org/en/1"), (1, "http://EXAMPLE.org/en/1"), (2, "http://.org/"), (2, "http://org./"), (None, "http://org")]
+    got = Counter((r["page_id"], r["rule"]) for r in urlfilter.judge(spark.createDataFrame(odd, "page_id bigint, url string")).collect())
+    assert got == {(1, "example.org/es/"): 1, (1, "example.org/en/1"): 2, (2, "org/"): 1, (2, None): 1, (None, None): 1}
     assert {r["verdict"] for r in urlfilter.judge(pages, [], "block").collect()} == {"block"}
+
+
+def test_url_digests_that_collide(tmp_path, monkeypatch):
+    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda s: len(s))
+    urlfilter.write_digests([("allow", "aa.org", "/"), ("block", "bb.org", "/"), ("block", "x.cc.org", "/p")], str(tmp_path / "d"))
+    d = urlfilter.Digests(str(tmp_path / "d"))
+    assert [d.text(i) if i >= 0 else None for i in d.find(["aa.org/", "bb.org/", "cc.org/"], [6, 6, 6])] == ["aa.org/", "bb.org/", None]
+    assert d.suffixes("www.x.cc.org") == ["cc.org", "x.cc.org"] and d.suffixes("cc.org") == ["cc.org"] and d.suffixes("org") == []
