@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from rangeweave.functions import colour
 from rangeweave.functions.geometry import in_view
-from rangeweave.operators import background, depth, evaluate, filters, flow, matching, occupancy, patches, poses, projection, tracks
+from rangeweave.operators import background, depth, evaluate, filters, flow, matcher, matching, occupancy, patches, poses, projection, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
 
 SPEC = fx.SPEC
-#: Displacements searched by the registered flow queries, and rounds of the solver.
+#: Displacements searched, and rounds, by the flow queries that SQL repeats; the _full ones take the operators' own.
 SEARCH, ROUNDS = 3, 3
 
 
@@ -122,11 +122,25 @@ def flow_mstep(spark, d):
 
 
 def flow_solve(spark, d):
-    return flow.solve(windowed_scores(spark, d).cache(), SPEC, ROUNDS)
+    cols = fx.scan_cells(spark, d).groupBy("frame", "i", "j").agg(F.lit(0).alias("free"), F.bit_or(F.expr("shiftleft(1, k)")).alias("occupied"), F.lit(True).alias("evident"))
+    none = [0] * SPEC.n2
+    return matcher.flow(cols, SPEC, (none, fx.LEVEL_WEIGHTS, none), fx.MATCH_OFFSET, SEARCH, ROUNDS)
+
+
+def _drive_columns(spark, d):
+    return matcher.columns(occupancy.accumulate(fx.drive_scan(spark, d), SPEC), SPEC)
+
+
+def flow_step_full(spark, d):
+    return matcher.flow(_drive_columns(spark, d), SPEC, rounds=1)
+
+
+def flow_solve_full(spark, d):
+    return matcher.flow(_drive_columns(spark, d), SPEC)
 
 
 def flow_reverse(spark, d):
-    return flow.reverse(flow_mstep(spark, d))
+    return flow.reverse(flow_solve(spark, d))
 
 
 # Poses and tracks
@@ -190,7 +204,7 @@ def _eval(spark, d):
     cells = fx.scan_cells(spark, d)
     p = _places(spark, d)
     types = tracks.object_at(p, fx.tracks(spark, d))
-    return evaluate.eval_rows(cells, flow_mstep(spark, d), background_filter(spark, d), _match(spark, d), types, _ground(spark, d), fx.CAMERA, SPEC)
+    return evaluate.eval_rows(cells, flow_solve(spark, d), background_filter(spark, d), _match(spark, d), types, _ground(spark, d), fx.CAMERA, SPEC)
 
 
 def eval_rows(spark, d):
@@ -213,7 +227,7 @@ def train_match_rows(spark, d):
 
 def pick_lookup(spark, d):
     picks = fx.tracks(spark, d).selectExpr("frame", "tx AS x", "ty AS y").distinct()
-    out = evaluate.lookup(picks, flow_mstep(spark, d), background_filter(spark, d), tracks.object_at(picks, fx.tracks(spark, d)), fx.CAMERA, SPEC)
+    out = evaluate.lookup(picks, flow_solve(spark, d), background_filter(spark, d), tracks.object_at(picks, fx.tracks(spark, d)), fx.CAMERA, SPEC)
     return out.withColumn("x", _r("x")).withColumn("y", _r("y"))
 
 
@@ -276,7 +290,7 @@ def point_colours(spark, d):
 
 
 def flow_table(spark, d):
-    f = flow_mstep(spark, d)
+    f = flow_solve(spark, d)
     return f.select("frame", "i", "j", _r(F.col("u") * SPEC.res / 0.1).alias("u"), _r(F.col("v") * SPEC.res / 0.1).alias("v"), "valid")
 
 
@@ -286,7 +300,7 @@ def occupied_boxes(spark, d):
 
 
 def flow_arrows(spark, d):
-    f = flow_mstep(spark, d).where("valid = 1")
+    f = flow_solve(spark, d).where("valid = 1")
     x, y = SPEC.metres(F.col("i"), 0), SPEC.metres(F.col("j"), 1)
     return f.select("frame", _r(x).alias("x"), _r(y).alias("y"), _r(x - F.col("u") * SPEC.res).alias("x_from"), _r(y - F.col("v") * SPEC.res).alias("y_from"))
 
@@ -301,7 +315,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
         grid_subset, dense_trits, count_nonzero, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
-        flow_estep, flow_mstep, flow_solve, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
+        flow_estep, flow_mstep, flow_solve, flow_step_full, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, train_filter_rows, pose_filter, tracklets, project_grid, zbuffer,
         depth_fill, train_match_rows, pick_lookup, scan_match, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}

@@ -37,6 +37,10 @@ TRACKS = (
 WF = "(((di + 2) * 31 + (dj + 2) * 17 + k * 7) % 41) - 20"
 WO = "(((di + 2) * 13 + (dj + 2) * 29 + k * 11) % 61) - 30"
 LEVEL_WEIGHT = "40 + (k * 7) % 21"
+LEVEL_WEIGHTS = [40 + (k * 7) % 21 for k in range(SPEC.n2)]
+#: Orders of one drive; its scans are the line numbers. Frames of different drives never follow each other.
+DRIVE_ORDERS, DRIVE_FRAMES = 32_768, 16
+DRIVE_SCAN = f"CAST(l_orderkey DIV_ {DRIVE_ORDERS} * {DRIVE_FRAMES} + l_linenumber AS INT) AS frame, " + RAW_SCAN.split(", ", 1)[1]
 #: Offset of the column match and of the background filter, in hundredths.
 MATCH_OFFSET, FILTER_OFFSET = -141, -20
 #: The vehicle's place in frame f is (0.3 f, 0, 0.01 f).
@@ -71,6 +75,11 @@ def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(table(spark, sf_dir, "lineitem"), RAW_SCAN)
 
 
+def drive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_scan in drives: the more orders, the more drives, each of up to 7 frames."""
+    return pick(table(spark, sf_dir, "lineitem"), DRIVE_SCAN.replace("DIV_", "div"))
+
+
 def scan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame, i, j, k of occupied cells with a planted motion of (2, -1) cells a frame."""
     base = pick(table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), BASE_CELL).distinct()
@@ -122,6 +131,7 @@ def level_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same views for DuckDB.
 SQL = {
     "raw_scan": f"SELECT {RAW_SCAN} FROM lineitem",
+    "drive_scan": f"SELECT {DRIVE_SCAN.replace('DIV_', '//')} FROM lineitem",
     "frames": f"SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f)",
     "scan_cells": f"SELECT frame, {MOVE}, k FROM (SELECT DISTINCT {BASE_CELL} FROM lineitem WHERE l_linenumber <= 4) CROSS JOIN (SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f))",
     "valued_cells": "SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells",

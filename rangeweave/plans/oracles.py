@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rangeweave.functions.geometry import VIEW_HEIGHT, VIEW_WIDTH
 from rangeweave.functions.grid_index import GridSpec
+from rangeweave.operators import matcher
 from rangeweave.plans.fixtures import CAMERA, FILTER_OFFSET, FRAMES, MATCH_OFFSET, SPEC, with_views
 
 SEARCH, ROUNDS = 3, 3
@@ -101,13 +102,34 @@ def _again(last: str, n: int) -> dict[str, str]:
     }
 
 
-def on_flow(query: str, rounds: int = 1, **more: str) -> str:
+def _rounds(rounds: int) -> dict[str, str]:
     views = {**_WIN, **_step("cand0", "e1", "m1")}
     for n in range(2, rounds + 1):
         views |= _again(f"m{n - 1}", n)
+    return views
+
+
+def on_flow(query: str, rounds: int = 1, **more: str) -> str:
+    views = _rounds(rounds)
     return with_views(query, "scan_cells", "level_weights", **views, **more)
 
 
+def _step_full() -> str:
+    """The first round of the full match: 31 x 31 displacements, all weights, on the grid of the drives' scans."""
+    rows = [f"(({m} >> {k}) & 1) * {w}" for m, ws in zip(("ff", "oo", "mixed"), matcher.WEIGHTS, strict=True) for k, w in enumerate(ws) if w]
+    n = 2 * matcher.SEARCH + 1
+    met = "SELECT s.frame, s.i, s.j, d.du, d.dv, s.free & coalesce(n.free, 0) AS ff, s.occ & coalesce(n.occ, 0) AS oo, (s.free & coalesce(n.occ, 0)) | (s.occ & coalesce(n.free, 0)) AS mixed FROM src s CROSS JOIN disp d LEFT JOIN cols n ON n.frame = s.frame + 1 AND n.i = s.i + d.du AND n.j = s.j + d.dv"
+    grid = _grid(SPEC).replace("raw_scan", "drive_scan")
+    return with_views(
+        "SELECT * FROM m1", "drive_scan", grid=grid,
+        cols=f"SELECT frame, i, j, bit_or(CASE WHEN val < 0 THEN 1 << k ELSE 0 END) AS free, bit_or(CASE WHEN val > 0 THEN 1 << k ELSE 0 END) AS occ, bool_or(1 - 1 / (1 + exp(greatest(-1.0, least(3.0, val)))) > {matcher.EVIDENT}) AS evident FROM (SELECT *, {_ijk()} FROM grid) GROUP BY ALL",
+        src="SELECT * FROM cols WHERE evident AND frame + 1 IN (SELECT frame FROM cols)",
+        disp=f"SELECT CAST(a - {matcher.SEARCH} AS INT) AS du, CAST(b - {matcher.SEARCH} AS INT) AS dv FROM range({n}) x(a), range({n}) y(b)",
+        scores=f"SELECT frame, i, j, du, dv, CAST(round(-ln(1 + exp(-({matcher.OFFSET} + {' + '.join(rows)}) / 100.0)) * 1000) AS BIGINT) AS score FROM ({met})",
+        around=_WIN["around"], win=_WIN["win"], cand0=_WIN["cand0"], **_step("cand0", "e1", "m1"),
+    )
+
+
 def _xy(a: str = "") -> str:
     return f"({a}i - {SPEC.n0 // 2}) * {RES} AS x, ({a}j - {SPEC.n1 // 2}) * {RES} AS y"
 
@@ -147,14 +169,14 @@ _SEEN = {
       JOIN match m ON m.frame = a.frame AND m.x = a.x AND m.y = a.y
       JOIN types t ON t.frame = a.frame AND t.x = a.x AND t.y = a.y
       JOIN ground g ON g.frame = a.frame AND g.x = a.x AND g.y = a.y
-      LEFT JOIN m1 f ON f.frame = a.frame AND f.i = a.i AND f.j = a.j
+      LEFT JOIN m3 f ON f.frame = a.frame AND f.i = a.i AND f.j = a.j
       LEFT JOIN filtered b ON b.frame = a.frame AND b.i = a.i AND b.j = a.j
       WHERE {_in_view("a.x", "a.y")} AND {_in_view("m.x2", "m.y2")}"""
 }
 
 
 def on_eval(query: str) -> str:
-    return with_views(query, "scan_cells", "valued_cells", "bg_model", "level_weights", "tracks", "poses", **_FILTER, **_WIN, **_step("cand0", "e1", "m1"), **_TRACKED, **_SEEN)
+    return with_views(query, "scan_cells", "valued_cells", "bg_model", "level_weights", "tracks", "poses", **_FILTER, **_rounds(ROUNDS), **_TRACKED, **_SEEN)
 
 
 def _rounded(*cols: str, digits: int = 6) -> str:
@@ -206,7 +228,7 @@ def all_oracles() -> dict[str, str]:
         "pick_lookup": on_eval(
             f"SELECT p.frame, round(p.x, 6) AS x, round(p.y, 6) AS y, p.i, p.j, coalesce(f.u, 0) AS u, coalesce(f.v, 0) AS v, coalesce(f.valid, 0) AS valid, coalesce(b.background, 0) AS background, coalesce(t.type, 'NO_OBJECT') AS type, CAST({_in_view('p.x', 'p.y')} AS INT) AS seen "
             f"FROM (SELECT DISTINCT frame, tx AS x, ty AS y, CAST(round(tx / {RES}) AS INT) + {_N0 // 2} AS i, CAST(round(ty / {RES}) AS INT) + {_N1 // 2} AS j FROM tracks) p "
-            "LEFT JOIN m1 f ON f.frame = p.frame AND f.i = p.i AND f.j = p.j LEFT JOIN filtered b ON b.frame = p.frame AND b.i = p.i AND b.j = p.j "
+            "LEFT JOIN m3 f ON f.frame = p.frame AND f.i = p.i AND f.j = p.j LEFT JOIN filtered b ON b.frame = p.frame AND b.i = p.i AND b.j = p.j "
             "LEFT JOIN (SELECT q.frame, q.tx AS x, q.ty AS y, arg_min(k.objectType, k.track_id) AS type FROM (SELECT DISTINCT frame, tx, ty FROM tracks) q JOIN tracks k ON k.frame = q.frame AND abs(cos(k.rz) * (q.tx - k.tx) + sin(k.rz) * (q.ty - k.ty)) < k.l / 2 AND abs(-sin(k.rz) * (q.tx - k.tx) + cos(k.rz) * (q.ty - k.ty)) < k.w / 2 GROUP BY ALL) t ON t.frame = p.frame AND t.x = p.x AND t.y = p.y"
         ),
         "scan_match": with_views(
@@ -220,7 +242,7 @@ def all_oracles() -> dict[str, str]:
             "scan_cells", samples=_samples(), pts=f"SELECT frame, {xyz} FROM scan_cells", image=image,
         ),
         "point_colours": with_views(f"SELECT z8, height, {', '.join(ramp)}, count(*) AS n FROM (SELECT CAST(round({_unit('(z + 2) / 5')} * 255) AS INT) AS z8, CAST(round(CASE WHEN z < 0 THEN {_unit('-z / 5')} ELSE {_unit('(z + 4) / 12')} END * 255) AS INT) AS height, {_unit('sqrt(x * x + y * y) / 40')} AS s FROM raw_scan) GROUP BY ALL", "raw_scan"),
-        "flow_table": on_flow(f"SELECT frame, i, j, round(u * {RES} / CAST(0.1 AS DOUBLE), 6) AS u, round(v * {RES} / CAST(0.1 AS DOUBLE), 6) AS v, valid FROM m1"),
+        "flow_table": on_flow(f"SELECT frame, i, j, round(u * {RES} / CAST(0.1 AS DOUBLE), 6) AS u, round(v * {RES} / CAST(0.1 AS DOUBLE), 6) AS v, valid FROM m3", ROUNDS),
         "occupancy_grid": on_grid("SELECT * FROM grid"),
         "grid_merge": on_grid("SELECT key, CAST(sum(n_free) AS BIGINT) AS n_free, CAST(sum(n_occ) AS BIGINT) AS n_occ, (10 * sum(n_occ) - sum(n_free)) / 10 AS val FROM grid GROUP BY key"),
         "grid_clean": on_grid("SELECT frame, key, val FROM grid WHERE abs(val) >= 0.01"),
@@ -241,7 +263,8 @@ def all_oracles() -> dict[str, str]:
         "flow_estep": on_flow("SELECT * FROM e1"),
         "flow_mstep": on_flow("SELECT * FROM m1"),
         "flow_solve": on_flow(f"SELECT * FROM m{ROUNDS}", ROUNDS),
-        "flow_reverse": on_flow("SELECT frame + 1 AS frame, i + u AS i, j + v AS j, -u AS u, -v AS v FROM m1 WHERE valid = 1"),
+        "flow_step_full": _step_full(),
+        "flow_reverse": on_flow("SELECT frame + 1 AS frame, i + u AS i, j + v AS j, -u AS u, -v AS v FROM m3 WHERE valid = 1", ROUNDS),
         "poses_mercator": with_views("SELECT log, frame, round(c * lon * pi() * 6378137.0 / 180, 3) AS x, round(c * 6378137.0 * ln(tan((90 + lat) * pi() / 360)), 3) AS y, alt AS z, round(yaw, 6) AS h FROM (SELECT p.*, cos(radians(f.lat0)) AS c FROM positions p JOIN (SELECT log, arg_min(lat, frame) AS lat0 FROM positions GROUP BY log) f ON f.log = p.log)", "positions"),
         "relative_pose": with_views(f"SELECT key, seq, round(cos(ph) * (x - px) + sin(ph) * (y - py), 6) AS dx, round(-sin(ph) * (x - px) + cos(ph) * (y - py), 6) AS dy, round({_wrap('(h - ph)')}, 6) AS dh FROM (SELECT *, {x}, {y}, {h} FROM pose_obs) WHERE px IS NOT NULL", "pose_obs"),
         "pose_chain": with_views("SELECT key, seq, round(sum(cos(t - h / 100) * v_f / 10) OVER w, 4) AS x, round(sum(sin(t - h / 100) * v_f / 10) OVER w, 4) AS y, round(t, 4) AS h FROM (SELECT *, sum(h / 100) OVER (PARTITION BY key ORDER BY seq) AS t FROM pose_obs) WINDOW w AS (PARTITION BY key ORDER BY seq)", "pose_obs"),
@@ -259,6 +282,6 @@ def all_oracles() -> dict[str, str]:
         ),
         "zbuffer": with_views(f"SELECT frame, CAST(trunc(u + 0.5) AS INT) AS w, CAST(trunc(v + 0.5) AS INT) AS h, round(min(d), 6) AS depth FROM (SELECT frame, {u} / {dep} AS u, {v} / {dep} AS v, {dep} AS d FROM pts WHERE {dep} > 0) WHERE u > -1.5 AND v > -1.5 AND trunc(u + 0.5) BETWEEN 0 AND 1241 AND trunc(v + 0.5) BETWEEN 0 AND 374 GROUP BY ALL", "scan_cells", pts=f"SELECT frame, {xyz} FROM scan_cells"),
         "occupied_boxes": on_grid(f"SELECT frame, {_rounded('x', 'y', 'z')}, CAST(0.225 AS DOUBLE) AS size FROM (SELECT frame, {xyz} FROM cells WHERE val > 0)"),
-        "flow_arrows": on_flow(f"SELECT frame, {_rounded('x', 'y')}, round(x - u * {RES}, 6) AS x_from, round(y - v * {RES}, 6) AS y_from FROM (SELECT *, {_xy()} FROM m1 WHERE valid = 1)"),
+        "flow_arrows": on_flow(f"SELECT frame, {_rounded('x', 'y')}, round(x - u * {RES}, 6) AS x_from, round(y - v * {RES}, 6) AS y_from FROM (SELECT *, {_xy()} FROM m3 WHERE valid = 1)", ROUNDS),
         "pose_trail": with_views(f"SELECT frame, round(x - cx, 6) AS x, round(y - cy, 6) AS y FROM poses, (SELECT arg_max(x, frame) AS cx, arg_max(y, frame) AS cy FROM poses)", "poses"),
     }
