@@ -74,9 +74,9 @@ def grid_subset(spark, d):
 
 
 def dense_trits(spark, d):
-    g = _grid(spark, d).where("frame = 1")
+    g = _grid(spark, d)
     dense = occupancy.densify(g, g.select("frame").distinct(), SPEC)
-    return dense.select("key", F.when(F.col("val") > 0.1, 1).when(F.col("val") < -0.1, -1).otherwise(0).alias("t"))
+    return dense.select("frame", "key", F.when(F.col("val") > 0.1, 1).when(F.col("val") < -0.1, -1).otherwise(0).alias("t"))
 
 
 def count_nonzero(spark, d):
@@ -185,7 +185,10 @@ def active_tracks(spark, d):
 
 
 def _match(spark, d):
-    return tracks.correspondence(_places(spark, d), fx.tracks(spark, d), _ground(spark, d))
+    """By column: frame, i, j, x, y, x2, y2, gx, gy, is_tracklet."""
+    p = _places(spark, d)
+    ground = poses.project_points(p, fx.poses(spark, d)).withColumn("gx", F.col("x2")).withColumn("gy", F.col("y2"))
+    return tracks.correspondence(p, fx.tracks(spark, d), ground, ("frame", "i", "j"))
 
 
 def correspondence(spark, d):
@@ -201,10 +204,14 @@ def camera_visible(spark, d):
 
 
 def _eval(spark, d):
-    cells = fx.scan_cells(spark, d)
-    p = _places(spark, d)
-    types = tracks.object_at(p, fx.tracks(spark, d))
-    return evaluate.eval_rows(cells, flow_solve(spark, d), background_filter(spark, d), _match(spark, d), types, _ground(spark, d), fx.CAMERA, SPEC)
+    types = tracks.object_at(_places(spark, d), fx.tracks(spark, d), ("frame", "i", "j"))
+    return evaluate.eval_rows(fx.scan_cells(spark, d), flow_solve(spark, d), background_filter(spark, d), _match(spark, d), types, fx.CAMERA, SPEC)
+
+
+def eval_tracklets(spark, d):
+    f = flow_solve(spark, d).withColumn("sequence", F.lit(0).cast("long"))
+    rows = evaluate.tracklet_rows(_eval(spark, d), filters.tracklets(f, SPEC.res, SPEC.dims[:2]))
+    return rows.select("frame", "i", "j", *(_r(c).alias(c) for c in ("x", "y", "x2", "y2", "ft_x", "ft_y")), "filter", "is_tracklet", "age", "type")
 
 
 def eval_rows(spark, d):
@@ -216,9 +223,7 @@ def eval_by_type(spark, d):
 
 
 def train_filter_rows(spark, d):
-    on = tracks.object_at(_places(spark, d), fx.tracks(spark, d))
-    label = _places(spark, d).join(on, ["frame", "x", "y"]).select("frame", "i", "j", (F.col("type") != tracks.NOTHING).cast("int").alias("label"))
-    return evaluate.training_columns(fx.valued_cells(spark, d), label, SPEC)
+    return evaluate.training_columns(fx.valued_cells(spark, d), _match(spark, d), fx.poses(spark, d), fx.CAMERA, SPEC)
 
 
 def train_match_rows(spark, d):
@@ -238,11 +243,29 @@ def pose_filter(spark, d):
     return filters.filter_poses(fx.pose_observations(spark, d))
 
 
-def tracklets(spark, d):
-    f = flow_mstep(spark, d).withColumn("sequence", F.lit(0).cast("long"))
+def _drive_tracklets(spark, d):
+    f = flow_solve_full(spark, d).withColumn("sequence", F.expr(f"CAST(frame div {fx.DRIVE_FRAMES} AS BIGINT)"))
     return filters.tracklets(f, SPEC.res, SPEC.dims[:2])
 
 
+def tracklets(spark, d):
+    return _drive_tracklets(spark, d)
+
+
+def _drive_cells(spark, d):
+    return occupancy.clean(occupancy.accumulate(fx.drive_scan(spark, d), SPEC)).select("frame", *SPEC.ijk(), "val")
+
+
+def tracklet_arrows(spark, d):
+    return filters.arrows(_drive_tracklets(spark, d), _drive_cells(spark, d).where("val > 0").select("frame", "i", "j", "k"), SPEC)
+
+
+def project_tracklets(spark, d):
+    """The grid of a frame, carried on by the tracklets that the frame before left in its columns."""
+    motion = _drive_tracklets(spark, d).select((F.col("frame") + 1).alias("frame"), "i", "j", "x", "y", "h", "v", "w")
+    return projection.project_grid(_drive_cells(spark, d), motion, SPEC, 0.5)
+
+
 def project_grid(spark, d):
     motion = _places(spark, d).selectExpr("frame", "i", "j", "(i % 7) * 0.3 - 0.9 AS h", "CAST(j % 11 AS DOUBLE) AS v", "CAST(((i + j) % 5) * 0.1 AS DOUBLE) AS w")
     return projection.project_grid(fx.valued_cells(spark, d), motion, SPEC, 0.5)
@@ -306,9 +329,8 @@ def flow_arrows(spark, d):
 
 
 def pose_trail(spark, d):
-    p = fx.poses(spark, d)
-    last = p.agg(F.max_by(F.struct("x", "y"), "frame").alias("c"))
-    return p.join(F.broadcast(last)).select("frame", _r(F.col("x") - F.col("c.x")).alias("x"), _r(F.col("y") - F.col("c.y")).alias("y"))
+    p = poses.trail(fx.pose_observations(spark, d), "key", "seq")
+    return p.select("key", "seq", _r("x").alias("x"), _r("y").alias("y"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -316,7 +338,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
         grid_subset, dense_trits, count_nonzero, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
         flow_estep, flow_mstep, flow_solve, flow_step_full, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
-        correspondence, camera_visible, eval_rows, eval_by_type, train_filter_rows, pose_filter, tracklets, project_grid, zbuffer,
+        correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
         depth_fill, train_match_rows, pick_lookup, scan_match, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeweave.functions.grid_index import GridSpec
+from rangeweave.session import bounded
 
 WINDOW = 2
-#: The model has (2 * WINDOW + 1)**2 * 14 rows, so it is small enough to broadcast whatever the data.
-MODEL_ROWS = 350
+#: Rows of a model that may be broadcast; that of 14 levels has 350.
+MODEL_ROWS = 10_000
 
 
 def _offsets(n: int):
@@ -33,7 +34,7 @@ def scores(cells: DataFrame, model: DataFrame, spec: GridSpec) -> DataFrame:
     column (i, j) if it is free, wo if it is occupied.
     """
     around = cells.where("val <> 0").withColumn("di", _offsets(WINDOW)).withColumn("dj", _offsets(WINDOW))
-    met = around.join(F.broadcast(model.limit(MODEL_ROWS)), ["di", "dj", "k"])
+    met = around.join(bounded(model, MODEL_ROWS), ["di", "dj", "k"])
     weight = F.when(F.col("val") < 0, F.col("wf")).otherwise(F.col("wo"))
     to = met.select("frame", (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), weight.alias("w"))
     return to.where(spec.inside(F.col("i"), F.col("j"))).groupBy("frame", "i", "j").agg(F.sum("w").alias("score"))

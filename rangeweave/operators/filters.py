@@ -1,7 +1,8 @@
 """Extended Kalman filter of planar motion: state (x, y, heading, speed, turn rate).
 
-The recursion is the one thing here that has to be a fold, so it is a small numpy class; Spark
-partitions the sequences, orders each and hands them over in Arrow batches.
+The recursion is the one thing here that has to be a fold. Spark deals the sequences, orders each and
+hands them over in Arrow batches; a step is numpy over all sequences (or tracklets) that take it at
+once, and what is kept between batches is the states, so no sequence has to fit in memory.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from rangeweave.functions.grid_index import GridSpec
 from rangeweave.session import ship
 
 DT = 0.1
@@ -25,8 +29,39 @@ OBSERVE_POSE = (1.0, 1.0, 0.1, 0.01, 0.001)
 GATE = 5.9915
 
 
-def wrapped(a: float) -> float:
-    return a if -math.pi <= a <= math.pi else a - 2 * math.pi * math.ceil((a - math.pi) / (2 * math.pi))
+def wrapped(a):
+    """To [-pi, pi]; both ends stay as they are."""
+    return np.where(np.abs(a) <= math.pi, a, a - 2 * math.pi * np.ceil((a - math.pi) / (2 * math.pi)))
+
+
+def predicted(mu: np.ndarray, sigma: np.ndarray, dt: float = DT) -> tuple[np.ndarray, np.ndarray]:
+    """Means [..., 5] and covariances [..., 5, 5] after dt."""
+    h, v, w = mu[..., 2], mu[..., 3], mu[..., 4]
+    c, s = np.cos(h), np.sin(h)
+    g = np.zeros(sigma.shape) + np.eye(5)
+    g[..., 0, 2], g[..., 0, 3], g[..., 1, 2], g[..., 1, 3], g[..., 2, 4] = -v * s * dt, c * dt, v * c * dt, s * dt, dt
+    q = np.diag([0, 0, 0, (PROCESS_SPEED * dt) ** 2, (PROCESS_TURN * dt) ** 2])
+    moved = mu + np.stack([v * c * dt, v * s * dt, w * dt, 0 * v, 0 * v], axis=-1)
+    moved[..., 2] = wrapped(moved[..., 2])
+    return moved, g @ sigma @ np.swapaxes(g, -1, -2) + q
+
+
+def updated(mu: np.ndarray, sigma: np.ndarray, h: np.ndarray, r: np.ndarray, innovation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means and covariances after an observation, and its Mahalanobis distance before the update."""
+    t = lambda x: np.swapaxes(x, -1, -2)
+    s = h @ sigma @ t(h) + r
+    d = (innovation * np.linalg.solve(s, innovation[..., None])[..., 0]).sum(axis=-1)
+    k = t(np.linalg.solve(s, h @ sigma))
+    new = mu + (k @ innovation[..., None])[..., 0]
+    new[..., 2] = wrapped(new[..., 2])
+    i = np.eye(5) - k @ h
+    return new, i @ sigma @ t(i) + k @ r @ t(k), np.sqrt(np.maximum(d, 0.0))
+
+
+def pose_innovation(mu: np.ndarray, z: np.ndarray) -> np.ndarray:
+    off = z - mu
+    off[..., 2] = wrapped(off[..., 2])
+    return off
 
 
 class Motion:
@@ -46,24 +81,12 @@ class Motion:
         return cls((x, y, math.atan2(vy, vx), math.hypot(vx, vy), 0), FLOW_START)
 
     def predict(self, dt: float = DT) -> None:
-        x, y, h, v, w = self.mu
-        c, s = math.cos(h), math.sin(h)
-        g = np.eye(5)
-        g[0, 2], g[0, 3], g[1, 2], g[1, 3], g[2, 4] = -v * s * dt, c * dt, v * c * dt, s * dt, dt
-        q = np.diag([0, 0, 0, (PROCESS_SPEED * dt) ** 2, (PROCESS_TURN * dt) ** 2])
-        self.mu = np.array([x + v * c * dt, y + v * s * dt, wrapped(h + w * dt), v, w])
-        self.sigma = g @ self.sigma @ g.T + q
+        self.mu, self.sigma = predicted(self.mu, self.sigma, dt)
         self.age += 1
 
     def _update(self, h: np.ndarray, r: np.ndarray, innovation: np.ndarray) -> float:
-        s = h @ self.sigma @ h.T + r
-        d = float(innovation @ np.linalg.solve(s, innovation))
-        k = np.linalg.solve(s, h @ self.sigma).T
-        self.mu = self.mu + k @ innovation
-        self.mu[2] = wrapped(self.mu[2])
-        i = np.eye(5) - k @ h
-        self.sigma = i @ self.sigma @ i.T + k @ r @ k.T
-        return math.sqrt(max(d, 0.0))
+        self.mu, self.sigma, d = updated(self.mu, self.sigma, h, r, innovation)
+        return float(d)
 
     def observe_position(self, x: float, y: float) -> float:
         """Mahalanobis distance before the update, which happens in any case."""
@@ -79,9 +102,8 @@ class Motion:
         return self._update(h, turn @ np.diag(np.square(std)) @ turn.T, np.array([vx - v * c, vy - v * s]))
 
     def observe_pose(self, x, y, h, v_f, v_h) -> float:
-        z = np.array([x - self.x0, y - self.y0, h, v_f, v_h]) - self.mu
-        z[2] = wrapped(z[2])
-        return self._update(np.eye(5), np.diag(np.square(OBSERVE_POSE)), z)
+        z = np.array([x - self.x0, y - self.y0, h, v_f, v_h])
+        return self._update(np.eye(5), np.diag(np.square(OBSERVE_POSE)), pose_innovation(self.mu, z))
 
     def seen_from(self, x: float, y: float, h: float, delta: float = 1e-3) -> Motion:
         """The same motion in the frame of another planar pose; the covariance by a numeric Jacobian."""
@@ -104,59 +126,113 @@ class Motion:
 def filter_poses(observed: DataFrame) -> DataFrame:
     """key, seq, x, y, h, v, w: a filter per key over its observations (key, seq, x, y, h, v_f, v_h) by seq.
 
-    The first observation starts the filter; each later one is a prediction and an update. One
-    sequence is one group: it must be folded in order.
+    The first observation starts the filter; each later one is a prediction and an update. A key's
+    observations pass through one task in order; all keys of a batch take their steps together.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, f = [], None
-        for r in pdf.sort_values("seq").itertuples():
-            if f is None:
-                f = Motion.at_pose(r.x, r.y, r.h, r.v_f, r.v_h)
-            else:
-                f.predict()
-                f.observe_pose(r.x, r.y, r.h, r.v_f, r.v_h)
-            out.append((r.key, r.seq, *f.place, f.mu[3], f.mu[4]))
-        return pd.DataFrame(out, columns=["key", "seq", "x", "y", "h", "v", "w"])
+    values = ["x", "y", "h", "v_f", "v_h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # the key that the batch before ended with, and its state
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").fill_null(-(2**63)).to_numpy()
+            z = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in values], axis=1)
+            begin = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
+            size = np.diff(np.append(begin, len(key)))
+            origin = z[begin] * [1, 1, 0, 0, 0]
+            mu, sigma = z[begin] - origin, np.tile(np.diag(np.square(POSE_START)), (len(begin), 1, 1))
+            known = np.zeros(len(begin), dtype=bool)
+            if held is not None and key[0] == last:
+                mu[0], sigma[0], origin[0] = held
+                known[0] = True
+            out = np.empty_like(z)
+            for step in range(size.max()):
+                live = np.nonzero(size > step)[0]
+                go = live if step else live[known[live]]
+                m, p = predicted(mu[go], sigma[go])
+                m, p, _ = updated(m, p, np.eye(5), np.diag(np.square(OBSERVE_POSE)), pose_innovation(m, z[begin[go] + step] - origin[go]))
+                mu[go], sigma[go] = m, p
+                out[begin[live] + step] = mu[live] + origin[live]
+            last, held = key[-1], (mu[-1], sigma[-1], origin[-1])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("seq"), *(pa.array(out[:, k]) for k in range(5))], ["key", "seq", "x", "y", "h", "v", "w"])
 
     ship(observed.sparkSession)
-    return observed.select("key", "seq", "x", "y", "h", "v_f", "v_h").groupBy("key").applyInPandas(run, "key bigint, seq bigint, x double, y double, h double, v double, w double")
+    ordered = observed.select(F.col("key").cast("long").alias("key"), F.col("seq").cast("long").alias("seq"), *values).repartition("key").sortWithinPartitions("key", "seq")
+    return ordered.mapInArrow(run, "key bigint, seq bigint, x double, y double, h double, v double, w double")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows equal in keys, from batches that are sorted by them; a run may span batches."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not t.num_rows:
+            continue
+        k = np.stack([t.column(c).to_numpy() for c in keys])
+        edge = [0, *(np.nonzero((k[:, 1:] != k[:, :-1]).any(axis=0))[0] + 1), t.num_rows]
+        for a, z in zip(edge[:-2], edge[1:-1], strict=True):
+            yield t.slice(a, z - a)
+        rest = t.slice(edge[-2])
+    if rest is not None:
+        yield rest
+
+
+TRACKLET = "frame int, si int, sj int, i int, j int, x double, y double, h double, v double, w double, age int"
 
 
 def tracklets(flow: DataFrame, res: float, dims: tuple[int, int], by: str = "sequence") -> DataFrame:
-    """by, frame, i, j (where the tracklet now is), x, y, h, v, age: motion of grid columns followed over frames.
+    """by, frame, si, sj (the column), i, j (where the tracklet now is), x, y, h, v, w, age: motion of columns followed over frames.
 
     flow: by, frame, i, j, u, v, valid. A valid column without a tracklet starts one at its place; one with
     a tracklet predicts, observes the target's centre and keeps the tracklet if it is inside the gate. In
-    either case it moves to the target column for the next frame. Groups hold one sequence; its state is
-    at most one tracklet per column.
+    either case it moves to the target column for the next frame; a frame that is missing ends them all. A
+    sequence passes through one task frame by frame; its state is at most one tracklet per column.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        now: dict[tuple[int, int], Motion] = {}
-        out = []
-        for frame, rows in pdf.sort_values(["frame", "i", "j"]).groupby("frame"):
-            after: dict[tuple[int, int], Motion] = {}
-            for r in rows.itertuples():
-                if not r.valid:
-                    continue
-                to = (r.i + r.u, r.j + r.v)
-                x, y = (to[0] - dims[0] // 2) * res, (to[1] - dims[1] // 2) * res
-                f = now.get((r.i, r.j))
-                if f is None:
-                    f = Motion.from_flow(x - r.u * res, y - r.v * res, r.u * res / DT, r.v * res / DT)
-                else:
-                    f.predict()
-                    if f.observe_position(x, y) >= GATE:
-                        continue
-                after[to] = f
-                out.append((getattr(r, by), frame, *to, *f.place, f.mu[3], f.age))
-            now = after
-        return pd.DataFrame(out, columns=[by, "frame", "i", "j", "x", "y", "h", "v", "age"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, cells = None, np.zeros(0, dtype=np.int64)
+        for t in grouped(batches, [by, "frame"]):
+            i, j, u, v = (t.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "u", "v"))
+            here = t.column(by)[0].as_py(), t.column("frame")[0].as_py()
+            if last is None or here != (last[0], last[1] + 1):
+                cells, mu, sigma, age = np.zeros(0, dtype=np.int64), np.zeros((0, 5)), np.zeros((0, 5, 5)), np.zeros(0, dtype=np.int32)
+            last = here
+            at = np.searchsorted(cells, i * dims[1] + j)
+            old = (at < len(cells)) & (np.append(cells, -1)[at] == i * dims[1] + j)
+            target = np.stack([i + u - dims[0] // 2, j + v - dims[1] // 2], axis=1) * res
+            step = np.stack([u, v], axis=1) * res
+            m = np.concatenate([target - step, np.arctan2(step[:, 1], step[:, 0])[:, None], np.hypot(*(step / DT).T)[:, None], np.zeros((len(i), 1))], axis=1)
+            p, n, ok = np.tile(np.diag(np.square(FLOW_START)), (len(i), 1, 1)), np.zeros(len(i), dtype=np.int32), np.ones(len(i), dtype=bool)
+            a, b = predicted(mu[at[old]], sigma[at[old]])
+            a, b, d = updated(a, b, np.eye(2, 5), np.eye(2) * OBSERVE_POSITION**2, target[old] - a[:, :2])
+            m[old], p[old], n[old], ok[old] = a, b, age[at[old]] + 1, d < GATE
+            to = ((i + u) * dims[1] + j + v)[ok]
+            order = np.argsort(to)
+            cells, mu, sigma, age = to[order], m[ok][order], p[ok][order], n[ok][order]
+            k = int(ok.sum())
+            ints = [np.full(k, here[1]), i[ok], j[ok], (i + u)[ok], (j + v)[ok]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([here[0]] * k, t.schema.field(by).type), *(pa.array(c.astype(np.int32)) for c in ints), *(pa.array(m[ok][:, c]) for c in range(5)), pa.array(n[ok])],
+                [by, "frame", "si", "sj", "i", "j", "x", "y", "h", "v", "w", "age"],
+            )
 
     ship(flow.sparkSession)
     kind = flow.schema[by].dataType.simpleString()
-    return flow.select(by, "frame", "i", "j", "u", "v", "valid").groupBy(by).applyInPandas(run, f"{by} {kind}, frame int, i int, j int, x double, y double, h double, v double, age int")
+    ordered = flow.where("valid = 1").select(by, "frame", "i", "j", "u", "v").repartition(by).sortWithinPartitions(by, "frame")
+    return ordered.mapInArrow(run, f"{by} {kind}, {TRACKLET}")
+
+
+def arrows(tracked: DataFrame, cells: DataFrame, spec: GridSpec, least_age: int = 3) -> DataFrame:
+    """frame, x, y, z, x_from, y_from: each occupied cell (frame, i, j, k) of a tracklet's column, and where it was DT ago.
+
+    Young tracklets, and those that move less than a cell on both axes, have no arrows.
+    """
+    met = cells.join(tracked.select("frame", F.col("si").alias("i"), F.col("sj").alias("j"), "h", "v", "age"), ["frame", "i", "j"])
+    dx, dy = -DT * F.col("v") * F.cos("h"), -DT * F.col("v") * F.sin("h")
+    moving = (F.col("age") >= least_age) & ((F.abs(dx) >= spec.res) | (F.abs(dy) >= spec.res))
+    x, y, z = (spec.metres(F.col(c), a) for a, c in enumerate("ijk"))
+    return met.where(moving).select("frame", x.alias("x"), y.alias("y"), z.alias("z"), (x + dx).alias("x_from"), (y + dy).alias("y_from"))
 
 
 def fold_batch(state: tuple | None, batches: Iterator[pd.DataFrame], key) -> tuple[tuple | None, pd.DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeweave.functions.grid_index import GridSpec
+from rangeweave.session import bounded
 
 SCALE = 1000
 #: Score of an empty column inside the grid, log 0.5; of a column outside, for 14 levels.
@@ -37,7 +38,7 @@ def column_scores(cells: DataFrame, weights: DataFrame, spec: GridSpec, w: int,
     source = cells.select("frame", "i", "j").distinct().withColumn("du", _span(w)).withColumn("dv", _span(w))
     moved = cells.withColumn("du", _span(w)).withColumn("dv", _span(w)).select("frame", "i", "j", "k", "du", "dv", (F.col("i") + F.col("du")).alias("i2"), (F.col("j") + F.col("dv")).alias("j2"))
     ahead = cells.select((F.col("frame") - 1).alias("frame"), F.col("i").alias("i2"), F.col("j").alias("j2"), "k")
-    both = moved.join(ahead, ["frame", "i2", "j2", "k"]).join(F.broadcast(weights.limit(spec.n2)), "k")
+    both = moved.join(ahead, ["frame", "i2", "j2", "k"]).join(bounded(weights, spec.n2), "k")
     sums = both.groupBy("frame", "i", "j", "du", "dv").agg(F.sum("wo").alias("s"))
     score = _scaled_log_sigmoid(F.coalesce("s", F.lit(0)) + offset)
     return source.join(sums, ["frame", "i", "j", "du", "dv"], "left").select("frame", "i", "j", "du", "dv", score.alias("score"))

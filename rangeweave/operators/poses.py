@@ -56,3 +56,9 @@ def chain(moves: DataFrame, key: str, order: str) -> DataFrame:
     before = F.col("h") - F.col("dh")
     x, y = F.cos(before) * F.col("dx") - F.sin(before) * F.col("dy"), F.sin(before) * F.col("dx") + F.cos(before) * F.col("dy")
     return turned.withColumn("_x", x).withColumn("_y", y).select(key, order, F.sum("_x").over(w).alias("x"), F.sum("_y").over(w).alias("y"), "h")
+
+
+def trail(poses: DataFrame, key: str, order: str) -> DataFrame:
+    """key, order, x, y: a sequence's poses seen from its last one's place (not turned). The last pose is an aggregate."""
+    last = poses.groupBy(key).agg(F.max_by(F.struct("x", "y"), order).alias("_l"))
+    return poses.join(last, key).select(key, order, (F.col("x") - F.col("_l.x")).alias("x"), (F.col("y") - F.col("_l.y")).alias("y"))

@@ -29,12 +29,14 @@ def travelled(h: Column, v: Column, w: Column, dt: float) -> tuple[Column, Colum
 def project_grid(cells: DataFrame, motion: DataFrame, spec: GridSpec, dt: float) -> DataFrame:
     """frame, i, j, k, val: cells moved with their column's motion, sums where several meet.
 
-    cells: frame, i, j, k, val; motion: frame, i, j, h, v, w. Columns without motion stay; what leaves
-    the grid is dropped.
+    cells: frame, i, j, k, val; motion: frame, i, j, h, v, w, and x, y if the motion starts elsewhere than at
+    the column's centre (a tracklet's place). Columns without motion stay; what leaves the grid is dropped.
     """
-    met = cells.join(motion.select("frame", "i", "j", "h", "v", "w"), ["frame", "i", "j"], "left")
+    start = [c for c in ("x", "y") if c in motion.columns]
+    met = cells.join(motion.select("frame", "i", "j", "h", "v", "w", *start), ["frame", "i", "j"], "left")
     dx, dy = travelled(F.col("h"), F.col("v"), F.col("w"), dt)
-    i2 = F.coalesce(spec.nearest(spec.metres(F.col("i"), 0) + dx, 0), F.col("i"))
-    j2 = F.coalesce(spec.nearest(spec.metres(F.col("j"), 1) + dy, 1), F.col("j"))
+    x, y = (F.col("x"), F.col("y")) if start else (spec.metres(F.col("i"), 0), spec.metres(F.col("j"), 1))
+    i2 = F.coalesce(spec.nearest(x + dx, 0), F.col("i"))
+    j2 = F.coalesce(spec.nearest(y + dy, 1), F.col("j"))
     out = met.select("frame", i2.alias("i"), j2.alias("j"), "k", "val")
     return out.where(spec.inside(F.col("i"), F.col("j"))).groupBy("frame", "i", "j", "k").agg(F.sum("val").alias("val"))

@@ -40,26 +40,26 @@ def inside(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return met.where((F.abs(at[0]) < F.col("l") / 2) & (F.abs(at[1]) < F.col("w") / 2)).drop("tx_", "ty_")
 
 
-def object_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """frame, x, y (distinct), type: of the box with the least track_id around the point."""
-    p = points.select("frame", "x", "y").distinct()
-    hit = inside(p, boxes).groupBy("frame", "x", "y").agg(F.min_by("objectType", "track_id").alias("type"))
-    return p.join(hit, ["frame", "x", "y"], "left").select("frame", "x", "y", F.coalesce("type", F.lit(NOTHING)).alias("type"))
+def object_at(points: DataFrame, boxes: DataFrame, key: tuple[str, ...] = ("frame", "x", "y")) -> DataFrame:
+    """key (distinct), type: of the box with the least track_id around the point (frame, x, y); key names its place."""
+    p = points.select(*key, *(c for c in ("frame", "x", "y") if c not in key)).distinct()
+    hit = inside(p, boxes).groupBy(*key).agg(F.min_by("objectType", "track_id").alias("type"))
+    return p.join(hit, list(key), "left").select(*key, F.coalesce("type", F.lit(NOTHING)).alias("type"))
 
 
-def correspondence(points: DataFrame, boxes: DataFrame, moved: DataFrame) -> DataFrame:
-    """frame, x, y, x2, y2, is_tracklet: where each distinct point is in the next frame.
+def correspondence(points: DataFrame, boxes: DataFrame, moved: DataFrame, key: tuple[str, ...] = ("frame", "x", "y")) -> DataFrame:
+    """moved with x2, y2 as the point's place in the next frame, and is_tracklet, for each distinct point.
 
     A point in a box whose track goes on moves with the box of least track_id; any other moves as the
-    ground does (moved: frame, x, y, x2, y2 from the vehicle's poses).
+    ground does (moved: key, x, y, x2, y2 from the vehicle's poses). key names a point (frame, x, y).
     """
     later = boxes.select((F.col("frame") - 1).alias("frame"), "track_id", *(F.col(c).alias(f"n_{c}") for c in ("tx", "ty", "rz")))
     both = boxes.join(later, ["frame", "track_id"])
-    p = points.select("frame", "x", "y").distinct()
+    p = points.select(*key, *(c for c in ("frame", "x", "y") if c not in key)).distinct()
     local = relative((F.col("tx"), F.col("ty"), F.col("rz")), (F.col("x"), F.col("y"), F.lit(0.0)))
     hit = inside(p, both).withColumn("_lx", local[0]).withColumn("_ly", local[1])
     to = compose((F.col("n_tx"), F.col("n_ty"), F.col("n_rz")), (F.col("_lx"), F.col("_ly"), F.lit(0.0)))
-    hit = hit.select("frame", "x", "y", "track_id", to[0].alias("bx"), to[1].alias("by"))
-    carried = hit.groupBy("frame", "x", "y").agg(F.min_by(F.struct("bx", "by"), "track_id").alias("c"))
-    out = moved.join(carried, ["frame", "x", "y"], "left")
-    return out.select("frame", "x", "y", F.coalesce("c.bx", "x2").alias("x2"), F.coalesce("c.by", "y2").alias("y2"), F.col("c").isNotNull().cast("int").alias("is_tracklet"))
+    hit = hit.select(*key, "track_id", to[0].alias("bx"), to[1].alias("by"))
+    carried = hit.groupBy(*key).agg(F.min_by(F.struct("bx", "by"), "track_id").alias("_c"))
+    out = moved.join(carried, list(key), "left").withColumn("x2", F.coalesce("_c.bx", "x2")).withColumn("y2", F.coalesce("_c.by", "y2"))
+    return out.withColumn("is_tracklet", F.col("_c").isNotNull().cast("int")).drop("_c")

@@ -253,7 +253,7 @@ def all_oracles() -> dict[str, str]:
         "multires_grid": _levels(),
         "occluded_cells": with_views("SELECT DISTINCT frame, e0, e1, e2 FROM way w SEMI JOIN (SELECT frame, key FROM grid WHERE val > 0) g ON g.frame = w.frame AND g.key = w.key", "raw_scan", grid=_grid(SPEC), goals=f"SELECT DISTINCT frame, e0, e1, e2 FROM ({_rays(SPEC)})", way=_walked(SPEC, max(SPEC.dims), "goals")),
         "grid_subset": _subset(),
-        "dense_trits": on_grid(f"SELECT r AS key, CASE WHEN coalesce(val, 0) > 0.1 THEN 1 WHEN coalesce(val, 0) < -0.1 THEN -1 ELSE 0 END AS t FROM range({SPEC.n0 * SPEC.n1 * SPEC.n2}) x(r) LEFT JOIN (SELECT key, val FROM grid WHERE frame = 1) g ON g.key = r"),
+        "dense_trits": on_grid(f"SELECT d.frame, r AS key, CASE WHEN coalesce(val, 0) > 0.1 THEN 1 WHEN coalesce(val, 0) < -0.1 THEN -1 ELSE 0 END AS t FROM (SELECT DISTINCT frame FROM grid) d CROSS JOIN range({SPEC.n0 * SPEC.n1 * SPEC.n2}) x(r) LEFT JOIN grid g ON g.frame = d.frame AND g.key = r"),
         "count_nonzero": on_grid("SELECT frame, count(*) FILTER (abs(val) > 1e-3) AS n FROM grid GROUP BY frame"),
         "background_filter": on_filter("SELECT * FROM filtered"),
         "filter_smooth": on_filter("SELECT f.frame, f.i, f.j, CASE WHEN 2 * sum(n.background) >= count(*) THEN 1 ELSE 0 END AS background FROM filtered f JOIN filtered n ON n.frame = f.frame AND n.i BETWEEN f.i - 1 AND f.i + 1 AND n.j BETWEEN f.j - 1 AND f.j + 1 GROUP BY ALL"),
@@ -275,7 +275,14 @@ def all_oracles() -> dict[str, str]:
         "camera_visible": on_tracks(f"SELECT frame, i, j, CAST({_in_view('x', 'y')} AS INT) AS seen FROM places"),
         "eval_rows": on_eval(f"SELECT frame, {_rounded('x', 'y', 'x2', 'y2', 'u', 'v')}, filter, is_tracklet, type FROM evaluated"),
         "eval_by_type": on_eval("SELECT type, filter, count(*) AS n, round(avg(sqrt((x2 - x - u) ** 2 + (y2 - y - v) ** 2)), 4) AS mean_error FROM evaluated GROUP BY CUBE (type, filter)"),
-        "train_filter_rows": on_tracks("SELECT l.frame, l.i, l.j, l.label, c.i - l.i AS di, c.j - l.j AS dj, c.k, CASE WHEN c.val > 0 THEN 1 ELSE -1 END AS state FROM (SELECT p.frame, p.i, p.j, CASE WHEN t.type <> 'NO_OBJECT' THEN 1 ELSE 0 END AS label FROM places p JOIN types t ON t.frame = p.frame AND t.x = p.x AND t.y = p.y) l JOIN valued c ON c.frame = l.frame AND c.i BETWEEN l.i - 2 AND l.i + 2 AND c.j BETWEEN l.j - 2 AND l.j + 2 WHERE l.label = 1 OR (l.i * 7919 + l.j * 104729) % 10 = 0", valued="SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells"),
+        "train_filter_rows": with_views(
+            "SELECT frame, i, j, label, di, dj, k, coalesce(max(lp1), 0) AS lp1, coalesce(max(lp2), 0) AS lp2 FROM ("
+            "SELECT a.frame, a.i, a.j, label, di, dj, c.k, c.val AS lp1, NULL AS lp2 FROM moved a JOIN valued_cells c ON c.frame = a.frame AND c.i = a.i + di AND c.j = a.j + dj UNION ALL "
+            f"SELECT a.frame, a.i, a.j, label, di, dj, c.k, NULL, c.val FROM moved a JOIN valued_cells c ON c.frame = a.frame + 1 AND c.i = CAST(round(x2 / {RES}) AS INT) + {_N0 // 2} AND c.j = CAST(round(y2 / {RES}) AS INT) + {_N1 // 2}) GROUP BY ALL",
+            "scan_cells", "valued_cells", "tracks", "poses", **_TRACKED,
+            around5=f"SELECT p.frame, p.i, p.j, m.is_tracklet AS label, CAST(a - 2 AS INT) AS di, CAST(b - 2 AS INT) AS dj, p.x + CAST(a - 2 AS INT) * {RES} AS x, p.y + CAST(b - 2 AS INT) * {RES} AS y FROM places p JOIN match m ON m.frame = p.frame AND m.x = p.x AND m.y = p.y, range(5) s(a), range(5) t(b) WHERE {_in_view('m.x', 'm.y')} AND {_in_view('m.x2', 'm.y2')} AND (m.is_tracklet = 1 OR (p.i * 7919 + p.j * 104729) % 10 = 0)",
+            moved="SELECT *, cos(bh) * dx + sin(bh) * dy AS x2, -sin(bh) * dx + cos(bh) * dy AS y2 FROM (SELECT p.*, a.x + cos(a.h) * p.x - sin(a.h) * p.y - b.x AS dx, a.y + sin(a.h) * p.x + cos(a.h) * p.y - b.y AS dy, b.h AS bh FROM around5 p JOIN poses a ON a.frame = p.frame JOIN poses b ON b.frame = p.frame + 1)",
+        ),
         "project_grid": with_views(
             f"SELECT frame, i2 AS i, j2 AS j, k, sum(val) AS val FROM (SELECT frame, k, val, CAST(round(((i - {_N0 // 2}) * {RES} + {dx}) / {RES}) AS INT) + {_N0 // 2} AS i2, CAST(round(((j - {_N1 // 2}) * {RES} + {dy}) / {RES}) AS INT) + {_N1 // 2} AS j2 FROM moving) WHERE i2 BETWEEN 0 AND {_N0 - 1} AND j2 BETWEEN 0 AND {_N1 - 1} GROUP BY ALL",
             "scan_cells", "valued_cells", moving="SELECT *, (i % 7) * 0.3 - 0.9 AS h, CAST(j % 11 AS DOUBLE) AS v, CAST(((i + j) % 5) * 0.1 AS DOUBLE) AS w FROM valued_cells",
@@ -283,5 +290,5 @@ def all_oracles() -> dict[str, str]:
         "zbuffer": with_views(f"SELECT frame, CAST(trunc(u + 0.5) AS INT) AS w, CAST(trunc(v + 0.5) AS INT) AS h, round(min(d), 6) AS depth FROM (SELECT frame, {u} / {dep} AS u, {v} / {dep} AS v, {dep} AS d FROM pts WHERE {dep} > 0) WHERE u > -1.5 AND v > -1.5 AND trunc(u + 0.5) BETWEEN 0 AND 1241 AND trunc(v + 0.5) BETWEEN 0 AND 374 GROUP BY ALL", "scan_cells", pts=f"SELECT frame, {xyz} FROM scan_cells"),
         "occupied_boxes": on_grid(f"SELECT frame, {_rounded('x', 'y', 'z')}, CAST(0.225 AS DOUBLE) AS size FROM (SELECT frame, {xyz} FROM cells WHERE val > 0)"),
         "flow_arrows": on_flow(f"SELECT frame, {_rounded('x', 'y')}, round(x - u * {RES}, 6) AS x_from, round(y - v * {RES}, 6) AS y_from FROM (SELECT *, {_xy()} FROM m3 WHERE valid = 1)", ROUNDS),
-        "pose_trail": with_views(f"SELECT frame, round(x - cx, 6) AS x, round(y - cy, 6) AS y FROM poses, (SELECT arg_max(x, frame) AS cx, arg_max(y, frame) AS cy FROM poses)", "poses"),
+        "pose_trail": with_views("SELECT p.key, p.seq, round(p.x - l.x, 6) AS x, round(p.y - l.y, 6) AS y FROM pose_obs p JOIN (SELECT key, arg_max(x, seq) AS x, arg_max(y, seq) AS y FROM pose_obs GROUP BY key) l ON l.key = p.key", "pose_obs"),
     }

@@ -6,7 +6,8 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -18,3 +19,10 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
         top = Path(__file__).resolve().parents[1]
         spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/rangeweave", "zip", top, "rangeweave"))
+
+
+def bounded(small: DataFrame, rows: int) -> DataFrame:
+    """small for a broadcast, refused if it has more rows than that: nothing is ever left out."""
+    if small.count() > rows:
+        raise ValueError(f"more than {rows} rows in a table that is to be broadcast")
+    return F.broadcast(small)
