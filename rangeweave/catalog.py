@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeweave.functions import colour
-from rangeweave.functions.geometry import in_view
+from rangeweave.functions.geometry import in_view, project
 from rangeweave.operators import background, depth, evaluate, filters, flow, matcher, matching, occupancy, patches, poses, projection, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
+from rangeweave.sources import scans
 
 SPEC = fx.SPEC
 #: Displacements searched, and rounds, by the flow queries that SQL repeats; the _full ones take the operators' own.
@@ -79,6 +80,19 @@ def dense_trits(spark, d):
     return dense.select("frame", "key", F.when(F.col("val") > 0.1, 1).when(F.col("val") < -0.1, -1).otherwise(0).alias("t"))
 
 
+def z_slice_dense(spark, d):
+    return occupancy.dense_slice(_grid(spark, d), SPEC, 7)
+
+
+def posed_grid(spark, d):
+    return occupancy.accumulate(occupancy.posed(fx.raw_scan(spark, d), fx.frame_poses(spark, d)), SPEC)
+
+
+def packet_returns(spark, d):
+    out = scans.decode_packets(fx.packets(spark, d))
+    return out.select("packet_id", "block", "firing", "sorted", "intensity", *(_r(c).alias(c) for c in ("range", "theta", "phi", "x", "y", "z")))
+
+
 def count_nonzero(spark, d):
     return _grid(spark, d).groupBy("frame").agg(F.count_if(F.abs("val") > 1e-3).alias("n"))
 
@@ -98,6 +112,17 @@ def foreground_cells(spark, d):
     return background.foreground(fx.valued_cells(spark, d), background_filter(spark, d))
 
 
+def filtered_states(spark, d):
+    both = fx.valued_cells(spark, d).join(background_filter(spark, d).select("frame", "i", "j", "background"), ["frame", "i", "j"], "left")
+    p = _r(occupancy.probability(F.col("val"), F.col("background")))
+    return both.groupBy("frame", occupancy.state(F.col("val"), F.col("background")).alias("state"), p.alias("p")).agg(F.count("*").alias("n"))
+
+
+def foreground_boxes(spark, d):
+    g = foreground_cells(spark, d).where("val > 0")
+    return g.select("frame", *(_r(SPEC.metres(F.col(c), a)).alias(n) for a, (c, n) in enumerate(zip("ijk", "xyz", strict=True))), F.lit(round(0.75 * SPEC.res, 6)).alias("size"))
+
+
 # Flow
 
 
@@ -209,7 +234,7 @@ def _eval(spark, d):
 
 
 def eval_tracklets(spark, d):
-    f = flow_solve(spark, d).withColumn("sequence", F.lit(0).cast("long"))
+    f = flow_solve(spark, d).withColumn("sequence", F.expr(f"CAST(frame div {fx.DRIVE_FRAMES} AS BIGINT)"))
     rows = evaluate.tracklet_rows(_eval(spark, d), filters.tracklets(f, SPEC.res, SPEC.dims[:2]))
     return rows.select("frame", "i", "j", *(_r(c).alias(c) for c in ("x", "y", "x2", "y2", "ft_x", "ft_y")), "filter", "is_tracklet", "age", "type")
 
@@ -230,6 +255,13 @@ def train_match_rows(spark, d):
     return evaluate.match_rows(_match(spark, d), fx.scan_cells(spark, d), SPEC)
 
 
+def train_match_levels(spark, d):
+    pairs = evaluate.match_rows(_match(spark, d), fx.scan_cells(spark, d), SPEC)
+    out = evaluate.match_levels(pairs, fx.valued_cells(spark, d), SPEC)
+    both = out.select("frame", "i", "j", "i2", "j2", "label", F.posexplode(F.arrays_zip("p1", "p2")).alias("k", "p"))
+    return both.select("frame", "i", "j", "i2", "j2", "label", "k", _r("p.p1").alias("p1"), _r("p.p2").alias("p2"))
+
+
 def pick_lookup(spark, d):
     picks = fx.tracks(spark, d).selectExpr("frame", "tx AS x", "ty AS y").distinct()
     out = evaluate.lookup(picks, flow_solve(spark, d), background_filter(spark, d), tracks.object_at(picks, fx.tracks(spark, d)), fx.CAMERA, SPEC)
@@ -328,6 +360,34 @@ def flow_arrows(spark, d):
     return f.select("frame", _r(x).alias("x"), _r(y).alias("y"), _r(x - F.col("u") * SPEC.res).alias("x_from"), _r(y - F.col("v") * SPEC.res).alias("y_from"))
 
 
+def column_boxes(spark, d):
+    """The boxes of the columns that the tracks' centres pick."""
+    picks = fx.tracks(spark, d).select("frame", SPEC.nearest(F.col("tx"), 0).alias("i"), SPEC.nearest(F.col("ty"), 1).alias("j")).distinct().where(SPEC.inside(F.col("i"), F.col("j")))
+    c = picks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SPEC.n2 - 1))))
+    return c.select("frame", "i", "j", "k", *(_r(SPEC.metres(F.col(c), a)).alias(n) for a, (c, n) in enumerate(zip("ijk", "xyz", strict=True))))
+
+
+def track_boxes(spark, d):
+    red, green, blue = colour.of_type(F.col("objectType"))
+    return active_tracks(spark, d).select("track_id", "frame", _r("tx").alias("x"), _r("ty").alias("y"), F.lit(tracks.LIFT).alias("z"), _r("rz").alias("rz"), "l", "w", red.alias("r"), green.alias("g"), blue.alias("b"))
+
+
+def image_flow_lines(spark, d):
+    """Where an occupied cell of a moving column and the place it moves to are in the image, if both are."""
+    cells = fx.scan_cells(spark, d).join(flow_solve(spark, d).where("valid = 1").select("frame", "i", "j", "u", "v"), ["frame", "i", "j"])
+    x, y, z = (SPEC.metres(F.col(c), a) for a, c in enumerate("ijk"))
+    a = project((x, y, z), fx.CAMERA)
+    b = project((x + F.col("u") * SPEC.res, y + F.col("v") * SPEC.res, z), fx.CAMERA)
+    named = [c.alias(n) for c, n in zip((*a, *b), ("u1", "v1", "d1", "u2", "v2", "d2"), strict=True)]
+    inside = " AND ".join(f"d{e} > 0 AND u{e} BETWEEN 0 AND 1242 AND v{e} BETWEEN 0 AND 375" for e in (1, 2))
+    return cells.select("frame", "i", "j", "k", *named).where(inside).select("frame", "i", "j", "k", *(_r(c, 4).alias(c) for c in ("u1", "v1", "u2", "v2")))
+
+
+def roi_outlines(spark, d):
+    cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
+    return patches.outlines(cells, fx.CAMERA, SPEC).select("frame", "i", "j", "corner", _r("u", 3).alias("u"), _r("v", 3).alias("v"))
+
+
 def pose_trail(spark, d):
     p = poses.trail(fx.pose_observations(spark, d), "key", "seq")
     return p.select("key", "seq", _r("x").alias("x"), _r("y").alias("y"))
@@ -336,10 +396,10 @@ def pose_trail(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
-        grid_subset, dense_trits, count_nonzero, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
+        grid_subset, dense_trits, z_slice_dense, posed_grid, packet_returns, count_nonzero, filtered_states, foreground_boxes, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
         flow_estep, flow_mstep, flow_solve, flow_step_full, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
-        depth_fill, train_match_rows, pick_lookup, scan_match, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
+        depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rangeweave.functions.geometry import in_view
 from rangeweave.functions.grid_index import GridSpec
+from rangeweave.operators.occupancy import probability
 from rangeweave.operators.poses import project_points
 
 
@@ -75,6 +76,18 @@ def match_rows(match: DataFrame, columns: DataFrame, spec: GridSpec, span: int =
     return good.unionByName(bad)
 
 
+def match_levels(pairs: DataFrame, cells: DataFrame, spec: GridSpec) -> DataFrame:
+    """pairs (frame, i, j, i2, j2, label) with p1, p2: arrays of the levels' probabilities in both columns, a half where unknown."""
+    key = ["frame", "i", "j"]
+    level = F.map_from_entries(F.collect_list(F.struct("k", probability(F.col("val")).alias("p"))))
+    held = cells.where("val <> 0").groupBy(*key).agg(level.alias("m"))
+    later = held.select((F.col("frame") - 1).alias("frame"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("m").alias("m2"))
+    ks = F.sequence(F.lit(0), F.lit(spec.n2 - 1))
+    full = lambda m: F.transform(ks, lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.5)))
+    met = pairs.join(held, key, "left").join(later, ["frame", "i2", "j2"], "left")
+    return met.select(*key, "i2", "j2", "label", full(F.col("m")).alias("p1"), full(F.col("m2")).alias("p2"))
+
+
 def lookup(points: DataFrame, flow: DataFrame, filtered: DataFrame, types: DataFrame, camera: list[float], spec: GridSpec) -> DataFrame:
     """points (frame, x, y) with i, j (its cell), u, v, valid, background, type, seen: all that is known of a place."""
     at = points.select("frame", "x", "y", spec.nearest(F.col("x"), 0).alias("i"), spec.nearest(F.col("y"), 1).alias("j"))

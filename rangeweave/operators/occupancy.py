@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeweave.functions.geometry import rigid
 from rangeweave.functions.grid_index import GridSpec
+from rangeweave.operators.background import columns
 
 # Fixed values of the sensor model.
 ORIGIN = (0.0, 0.0, 1.73)
@@ -24,16 +26,29 @@ def own_body(x: Column, y: Column) -> Column:
     return (F.abs(x - 1.5) < 3) & (F.abs(y) < 1.75)
 
 
+def posed(points: DataFrame, poses: DataFrame, origin: tuple[float, float, float] = ORIGIN) -> DataFrame:
+    """points (frame, x, y, z) moved by their frame's pose (frame, x, y, z, r, p, h), with ox, oy, oz, the moved
+    origin of their rays, and body, whether they are of the vehicle itself (which is told before the move)."""
+    pose = poses.select("frame", *(F.col(c).alias(f"_{c}") for c in "xyzrph"))
+    met = points.select("frame", "x", "y", "z").join(pose, "frame")
+    at = tuple(F.col(f"_{c}") for c in "xyzrph")
+    hit, start = rigid((F.col("x"), F.col("y"), F.col("z")), at), rigid(tuple(map(F.lit, origin)), at)
+    named = [*zip("xyz", hit, strict=True), *zip(("ox", "oy", "oz"), start, strict=True)]
+    return met.select("frame", *(c.alias(n) for n, c in named), own_body(F.col("x"), F.col("y")).alias("body"))
+
+
 def ends(points: DataFrame, spec: GridSpec, masked: bool = True) -> DataFrame:
-    """frame, e0, e1, e2 (end cell, maybe outside), rays, hits.
+    """frame, e0, e1, e2 (end cell, maybe outside), rays, hits; of posed points also o0, o1, o2, the origin's cell.
 
     These few rows become many when they are walked, so they are dealt to all shuffle partitions:
     by size alone they would be put together in one task.
     """
-    hit = ~own_body(F.col("x"), F.col("y")) if masked else F.lit(True)
+    moved = "body" in points.columns
+    hit = ~(F.col("body") if moved else own_body(F.col("x"), F.col("y"))) if masked else F.lit(True)
     cells = [spec.endpoint(F.col(c), a).alias(f"e{a}") for a, c in enumerate("xyz")]
+    cells += [spec.endpoint(F.col(f"o{c}"), a).alias(f"o{a}") for a, c in enumerate("xyz")] if moved else []
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = points.select("frame", *cells, hit.cast("long").alias("h")).groupBy("frame", "e0", "e1", "e2").agg(F.count("*").alias("rays"), F.sum("h").alias("hits"))
+    counted = points.select("frame", *cells, hit.cast("long").alias("h")).groupBy("frame", *(c for n in ("e", "o")[: 1 + moved] for c in (f"{n}0", f"{n}1", f"{n}2"))).agg(F.count("*").alias("rays"), F.sum("h").alias("hits"))
     return counted.repartition(parts)
 
 
@@ -49,18 +64,17 @@ def _stepped(rays: DataFrame, spec: GridSpec, origin: tuple[float, float, float]
     and none if the origin is outside the grid; the end cell comes in any case. What a ray's steps share is
     worked out before the expansion, so that little is left to do for each of the many rows after it.
     """
-    p0 = origin_cell(spec, origin)
-    there = all(0 <= p < n for p, n in zip(p0, spec.dims, strict=True))
+    p0 = [F.col(f"o{a}") for a in range(3)] if "o0" in rays.columns else [F.lit(p) for p in origin_cell(spec, origin)]
     names = rays.columns
     far = F.greatest(*(F.abs(F.col(f"e{a}") - p0[a]) for a in range(3)))
     rays = rays.withColumn("_n", far)
     way = [F.when(F.col(f"e{a}") < p0[a], -1).otherwise(1).alias(f"_w{a}") for a in range(3)]
     twice = [(2 * F.abs(F.col(f"e{a}") - p0[a])).alias(f"_d{a}") for a in range(3)]
-    free = F.least(F.col("_n"), F.lit((max_cells or max(spec.dims)) - 1)) if there else F.lit(0)
+    free = F.when(spec.inside(*p0), F.least(F.col("_n"), F.lit((max_cells or max(spec.dims)) - 1))).otherwise(0)
     rays = rays.select(*names, "_n", F.greatest(2 * F.col("_n"), F.lit(1)).alias("_m"), *way, *twice, free.alias("_free"))
     each = rays.withColumn("_s", F.explode(F.sequence(F.lit(0), "_free")))
     each = each.withColumn("_t", F.when(F.col("_s") == F.col("_free"), F.col("_n")).otherwise(F.col("_s")))
-    cell = [F.expr(f"CAST({p0[a]} + _w{a} * ((_d{a} * _t + _n) div _m) AS INT)") for a in range(3)]
+    cell = [(p0[a] + F.expr(f"CAST(_w{a} * ((_d{a} * _t + _n) div _m) AS INT)")) for a in range(3)]
     each = each.where(spec.inside(*cell))
     return each.select(*names, ((cell[0].cast("long") * spec.n1 + cell[1]) * spec.n2 + cell[2]).alias("key"), (F.col("_s") == F.col("_free")).alias("last"))
 
@@ -71,7 +85,7 @@ def walk(rays: DataFrame, spec: GridSpec, origin: tuple[float, float, float] = O
 
 
 def accumulate(points: DataFrame, spec: GridSpec, origin: tuple[float, float, float] = ORIGIN, masked: bool = True, max_cells: int | None = None) -> DataFrame:
-    """frame, key, n_free, n_occ, val: the sparse grid of every frame. val is not clamped."""
+    """frame, key, n_free, n_occ, val: the sparse grid of every frame. val is not clamped. points: frame, x, y, z, or posed ones."""
     each = _stepped(ends(points, spec, masked), spec, origin, max_cells).where("NOT last OR hits > 0")
     nothing = F.lit(0).cast("long")
     return totals(each.select("frame", "key", F.when(F.col("last"), nothing).otherwise(F.col("rays")).alias("n_free"), F.when(F.col("last"), F.col("hits")).otherwise(nothing).alias("n_occ")), "frame", "key")
@@ -95,14 +109,16 @@ def clean(grid: DataFrame) -> DataFrame:
     return grid.where(F.abs("val") >= EMPTY)
 
 
-def probability(val: Column) -> Column:
-    """Of being occupied, the log-odds clipped first."""
-    return 1 - 1 / (1 + F.exp(F.greatest(F.lit(LOG_MIN), F.least(F.lit(LOG_MAX), val))))
+def probability(val: Column, filtered: Column | None = None) -> Column:
+    """Of being occupied, the log-odds clipped first; a half where the column is filtered (1)."""
+    p = 1 - 1 / (1 + F.exp(F.greatest(F.lit(LOG_MIN), F.least(F.lit(LOG_MAX), val))))
+    return p if filtered is None else F.when(filtered == 1, 0.5).otherwise(p)
 
 
-def state(val: Column) -> Column:
-    """The likelier state: 0 unknown, 1 free, 2 occupied."""
-    return F.when(val < 0, 1).when(val > 0, 2).otherwise(0)
+def state(val: Column, filtered: Column | None = None) -> Column:
+    """The likelier state: 0 unknown, 1 free, 2 occupied; unknown where the column is filtered (1)."""
+    s = F.when(val < 0, 1).when(val > 0, 2).otherwise(0)
+    return s if filtered is None else F.when(filtered == 1, 0).otherwise(s)
 
 
 def sign(val: Column) -> Column:
@@ -130,6 +146,13 @@ def densify(grid: DataFrame, frames: DataFrame, spec: GridSpec) -> DataFrame:
     return cells.join(grid, ["frame", "key"], "left").select("frame", "key", F.coalesce("val", F.lit(0.0)).alias("val"))
 
 
+def dense_slice(grid: DataFrame, spec: GridSpec, k: int) -> DataFrame:
+    """frame, i, j, s: the sign of level k in every column of every frame, 0 where the grid has none."""
+    cells = grid.select("frame", *spec.ijk(), "val").where(F.col("k") == k)
+    every = columns(grid.select("frame").distinct(), spec)
+    return every.join(cells, ["frame", "i", "j"], "left").select("frame", "i", "j", F.coalesce(sign(F.col("val")), F.lit(0)).alias("s"))
+
+
 def occluded(targets: DataFrame, grid: DataFrame, spec: GridSpec, origin: tuple[float, float, float] = ORIGIN) -> DataFrame:
     """frame, e0, e1, e2 of the target cells with an occupied cell on the way there."""
     way = walk(targets.select("frame", "e0", "e1", "e2").distinct(), spec, origin)

@@ -34,3 +34,20 @@ def depth_errors(columns: DataFrame, pixels: DataFrame, matrix: list[float], spe
     image = pixels.select("frame", "w", "h", F.col("depth").alias("measured"))
     met = samples(columns, matrix, spec, across, up).join(image, ["frame", "w", "h"], "left")
     return met.select("frame", "i", "j", "a", "b", error_byte(F.col("measured"), F.col("depth")).alias("error"))
+
+
+def patch_value(content: Column, a: Column, b: Column, channel: Column, across: int = ACROSS, up: int = UP, channels: int = 4) -> Column:
+    """The byte at sample (a, b) of a column's patch (binary, [across][up][channels]) times 255; -1 outside of it."""
+    at = (a * up + b) * channels + channel
+    inside = a.between(0, across - 1) & b.between(0, up - 1) & channel.between(0, channels - 1)
+    return F.when(inside, F.conv(F.hex(F.substring(content, at.cast("int") + 1, F.lit(1))), 16, 10).cast("double") * 255.0).otherwise(-1.0)
+
+
+def outlines(columns: DataFrame, matrix: list[float], spec: GridSpec) -> DataFrame:
+    """frame, i, j, corner, u, v: the corners of the face that patches sample, in the image, of columns (frame, i, j) before the camera."""
+    height = spec.n2 * spec.res
+    x = spec.metres(F.col("i"), 0) - spec.res / 2
+    c = columns.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    side, top = F.when(F.col("corner").isin(0, 3), -0.5).otherwise(0.5), F.when(F.col("corner") < 2, -0.5).otherwise(0.5)
+    u, v, d = project((x, spec.metres(F.col("j"), 1) + side * spec.res, top * height), matrix)
+    return c.select("frame", "i", "j", "corner", u.alias("u"), v.alias("v"), d.alias("d")).where("d > 0").drop("d")

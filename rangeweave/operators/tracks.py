@@ -14,6 +14,8 @@ from rangeweave.functions.geometry import compose, relative
 #: Edge of a tile in metres.
 TILE = 8.0
 NOTHING = "NO_OBJECT"
+#: Fixed value: how far above its pose a track's box is shown, in metres.
+LIFT = 0.8
 
 
 def active(tracks: DataFrame) -> DataFrame:

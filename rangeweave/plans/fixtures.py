@@ -47,6 +47,13 @@ MATCH_OFFSET, FILTER_OFFSET = -141, -20
 POSE = "CAST(0.3 * frame AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0.01 * frame AS DOUBLE) AS h"
 
 
+#: Of the vehicle in the frames of raw_scan.
+FRAME_POSE = (
+    "frame, CAST(0.3 AS DOUBLE) * frame AS x, CAST(-0.2 AS DOUBLE) * frame AS y, CAST(0.05 AS DOUBLE) AS z, CAST(0.01 AS DOUBLE) AS r, CAST(-0.02 AS DOUBLE) AS p, CAST(0.03 AS DOUBLE) * frame AS h"
+)
+PACKET_SLOT = "l_orderkey DIV_ 64 AS packet_id, (l_orderkey * 7 + l_linenumber * 53) % 384 AS slot, (l_partkey * 31 % 65536) * 256 + l_suppkey % 256 AS v"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,6 +87,29 @@ def drive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(table(spark, sf_dir, "lineitem"), DRIVE_SCAN.replace("DIV_", "div"))
 
 
+def frame_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, x, y, z, r, p, h of every frame of raw_scan."""
+    return pick(table(spark, sf_dir, "lineitem").selectExpr("CAST(l_linenumber AS INT) AS frame").distinct(), FRAME_POSE)
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packet_id, packet: the returns of 64 orders in a 1206-byte packet."""
+    slots = pick(table(spark, sf_dir, "lineitem"), PACKET_SLOT.replace("DIV_", "div")).groupBy("packet_id", "slot").agg(F.min("v").alias("v"))
+    held = slots.groupBy("packet_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
+
+    def ret(slot):
+        v = F.coalesce(F.try_element_at("m", slot), F.lit(0).cast("long"))
+        raw = F.shiftright(v, 8)
+        return F.lpad(F.hex(raw % 256 * 65536 + F.shiftright(raw, 8) * 256 + v % 256), 6, "0")
+
+    def block(b):
+        angle = (F.col("packet_id") * 97 + b * 40) % 36000
+        return F.concat(F.lit("FFEE"), F.lpad(F.hex(angle % 256 * 256 + F.shiftright(angle, 8)), 4, "0"), F.array_join(F.transform(F.sequence(b * 32, b * 32 + 31), lambda s: ret(s.cast("long"))), ""))
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), block), "")
+    return held.select("packet_id", F.unhex(F.concat(body, F.lit("00" * 6))).alias("packet"))
+
+
 def scan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame, i, j, k of occupied cells with a planted motion of (2, -1) cells a frame."""
     base = pick(table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), BASE_CELL).distinct()
@@ -132,6 +162,8 @@ def level_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "raw_scan": f"SELECT {RAW_SCAN} FROM lineitem",
     "drive_scan": f"SELECT {DRIVE_SCAN.replace('DIV_', '//')} FROM lineitem",
+    "frame_poses": f"SELECT {FRAME_POSE} FROM (SELECT DISTINCT CAST(l_linenumber AS INT) AS frame FROM lineitem)",
+    "slots": f"SELECT packet_id, slot, min(v) AS v FROM (SELECT {PACKET_SLOT.replace('DIV_', '//')} FROM lineitem) GROUP BY ALL",
     "frames": f"SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f)",
     "scan_cells": f"SELECT frame, {MOVE}, k FROM (SELECT DISTINCT {BASE_CELL} FROM lineitem WHERE l_linenumber <= 4) CROSS JOIN (SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f))",
     "valued_cells": "SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells",

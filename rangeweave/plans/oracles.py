@@ -6,6 +6,7 @@ from rangeweave.functions.geometry import VIEW_HEIGHT, VIEW_WIDTH
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators import matcher
 from rangeweave.plans.fixtures import CAMERA, FILTER_OFFSET, FRAMES, MATCH_OFFSET, SPEC, with_views
+from rangeweave.sources import scans
 
 SEARCH, ROUNDS = 3, 3
 RES = f"CAST({SPEC.res!r} AS DOUBLE)"
@@ -21,11 +22,12 @@ def _rays(s: GridSpec) -> str:
     return f"SELECT frame, {end}, CASE WHEN abs(x - 1.5) < 3 AND abs(y) < 1.75 THEN 0 ELSE 1 END AS hit FROM raw_scan"
 
 
-def _walked(s: GridSpec, limit: int, rays: str = "rays") -> str:
-    p = [round(o / s.res) + n // 2 for o, n in zip(ORIGIN, s.dims, strict=True)]
+def _walked(s: GridSpec, limit: int, rays: str = "rays", p: list[str] | None = None) -> str:
+    p = p or [round(o / s.res) + n // 2 for o, n in zip(ORIGIN, s.dims, strict=True)]
     far = "greatest(" + ", ".join(f"abs(e{a} - {p[a]})" for a in range(3)) + ")"
     cell = [f"(CASE WHEN e{a} < {p[a]} THEN -1 ELSE 1 END * ((2 * abs(e{a} - {p[a]}) * s + n) // (2 * n)) + {p[a]})" for a in range(3)]
-    return f"SELECT *, {_key(s, *cell)} AS key FROM (SELECT *, CAST(unnest(range(least(n, {limit - 1}))) AS INT) AS s FROM (SELECT *, {far} AS n FROM {rays}) WHERE n > 0)"
+    there = f"CASE WHEN {_key(s, *map(str, p))} >= 0 THEN least(n, {limit - 1}) ELSE 0 END"
+    return f"SELECT *, {_key(s, *cell)} AS key FROM (SELECT *, CAST(unnest(range({there})) AS INT) AS s FROM (SELECT *, {far} AS n FROM {rays}) WHERE n > 0)"
 
 
 def _grid(s: GridSpec, limit: int | None = None) -> str:
@@ -37,6 +39,40 @@ def _grid(s: GridSpec, limit: int | None = None) -> str:
     )
 
 
+def _posed() -> str:
+    """The grid of raw_scan moved by frame_poses, its rays from the moved origin."""
+    cr, sr, cp, sp, ch, sh = (f"{f}(q.{a})" for a in "rph" for f in ("cos", "sin"))
+    m = [
+        [f"{ch} * {cp}", f"({ch} * {sp} * {sr} - {sh} * {cr})", f"({ch} * {sp} * {cr} + {sh} * {sr})"],
+        [f"{sh} * {cp}", f"({sh} * {sp} * {sr} + {ch} * {cr})", f"({sh} * {sp} * {cr} - {ch} * {sr})"],
+        [f"-{sp}", f"{cp} * {sr}", f"{cp} * {cr}"],
+    ]
+    place = lambda a, v: " + ".join(f"{m[a][b]} * {v[b]}" for b in range(3)) + f" + q.{'xyz'[a]}"
+    cell = lambda c, a: f"CAST(round_even(({c}) / {SPEC.res!r}, 0) AS INT) + {SPEC.dims[a] // 2}"
+    start = [f"CAST({o!r} AS DOUBLE)" for o in ORIGIN]
+    cols = ", ".join(f"{cell(place(a, ('s.x', 's.y', 's.z')), a)} AS e{a}, {cell(place(a, start), a)} AS o{a}" for a in range(3))
+    end = _key(SPEC, "e0", "e1", "e2")
+    return with_views(
+        "SELECT frame, key, CAST(sum(f) AS BIGINT) AS n_free, CAST(sum(o) AS BIGINT) AS n_occ, (10 * sum(o) - sum(f)) / 10 AS val FROM ("
+        f"SELECT frame, key, 1 AS f, 0 AS o FROM ({_walked(SPEC, max(SPEC.dims), 'rays', ['o0', 'o1', 'o2'])}) WHERE key >= 0 "
+        f"UNION ALL SELECT frame, {end} AS key, 0, 1 FROM rays WHERE hit = 1 AND {end} >= 0) GROUP BY ALL",
+        "raw_scan", "frame_poses",
+        rays=f"SELECT s.frame, {cols}, CASE WHEN abs(s.x - 1.5) < 3 AND abs(s.y) < 1.75 THEN 0 ELSE 1 END AS hit FROM raw_scan s JOIN frame_poses q ON q.frame = s.frame",
+    )
+
+
+def _packets() -> str:
+    rank = {f: r for r, f in enumerate(sorted(range(len(scans.ELEVATIONS)), key=scans.ELEVATIONS.__getitem__))}
+    lasers = ", ".join(f"({f}, {rank[f]}, CAST({p!r} AS DOUBLE))" for f, p in enumerate(scans.ELEVATIONS))
+    number = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    return with_views(
+        f"SELECT packet_id, block, firing, sorted, intensity, {_rounded('range', 'theta', 'phi')}, round(range * cos(theta) * cos(phi), 6) AS x, round(-range * sin(theta) * cos(phi), 6) AS y, round(range * sin(phi), 6) AS z FROM turned JOIN lasers USING (firing) WHERE range >= {number(scans.NEAREST)}",
+        "slots", lasers=f"SELECT * FROM (VALUES {lasers}) t(firing, sorted, phi)",
+        late=f"SELECT packet_id, CAST(slot // 32 AS INT) AS block, CAST(slot % 32 AS INT) AS firing, CAST(v % 256 AS INT) AS intensity, (v // 256) * {number(scans.RANGE_UNIT)} AS range, ((packet_id * 97 + (slot // 32) * 40) % 36000) * {number(scans.ANGLE_UNIT)} + {number(scans.SPIN_RATE)} * (slot % 32) * {number(scans.LASER_DELAY)} AS a FROM slots",
+        turned="SELECT *, CASE WHEN a >= 2 * pi() THEN a - 2 * pi() ELSE a END AS theta FROM late",
+    )
+
+
 def _ijk(s: GridSpec = SPEC) -> str:
     return f"CAST(key // {s.n1 * s.n2} AS INT) AS i, CAST(key // {s.n2} % {s.n1} AS INT) AS j, CAST(key % {s.n2} AS INT) AS k"
 
@@ -255,6 +291,28 @@ def all_oracles() -> dict[str, str]:
         "grid_subset": _subset(),
         "dense_trits": on_grid(f"SELECT d.frame, r AS key, CASE WHEN coalesce(val, 0) > 0.1 THEN 1 WHEN coalesce(val, 0) < -0.1 THEN -1 ELSE 0 END AS t FROM (SELECT DISTINCT frame FROM grid) d CROSS JOIN range({SPEC.n0 * SPEC.n1 * SPEC.n2}) x(r) LEFT JOIN grid g ON g.frame = d.frame AND g.key = r"),
         "count_nonzero": on_grid("SELECT frame, count(*) FILTER (abs(val) > 1e-3) AS n FROM grid GROUP BY frame"),
+        "z_slice_dense": on_grid(f"SELECT d.frame, CAST(a AS INT) AS i, CAST(b AS INT) AS j, CAST(coalesce(sign(val), 0) AS INT) AS s FROM (SELECT DISTINCT frame FROM grid) d CROSS JOIN range({_N0}) x(a) CROSS JOIN range({_N1}) y(b) LEFT JOIN (SELECT * FROM cells WHERE k = 7) c ON c.frame = d.frame AND c.i = a AND c.j = b"),
+        "posed_grid": _posed(),
+        "packet_returns": _packets(),
+        "filtered_states": on_filter("SELECT c.frame, CASE WHEN background = 1 THEN 0 WHEN val < 0 THEN 1 WHEN val > 0 THEN 2 ELSE 0 END AS state, round(CASE WHEN background = 1 THEN 0.5 ELSE 1 - 1 / (1 + exp(greatest(-1.0, least(3.0, val)))) END, 6) AS p, count(*) AS n FROM valued_cells c JOIN filtered b ON b.frame = c.frame AND b.i = c.i AND b.j = c.j GROUP BY ALL"),
+        "foreground_boxes": on_filter(f"SELECT frame, {_rounded('x', 'y', 'z')}, CAST(0.225 AS DOUBLE) AS size FROM (SELECT c.frame, {_xy('c.')}, (c.k - {SPEC.n2 // 2}) * {RES} AS z FROM valued_cells c ANTI JOIN (SELECT * FROM filtered WHERE background = 1) b ON b.frame = c.frame AND b.i = c.i AND b.j = c.j WHERE c.val > 0)"),
+        "column_boxes": with_views(f"SELECT frame, i, j, k, {_rounded('x', 'y', 'z')} FROM (SELECT *, {xyz} FROM (SELECT DISTINCT frame, CAST(round(tx / {RES}) AS INT) + {_N0 // 2} AS i, CAST(round(ty / {RES}) AS INT) + {_N1 // 2} AS j FROM tracks), (SELECT CAST(c AS INT) AS k FROM range({SPEC.n2}) t(c)) WHERE i BETWEEN 0 AND {_N0 - 1} AND j BETWEEN 0 AND {_N1 - 1})", "tracks"),
+        "track_boxes": with_views("SELECT track_id, frame, round(tx, 6) AS x, round(ty, 6) AS y, CAST(0.8 AS DOUBLE) AS z, round(rz, 6) AS rz, l, w, CASE objectType WHEN 'Car' THEN 0 ELSE 255 END AS r, CASE objectType WHEN 'Cyclist' THEN 0 ELSE 255 END AS g, CASE WHEN objectType IN ('Car', 'Pedestrian', 'Person', 'Cyclist') THEN 0 ELSE 255 END AS b FROM tracks", "tracks"),
+        "image_flow_lines": on_flow(
+            f"SELECT frame, i, j, k, {_rounded('u1', 'v1', 'u2', 'v2', digits=4)} FROM (SELECT frame, i, j, k, " + ", ".join(f"{u} / nullif({dep}, 0) AS u{e}, {v} / nullif({dep}, 0) AS v{e}, {dep} AS d{e}".replace("* x ", f"* {px} ").replace("* y ", f"* {py} ") for e, px, py in ((1, "x", "y"), (2, "x2", "y2")))
+            + f" FROM (SELECT c.*, (c.i - {_N0 // 2}) * {RES} AS x, (c.j - {_N1 // 2}) * {RES} AS y, (c.k - {SPEC.n2 // 2}) * {RES} AS z, (c.i - {_N0 // 2}) * {RES} + f.u * {RES} AS x2, (c.j - {_N1 // 2}) * {RES} + f.v * {RES} AS y2 FROM scan_cells c JOIN m3 f ON f.frame = c.frame AND f.i = c.i AND f.j = c.j WHERE f.valid = 1)) WHERE d1 > 0 AND u1 BETWEEN 0 AND 1242 AND v1 BETWEEN 0 AND 375 AND d2 > 0 AND u2 BETWEEN 0 AND 1242 AND v2 BETWEEN 0 AND 375", ROUNDS),
+        "roi_outlines": with_views(
+            f"SELECT frame, i, j, corner, round({u} / {dep}, 3) AS u, round({v} / {dep}, 3) AS v FROM faces WHERE {dep} > 0", "scan_cells",
+            faces=f"SELECT frame, i, j, corner, (i - {_N0 // 2}) * {RES} - {SPEC.res / 2!r} AS x, (j - {_N1 // 2}) * {RES} + CASE WHEN corner IN (0, 3) THEN -0.5 ELSE 0.5 END * {RES} AS y, CASE WHEN corner < 2 THEN -0.5 ELSE 0.5 END * CAST({SPEC.n2 * SPEC.res!r} AS DOUBLE) AS z FROM (SELECT DISTINCT frame, i, j FROM scan_cells), (SELECT CAST(c AS INT) AS corner FROM range(4) t(c))",
+        ),
+        "train_match_levels": on_tracks(
+            "SELECT p.frame, p.i, p.j, p.i2, p.j2, p.label, p.k, round(coalesce(a.p, 0.5), 6) AS p1, round(coalesce(b.p, 0.5), 6) AS p2 FROM (SELECT * FROM chosen, (SELECT CAST(c AS INT) AS k FROM range(14) t(c))) p LEFT JOIN prob a ON a.frame = p.frame AND a.i = p.i AND a.j = p.j AND a.k = p.k LEFT JOIN prob b ON b.frame = p.frame + 1 AND b.i = p.i2 AND b.j = p.j2 AND b.k = p.k",
+            valued="SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells",
+            prob="SELECT *, 1 - 1 / (1 + exp(greatest(-1.0, least(3.0, val)))) AS p FROM valued",
+            paired=f"SELECT frame, {cell} FROM match",
+            chosen="SELECT p.frame, p.i, p.j, p.i2, p.j2, 1 AS label FROM paired p SEMI JOIN scan_cells c ON c.frame = p.frame + 1 AND c.i = p.i2 AND c.j = p.j2 UNION ALL "
+            f"SELECT frame, i, j, i + n // 31 - 15, j + n % 31 - 15, 0 FROM (SELECT *, (i * 31 + j * 17) % 961 AS n FROM paired WHERE (i * 7919 + j * 104729) % 10 = 0) WHERE (i + n // 31 - 15 <> i2 OR j + n % 31 - 15 <> j2) AND i + n // 31 - 15 BETWEEN 0 AND {_N0 - 1} AND j + n % 31 - 15 BETWEEN 0 AND {_N1 - 1}",
+        ),
         "background_filter": on_filter("SELECT * FROM filtered"),
         "filter_smooth": on_filter("SELECT f.frame, f.i, f.j, CASE WHEN 2 * sum(n.background) >= count(*) THEN 1 ELSE 0 END AS background FROM filtered f JOIN filtered n ON n.frame = f.frame AND n.i BETWEEN f.i - 1 AND f.i + 1 AND n.j BETWEEN f.j - 1 AND f.j + 1 GROUP BY ALL"),
         "foreground_cells": on_filter("SELECT c.* FROM valued_cells c ANTI JOIN (SELECT * FROM filtered WHERE background = 1) b ON b.frame = c.frame AND b.i = c.i AND b.j = c.j"),

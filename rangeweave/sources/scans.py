@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeweave.session import ship
+from rangeweave.session import bounded, ship
 
-POINT = "frame int, point_id int, x float, y float, z float, intensity smallint"
+POINT = "log string, frame int, point_id int, x float, y float, z float, intensity smallint"
 _NUMBER = r"(\d+)\.[^./]+$"
 
 
@@ -21,12 +23,17 @@ def frame_of(path: Column) -> Column:
     return F.regexp_extract(path, _NUMBER, 1).cast("int")
 
 
+def log_of(path: Column) -> Column:
+    """The folder that a file is in: the sequence that it belongs to."""
+    return F.regexp_extract(path, r"^(.*)/[^/]+$", 1)
+
+
 def unbroken(files: DataFrame) -> DataFrame:
-    """Files (frame, ...) up to the first gap from frame 0. Frame numbers alone are ordered."""
-    n = files.select("frame").distinct()
-    # In an unbroken run a frame's number is its rank; only the numbers (4 bytes a file) meet in one task.
-    good = n.withColumn("r", F.row_number().over(Window.orderBy("frame")) - 1).where("r = frame").select("frame")
-    return files.join(good, "frame", "left_semi")
+    """Files (log, frame, ...) of each log up to its first gap from frame 0."""
+    n = files.select("log", "frame").distinct()
+    # In an unbroken run a frame's number is its rank in its log.
+    good = n.withColumn("r", F.row_number().over(Window.partitionBy("log").orderBy("frame")) - 1).where("r = frame").select("log", "frame")
+    return files.join(good, ["log", "frame"], "left_semi")
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -35,20 +42,20 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     A file without a byte counts as missing, so the sequence ends before it.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    files = unbroken(files.select(frame_of(F.col("path")).alias("frame"), "content"))
+    files = unbroken(files.select(log_of(F.col("path")).alias("log"), frame_of(F.col("path")).alias("frame"), "content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for frame, raw in zip(b.column("frame").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for log, frame, raw in zip(*(b.column(c).to_pylist() for c in ("log", "frame", "content")), strict=True):
                 p = np.frombuffer(raw[: len(raw) // 16 * 16], dtype="<f4").reshape(-1, 4)
                 n = np.arange(len(p), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), frame, dtype=np.int32)), pa.array(n), *(pa.array(np.ascontiguousarray(p[:, a])) for a in range(3)), pa.array((p[:, 3] * 255).astype(np.int16))],
-                    ["frame", "point_id", "x", "y", "z", "intensity"],
+                    [pa.array([log] * len(p), pa.string()), pa.array(np.full(len(p), frame, dtype=np.int32)), pa.array(n), *(pa.array(np.ascontiguousarray(p[:, a])) for a in range(3)), pa.array((p[:, 3] * 255).astype(np.int16))],
+                    ["log", "frame", "point_id", "x", "y", "z", "intensity"],
                 )
 
     ship(spark)
-    return files.mapInArrow(run, POINT)
+    return files.select("log", "frame", "content").mapInArrow(run, POINT)
 
 
 def encode_binary(points: DataFrame) -> DataFrame:
@@ -63,63 +70,110 @@ def encode_binary(points: DataFrame) -> DataFrame:
     return points.select("frame", "point_id", "x", "y", "z", "intensity").groupBy("frame").applyInArrow(run, "frame int, content binary")
 
 
+def _text_rows(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.text(path, wholetext=True).withColumn("_path", F.input_file_name())
+    return files.select(log_of(F.col("_path")).alias("log"), frame_of(F.col("_path")).alias("frame"), F.split(F.trim("value", F.lit(" \t\r\n")), r"\R").alias("rows"))
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """frame, point_id, x, y, z of text scans: four rows of sensor places, a count, then x,y,z rows."""
-    files = spark.read.text(path, wholetext=True).select(frame_of(F.input_file_name()).alias("frame"), F.split(F.trim("value", F.lit(" \t\r\n")), r"\R").alias("rows"))
-    lines = files.select("frame", F.posexplode(F.slice("rows", 6, 1 << 30)).alias("point_id", "line"))
+    """log, frame, point_id, x, y, z of text scans: four rows of sensor places, a count, then x,y,z rows."""
+    lines = _text_rows(spark, path).select("log", "frame", F.posexplode(F.slice("rows", 6, 1 << 30)).alias("point_id", "line"))
     part = lambda a: F.get(F.split("line", ","), F.lit(a)).cast("double")
-    return lines.select("frame", "point_id", part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
+    return lines.select("log", "frame", "point_id", part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
+
+
+def read_text_sensors(spark: SparkSession, path: str) -> DataFrame:
+    """log, frame, sensor, x_vs (array of float): the places of the four sensors of text scans."""
+    lines = _text_rows(spark, path).select("log", "frame", F.posexplode(F.slice("rows", 1, 4)).alias("sensor", "line"))
+    return lines.select("log", "frame", "sensor", F.split(F.trim("line"), r"[,\s]+").cast("array<float>").alias("x_vs"))
 
 
-# Fixed values of a packet: block and return sizes, laser delay in degrees per 0.1 m/s spin unit.
-PACKET, BLOCKS, RETURNS, BLOCK_BYTES = 1206, 12, 32, 100
+# Fixed values of a packet: block and return sizes, a block's mark, radians of an angle's unit, metres of a
+# range's, the spin (radians a microsecond) and microseconds between the lasers of a block.
+PACKET, BLOCKS, RETURNS, BLOCK_BYTES, MARK = 1206, 12, 32, 100, 0xEEFF
+ANGLE_UNIT, RANGE_UNIT, SPIN_RATE, LASER_DELAY = 0.00017453293, 0.002, 0.00006283185, 1.152
 NEAREST = 0.1
+# The lasers' elevations in radians, in firing order.
+ELEVATIONS = (
+    -0.535292, -0.162839, -0.511905, -0.139626, -0.488692, -0.116239, -0.465305, -0.093026,
+    -0.442092, -0.069813, -0.418879, -0.046600, -0.395666, -0.023213, -0.372279, 0.000000,
+    -0.349066, 0.023213, -0.325853, 0.046600, -0.302466, 0.069813, -0.279253, 0.093026,
+    -0.256040, 0.116413, -0.232652, 0.139626, -0.209440, 0.162839, -0.186227, 0.186227,
+)
 
 
-def decode_packets(packets: DataFrame, lasers: DataFrame) -> DataFrame:
-    """packet_id, block, laser, range, theta, phi, intensity, x, y, z of 1206-byte packets (packet_id, packet).
+def laser_table(spark: SparkSession, elevations: tuple[float, ...] = ELEVATIONS) -> DataFrame:
+    """firing, sorted (rank by elevation), phi of a sensor's lasers."""
+    rank = {f: r for r, f in enumerate(sorted(range(len(elevations)), key=elevations.__getitem__))}
+    return spark.createDataFrame([(f, rank[f], float(p)) for f, p in enumerate(elevations)], "firing int, sorted int, phi double")
 
-    A block has a 2-byte mark, a 2-byte angle in hundredths of a degree and 32 returns of a 2-byte range
-    in 2 mm and an intensity. Packets of other sizes have no returns; ranges under 0.1 m are left out.
-    lasers: laser, phi (radians), at most 64 rows.
-    """
-    p = packets.where(F.octet_length("packet") == PACKET)
-    p = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("laser", F.explode(F.sequence(F.lit(0), F.lit(RETURNS - 1))))
 
-    def byte(at: Column) -> Column:
-        return F.conv(F.hex(F.substring("packet", at + 1, F.lit(1))), 16, 10).cast("int")
+def decode_packets(packets: DataFrame, lasers: DataFrame | None = None, keep: Column | None = None, intensities: DataFrame | None = None) -> DataFrame:
+    """packet_id, block, firing, sorted, range, theta, phi, intensity, x, y, z of 1206-byte packets (packet_id, packet).
+
+    A block has a 2-byte mark, a 2-byte angle in hundredths of a degree and 32 returns of a 2-byte range
+    in 2 mm and an intensity. A laser fires after the ones before it, so the sensor has turned on; angles are kept
+    below 2 pi. Packets of other sizes and blocks with another mark have no returns.
 
+    lasers: firing, sorted, phi (without: the stock table). keep: a condition on firing, sorted, theta, range, which
+    takes the place of "range is at least NEAREST". intensities: laser (sorted), raw, mapped.
+    """
+    p = packets.where(F.octet_length("packet") == PACKET).select("packet_id", F.hex("packet").alias("h"))
+    number = lambda at, n: F.conv(F.substring("h", 2 * at + 1, F.lit(2 * n)), 16, 10).cast("int")
+    low_first = lambda at: number(at, 1) + 256 * number(at + 1, 1)
+    p = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
     base = F.col("block") * BLOCK_BYTES
-    ret = base + 4 + 3 * F.col("laser")
-    p = p.withColumn("theta", F.radians((byte(base + 2) + 256 * byte(base + 3)) / 100.0))
-    p = p.withColumn("range", (byte(ret) + 256 * byte(ret + 1)) * 0.002).withColumn("intensity", byte(ret + 2)).where(F.col("range") >= NEAREST)
-    p = p.join(F.broadcast(lasers.limit(64)), "laser")
+    turn = low_first(base + 2) * ANGLE_UNIT
+    p = p.where(low_first(base) == MARK).withColumn("_turn", F.when(turn >= 2 * math.pi, 0.0).otherwise(turn))
+    p = p.withColumn("firing", F.explode(F.sequence(F.lit(0), F.lit(RETURNS - 1))))
+    ret = base + 4 + 3 * F.col("firing")
+    late = F.col("_turn") + SPIN_RATE * F.col("firing") * LASER_DELAY
+    p = p.select("packet_id", "block", "firing", F.when(late >= 2 * math.pi, late - 2 * math.pi).otherwise(late).alias("theta"), (low_first(ret) * RANGE_UNIT).alias("range"), number(ret + 2, 1).alias("intensity"))
+    p = p.join(bounded(laser_table(p.sparkSession) if lasers is None else lasers, 1_000), "firing")
+    p = p.where(F.col("range") >= NEAREST if keep is None else keep)
+    if intensities is not None:
+        remap = bounded(intensities.select(F.col("laser").alias("sorted"), F.col("raw").alias("intensity"), "mapped"), 256_000)
+        p = p.join(remap, ["sorted", "intensity"], "left").withColumn("intensity", F.coalesce("mapped", "intensity")).drop("mapped")
     r, t, f = F.col("range"), F.col("theta"), F.col("phi")
-    return p.select("packet_id", "block", "laser", "range", "theta", "phi", "intensity", (r * F.cos(t) * F.cos(f)).alias("x"), (-r * F.sin(t) * F.cos(f)).alias("y"), (r * F.sin(f)).alias("z"))
+    return p.select(
+        "packet_id", "block", "firing", "sorted", "range", "theta", "phi", "intensity",
+        (r * F.cos(t) * F.cos(f)).alias("x"), (-r * F.sin(t) * F.cos(f)).alias("y"), (r * F.sin(f)).alias("z"),
+    )
+
+
+def append(*clouds: DataFrame) -> DataFrame:
+    """The points of several clouds, columns by name; missing ones are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), clouds)
 
 
-def encode_grid(grid: DataFrame, dims: tuple[int, int, int], res: float) -> DataFrame:
-    """frame, content: each frame's sparse grid (frame, key, val) as one binary: int64 dims, float res,
-    double pose of 6 (zero), int64 time (frame), int32 count, int64 keys, float values."""
+_GRID_HEAD = "<3qf6dqi"
+
+
+def encode_grid(grid: DataFrame, dims: tuple[int, int, int], res: float, poses: DataFrame | None = None) -> DataFrame:
+    """frame, content: each frame's sparse grid (frame, key, val) as one binary: int64 dims, float res, double pose
+    of 6 (poses: frame, x, y, z, r, p, h; without: zeros), int64 time (frame), int32 count, int64 keys, float values."""
+    pose = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in "xyzrph"]
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("key")
         frame, key, val = t.column("frame")[0].as_py(), t.column("key").to_numpy(), t.column("val").to_numpy()
-        head = struct.pack("<3qf6dqi", *dims, res, *[0.0] * 6, frame, len(key))
+        head = struct.pack(_GRID_HEAD, *dims, res, *(t.column(c)[0].as_py() for c in "xyzrph"), frame, len(key))
         return pa.table({"frame": pa.array([frame], pa.int32()), "content": pa.array([head + key.astype("<i8").tobytes() + val.astype("<f4").tobytes()], pa.binary())})
 
     ship(grid.sparkSession)
-    return grid.select(F.col("frame").cast("int").alias("frame"), "key", "val").groupBy("frame").applyInArrow(run, "frame int, content binary")
+    g = grid.select(F.col("frame").cast("int").alias("frame"), "key", "val")
+    g = g.join(poses.select("frame", *"xyzrph"), "frame", "left") if poses is not None else g.withColumns({c: F.lit(0.0) for c in "xyzrph"})
+    return g.select("frame", "key", "val", *pose).groupBy("frame").applyInArrow(run, "frame int, content binary")
 
 
 def decode_grid(files: DataFrame) -> DataFrame:
     """frame, key, val from encode_grid's binaries (content)."""
-    head = struct.calcsize("<3qf6dqi")
+    head = struct.calcsize(_GRID_HEAD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column("content").to_pylist():
-                *_, frame, n = struct.unpack_from("<3qf6dqi", raw)
+                *_, frame, n = struct.unpack_from(_GRID_HEAD, raw)
                 key = np.frombuffer(raw, "<i8", n, head)
                 val = np.frombuffer(raw, "<f4", n, head + 8 * n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, frame, dtype=np.int32)), pa.array(key), pa.array(val)], ["frame", "key", "val"])
@@ -128,10 +182,43 @@ def decode_grid(files: DataFrame) -> DataFrame:
     return files.select("content").mapInArrow(run, "frame int, key bigint, val float")
 
 
+def grid_heads(files: DataFrame) -> DataFrame:
+    """frame, dims, res, pose, n: a row for each of encode_grid's binaries (content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [struct.unpack_from(_GRID_HEAD, raw) for raw in b.column("content").to_pylist()]
+            cols = [h[10] for h in heads], [h[:3] for h in heads], [h[3] for h in heads], [h[4:10] for h in heads], [h[11] for h in heads]
+            kinds = pa.int32(), pa.list_(pa.int64()), pa.float32(), pa.list_(pa.float64()), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["frame", "dims", "res", "pose", "n"])
+
+    ship(files.sparkSession)
+    return files.select("content").mapInArrow(run, "frame int, dims array<bigint>, res float, pose array<double>, n int")
+
+
+def write_trits(dense: DataFrame, path: str) -> None:
+    """A folder frame=N of text files for each frame: a line of -1, 0 or 1 for every cell, in key order (dense: frame, key, val)."""
+    trit = F.when(F.col("val") > 0.1, "1").when(F.col("val") < -0.1, "-1").otherwise("0")
+    lines = dense.select("frame", "key", trit.alias("value")).repartitionByRange("frame", "key").sortWithinPartitions("frame", "key")
+    lines.select("frame", "value").write.mode("overwrite").partitionBy("frame").text(path)
+
+
+def write_flow_csv(flow: DataFrame, dims: tuple[int, int], scale: float, path: str) -> None:
+    """A folder frame=N for each frame: three stacked matrices, n0 lines of n1 values: u and v times scale, then valid (flow: frame, i, j, u, v, valid)."""
+    whole = F.map_from_entries(F.collect_list(F.struct("j", F.array(F.col("u") * scale, F.col("v") * scale, F.col("valid").cast("double")).alias("x"))))
+    held = flow.groupBy("frame", "i").agg(whole.alias("m"))
+    every = flow.select("frame").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(dims[0] - 1)))).join(held, ["frame", "i"], "left")
+    every = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    value = lambda j: F.coalesce(F.try_element_at("m", j)[F.col("part")], F.lit(0.0))
+    shown = lambda j: F.when(F.col("part") == 2, value(j).cast("int").cast("string")).otherwise(F.format_string("%.6f", value(j)))
+    lines = every.select("frame", "part", "i", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(dims[1] - 1)), shown), ",").alias("value"))
+    lines.repartitionByRange("frame", "part", "i").sortWithinPartitions("frame", "part", "i").select("frame", "value").write.mode("overwrite").partitionBy("frame").text(path)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """frame, content of an image sequence up to its first gap."""
+    """log, frame, content of each image sequence up to its first gap."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
-    return unbroken(files.select(frame_of(F.col("path")).alias("frame"), "content"))
+    return unbroken(files.select(log_of(F.col("path")).alias("log"), frame_of(F.col("path")).alias("frame"), "content"))
 
 
 def encode_flow(flow: DataFrame, dims: tuple[int, int], res: float, dt: float) -> DataFrame:
