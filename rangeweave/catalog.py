@@ -127,7 +127,7 @@ def foreground_boxes(spark, d):
 
 
 def _scores(spark, d):
-    return flow.column_scores(fx.scan_cells(spark, d), fx.level_weights(spark, d), SPEC, SEARCH, fx.MATCH_OFFSET).where(f"frame < {fx.FRAMES - 1}")
+    return flow.column_scores(fx.scan_cells(spark, d), fx.level_weights(spark, d), SPEC, SEARCH, fx.MATCH_OFFSET).where(fx.FOLLOWED)
 
 
 def column_scores(spark, d):
@@ -205,7 +205,7 @@ def object_at(spark, d):
 
 
 def active_tracks(spark, d):
-    nested = fx.tracks(spark, d).groupBy("track_id", "objectType", "l", "w").agg(F.lit(0).alias("first_frame"), F.transform(F.array_sort(F.collect_list(F.struct("frame", "tx", "ty", "rz"))), lambda x: F.struct(x["tx"].alias("tx"), x["ty"].alias("ty"), x["rz"].alias("rz"))).alias("poses"))
+    nested = fx.tracks(spark, d).groupBy("track_id", "objectType", "l", "w").agg(F.min("frame").alias("first_frame"), F.transform(F.array_sort(F.collect_list(F.struct("frame", "tx", "ty", "rz"))), lambda x: F.struct(x["tx"].alias("tx"), x["ty"].alias("ty"), x["rz"].alias("rz"))).alias("poses"))
     return tracks.active(nested)
 
 
@@ -318,7 +318,7 @@ def depth_fill(spark, d):
 
 def scan_match(spark, d):
     p = _points(spark, d).select("frame", ((F.col("frame") * 1000 + F.round(F.col("x") / SPEC.res + 83)) * 1000000 + F.round(F.col("y") / SPEC.res + 83) * 1000 + F.round(F.col("z") / SPEC.res + 7)).cast("long").alias("point_id"), "x", "y", "z")
-    seeds = fx.poses(spark, d).where(f"frame < {fx.FRAMES - 1}").select("frame", F.lit(-0.5).alias("x"), F.lit(0.25).alias("y"), F.lit(0.0).alias("h"))
+    seeds = fx.poses(spark, d).where(fx.FOLLOWED).select("frame", F.lit(-0.5).alias("x"), F.lit(0.25).alias("y"), F.lit(0.0).alias("h"))
     out = matching.match_scans(p, seeds, 2, 0.9)
     return out.select("frame", _r("x", 4).alias("x"), _r("y", 4).alias("y"), _r("h", 4).alias("h"), "n", _r("error", 4).alias("error"))
 

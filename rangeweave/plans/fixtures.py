@@ -17,11 +17,18 @@ FRAMES = 3
 CAMERA = [609.0, -721.0, 0.0, 44.0, 172.0, 0.0, -721.0, 0.0, 1.0, 0.0, 0.0, 0.0]
 
 RAW_SCAN = "CAST(l_linenumber AS INT) AS frame, l_quantity - 25.5 AS x, (l_suppkey % 50) - 24.5 AS y, l_tax * 40 - 1.7 AS z"
-BASE_CELL = (
-    "CAST(20 + (l_partkey * 7919) % 127 AS INT) AS i0, CAST(20 + (l_orderkey * 104729 + l_suppkey) % 127 AS INT) AS j0, "
+#: Orders of one drive, and their share of suppliers; frames of different drives never follow each other.
+DRIVE_ORDERS, DRIVE_SUPPLIERS, DRIVE_FRAMES = 32_768, 218, 16
+DRIVE = f"CAST(l_orderkey DIV_ {DRIVE_ORDERS} AS INT) AS drive"
+#: Frame f of a drive.
+FRAME = f"CAST(drive * {DRIVE_FRAMES} + f AS INT) AS frame"
+#: Frames of scan_cells that have a next one.
+FOLLOWED = f"frame % {DRIVE_FRAMES} < {FRAMES - 1}"
+BASE_CELL = DRIVE + (
+    ", CAST(20 + (l_partkey * 7919) % 127 AS INT) AS i0, CAST(20 + (l_orderkey * 104729 + l_suppkey) % 127 AS INT) AS j0, "
     "CAST(l_linenumber + 2 AS INT) AS k"
 )
-MOVE = "CAST(i0 + 2 * frame AS INT) AS i, CAST(j0 - frame AS INT) AS j"
+MOVE = "CAST(i0 + 2 * f AS INT) AS i, CAST(j0 - f AS INT) AS j"
 OBSERVED = (
     "user_id AS key, event_id, ts, value / 50 AS y, (event_id % 628) / CAST(100 AS DOUBLE) - CAST(3.14 AS DOUBLE) AS h, value / 50 AS v_f, CAST(0.01 AS DOUBLE) AS v_h, value"
 )
@@ -30,7 +37,7 @@ POSITIONS = (
     "CAST(0 AS DOUBLE) AS alt, CAST(0 AS DOUBLE) AS roll, CAST(0 AS DOUBLE) AS pitch, (o_orderkey % 628) / CAST(100 AS DOUBLE) - CAST(3.14 AS DOUBLE) AS yaw, CAST(1 AS DOUBLE) AS vf, CAST(0 AS DOUBLE) AS wu"
 )
 TRACKS = (
-    "s_suppkey AS track_id, CAST(((s_suppkey * 37) % 83 - 41) + 0.6 * frame AS DOUBLE) AS tx, CAST(((s_suppkey * 53) % 83 - 41) - 0.3 * frame AS DOUBLE) AS ty, "
+    "s_suppkey AS track_id, CAST(((s_suppkey * 37) % 83 - 41) + 0.6 * f AS DOUBLE) AS tx, CAST(((s_suppkey * 53) % 83 - 41) - 0.3 * f AS DOUBLE) AS ty, "
     "CAST((s_suppkey % 7) * 0.4 AS DOUBLE) AS rz, CAST(4.5 AS DOUBLE) AS l, CAST(2.0 AS DOUBLE) AS w, "
     "CASE s_nationkey % 3 WHEN 0 THEN 'Car' WHEN 1 THEN 'Pedestrian' ELSE 'Cyclist' END AS objectType"
 )
@@ -38,13 +45,13 @@ WF = "(((di + 2) * 31 + (dj + 2) * 17 + k * 7) % 41) - 20"
 WO = "(((di + 2) * 13 + (dj + 2) * 29 + k * 11) % 61) - 30"
 LEVEL_WEIGHT = "40 + (k * 7) % 21"
 LEVEL_WEIGHTS = [40 + (k * 7) % 21 for k in range(SPEC.n2)]
-#: Orders of one drive; its scans are the line numbers. Frames of different drives never follow each other.
-DRIVE_ORDERS, DRIVE_FRAMES = 32_768, 16
+#: The scans of a drive are the line numbers.
 DRIVE_SCAN = f"CAST(l_orderkey DIV_ {DRIVE_ORDERS} * {DRIVE_FRAMES} + l_linenumber AS INT) AS frame, " + RAW_SCAN.split(", ", 1)[1]
 #: Offset of the column match and of the background filter, in hundredths.
 MATCH_OFFSET, FILTER_OFFSET = -141, -20
-#: The vehicle's place in frame f is (0.3 f, 0, 0.01 f).
-POSE = "CAST(0.3 * frame AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0.01 * frame AS DOUBLE) AS h"
+#: The vehicle's place in frame f of a drive is (0.3 f, 0, 0.01 f).
+POSE = "CAST(0.3 * f AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0.01 * f AS DOUBLE) AS h"
+SUPPLIER_DRIVE = f"*, CAST(s_suppkey DIV_ {DRIVE_SUPPLIERS} AS INT) AS drive"
 
 
 #: Of the vehicle in the frames of raw_scan.
@@ -71,11 +78,11 @@ def _items(text: str) -> list[str]:
 
 
 def pick(df: DataFrame, *lists: str) -> DataFrame:
-    return df.selectExpr(*(x for text in lists for x in _items(text)))
+    return df.selectExpr(*(x.replace("DIV_", "div") for text in lists for x in _items(text)))
 
 
 def _frames(df: DataFrame, n: int = FRAMES) -> DataFrame:
-    return df.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return df.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +91,7 @@ def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_scan in drives: the more orders, the more drives, each of up to 7 frames."""
-    return pick(table(spark, sf_dir, "lineitem"), DRIVE_SCAN.replace("DIV_", "div"))
+    return pick(table(spark, sf_dir, "lineitem"), DRIVE_SCAN)
 
 
 def frame_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +101,7 @@ def frame_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """packet_id, packet: the returns of 64 orders in a 1206-byte packet."""
-    slots = pick(table(spark, sf_dir, "lineitem"), PACKET_SLOT.replace("DIV_", "div")).groupBy("packet_id", "slot").agg(F.min("v").alias("v"))
+    slots = pick(table(spark, sf_dir, "lineitem"), PACKET_SLOT).groupBy("packet_id", "slot").agg(F.min("v").alias("v"))
     held = slots.groupBy("packet_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
 
     def ret(slot):
@@ -111,9 +118,9 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, i, j, k of occupied cells with a planted motion of (2, -1) cells a frame."""
-    base = pick(table(spark, sf_dir, "lineitem").where("l_linenumber <= 4"), BASE_CELL).distinct()
-    return pick(_frames(base), "frame, k", MOVE).select("frame", "i", "j", "k")
+    """frame, i, j, k of occupied cells with a planted motion of (2, -1) cells a frame: of every drive, three frames."""
+    base = pick(table(spark, sf_dir, "lineitem"), BASE_CELL).distinct()
+    return pick(_frames(base), FRAME, "k", MOVE).select("frame", "i", "j", "k")
 
 
 def valued_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +141,12 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pick(_frames(table(spark, sf_dir, "supplier")), "frame", TRACKS)
+    return pick(_frames(pick(table(spark, sf_dir, "supplier"), SUPPLIER_DRIVE)), FRAME, TRACKS)
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, x, y, h of the vehicle in the frames that the scans have and one more."""
-    frames = pick(_frames(table(spark, sf_dir, "region").limit(1), FRAMES + 1), "frame")
-    return pick(frames, "frame", POSE)
+    """frame, x, y, h of the vehicle in the frames that each drive's scans have and one more."""
+    return pick(_frames(pick(table(spark, sf_dir, "lineitem"), DRIVE).distinct(), FRAMES + 1), FRAME, POSE)
 
 
 def _grid_of(spark: SparkSession, sf_dir: str, ranges: dict[str, tuple[int, int]]) -> DataFrame:
@@ -158,19 +164,22 @@ def level_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(_grid_of(spark, sf_dir, {"k": (0, 13)}), f"k, {LEVEL_WEIGHT} AS wo")
 
 
+def _times(n: int) -> str:
+    return f"(SELECT CAST(t AS INT) AS f FROM range({n}) r(t))"
+
+
 # The same views for DuckDB.
 SQL = {
     "raw_scan": f"SELECT {RAW_SCAN} FROM lineitem",
-    "drive_scan": f"SELECT {DRIVE_SCAN.replace('DIV_', '//')} FROM lineitem",
+    "drive_scan": f"SELECT {DRIVE_SCAN} FROM lineitem",
     "frame_poses": f"SELECT {FRAME_POSE} FROM (SELECT DISTINCT CAST(l_linenumber AS INT) AS frame FROM lineitem)",
-    "slots": f"SELECT packet_id, slot, min(v) AS v FROM (SELECT {PACKET_SLOT.replace('DIV_', '//')} FROM lineitem) GROUP BY ALL",
-    "frames": f"SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f)",
-    "scan_cells": f"SELECT frame, {MOVE}, k FROM (SELECT DISTINCT {BASE_CELL} FROM lineitem WHERE l_linenumber <= 4) CROSS JOIN (SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f))",
+    "slots": f"SELECT packet_id, slot, min(v) AS v FROM (SELECT {PACKET_SLOT} FROM lineitem) GROUP BY ALL",
+    "scan_cells": f"SELECT {FRAME}, {MOVE}, k FROM (SELECT DISTINCT {BASE_CELL} FROM lineitem) CROSS JOIN {_times(FRAMES)}",
     "valued_cells": "SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells",
     "pose_obs": f"SELECT key, seq, seq * value / 100 AS x, y, h, v_f, v_h FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS seq FROM (SELECT {OBSERVED} FROM events))",
     "positions": f"SELECT {POSITIONS} FROM orders",
-    "tracks": f"SELECT frame, {TRACKS} FROM supplier CROSS JOIN (SELECT CAST(f AS INT) AS frame FROM range({FRAMES}) t(f))",
-    "poses": f"SELECT frame, {POSE} FROM (SELECT CAST(f AS INT) AS frame FROM range({FRAMES + 1}) t(f))",
+    "tracks": f"SELECT {FRAME}, {TRACKS} FROM (SELECT {SUPPLIER_DRIVE} FROM supplier) CROSS JOIN {_times(FRAMES)}",
+    "poses": f"SELECT {FRAME}, {POSE} FROM (SELECT DISTINCT {DRIVE} FROM lineitem) CROSS JOIN {_times(FRAMES + 1)}",
     "bg_model": f"SELECT di, dj, k, {WF} AS wf, {WO} AS wo FROM (SELECT CAST(a - 2 AS INT) AS di, CAST(b - 2 AS INT) AS dj, CAST(c AS INT) AS k FROM range(5) x(a), range(5) y(b), range(14) z(c))",
     "level_weights": f"SELECT k, {LEVEL_WEIGHT} AS wo FROM (SELECT CAST(c AS INT) AS k FROM range(14) z(c))",
 }
@@ -178,5 +187,5 @@ SQL = {
 
 def with_views(query: str, *names: str, **more: str) -> str:
     """A statement with the named views, and more, before it."""
-    parts = [f"{n} AS ({SQL[n]})" for n in names] + [f"{n} AS ({q})" for n, q in more.items()]
+    parts = [f"{n} AS ({SQL[n].replace('DIV_', '//')})" for n in names] + [f"{n} AS ({q})" for n, q in more.items()]
     return f"WITH {', '.join(parts)} {query}"

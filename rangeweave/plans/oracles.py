@@ -5,7 +5,7 @@ from __future__ import annotations
 from rangeweave.functions.geometry import VIEW_HEIGHT, VIEW_WIDTH
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators import matcher
-from rangeweave.plans.fixtures import CAMERA, FILTER_OFFSET, FRAMES, MATCH_OFFSET, SPEC, with_views
+from rangeweave.plans.fixtures import CAMERA, FILTER_OFFSET, FOLLOWED, MATCH_OFFSET, SPEC, with_views
 from rangeweave.sources import scans
 
 SEARCH, ROUNDS = 3, 3
@@ -112,7 +112,7 @@ def on_filter(query: str, **more: str) -> str:
 _N0, _N1 = SPEC.n0, SPEC.n1
 _WIN = {
     "disp": f"SELECT CAST(a - {SEARCH} AS INT) AS du, CAST(b - {SEARCH} AS INT) AS dv FROM range({2 * SEARCH + 1}) x(a), range({2 * SEARCH + 1}) y(b)",
-    "src": f"SELECT DISTINCT frame, i, j FROM scan_cells WHERE frame < {FRAMES - 1}",
+    "src": f"SELECT DISTINCT frame, i, j FROM scan_cells WHERE {FOLLOWED}",
     "hit": "SELECT c.frame, c.i, c.j, d.du, d.dv, sum(w.wo) AS s FROM scan_cells c CROSS JOIN disp d JOIN scan_cells n ON n.frame = c.frame + 1 AND n.i = c.i + d.du AND n.j = c.j + d.dv AND n.k = c.k JOIN level_weights w ON w.k = c.k GROUP BY ALL",
     "scores": f"SELECT s.frame, s.i, s.j, d.du, d.dv, CAST(round(-ln(1 + exp(-(coalesce(h.s, 0) + {MATCH_OFFSET}) / 100.0)) * 1000) AS BIGINT) AS score FROM src s CROSS JOIN disp d LEFT JOIN hit h ON h.frame = s.frame AND h.i = s.i AND h.j = s.j AND h.du = d.du AND h.dv = d.dv",
     "around": "SELECT CAST(a - 1 AS INT) AS a, CAST(b - 1 AS INT) AS b FROM range(3) x(a), range(3) y(b)",
@@ -269,7 +269,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "scan_match": with_views(
             f"SELECT frame, {_rounded('x', 'y', 'h', 'error', digits=4)}, n FROM pose2",
-            "scan_cells", pts=f"SELECT frame, row_number() OVER () AS id, {xyz} FROM scan_cells", seeds=f"SELECT CAST(f AS INT) AS frame, CAST(-0.5 AS DOUBLE) AS x, CAST(0.25 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS h FROM range({FRAMES - 1}) t(f)",
+            "scan_cells", "poses", pts=f"SELECT frame, row_number() OVER () AS id, {xyz} FROM scan_cells", seeds=f"SELECT frame, CAST(-0.5 AS DOUBLE) AS x, CAST(0.25 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS h FROM poses WHERE {FOLLOWED}",
             **_match_round("seeds", 1), **_match_round("pose1", 2),
         ),
         "roi_samples": with_views("SELECT frame, i, j, a, b, w, h, round(depth, 6) AS depth FROM samples", "scan_cells", samples=_samples()),
