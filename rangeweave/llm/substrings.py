@@ -9,9 +9,10 @@ Windows meet where they could be equal, and a compressed FM-index decides:
 2. What is left are anchors with different contexts around them. One context each goes to the shard of
    its anchor, where an FM-index of the shard's contexts is searched backward with every context;
    matching statistics cut at WINDOW give each window's least document.
-3. An anchor with more than ``HOT`` different contexts (a passage that very many documents share) would
-   overfill a shard. Its windows are dealt by their own digest instead, and their least document is
-   an aggregate with map-side combining.
+3. An anchor's different contexts are dealt to one shard for each ``HOT`` of them: a passage that very many
+   documents share is searched in several shards, each context in one. The windows that are a shard's least
+   meet those of the anchor's other shards: digests name the windows that several shards kept, which go
+   to shards of their own, where they are searched in the same way.
 
 Texts are shuffled only where a document has contexts to be searched or words to be removed.
 """
@@ -33,7 +34,7 @@ from .fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 10
-#: Contexts of a shard, about; different contexts of an anchor, beyond which it is hot.
+#: Contexts of a shard, about; different contexts of one anchor in a shard, about.
 SHARD, HOT = 12_000, 4_000
 #: Documents that may be named in a broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -138,8 +139,8 @@ def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _context_words(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
-    """h, c1, c2, m, hot, codes (binary, uint64 each) of representative contexts."""
-    lists = staged(reps.groupBy("doc_id", "q1", "q2").agg(F.collect_list(F.struct("h", "c1", "c2", "s0", "s1", "hot")).alias("spots")), "spots")
+    """h, c1, c2, m, kinds, codes (binary, uint64 each) of representative contexts."""
+    lists = staged(reps.groupBy("doc_id", "q1", "q2").agg(F.collect_list(F.struct("h", "c1", "c2", "s0", "s1", "kinds")).alias("spots")), "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = Words()
@@ -150,18 +151,22 @@ def _context_words(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
                 if digest(b" ".join(w)) != (a, c):
                     continue  # another text with this id
                 raw = coded(w).tobytes()
-                out += [(s["h"], s["c1"], s["c2"], doc, s["hot"], raw[8 * s["s0"] : 8 * (s["s1"] + window)]) for s in spots]
+                out += [(s["h"], s["c1"], s["c2"], doc, s["kinds"], raw[8 * s["s0"] : 8 * (s["s1"] + window)]) for s in spots]
             cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), b.schema.field("doc_id").type, pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["h", "c1", "c2", "m", "hot", "codes"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), b.schema.field("doc_id").type, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["h", "c1", "c2", "m", "kinds", "codes"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_text(docs, lists).select("doc_id", "text", "q1", "q2", "spots").mapInArrow(run, f"h bigint, c1 bigint, c2 bigint, m {kind}, hot boolean, codes binary")
+    return _with_text(docs, lists).select("doc_id", "text", "q1", "q2", "spots").mapInArrow(run, f"h bigint, c1 bigint, c2 bigint, m {kind}, kinds bigint, codes binary")
 
 
 def search_shard(shard: pa.Table, window: int) -> pa.Table:
-    """h, c1, c2, lo, hi: runs of a context's windows that also are in a context of a smaller document."""
+    """h, c1, c2, lo, hi, open: runs of windows that also are in a context of a smaller document. Of contexts
+    that are `split` over shards, the runs of all other windows as well, as open ones.
+
+    off: what is added to the places in a context's codes.
+    """
     codes = [np.frombuffer(x, dtype=np.uint64) for x in shard.column("codes").to_pylist()]
     m = shard.column("m").combine_chunks()
     m = pa.compute.rank(m, tiebreaker="dense").to_numpy().astype(np.int64)  # ids of any type, by their order
@@ -173,30 +178,63 @@ def search_shard(shard: pa.Table, window: int) -> pa.Table:
     owner = np.repeat(m, length + 1)
     begin = np.cumsum(length + 1) - length - 1
     least = FMIndex(text, owner, window).windows(text, begin, length)
-    found = np.nonzero((least >= 0) & (least < owner))[0]
-    cut = np.nonzero(np.diff(found) != 1)[0]
-    first, last = found[np.concatenate([[0], cut + 1])] if len(found) else found, found[np.concatenate([cut, [len(found) - 1]])] if len(found) else found
+    split = np.repeat(shard.column("split").to_numpy(), length + 1)
+    kind = np.where(least < 0, 0, np.where(least < owner, 1, np.where(split, 2, 0)))
+    cut = np.nonzero(np.diff(kind))[0] + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(kind)]]) - 1
+    some = kind[first] > 0
+    first, last = first[some], last[some]
     row = np.searchsorted(begin, first, side="right") - 1
-    keys = shard.select(["h", "c1", "c2"]).take(pa.array(row))
-    return keys.append_column("lo", pa.array((first - begin[row]).astype(np.int32))).append_column("hi", pa.array((last - begin[row]).astype(np.int32)))
+    to = shard.column("off").to_numpy()[row] - begin[row]
+    out = shard.select(["h", "c1", "c2"]).take(pa.array(row))
+    for name, x in ("lo", (first + to).astype(np.int32)), ("hi", (last + to).astype(np.int32)), ("open", kind[first] == 2):
+        out = out.append_column(name, pa.array(x))
+    return out
+
 
+def _search(texts: DataFrame, by: list[str], window: int, shard: int) -> DataFrame:
+    """Rows h, c1, c2, m, off, split, codes are dealt to shards by the columns `by`, and each shard is searched."""
+    texts = staged(texts, "words")
+    parts = max(1, -(-texts.count() // shard))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64(*by), F.lit(parts)))
+    return staged(dealt.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "h bigint, c1 bigint, c2 bigint, lo int, hi int, open boolean"), "found")
 
-def _hot_windows(ctx: DataFrame, window: int) -> DataFrame:
-    """h, c1, c2, m, off, d1, d2: a row for each window of the hot anchors' contexts."""
+
+def _windows(ctx: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """h, c1, c2, m, off, d1, d2, codes: a row for each window of the runs lo to hi of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, off, d = [], [], []
-            for i, raw in enumerate(b.column("codes").to_pylist()):
-                for k in range(len(raw) // 8 - window + 1):
-                    row.append(i)
-                    off.append(k)
-                    d.append(digest(raw[8 * k : 8 * (k + window)]))
+            row, off, raws = [], [], []
+            for i, (raw, lo, hi) in enumerate(zip(*(b.column(c).to_pylist() for c in ("codes", "lo", "hi")), strict=True)):
+                row += [i] * (hi - lo + 1)
+                off += range(lo, hi + 1)
+                raws += [raw[8 * k : 8 * (k + window)] for k in range(lo, hi + 1)]
+            d = list(map(digest, raws))
             keys = [b.column(c).take(pa.array(row, pa.int64())) for c in ("h", "c1", "c2", "m")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(off, pa.int32()), *(pa.array([x[k] for x in d], pa.int64()) for k in (0, 1))], ["h", "c1", "c2", "m", "off", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(off, pa.int32()), *(pa.array([x[k] for x in d], pa.int64()) for k in (0, 1)), pa.array(raws, pa.binary())], ["h", "c1", "c2", "m", "off", "d1", "d2", "codes"])
 
     kind = ctx.schema["m"].dataType.simpleString()
-    return ctx.mapInArrow(run, f"h bigint, c1 bigint, c2 bigint, m {kind}, off int, d1 bigint, d2 bigint")
+    return ctx.join(runs, ["h", "c1", "c2"]).select("h", "c1", "c2", "m", "codes", "lo", "hi").mapInArrow(run, f"h bigint, c1 bigint, c2 bigint, m {kind}, off int, d1 bigint, d2 bigint, codes binary")
+
+
+def search(ctx: DataFrame, window: int, hot: int, shard: int) -> DataFrame:
+    """h, c1, c2, lo, hi: the repeated windows of contexts (h, c1, c2, m, kinds, codes); kinds: contexts of h.
+
+    A window is repeated if a context of a smaller document has it. Each context is searched once among at
+    most about `hot` of its anchor's; what is kept as the least of a shard is searched once more among
+    the equal windows that other shards kept, of which there are at most kinds / hot, about.
+    """
+    shards = F.ceil(F.col("kinds") / hot)
+    dealt = ctx.select("h", "c1", "c2", "m", "codes", F.lit(0).alias("off"), (shards > 1).alias("split"), F.pmod(F.xxhash64("c1", "c2"), shards).alias("part"))
+    first = _search(dealt, ["h", "part"], window, shard)
+
+    # A table of digests alone: the windows' words are cut out again for those that meet others.
+    kept = staged(_windows(ctx, first.where("open").select("h", "c1", "c2", "lo", "hi"), window).drop("codes"), "windows")
+    several = staged(kept.groupBy("d1", "d2").agg(F.min("m").alias("a"), F.max("m").alias("z")).where("a < z").select("d1", "d2"), "several")
+    meet = kept.join(several, ["d1", "d2"]).select("h", "c1", "c2", F.col("off").alias("lo"), F.col("off").alias("hi"))
+    second = _search(_windows(ctx, meet, window).withColumn("split", F.lit(False)), ["d1", "d2"], window, shard)
+    return first.where("NOT open").unionByName(second).drop("open")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
@@ -221,16 +259,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
 
     settled = spots.where("doc_id > m").select(*key, F.col("s0").alias("start"), (F.col("s1") + window).alias("end"))
     # The smallest document of an anchor must be in the index, but has nothing to find.
-    mine = spots.where("doc_id = m AND kinds > 1").withColumn("hot", F.col("kinds") > hot)
+    mine = spots.where("doc_id = m AND kinds > 1")
     ctx = staged(_context_words(docs, mine.dropDuplicates(["h", "c1", "c2"]), window), "words")
-    cold = ctx.where(~F.col("hot"))
-    parts = max(1, -(-cold.count() // shard))
-    dealt = cold.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(parts)))
-    found = dealt.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "h bigint, c1 bigint, c2 bigint, lo int, hi int")
-    wins = staged(_hot_windows(ctx.where("hot"), window), "windows")
-    least = staged(wins.groupBy("d1", "d2").agg(F.min("m").alias("mm"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-    found = found.unionByName(wins.join(least, ["d1", "d2"]).where("mm < m").select("h", "c1", "c2", F.col("off").alias("lo"), F.col("off").alias("hi")))
-    searched = mine.join(staged(found, "found"), ["h", "c1", "c2"]).select(*key, (F.col("s0") + F.col("lo")).alias("start"), (F.col("s0") + F.col("hi") + window).alias("end"))
+    found = search(ctx, window, hot, shard)
+    searched = mine.join(found, ["h", "c1", "c2"]).select(*key, (F.col("s0") + F.col("lo")).alias("start"), (F.col("s0") + F.col("hi") + window).alias("end"))
 
     spans = settled.unionByName(searched).distinct().groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     out = seen.drop("anchors").join(staged(spans, "spans"), key, "left")
