@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, secrets, simhash, substrings, toxicity, urlfilter
+from . import bpe, decontaminate, langid, minhash, packing, quality, secrets, simhash, substrings, toxicity, urlfilter
 from .common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -93,5 +93,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(toxicity.score(docs, model), _held_out(5, 0))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
