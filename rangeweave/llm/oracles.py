@@ -108,6 +108,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (rid)
 """
 
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CLEAN} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_CLEAN} AS w FROM benchmark),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+norm AS (SELECT rid, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, total WHERE len(w) > 0),
+post AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+want AS (SELECT iid, item_id, term, count(*) AS times FROM (SELECT iid, item_id, unnest(w) AS term FROM i) GROUP BY iid, item_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM post GROUP BY term), total),
+scored AS (
+  SELECT iid, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM want JOIN weight USING (term) JOIN post USING (term) JOIN norm USING (rid) GROUP BY iid, item_id, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_secrets": OP4, "op6_url_filter": OP6, "op7_substrings": OP7}
+    return {"op2_decontamination": OP2, "op4_secrets": OP4, "op6_url_filter": OP6, "op7_substrings": OP7, "op12_search": OP12}
