@@ -10,7 +10,7 @@ from tests.test_queries import plain
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df, rel = queries.queries()[name](spark, data), con.sql(oracles.oracle_sql()[name])
     cols = sorted(df.columns)
@@ -20,4 +20,4 @@ def test_oracle(spark, data, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
