@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rangeweave.functions import colour
 from rangeweave.functions.geometry import in_view, project
-from rangeweave.operators import background, depth, evaluate, filters, flow, matcher, matching, occupancy, patches, poses, projection, tracks
+from rangeweave.operators import background, depth, evaluate, filters, flow, matcher, matching, occupancy, patches, poses, projection, registration, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
 from rangeweave.sources import scans
@@ -186,6 +186,16 @@ def pose_chain(spark, d):
     return poses.chain(s, "key", "seq").select("key", "seq", *(_r(c, 4).alias(c) for c in ("x", "y", "h")))
 
 
+def relative_pose6(spark, d):
+    s = poses.steps6(fx.full_poses(spark, d), "key", "seq")
+    return s.select("key", "seq", *(_r(f"d{c}").alias(f"d{c}") for c in registration.POSE))
+
+
+def pose_chain6(spark, d):
+    s = poses.chain6(fx.full_moves(spark, d), "key", "seq")
+    return s.select("key", "seq", *(_r(c, 4).alias(c) for c in registration.POSE))
+
+
 def _places(spark, d):
     cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
     return cells.select("frame", "i", "j", SPEC.metres(F.col("i"), 0).alias("x"), SPEC.metres(F.col("j"), 1).alias("y"))
@@ -323,6 +333,24 @@ def scan_match(spark, d):
     return out.select("frame", _r("x", 4).alias("x"), _r("y", 4).alias("y"), _r("h", 4).alias("h"), "n", _r("error", 4).alias("error"))
 
 
+def _scan_moves(spark, d):
+    """Of every drive's points, the motion from each scan to the next; expected: a bit less than the planted one."""
+    p = _points(spark, d).withColumn("point_id", F.xxhash64("x", "y", "z"))
+    zero = F.lit(0.0)
+    seeds = fx.poses(spark, d).where(fx.FOLLOWED).select("frame", F.lit(-0.5).alias("x"), F.lit(0.2).alias("y"), zero.alias("z"), zero.alias("r"), zero.alias("p"), F.lit(0.002).alias("h"))
+    return registration.match_scans(p, seeds)
+
+
+def scan_match_full(spark, d):
+    return _scan_moves(spark, d).select("frame", *(_r(c, 4).alias(c) for c in registration.POSE), "rounds", "converged", "n")
+
+
+def scan_match_log(spark, d):
+    """The matched motions of each drive, composed: where each scan was taken, seen from the drive's first."""
+    moves = _scan_moves(spark, d).withColumn("drive", F.expr(f"frame div {fx.DRIVE_FRAMES}"))
+    return poses.chain6(moves, "drive", "frame").select("drive", "frame", *(_r(c, 4).alias(c) for c in registration.POSE))
+
+
 def roi_samples(spark, d):
     cells = fx.scan_cells(spark, d).select("frame", "i", "j").distinct()
     return patches.samples(cells, fx.CAMERA, SPEC, 4, 8).withColumn("depth", _r("depth"))
@@ -397,9 +425,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
         grid_subset, dense_trits, z_slice_dense, posed_grid, packet_returns, count_nonzero, filtered_states, foreground_boxes, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
-        flow_estep, flow_mstep, flow_solve, flow_step_full, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, ego_project, object_at, active_tracks,
+        flow_estep, flow_mstep, flow_solve, flow_step_full, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, relative_pose6, pose_chain6, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
-        depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
+        depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, scan_match_full, scan_match_log, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}
 
 

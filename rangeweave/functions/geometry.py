@@ -47,6 +47,27 @@ def relative(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column])
     return c * dx + s * dy, -s * dx + c * dy, wrap(b[2] - a[2])
 
 
+def angles(m: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """r, p, h of a rotation, pitch within half a turn: the inverse of `rotation`."""
+    return F.atan2(m[2][1], m[2][2]), F.atan2(-m[2][0], F.hypot(m[0][0], m[1][0])), F.atan2(m[1][0], m[0][0])
+
+
+def _product(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    return [[sum((a[i][k] * b[k][j] for k in range(1, 3)), a[i][0] * b[0][j]) for j in range(3)] for i in range(3)]
+
+
+def compose6(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Head-to-tail: pose a followed by pose b (x, y, z, r, p, h each)."""
+    return *rigid(b[:3], a), *angles(_product(rotation(*a[3:]), rotation(*b[3:])))
+
+
+def relative6(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Tail-to-tail: pose b seen from pose a."""
+    back = [list(c) for c in zip(*rotation(*a[3:]), strict=True)]
+    off = [b[k] - a[k] for k in range(3)]
+    return *(r[0] * off[0] + r[1] * off[1] + r[2] * off[2] for r in back), *angles(_product(back, rotation(*b[3:])))
+
+
 def mercator(lat: Column, lon: Column, scale: Column) -> tuple[Column, Column]:
     """Metres east and north; scale: the cosine of the log's first latitude."""
     x = scale * lon * math.pi * EARTH_RADIUS / 180

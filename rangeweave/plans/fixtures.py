@@ -32,6 +32,9 @@ MOVE = "CAST(i0 + 2 * f AS INT) AS i, CAST(j0 - f AS INT) AS j"
 OBSERVED = (
     "user_id AS key, event_id, ts, value / 50 AS y, (event_id % 628) / CAST(100 AS DOUBLE) - CAST(3.14 AS DOUBLE) AS h, value / 50 AS v_f, CAST(0.01 AS DOUBLE) AS v_h, value"
 )
+#: A pose in space of every observation, and a step from it to the next.
+FULL_POSE = "key, seq, x, y, CAST(0.01 * seq AS DOUBLE) AS z, CAST(h / 10 AS DOUBLE) AS r, CAST(-h / 20 AS DOUBLE) AS p, h"
+FULL_MOVE = "key, seq, v_f / 10 AS x, v_f / 40 AS y, CAST(0.02 * h AS DOUBLE) AS z, CAST(0.01 * h AS DOUBLE) AS r, CAST(-0.02 * h AS DOUBLE) AS p, CAST(0.05 * h AS DOUBLE) AS h"
 POSITIONS = (
     "CAST(o_custkey % 20 AS INT) AS log, o_orderkey AS frame, CAST(49 + (o_custkey % 1000) * 0.0001 AS DOUBLE) AS lat, CAST(8.4 + (o_orderkey % 1000) * 0.0001 AS DOUBLE) AS lon, "
     "CAST(0 AS DOUBLE) AS alt, CAST(0 AS DOUBLE) AS roll, CAST(0 AS DOUBLE) AS pitch, (o_orderkey % 628) / CAST(100 AS DOUBLE) - CAST(3.14 AS DOUBLE) AS yaw, CAST(1 AS DOUBLE) AS vf, CAST(0 AS DOUBLE) AS wu"
@@ -136,6 +139,14 @@ def pose_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("seq", seq).selectExpr("key", "seq", "seq * value / 100 AS x", "y", "h", "v_f", "v_h")
 
 
+def full_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pick(pose_observations(spark, sf_dir), FULL_POSE)
+
+
+def full_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pick(pose_observations(spark, sf_dir), FULL_MOVE)
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(table(spark, sf_dir, "orders"), POSITIONS)
 
@@ -177,6 +188,8 @@ SQL = {
     "scan_cells": f"SELECT {FRAME}, {MOVE}, k FROM (SELECT DISTINCT {BASE_CELL} FROM lineitem) CROSS JOIN {_times(FRAMES)}",
     "valued_cells": "SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells",
     "pose_obs": f"SELECT key, seq, seq * value / 100 AS x, y, h, v_f, v_h FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS seq FROM (SELECT {OBSERVED} FROM events))",
+    "full_poses": f"SELECT {FULL_POSE} FROM pose_obs",
+    "full_moves": f"SELECT {FULL_MOVE} FROM pose_obs",
     "positions": f"SELECT {POSITIONS} FROM orders",
     "tracks": f"SELECT {FRAME}, {TRACKS} FROM (SELECT {SUPPLIER_DRIVE} FROM supplier) CROSS JOIN {_times(FRAMES)}",
     "poses": f"SELECT {FRAME}, {POSE} FROM (SELECT DISTINCT {DRIVE} FROM lineitem) CROSS JOIN {_times(FRAMES + 1)}",

@@ -247,6 +247,41 @@ def _match_round(last: str, n: int) -> dict[str, str]:
     }
 
 
+def _turn(r: str, p: str, h: str) -> list[list[str]]:
+    """Rz(h) Ry(p) Rx(r)."""
+    s, c = "sin({})".format, "cos({})".format
+    return [
+        [f"{c(h)} * {c(p)}", f"({c(h)} * {s(p)} * {s(r)} - {s(h)} * {c(r)})", f"({c(h)} * {s(p)} * {c(r)} + {s(h)} * {s(r)})"],
+        [f"{s(h)} * {c(p)}", f"({s(h)} * {s(p)} * {s(r)} + {c(h)} * {c(r)})", f"({s(h)} * {s(p)} * {c(r)} - {c(h)} * {s(r)})"],
+        [f"(-{s(p)})", f"{c(p)} * {s(r)}", f"{c(p)} * {c(r)}"],
+    ]
+
+
+def _pose_of(m: list[list[str]], place: list[str], digits: int, names: list[str]) -> str:
+    turn = (f"atan2({m[2][1]}, {m[2][2]})", f"atan2(-({m[2][0]}), sqrt(({m[0][0]}) ** 2 + ({m[1][0]}) ** 2))", f"atan2({m[1][0]}, {m[0][0]})")
+    return ", ".join(f"round({c}, {digits}) AS {n}" for c, n in zip((*place, *turn), names, strict=True))
+
+
+def _space() -> dict[str, str]:
+    """Relative poses in space, and chains of them, a step a recursion."""
+    pose = list("xyzrph")
+    a, b = _turn("pr", "pp", "ph"), _turn("r", "p", "h")
+    back = [[" + ".join(f"{a[k][i]} * {b[k][j]}" for k in range(3)) for j in range(3)] for i in range(3)]
+    off = [" + ".join(f"{a[k][i]} * ({c} - p{c})" for k, c in enumerate("xyz")) for i in range(3)]
+    lags = ", ".join(f"lag({c}) OVER (PARTITION BY key ORDER BY seq) AS p{c}" for c in pose)
+    entries = [f"m{i}{j}" for i in range(3) for j in range(4)]
+    first = [f"{b[i][j]} AS m{i}{j}" if j < 3 else f"{'xyz'[i]} AS m{i}3" for i in range(3) for j in range(4)]
+    then = [" + ".join(f"c.m{i}{k} * t.m{k}{j}" for k in range(3)) + (f" + c.m{i}3" if j == 3 else "") for i in range(3) for j in range(4)]
+    chain = f"SELECT * FROM turns WHERE seq = 1 UNION ALL SELECT t.key, t.seq, {', '.join(then)} FROM chained c JOIN turns t ON t.key = c.key AND t.seq = c.seq + 1"
+    m = [[f"m{i}{j}" for j in range(3)] for i in range(3)]
+    turns = f"SELECT key, seq, {', '.join(first)} FROM full_moves"
+    composed = f"SELECT key, seq, {_pose_of(m, ['m03', 'm13', 'm23'], 4, pose)} FROM chained"
+    return {
+        "relative_pose6": with_views(f"SELECT key, seq, {_pose_of(back, off, 6, ['d' + c for c in pose])} FROM (SELECT *, {lags} FROM full_poses) WHERE px IS NOT NULL", "pose_obs", "full_poses"),
+        "pose_chain6": with_views(composed, "pose_obs", "full_moves", turns=turns, **{f"chained(key, seq, {', '.join(entries)})": chain}).replace("WITH ", "WITH RECURSIVE ", 1),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     x, y, h = ("lag({0}) OVER (PARTITION BY key ORDER BY seq) AS p{0}".format(c) for c in "xyh")
     dx, dy = _travel()
@@ -255,7 +290,7 @@ def all_oracles() -> dict[str, str]:
     image = f"SELECT frame, CAST(trunc(u + 0.5) AS INT) AS w, CAST(trunc(v + 0.5) AS INT) AS h, min(d) AS measured FROM (SELECT frame, {u} / {dep} AS u, {v} / {dep} AS v, {dep} AS d FROM pts WHERE {dep} > 0) WHERE u > -1.5 AND v > -1.5 GROUP BY ALL"
     cell = ", ".join(f"CAST(round({c} / {RES}) AS INT) + {n // 2} AS {k}" for c, n, k in (("x", _N0, "i"), ("y", _N1, "j"), ("x2", _N0, "i2"), ("y2", _N1, "j2")))
     ramp = [f"CAST(round({_unit(f'1.5 - abs(4 * s - {m})')} * 255) AS INT) AS {c}" for c, m in zip("rgb", (3.0, 2.0, 1.0), strict=True)]
-    return {
+    return _space() | {
         "train_match_rows": on_tracks(
             f"SELECT p.frame, p.i, p.j, p.i2, p.j2, 1 AS label FROM paired p SEMI JOIN scan_cells c ON c.frame = p.frame + 1 AND c.i = p.i2 AND c.j = p.j2 UNION ALL "
             f"SELECT frame, i, j, i + n // 31 - 15, j + n % 31 - 15, 0 FROM (SELECT *, (i * 31 + j * 17) % 961 AS n FROM paired WHERE (i * 7919 + j * 104729) % 10 = 0) WHERE (i + n // 31 - 15 <> i2 OR j + n % 31 - 15 <> j2) AND i + n // 31 - 15 BETWEEN 0 AND {_N0 - 1} AND j + n % 31 - 15 BETWEEN 0 AND {_N1 - 1}",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,22 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
     if small.count() > rows:
         raise ValueError(f"more than {rows} rows in a table that is to be broadcast")
     return F.broadcast(small)
+
+
+_folders: dict[str, str] = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir), read back: lineage ends there.
+
+    Where the setting is missing, a local session gets a folder of its own, and a cluster session is refused.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rangeweave-"))
+    path = f"{top.rstrip('/')}/rangeweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
