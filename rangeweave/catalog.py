@@ -156,12 +156,22 @@ def _drive_columns(spark, d):
     return matcher.columns(occupancy.accumulate(fx.drive_scan(spark, d), SPEC), SPEC)
 
 
+def _mask(spark, d):
+    return matcher.Filter.of(fx.bg_model(spark, d), SPEC, fx.DRIVE_FILTER_OFFSET)
+
+
 def flow_step_full(spark, d):
-    return matcher.flow(_drive_columns(spark, d), SPEC, rounds=1)
+    """The first round of the full match of the foreground columns."""
+    return matcher.flow(_drive_columns(spark, d), SPEC, rounds=1, filter=_mask(spark, d))
+
+
+def flow_step_tiles(spark, d):
+    """The same by tiles of 64 columns."""
+    return matcher.flow_tiles(_drive_columns(spark, d), SPEC, rounds=1, filter=_mask(spark, d))
 
 
 def flow_solve_full(spark, d):
-    return matcher.flow(_drive_columns(spark, d), SPEC)
+    return matcher.flow(_drive_columns(spark, d), SPEC, filter=_mask(spark, d))
 
 
 def flow_reverse(spark, d):
@@ -425,7 +435,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
         grid_subset, dense_trits, z_slice_dense, posed_grid, packet_returns, count_nonzero, filtered_states, foreground_boxes, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
-        flow_estep, flow_mstep, flow_solve, flow_step_full, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, relative_pose6, pose_chain6, ego_project, object_at, active_tracks,
+        flow_estep, flow_mstep, flow_solve, flow_step_full, flow_step_tiles, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, relative_pose6, pose_chain6, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
         depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, scan_match_full, scan_match_log, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}

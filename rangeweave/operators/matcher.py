@@ -1,13 +1,16 @@
 """Motion of grid columns with the full learned match: every displacement of the search, all rounds.
 
-A pair of scans is one group: at most n0 * n1 columns a scan, two bit masks each, whatever the log's
-length; the number of pairs is what grows. Spark makes the columns from the grid and deals the pairs;
-inside a task numpy scores a pair and settles who goes where.
+`flow` takes a pair of scans as one group: at most n0 * n1 columns a scan, two bit masks each, whatever the log's
+length; the number of pairs is what grows. `flow_tiles` takes square tiles of a pair instead, for grids of any size: a tile
+sees the columns around it that its scores and claims depend on, and between rounds the claims are settled by a
+shuffle on their targets and dealt to the tiles that they concern. Both give the same rows. Spark makes the columns from
+the grid and deals them; inside a task numpy scores and proposes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeweave.functions.grid_index import GridSpec
-from rangeweave.operators.flow import EMPTY_SCORE, LENGTH_COST, OUTSIDE_SCORE, SCALE, SMOOTH
+from rangeweave.operators.background import MODEL_ROWS, WINDOW
+from rangeweave.operators.flow import EMPTY_SCORE, LENGTH_COST, OUTSIDE_SCORE, SCALE, SMOOTH, resolve
 from rangeweave.operators.occupancy import probability
-from rangeweave.session import ship
+from rangeweave.session import bounded, ship, stored
 
 # Fixed values, in hundredths: what a level adds that is free in both scans, occupied in both, or free
 # in one and occupied in the other; and the offset of the sum.
@@ -53,89 +57,254 @@ def _box(plane: np.ndarray, r: int) -> np.ndarray:
     return plane
 
 
-def window_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int) -> np.ndarray:
-    """[source column, displacement]: 3x3 sums of log match scores in 1 / SCALE.
+def _bits(masks: np.ndarray, n: int) -> np.ndarray:
+    return (masks[:, None] >> np.arange(n) & 1).astype(np.float32)
+
+
+@dataclass
+class Filter:
+    """Weights [2 * WINDOW + 1, 2 * WINDOW + 1, level] of free and of occupied cells around a column, and the offset of their sum."""
+
+    free: np.ndarray
+    occupied: np.ndarray
+    offset: int
+
+    @classmethod
+    def of(cls, model: DataFrame, spec: GridSpec, offset: int) -> Filter:
+        """model: di, dj, k, wf, wo, as for background.classify; it comes to the driver, refused beyond MODEL_ROWS rows."""
+        free, occupied = (np.zeros((2 * WINDOW + 1, 2 * WINDOW + 1, spec.n2), dtype=np.float32) for _ in range(2))
+        for r in bounded(model, MODEL_ROWS).collect():
+            at = r["di"] + WINDOW, r["dj"] + WINDOW, r["k"]
+            free[at], occupied[at] = r["wf"], r["wo"]
+        return cls(free, occupied, offset)
+
+    def background(self, cols: np.ndarray, spec: GridSpec) -> np.ndarray:
+        """Whether each column of a scan (rows i, j, free, occupied) is background: background.classify of those columns."""
+        if not len(cols):
+            return np.zeros(0, dtype=bool)
+        i, j = (cols[:, a] - cols[:, a].min() + WINDOW for a in (0, 1))
+        f, o = _bits(cols[:, 2], spec.n2), _bits(cols[:, 3], spec.n2)
+        score = np.zeros((i.max() + 2 * WINDOW + 1, j.max() + 2 * WINDOW + 1))
+        for a in range(2 * WINDOW + 1):
+            for b in range(2 * WINDOW + 1):
+                score[i - a + WINDOW, j - b + WINDOW] += f @ self.free[a, b] + o @ self.occupied[a, b]
+        return score[i, j] + self.offset <= 0
+
+
+def window_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int, own: np.ndarray | None = None) -> np.ndarray:
+    """[source column, displacement]: 3x3 sums of log match scores in 1 / SCALE. own: the source rows that are wanted (all).
 
     source, later: rows (i, j, free, occupied). A neighbour that is no source counts as EMPTY_SCORE,
     one outside the grid as OUTSIDE_SCORE; a later column outside the grid has no level known.
     """
-    bits = lambda m: (m[:, None] >> np.arange(spec.n2) & 1).astype(np.float32)
+    own = np.ones(len(source), dtype=bool) if own is None else own
+    out = np.empty((int(own.sum()), (2 * w + 1) ** 2), dtype=np.int32)
+    if not len(out):
+        return out
     free, occupied, mixed = (np.array(x, dtype=np.float32) for x in weights)
-    mine = np.concatenate([bits(source[:, 2]), bits(source[:, 3])], axis=1)
-    f, o = bits(later[:, 2]), bits(later[:, 3])
-    ahead = np.zeros((spec.n0 + 2 * w, spec.n1 + 2 * w, 2 * spec.n2), dtype=np.float32)
-    ahead[later[:, 0] + w, later[:, 1] + w] = np.concatenate([free * f + mixed * o, occupied * o + mixed * f], axis=1)
-    i, j = source[:, 0], source[:, 1]
-    out = np.empty((len(source), (2 * w + 1) ** 2), dtype=np.int32)
-    plane = np.full((spec.n0 + 2, spec.n1 + 2), OUTSIDE_SCORE, dtype=np.int32)
-    plane[1:-1, 1:-1] = EMPTY_SCORE
+    mine = np.concatenate([_bits(source[:, 2], spec.n2), _bits(source[:, 3], spec.n2)], axis=1)
+    low, size = source[:, :2].min(axis=0), np.ptp(source[:, :2], axis=0) + 1
+    near = ((later[:, :2] >= low - w) & (later[:, :2] < low + size + w)).all(axis=1)
+    later = later[near]
+    f, o = _bits(later[:, 2], spec.n2), _bits(later[:, 3], spec.n2)
+    ahead = np.zeros((*(size + 2 * w), 2 * spec.n2), dtype=np.float32)
+    ahead[tuple((later[:, :2] - low + w).T)] = np.concatenate([free * f + mixed * o, occupied * o + mixed * f], axis=1)
+    i, j = (source[:, :2] - low).T
+    plane = np.full(size + 2, OUTSIDE_SCORE, dtype=np.int32)
+    a, b = (slice(max(0, 1 - low[k]), spec.dims[k] - low[k] + 1) for k in (0, 1))
+    plane[a, b] = EMPTY_SCORE
     for d, (du, dv) in enumerate(zip(*_shifts(w), strict=True)):
         s = np.einsum("mk,mk->m", mine, ahead[i + w + du, j + w + dv]).astype(np.float64) + offset
         plane[i + 1, j + 1] = np.rint(-np.log1p(np.exp(-s / 100.0)) * SCALE)
-        out[:, d] = _box(plane, 1)[i, j]
+        out[:, d] = _box(plane, 1)[i[own], j[own]]
     return out
 
 
-def settle(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int, rounds: int, weight: int = 1) -> tuple[np.ndarray, ...]:
-    """u, v, valid, score (no admissible displacement: the least int) of the sources after the rounds of flow.propose and flow.resolve."""
-    n0, n1 = spec.n0, spec.n1
+def moves(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int, weight: int = 1, near: np.ndarray | None = None, owners: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """u, v, score (the least int, and no motion, where none is admissible): each source's best displacement.
+
+    near: rows (i, j, u, v) of what moved in the round before; they pull the sources within SMOOTH. owners: rows (target
+    i, j, source i, j, score); a target is open to its owner and to sources that score higher. The best of all
+    displacements is kept while they are gone through, so memory follows the columns, not columns times displacements.
+    """
+    top, at = np.full(len(i), _NONE, dtype=np.int32), np.zeros(len(i), dtype=np.int64)
     du, dv = _shifts(w)
-    length = du * du + dv * dv
-    ti, tj = i[:, None] + du, j[:, None] + dv
-    inside = (ti >= 0) & (ti < n0) & (tj >= 0) & (tj < n1)
-    target = np.where(inside, ti * n1 + tj, n0 * n1)
-    base = win - LENGTH_COST * length
-    me = np.arange(len(i))
-    u, v, score, valid = (np.zeros(len(i), dtype=np.int32) for _ in range(4))
-    for r in range(rounds):
-        now, ok = base, inside
-        if r:
-            held = np.nonzero(valid)[0]
-
-            def around(x: np.ndarray, held: np.ndarray = held) -> np.ndarray:
-                plane = np.zeros((n0 + 2 * SMOOTH, n1 + 2 * SMOOTH), dtype=np.int32)
-                plane[i[held] + SMOOTH, j[held] + SMOOTH] = x[held]
-                return (_box(plane, SMOOTH)[i, j] - np.where(valid, x, 0))[:, None]
-
-            pull = around(u * u + v * v) + around(np.ones_like(u)) * length - 2 * (around(u) * du + around(v) * dv)
-            now = base - weight * pull
-            best, who = np.full(n0 * n1 + 1, _NONE, dtype=np.int32), np.full(n0 * n1 + 1, -1)
-            at = (i[held] + u[held]) * n1 + j[held] + v[held]
-            best[at], who[at] = score[held], held
-            ok = inside & ((now > best[target]) | (who[target] == me[:, None]))
-        now = np.where(ok, now, _NONE)
-        d = now.argmax(axis=1)  # the first of equals: least du, then least dv
-        score = now[me, d]
+    if len(i):
+        pad = max(w, SMOOTH)
+        low = np.array([i.min() - pad, j.min() - pad])
+        shape = tuple(np.array([i.max() + pad + 1, j.max() + pad + 1]) - low)
+        x, y = i - low[0], j - low[1]
+        inside = lambda c: ((c >= low) & (c < low + shape)).all(axis=1)
+        pulled = near is not None and len(near)
+        if pulled:
+            near = near[inside(near[:, :2])]
+
+            def around(value: np.ndarray) -> np.ndarray:
+                plane = np.zeros(shape, dtype=np.int32)
+                plane[tuple((near[:, :2] - low).T)] = value
+                return _box(plane, SMOOTH)[x - SMOOTH, y - SMOOTH] - plane[x, y]
+
+            u, v = near[:, 2], near[:, 3]
+            n, su, sv, s2 = around(np.ones_like(u)), around(u), around(v), around(u * u + v * v)
+        owned = owners is not None and len(owners)
+        if owned:
+            owners = owners[inside(owners[:, :2])]
+            best, who = np.full(shape, _NONE, dtype=np.int32), np.full(shape, -1, dtype=np.int64)
+            to = tuple((owners[:, :2] - low).T)
+            best[to], who[to] = owners[:, 4], owners[:, 2].astype(np.int64) * spec.n1 + owners[:, 3]
+            me = i.astype(np.int64) * spec.n1 + j
+        for d, (a, b) in enumerate(zip(du.tolist(), dv.tolist(), strict=True)):
+            ok = (i + a >= 0) & (i + a < spec.n0) & (j + b >= 0) & (j + b < spec.n1)
+            s = win[:, d] - LENGTH_COST * (a * a + b * b)
+            if pulled:
+                s = s - weight * (s2 + n * (a * a + b * b) - 2 * (su * a + sv * b))
+            if owned:
+                ok &= (s > best[x + a, y + b]) | (who[x + a, y + b] == me)
+            ok &= s > top  # of equals the first stays: least du, then least dv
+            top[ok], at[ok] = s[ok], d
+    there = top > _NONE
+    return np.where(there, du[at], 0), np.where(there, dv[at], 0), top
+
+
+def settle(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int, rounds: int, weight: int = 1) -> tuple[np.ndarray, ...]:
+    """u, v, valid, score (no admissible displacement: the least int) of the sources after the rounds of flow.propose and flow.resolve.
+
+    Ends before, once a round changes nothing.
+    """
+    i, j = i.astype(np.int32), j.astype(np.int32)
+    last = near = owners = None
+    for _ in range(rounds):
+        u, v, score = moves(win, i, j, spec, w, weight, near, owners)
         there = score > _NONE
-        u, v = np.where(there, du[d], 0), np.where(there, dv[d], 0)
-        to = np.where(there, (i + u) * n1 + j + v, n0 * n1)
+        to = np.where(there, (i + u).astype(np.int64) * spec.n1 + j + v, -1)
         order = np.lexsort((j, i, -score.astype(np.int64), to))
         valid = np.zeros(len(i), dtype=np.int32)
-        valid[order[np.concatenate([[True], np.diff(to[order]) != 0])] if len(i) else order] = 1
+        valid[order[np.diff(to[order], prepend=-2) != 0]] = 1
         valid[~there] = 0
+        now = np.stack([u, v, valid, score])
+        if last is not None and (now == last).all():
+            break
+        last, ok = now, valid == 1
+        near, owners = np.stack([i, j, u, v], axis=1)[ok], np.stack([i + u, j + v, i, j, score], axis=1)[ok]
     return u, v, valid, score
 
 
-def flow(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH, rounds: int = ROUNDS) -> DataFrame:
+_COLUMNS = ["i", "j", "free", "occupied"]
+
+
+def _rows(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy().astype(np.int32) for c in _COLUMNS], axis=1)
+
+
+def _sources(t: pa.Table, spec: GridSpec, filter: Filter | None) -> tuple[np.ndarray, np.ndarray]:
+    """(columns of the earlier scan that have a motion to be found, columns of the later scan)."""
+    x, later, evident = _rows(t), t.column("later").to_numpy(), t.column("evident").to_numpy()
+    first, ahead = x[~later], x[later]
+    known = evident[~later] if filter is None else evident[~later] & ~filter.background(first, spec)
+    return first[known], ahead
+
+
+def _paired(cols: DataFrame) -> DataFrame:
+    """cols of every frame, and once more, as later ones, of the frame before."""
+    keys = [*_COLUMNS, "evident"]
+    both = cols.select(F.col("frame").cast("int").alias("frame"), F.lit(False).alias("later"), *keys)
+    return both.unionByName(cols.select((F.col("frame") - 1).cast("int").alias("frame"), F.lit(True).alias("later"), *keys))
+
+
+FOUND = "frame int, i int, j int, u int, v int, valid int, score bigint"
+
+
+def _found(frame: int, *cols: np.ndarray, score: np.ndarray) -> pa.Table:
+    out = [pa.array(np.full(len(score), frame, dtype=np.int32)), *(pa.array(c.astype(np.int32)) for c in cols)]
+    return pa.table([*out, pa.array(score.astype(np.int64), mask=score == _NONE)], names=["frame", "i", "j", "u", "v", "valid", "score"])
+
+
+def flow(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH, rounds: int = ROUNDS, filter: Filter | None = None) -> DataFrame:
     """frame, i, j, u, v, valid, score of the evident columns of every frame that has a next one.
 
     cols: frame, i, j, free, occupied, evident (see columns). score is null where no displacement is admissible.
+    filter: columns that it takes for background have no motion, and are empty to those around them; as targets they stay.
     """
 
-    def run(pair: pa.Table) -> pa.Table:
-        x = np.stack([pair.column(c).to_numpy().astype(np.int32) for c in ("i", "j", "free", "occupied")], axis=1)
-        later, evident = pair.column("later").to_numpy(), pair.column("evident").to_numpy()
-        source, ahead = x[~later & evident], x[later]
+    def run(key: tuple, pair: pa.Table) -> pa.Table:
+        source, ahead = _sources(pair, spec, filter)
         if not len(ahead):
             source = source[:0]
         i, j = source[:, 0], source[:, 1]
         u, v, valid, score = settle(window_scores(source, ahead, spec, weights, offset, w), i, j, spec, w, rounds)
-        frame = np.full(len(i), pair.column("frame")[0].as_py() if pair.num_rows else 0, dtype=np.int32)
-        out = [pa.array(c.astype(np.int32)) for c in (frame, i, j, u, v, valid)]
-        return pa.table([*out, pa.array(score.astype(np.int64), mask=score == _NONE)], names=["frame", "i", "j", "u", "v", "valid", "score"])
+        return _found(key[0].as_py(), i, j, u, v, valid, score=score)
 
     ship(cols.sparkSession)
-    keys = ["i", "j", "free", "occupied", "evident"]
-    both = cols.select(F.col("frame").cast("int").alias("frame"), F.lit(False).alias("later"), *keys)
-    both = both.unionByName(cols.select((F.col("frame") - 1).cast("int").alias("frame"), F.lit(True).alias("later"), *keys))
-    return both.groupBy("frame").applyInArrow(run, "frame int, i int, j int, u int, v int, valid int, score bigint")
+    return _paired(cols).groupBy("frame").applyInArrow(run, FOUND)
+
+
+# -- tiles ---------------------------------------------------------------------------------------
+
+#: Edge of a tile in columns.
+EDGE = 64
+_TILE = ["frame", "tx", "ty"]
+
+
+def _dealt(rows: DataFrame, spec: GridSpec, edge: int, reach, i: str = "i", j: str = "j") -> DataFrame:
+    """rows, once for every tile that their place is within reach of (a number or a column), with tx, ty."""
+    for c, n, t in ((i, spec.n0, "tx"), (j, spec.n1, "ty")):
+        low, high = F.greatest(F.floor((F.col(c) - reach) / edge), F.lit(0)), F.least(F.floor((F.col(c) + reach) / edge), F.lit((n - 1) // edge))
+        rows = rows.withColumn(t, F.explode(F.when(low <= high, F.sequence(low, high))))
+    return rows
+
+
+def flow_tiles(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH, rounds: int = ROUNDS, filter: Filter | None = None, edge: int = EDGE) -> DataFrame:
+    """The rows of `flow`, by tiles: a task holds (edge + 2 * w + 2) ** 2 columns a scan at most, whatever the grid.
+
+    After a round, only the tiles that a change can reach propose anew; the rounds end when nothing has changed.
+    """
+    ship(cols.sparkSession)
+    halo = F.when(F.col("later"), w + 1).otherwise(1 if filter is None else 1 + 2 * WINDOW)
+    paired = _paired(cols)
+    given = _dealt(paired, spec, edge, halo)
+    followed = paired.where("later").select("frame").distinct()
+
+    def propose(key: tuple, here: pa.Table, state: pa.Table) -> pa.Table:
+        frame, tx, ty = (k.as_py() for k in key)
+        if not here.num_rows:
+            nothing = np.zeros(0, dtype=np.int32)
+            return _found(frame, *[nothing] * 5, score=nothing)
+        source, ahead = _sources(here, spec, filter)
+        ring = ((source[:, :2] >= [tx * edge - 1, ty * edge - 1]) & (source[:, :2] <= [(tx + 1) * edge, (ty + 1) * edge])).all(axis=1)
+        source = source[ring]
+        own = (source[:, :2] // edge == [tx, ty]).all(axis=1)
+        i, j = source[own, 0], source[own, 1]
+        known = np.stack([state.column(c).to_numpy().astype(np.int32) for c in "abcde"], axis=1) if state.num_rows else np.zeros((0, 5), dtype=np.int32)
+        pulls = state.column("pull").to_numpy(zero_copy_only=False) if state.num_rows else np.zeros(0, dtype=bool)
+        u, v, score = moves(window_scores(source, ahead, spec, weights, offset, w, own), i, j, spec, w, 1, known[pulls, :4], known[~pulls])
+        return _found(frame, i, j, u, v, score > _NONE, score=score)
+
+    def proposed(tiles: DataFrame, state: DataFrame) -> DataFrame:
+        return tiles.groupBy(*_TILE).cogroup(state.groupBy(*_TILE)).applyInArrow(propose, FOUND)
+
+    tile = [F.floor(F.col("i") / edge).alias("tx"), F.floor(F.col("j") / edge).alias("ty")]
+    given = stored(given.join(followed, "frame", "left_semi"), "tiles")
+    state = given.sparkSession.createDataFrame([], "frame int, tx bigint, ty bigint, pull boolean, a int, b int, c int, d int, e bigint")
+    claims = stored(proposed(given, state), "claims")
+    found, changed = stored(resolve(claims), "moves"), None
+    for _ in range(1, rounds):
+        held = found.where("valid = 1")
+        pull = _dealt(held.selectExpr("frame", "i", "j", "true AS pull", "i AS a", "j AS b", "u AS c", "v AS d", "0L AS e"), spec, edge, SMOOTH)
+        owner = _dealt(held.selectExpr("frame", "i + u AS i", "j + v AS j", "false AS pull", "i + u AS a", "j + v AS b", "i AS c", "j AS d", "score AS e"), spec, edge, w)
+        state = pull.unionByName(owner).drop("i", "j")
+        if changed is None:
+            anew = proposed(given, state)
+        else:
+            anew = proposed(given.join(changed.toDF(*_TILE), _TILE, "left_semi"), state.join(changed.toDF(*_TILE), _TILE, "left_semi"))
+            kept = claims.select("*", *tile).join(changed.toDF(*_TILE), _TILE, "left_anti").select(*claims.columns)
+            anew = anew.unionByName(kept)
+        claims = stored(anew, "claims")
+        now = stored(resolve(claims), "moves")
+        old = found.toDF("frame", "i", "j", *(f"_{c}" for c in ("u", "v", "valid", "score")))
+        same = (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")) & (F.col("valid") == F.col("_valid")) & F.col("score").eqNullSafe(F.col("_score"))
+        differ = now.join(old, ["frame", "i", "j"]).where(~same).select("frame", "i", "j")
+        changed = stored(_dealt(differ, spec, edge, 2 * w + SMOOTH).select(*_TILE).distinct(), "changed")
+        found = now
+        if changed.isEmpty():
+            break
+    return found

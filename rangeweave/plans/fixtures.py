@@ -52,6 +52,8 @@ LEVEL_WEIGHTS = [40 + (k * 7) % 21 for k in range(SPEC.n2)]
 DRIVE_SCAN = f"CAST(l_orderkey DIV_ {DRIVE_ORDERS} * {DRIVE_FRAMES} + l_linenumber AS INT) AS frame, " + RAW_SCAN.split(", ", 1)[1]
 #: Offset of the column match and of the background filter, in hundredths.
 MATCH_OFFSET, FILTER_OFFSET = -141, -20
+#: Of the background filter on the traced grids of the drives, which have many more free cells.
+DRIVE_FILTER_OFFSET = 40
 #: The vehicle's place in frame f of a drive is (0.3 f, 0, 0.01 f).
 POSE = "CAST(0.3 * f AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0.01 * f AS DOUBLE) AS h"
 SUPPLIER_DRIVE = f"*, CAST(s_suppkey DIV_ {DRIVE_SUPPLIERS} AS INT) AS drive"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from rangeweave.functions.geometry import VIEW_HEIGHT, VIEW_WIDTH
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators import matcher
-from rangeweave.plans.fixtures import CAMERA, FILTER_OFFSET, FOLLOWED, MATCH_OFFSET, SPEC, with_views
+from rangeweave.plans.fixtures import CAMERA, DRIVE_FILTER_OFFSET, FILTER_OFFSET, FOLLOWED, MATCH_OFFSET, SPEC, with_views
 from rangeweave.sources import scans
 
 SEARCH, ROUNDS = 3, 3
@@ -151,15 +151,16 @@ def on_flow(query: str, rounds: int = 1, **more: str) -> str:
 
 
 def _step_full() -> str:
-    """The first round of the full match: 31 x 31 displacements, all weights, on the grid of the drives' scans."""
+    """The first round of the full match: 31 x 31 displacements, all weights, on the foreground of the grid of the drives' scans."""
     rows = [f"(({m} >> {k}) & 1) * {w}" for m, ws in zip(("ff", "oo", "mixed"), matcher.WEIGHTS, strict=True) for k, w in enumerate(ws) if w]
     n = 2 * matcher.SEARCH + 1
     met = "SELECT s.frame, s.i, s.j, d.du, d.dv, s.free & coalesce(n.free, 0) AS ff, s.occ & coalesce(n.occ, 0) AS oo, (s.free & coalesce(n.occ, 0)) | (s.occ & coalesce(n.free, 0)) AS mixed FROM src s CROSS JOIN disp d LEFT JOIN cols n ON n.frame = s.frame + 1 AND n.i = s.i + d.du AND n.j = s.j + d.dv"
     grid = _grid(SPEC).replace("raw_scan", "drive_scan")
     return with_views(
-        "SELECT * FROM m1", "drive_scan", grid=grid,
+        "SELECT * FROM m1", "drive_scan", "bg_model", grid=grid,
+        reached=f"SELECT c.frame, c.i - m.di AS i, c.j - m.dj AS j, sum(CASE WHEN c.val < 0 THEN m.wf ELSE m.wo END) AS s FROM (SELECT *, {_ijk()} FROM grid WHERE val <> 0) c JOIN bg_model m ON c.k = m.k GROUP BY ALL",
         cols=f"SELECT frame, i, j, bit_or(CASE WHEN val < 0 THEN 1 << k ELSE 0 END) AS free, bit_or(CASE WHEN val > 0 THEN 1 << k ELSE 0 END) AS occ, bool_or(1 - 1 / (1 + exp(greatest(-1.0, least(3.0, val)))) > {matcher.EVIDENT}) AS evident FROM (SELECT *, {_ijk()} FROM grid) GROUP BY ALL",
-        src="SELECT * FROM cols WHERE evident AND frame + 1 IN (SELECT frame FROM cols)",
+        src=f"SELECT c.* FROM cols c JOIN reached r ON r.frame = c.frame AND r.i = c.i AND r.j = c.j WHERE evident AND r.s + {DRIVE_FILTER_OFFSET} > 0 AND c.frame + 1 IN (SELECT frame FROM cols)",
         disp=f"SELECT CAST(a - {matcher.SEARCH} AS INT) AS du, CAST(b - {matcher.SEARCH} AS INT) AS dv FROM range({n}) x(a), range({n}) y(b)",
         scores=f"SELECT frame, i, j, du, dv, CAST(round(-ln(1 + exp(-({matcher.OFFSET} + {' + '.join(rows)}) / 100.0)) * 1000) AS BIGINT) AS score FROM ({met})",
         around=_WIN["around"], win=_WIN["win"], cand0=_WIN["cand0"], **_step("cand0", "e1", "m1"),
@@ -356,7 +357,7 @@ def all_oracles() -> dict[str, str]:
         "flow_estep": on_flow("SELECT * FROM e1"),
         "flow_mstep": on_flow("SELECT * FROM m1"),
         "flow_solve": on_flow(f"SELECT * FROM m{ROUNDS}", ROUNDS),
-        "flow_step_full": _step_full(),
+        "flow_step_full": _step_full(), "flow_step_tiles": _step_full(),
         "flow_reverse": on_flow("SELECT frame + 1 AS frame, i + u AS i, j + v AS j, -u AS u, -v AS v FROM m3 WHERE valid = 1", ROUNDS),
         "poses_mercator": with_views("SELECT log, frame, round(c * lon * pi() * 6378137.0 / 180, 3) AS x, round(c * 6378137.0 * ln(tan((90 + lat) * pi() / 360)), 3) AS y, alt AS z, round(yaw, 6) AS h FROM (SELECT p.*, cos(radians(f.lat0)) AS c FROM positions p JOIN (SELECT log, arg_min(lat, frame) AS lat0 FROM positions GROUP BY log) f ON f.log = p.log)", "positions"),
         "relative_pose": with_views(f"SELECT key, seq, round(cos(ph) * (x - px) + sin(ph) * (y - py), 6) AS dx, round(-sin(ph) * (x - px) + cos(ph) * (y - py), 6) AS dy, round({_wrap('(h - ph)')}, 6) AS dh FROM (SELECT *, {x}, {y}, {h} FROM pose_obs) WHERE px IS NOT NULL", "pose_obs"),
