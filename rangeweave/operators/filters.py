@@ -181,6 +181,46 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 TRACKLET = "frame int, si int, sj int, i int, j int, x double, y double, h double, v double, w double, age int"
 
 
+class Followed:
+    """The tracklets of one sequence after a frame: at most one a column. cells: the columns they are in, ascending."""
+
+    def __init__(self, res: float, dims: tuple[int, int]):
+        self.res, self.dims, self.last = res, dims, None
+        self._none()
+
+    def _none(self) -> None:
+        self.cells, self.mu, self.sigma, self.age = np.zeros(0, dtype=np.int64), np.zeros((0, 5)), np.zeros((0, 5, 5)), np.zeros(0, dtype=np.int32)
+
+    def step(self, frame: int, i: np.ndarray, j: np.ndarray, u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        """The columns of TRACKLET of the frame, whose valid motions are given."""
+        if self.last is None or frame != self.last + 1:
+            self._none()
+        self.last = frame
+        i, j, u, v = (np.asarray(x).astype(np.int64) for x in (i, j, u, v))
+        at = np.searchsorted(self.cells, i * self.dims[1] + j)
+        old = (at < len(self.cells)) & (np.append(self.cells, -1)[at] == i * self.dims[1] + j)
+        target = np.stack([i + u - self.dims[0] // 2, j + v - self.dims[1] // 2], axis=1) * self.res
+        step = np.stack([u, v], axis=1) * self.res
+        m = np.concatenate([target - step, np.arctan2(step[:, 1], step[:, 0])[:, None], np.hypot(*(step / DT).T)[:, None], np.zeros((len(i), 1))], axis=1)
+        p, n, ok = np.tile(np.diag(np.square(FLOW_START)), (len(i), 1, 1)), np.zeros(len(i), dtype=np.int32), np.ones(len(i), dtype=bool)
+        a, b = predicted(self.mu[at[old]], self.sigma[at[old]])
+        a, b, d = updated(a, b, np.eye(2, 5), np.eye(2) * OBSERVE_POSITION**2, target[old] - a[:, :2])
+        m[old], p[old], n[old], ok[old] = a, b, self.age[at[old]] + 1, d < GATE
+        to = ((i + u) * self.dims[1] + j + v)[ok]
+        order = np.argsort(to)
+        self.cells, self.mu, self.sigma, self.age = to[order], m[ok][order], p[ok][order], n[ok][order]
+        ints = {"frame": np.full(len(to), frame), "si": i[ok], "sj": j[ok], "i": (i + u)[ok], "j": (j + v)[ok]}
+        return {k: x.astype(np.int32) for k, x in ints.items()} | {k: m[ok][:, c] for c, k in enumerate("xyhvw")} | {"age": n[ok]}
+
+    def packed(self) -> tuple[int, bytes, bytes, bytes, bytes]:
+        return self.last, *(x.tobytes() for x in (self.cells, self.mu, self.sigma, self.age))
+
+    def unpack(self, last: int, cells: bytes, mu: bytes, sigma: bytes, age: bytes) -> Followed:
+        self.last, self.cells, self.age = last, np.frombuffer(cells, np.int64), np.frombuffer(age, np.int32)
+        self.mu, self.sigma = np.frombuffer(mu).reshape(-1, 5), np.frombuffer(sigma).reshape(-1, 5, 5)
+        return self
+
+
 def tracklets(flow: DataFrame, res: float, dims: tuple[int, int], by: str = "sequence") -> DataFrame:
     """by, frame, si, sj (the column), i, j (where the tracklet now is), x, y, h, v, w, age: motion of columns followed over frames.
 
@@ -191,31 +231,13 @@ def tracklets(flow: DataFrame, res: float, dims: tuple[int, int], by: str = "seq
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, cells = None, np.zeros(0, dtype=np.int64)
+        last, now = None, None
         for t in grouped(batches, [by, "frame"]):
-            i, j, u, v = (t.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "u", "v"))
-            here = t.column(by)[0].as_py(), t.column("frame")[0].as_py()
-            if last is None or here != (last[0], last[1] + 1):
-                cells, mu, sigma, age = np.zeros(0, dtype=np.int64), np.zeros((0, 5)), np.zeros((0, 5, 5)), np.zeros(0, dtype=np.int32)
-            last = here
-            at = np.searchsorted(cells, i * dims[1] + j)
-            old = (at < len(cells)) & (np.append(cells, -1)[at] == i * dims[1] + j)
-            target = np.stack([i + u - dims[0] // 2, j + v - dims[1] // 2], axis=1) * res
-            step = np.stack([u, v], axis=1) * res
-            m = np.concatenate([target - step, np.arctan2(step[:, 1], step[:, 0])[:, None], np.hypot(*(step / DT).T)[:, None], np.zeros((len(i), 1))], axis=1)
-            p, n, ok = np.tile(np.diag(np.square(FLOW_START)), (len(i), 1, 1)), np.zeros(len(i), dtype=np.int32), np.ones(len(i), dtype=bool)
-            a, b = predicted(mu[at[old]], sigma[at[old]])
-            a, b, d = updated(a, b, np.eye(2, 5), np.eye(2) * OBSERVE_POSITION**2, target[old] - a[:, :2])
-            m[old], p[old], n[old], ok[old] = a, b, age[at[old]] + 1, d < GATE
-            to = ((i + u) * dims[1] + j + v)[ok]
-            order = np.argsort(to)
-            cells, mu, sigma, age = to[order], m[ok][order], p[ok][order], n[ok][order]
-            k = int(ok.sum())
-            ints = [np.full(k, here[1]), i[ok], j[ok], (i + u)[ok], (j + v)[ok]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([here[0]] * k, t.schema.field(by).type), *(pa.array(c.astype(np.int32)) for c in ints), *(pa.array(m[ok][:, c]) for c in range(5)), pa.array(n[ok])],
-                [by, "frame", "si", "sj", "i", "j", "x", "y", "h", "v", "w", "age"],
-            )
+            here = t.column(by)[0].as_py()
+            if now is None or here != last:
+                last, now = here, Followed(res, dims)
+            out = now.step(t.column("frame")[0].as_py(), *(t.column(c).to_numpy() for c in ("i", "j", "u", "v")))
+            yield pa.RecordBatch.from_arrays([pa.array([here] * len(out["age"]), t.schema.field(by).type), *map(pa.array, out.values())], [by, *out])
 
     ship(flow.sparkSession)
     kind = flow.schema[by].dataType.simpleString()
