@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_BYTES, small_batches, staged, text_of
+from .common import MEMO_BYTES, small_batches, staged, text_of, with_hash
 from .fmindex import FMIndex
 
 WINDOW = 50
@@ -120,27 +120,27 @@ def scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
             fields = [pa.array(h), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))]
             anchors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_ANCHOR)))
             q1, q2 = (pa.array([x[k] for x in q], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), q1, q2, pa.array(n, pa.int64()), pa.array(sha, pa.string()), anchors], ["doc_id", "q1", "q2", "n_words", "whole_sha256", "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_th"), q1, q2, pa.array(n, pa.int64()), pa.array(sha, pa.string()), anchors], ["doc_id", "_th", "q1", "q2", "n_words", "whole_sha256", "anchors"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, q1 bigint, q2 bigint, n_words bigint, whole_sha256 string, anchors array<struct<h: bigint, c1: bigint, c2: bigint, s0: int, s1: int>>"
-    return text_of(docs).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, _th bigint, q1 bigint, q2 bigint, n_words bigint, whole_sha256 string, anchors array<struct<h: bigint, c1: bigint, c2: bigint, s0: int, s1: int>>"
+    return with_hash(text_of(docs)).mapInArrow(run, schema)
 
 
 def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """lists (doc_id and more) with each document's text; texts of other documents are not shuffled
-    where the ids fit a broadcast."""
-    docs = text_of(docs)
-    ids = lists.select("doc_id").distinct()
+    """lists (doc_id, _th, and more) with the text that has this id and hash; texts of other documents are not
+    shuffled where the ids fit a broadcast. However many texts share an id, each meets its own list."""
+    docs = with_hash(text_of(docs))
+    ids = lists.select("doc_id", "_th").distinct()
     if ids.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(lists, "doc_id")
+        docs = docs.join(F.broadcast(ids), ["doc_id", "_th"], "left_semi")
+    return docs.join(lists, ["doc_id", "_th"])
 
 
 def _context_words(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
     """h, c1, c2, m, kinds, codes (binary, uint64 each) of representative contexts."""
-    lists = staged(reps.groupBy("doc_id", "q1", "q2").agg(F.collect_list(F.struct("h", "c1", "c2", "s0", "s1", "kinds")).alias("spots")), "spots")
+    lists = staged(reps.groupBy("doc_id", "q1", "q2").agg(F.min("_th").alias("_th"), F.collect_list(F.struct("h", "c1", "c2", "s0", "s1", "kinds")).alias("spots")), "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = Words()
@@ -238,7 +238,7 @@ def search(ctx: DataFrame, window: int, hot: int, shard: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """doc_id, q1, q2, n_words, whole_sha256, copy, spans: one row per input row.
+    """doc_id, q1, q2, _th, n_words, whole_sha256, copy, spans: one row per input row.
 
     copy: the whole word sequence (of at least `window` words) is that of a document with a smaller id,
     so every word is repeated. Otherwise spans: array of (start, end) in words, end exclusive, that
@@ -248,10 +248,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     base = staged(scan(docs, window, gram), "scan")
     firsts = base.where(F.col("n_words") >= window).groupBy("q1", "q2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     seen = base.join(staged(firsts, "firsts"), ["q1", "q2"], "left").withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    seen = staged(seen.select("doc_id", "q1", "q2", "n_words", "whole_sha256", "later", F.when(~F.col("later") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "seen")
+    seen = staged(seen.select("doc_id", "_th", "q1", "q2", "n_words", "whole_sha256", "later", F.when(~F.col("later") & F.col("doc_id").isNotNull(), F.col("anchors")).alias("anchors")), "seen")
 
     key = ["doc_id", "q1", "q2"]
-    every = seen.select(*key, F.explode("anchors").alias("a")).select(*key, "a.*")
+    every = seen.select(*key, "_th", F.explode("anchors").alias("a")).select(*key, "_th", "a.*")
     groups = staged(every.groupBy("h", "c1", "c2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("mx")), "contexts")
     shared = groups.groupBy("h").agg(F.min("m").alias("hm"), F.max("mx").alias("hx"), F.count("*").alias("kinds")).where("hm < hx").drop("hx")
     known = staged(groups.drop("mx").join(staged(shared, "anchors"), "h"), "shared")
@@ -266,12 +266,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
 
     spans = settled.unionByName(searched).distinct().groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     out = seen.drop("anchors").join(staged(spans, "spans"), key, "left")
-    return out.select(*key, "n_words", "whole_sha256", (F.col("later") & (F.col("n_words") >= window)).alias("copy"), "spans")
+    return out.select(*key, "_th", "n_words", "whole_sha256", (F.col("later") & (F.col("n_words") >= window)).alias("copy"), "spans")
 
 
 def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, q1, q2, n_removed, kept (text) of the documents that have spans."""
-    lists = found.where("spans IS NOT NULL").select("doc_id", "q1", "q2", "spans").dropDuplicates(["doc_id", "q1", "q2"])
+    lists = found.where("spans IS NOT NULL").select("doc_id", "_th", "q1", "q2", "spans").dropDuplicates(["doc_id", "q1", "q2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
