@@ -101,11 +101,12 @@ def _firsts(docs: DataFrame) -> DataFrame:
     return staged(first.select("k"), "runs").agg(F.sort_array(F.collect_list("k")).alias("keys"))
 
 
-def _run(keys: Column, n: int) -> Column:
-    """The run of a row with doc_id and _th: the last of the n keys that is not after it. Found in two steps."""
-    step = max(1, round(n**0.5))
+def _run(keys: Column, coarse: Column, step: int) -> Column:
+    """The run of a row with doc_id and _th: the last key that is not after it.
+
+    coarse: every step-th key. It names the stretch of keys to look through, so a row compares with some 2 * sqrt(runs) keys.
+    """
     mine = F.struct("doc_id", "_th")
-    coarse = F.filter(keys, lambda x, i: i % step == 0)
     c = F.size(F.filter(coarse, lambda x: x <= mine))
     return (c - 1) * step + F.size(F.filter(F.slice(keys, (c - 1) * step + 1, F.lit(step)), lambda x: x <= mine)) - 1
 
@@ -120,7 +121,10 @@ def following(docs: DataFrame) -> tuple[DataFrame, object, Column]:
     d = text_of(docs).withColumn("_th", F.xxhash64("text"))
     one = _firsts(d)
     n = one.select(F.size("keys")).first()[0]
-    d = d.withColumn("_keys", one.scalar()).withColumn("_b", _run(F.col("_keys"), n) if n else F.lit(0)).drop("_keys")
+    step = max(1, round(n**0.5))
+    coarse = one.select(F.filter("keys", lambda x, i: i % step == 0)).scalar()
+    d = d.withColumn("_keys", one.scalar()).withColumn("_coarse", coarse)
+    d = d.withColumn("_b", _run(F.col("_keys"), F.col("_coarse"), step) if n else F.lit(0)).drop("_keys", "_coarse")
     first = one.select(F.posexplode("keys").alias("_k", "_f")).select(F.col("_f.doc_id").alias("_f"), F.col("_f._th").alias("_h"), F.when(F.col("_k") == 0, n - 1).otherwise(F.col("_k") - 1).alias("_to"))
     edge = within(d, first, F.col("doc_id").eqNullSafe(F.col("_f")) & (F.col("_th") == F.col("_h"))).select("doc_id", "text", F.col("_to").alias("_b"), "_th", F.lit(True).alias("_edge"))
     rows = d.select("doc_id", "text", "_b", "_th", F.lit(False).alias("_edge")).unionByName(edge)
