@@ -214,3 +214,31 @@ def test_url_digests_that_collide(tmp_path, monkeypatch):
     d = urlfilter.Digests(str(tmp_path / "d"))
     assert [d.text(i) if i >= 0 else None for i in d.find(["aa.org/", "bb.org/", "cc.org/"], [6, 6, 6])] == ["aa.org/", "bb.org/", None]
     assert d.suffixes("www.x.cc.org") == ["cc.org", "x.cc.org"] and d.suffixes("cc.org") == ["cc.org"] and d.suffixes("org") == []
+
+
+def test_substrings_of_many_texts_with_one_id(spark, rows):
+    passage = rows[60][1].split()[:55]
+    texts = [(7, " ".join([f"a{k}x{i}" for i in range(30)] + passage + [f"b{k}x{i}" for i in range(k % 9)])) for k in range(300)] + [(3, " ".join(passage)), (9, " ".join(passage[:52]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    found = substrings.repeats(docs)
+    lists = found.where("spans IS NOT NULL").select("doc_id", "_th", "q1", "q2", "spans")
+    assert substrings._with_text(docs, lists).count() == lists.count() >= 300
+    want = brute.substrings(texts, 50)
+    assert counted(substrings.summary(docs)) == Counter((d, *want[d, t]) for d, t in texts)
+
+
+def test_runs_are_found_in_few_steps(spark, monkeypatch):
+    import time
+
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text").withColumn("_th", F.xxhash64("text"))
+    took = {}
+    for n in (30, 15_000):
+        keys = docs.where(f"doc_id % {60_000 // n} = 0").agg(F.sort_array(F.collect_list(F.struct("doc_id", "_th"))).alias("keys"))
+        step = round(n**0.5)
+        coarse = keys.select(F.filter("keys", lambda x, i: i % step == 0)).scalar()  # noqa: B023
+        at = docs.withColumn("_keys", keys.scalar()).withColumn("_coarse", coarse)
+        at = at.select("doc_id", minhash._run(F.col("_keys"), F.col("_coarse"), step).alias("at"))
+        began = time.perf_counter()
+        assert at.where(f"at <> doc_id div {60_000 // n}").count() == 0
+        took[n] = time.perf_counter() - began
+    assert took[15_000] < 4 * took[30] + 2

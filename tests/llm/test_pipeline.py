@@ -109,3 +109,27 @@ def test_contaminated_rows_go_by_row(spark, tmp_path):
     texts = [(1, leak), (1, clean), (None, leak), (None, clean), (None, None), (2, leak), (2, leak), (3, clean)]
     got = cp.decontamination_stage(spark, _told_apart(spark, texts), str(tmp_path))
     assert _rows(got) == Counter([(1, clean), (None, clean), (None, None), (3, clean)])
+
+
+#: Names that the stages and operators use inside.
+INSIDE = "_th _d _h _row _n _p _b _k _f _t fp n kept least words key spans item items phrase term position start end kind value doc h g _left".split()
+
+
+def test_extra_columns_with_inside_names_stay_as_they_are(spark, data):
+    a, b, c = (" ".join(f"{name}{k}" for k in range(60)) for name in "abc")
+    texts = [(1, a, 0), (2, a, 1), (3, b, 2), (3, b, 3), (4, c, 4), (None, c, 5), (5, "password=abcdefgh12 " + c[:90], 6), (6, None, 7)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *(f"{n}{k}" for n in INSIDE)) for d, t, k in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in INSIDE)).repartition(3)
+    rows = {n: {f"{n}{k}" for _, _, k in texts} for n in INSIDE}
+    found = []
+    for name, stage in cp.STAGES[1:4]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        found.append(len(got))
+        for r in got:
+            (k,) = {r[n].removeprefix(n) for n in INSIDE}
+            assert all(r[n] in rows[n] for n in INSIDE)
+            assert (r["doc_id"], name == cp.STAGES[3][0] or r["text"]) in [(d, name == cp.STAGES[3][0] or t) for d, t, at in texts if at == int(k)]
+    assert found == [5, 8, 8]
+    near = {r["doc_id"]: r["h"] for r in cp.near_duplicate_stage(spark, docs, data).collect()}
+    assert near == {1: "h0", 3: "h2", 4: "h4", 5: "h6", 6: "h7"}  # of equal documents the first by the other columns
