@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeweave.llm import bpe, decontaminate, quality, secrets, simhash
-from rangeweave.llm.common import crc_mod, staged, table, with_hash
+from rangeweave.llm.common import crc_mod, staged, table
 
 #: Documents that may be named in a broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -19,15 +19,20 @@ DOCUMENT = ["doc_id", "_th"]
 
 
 def _meeting(docs: DataFrame, documents: DataFrame, how: str) -> DataFrame:
-    """docs with _th, joined by document ("left_anti" or "left_semi"); a null id is an id like others."""
+    """_row (all columns of docs, whatever their names) and _th of docs, joined by document ("left_anti" or "left_semi"); a null id is an id like others."""
     found = documents.select(*DOCUMENT).distinct().toDF("_d", "_h")
     found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    return with_hash(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), how)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_th"))
+    return packed.join(found, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), how)
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    return packed.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def without(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """docs but those whose doc_id and text are in documents (doc_id, _th)."""
-    return _meeting(docs, documents, "left_anti").select(*docs.columns)
+    return _unpacked(_meeting(docs, documents, "left_anti"), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +41,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component stays: of the smallest doc_id (null last), then the least text hash."""
+    """One row of each near-duplicate component stays: of the smallest doc_id (null last), then the least text hash.
+
+    Of rows equal in both, the one that comes first by its other columns (but maps, which have no order).
+    """
     found = staged(simhash.keepers(docs), "keepers")
     out = without(docs, found.where("NOT kept"))
     often = staged(found.where("kept AND n > 1"), "repeated")
     if often.isEmpty():
         return out
-    once = _meeting(out, often, "left_semi").dropDuplicates(DOCUMENT).select(*docs.columns)
-    return without(out, often).unionByName(once)
+    ordered = [F.col("_row")[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    met = _meeting(out, often, "left_semi").groupBy(F.col("_row.doc_id").alias("_d"), "_th")
+    once = met.agg(F.min_by("_row", F.struct(F.lit(0), *ordered)).alias("_row"))
+    return without(out, often).unionByName(_unpacked(once, docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +87,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, one after another, each written and read again: a row a kept document, as `bpe_stage` returns them.
+
+    A null text counts as empty; empty texts are judged like others (they are near-duplicates of one another, so one stays). Very long
+    texts are taken whole. Rows that share a doc_id are told apart by their text; null ids are ids. Extra columns are carried up to the
+    last stage, whatever their names. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
