@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from rangeweave.functions import colour
 from rangeweave.functions.geometry import in_view, project
-from rangeweave.operators import background, depth, evaluate, filters, flow, matcher, matching, occupancy, patches, poses, projection, registration, tracks
+from rangeweave.operators import background, depth, evaluate, filters, flow, gridstore, matcher, matching, occupancy, patches, picks, poses, projection, registration, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
+from rangeweave.session import stored_path
 from rangeweave.sources import scans
 
 SPEC = fx.SPEC
@@ -288,6 +290,60 @@ def pick_lookup(spark, d):
     return out.withColumn("x", _r("x")).withColumn("y", _r("y"))
 
 
+def object_at_3d(spark, d):
+    out = tracks.object_at3(_points(spark, d), fx.boxes(spark, d))
+    return out.select("frame", *(_r(c).alias(c) for c in "xyz"), "type")
+
+
+def correspondence_3d(spark, d):
+    """Of points on a track alone: where they go with it as it turns in space."""
+    p = _points(spark, d).distinct()
+    still = p.select("frame", "x", "y", "z", *(F.col(c).alias(f"{c}2") for c in "xyz"))
+    out = tracks.correspondence3(p, fx.boxes(spark, d), still).where("is_tracklet = 1")
+    return out.select("frame", *(_r(c).alias(c) for c in ("x", "y", "z", "x2", "y2", "z2")))
+
+
+def ray_picks(spark, d):
+    out = picks.pick(fx.rays(spark, d), fx.boxes(spark, d), fx.scan_cells(spark, d), SPEC)
+    return out.select("ray", *(_r(c).alias(c) for c in ("x", "y", "z", "dist")), "what")
+
+
+# With all displacements and rounds, the foreground mask and filtered poses
+
+
+def flow_cells_full(spark, d):
+    mask = matcher.Filter.of(fx.bg_model(spark, d), SPEC, fx.FILTER_OFFSET)
+    return matcher.flow(matcher.columns_of(fx.valued_cells(spark, d)), SPEC, filter=mask)
+
+
+def _filtered_poses(spark, d):
+    """The vehicle's poses by the pose filter, a filter a drive."""
+    seen = fx.poses(spark, d).selectExpr(f"CAST(frame div {fx.DRIVE_FRAMES} AS BIGINT) AS key", "CAST(frame AS BIGINT) AS seq", "x", "y", "h", "3.0D AS v_f", "0.1D AS v_h")
+    return filters.filter_poses(seen).select(F.col("seq").cast("int").alias("frame"), "x", "y", "h")
+
+
+def _eval_full(spark, d):
+    p = _places(spark, d)
+    raw = poses.project_points(p, fx.poses(spark, d))
+    ground = poses.project_points(p, _filtered_poses(spark, d)).select("frame", "i", "j", F.col("x2").alias("gx"), F.col("y2").alias("gy"))
+    match = tracks.correspondence(p, fx.tracks(spark, d), raw.join(ground, ["frame", "i", "j"]), ("frame", "i", "j"))
+    types = tracks.object_at(p, fx.tracks(spark, d), ("frame", "i", "j"))
+    return evaluate.eval_rows(fx.scan_cells(spark, d), flow_cells_full(spark, d), background_filter(spark, d), match, types, fx.CAMERA, SPEC)
+
+
+def eval_rows_full(spark, d):
+    return _eval_full(spark, d).select("frame", "i", "j", *(_r(c).alias(c) for c in ("x", "y", "x2", "y2", "u", "v")), "filter", "is_tracklet", "type")
+
+
+def grid_merge_stored(spark, d):
+    """The grid of all drives from a store of blocks of frames, merged without a shuffle."""
+    name = f"grids_{uuid.uuid4().hex}"
+    g = occupancy.accumulate(fx.drive_scan(spark, d), SPEC)
+    gridstore.open_store(spark, name, stored_path(spark, name), 16)
+    gridstore.add(g, name, fx.DRIVE_FRAMES)
+    return gridstore.merged(spark, name)
+
+
 # Filters, projection, depth
 
 
@@ -436,7 +492,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         occupancy_grid, grid_merge, grid_clean, column_occupancy, z_slice, mle_state, occupancy_prob, multires_grid, occluded_cells,
         grid_subset, dense_trits, z_slice_dense, posed_grid, packet_returns, count_nonzero, filtered_states, foreground_boxes, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
         flow_estep, flow_mstep, flow_solve, flow_step_full, flow_step_tiles, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, relative_pose6, pose_chain6, ego_project, object_at, active_tracks,
-        correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
+        correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, flow_cells_full, eval_rows_full, object_at_3d, correspondence_3d, ray_picks, grid_merge_stored, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
         depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, scan_match_full, scan_match_log, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
     )}
 

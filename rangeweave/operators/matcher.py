@@ -37,8 +37,12 @@ _NONE = np.iinfo(np.int32).min
 
 def columns(grid: DataFrame, spec: GridSpec) -> DataFrame:
     """frame, i, j, free, occupied (bit masks of levels), evident (some level is likely occupied) of a grid's columns."""
+    return columns_of(grid.select("frame", *spec.ijk(), "val"))
+
+
+def columns_of(cells: DataFrame) -> DataFrame:
+    """The same of cells (frame, i, j, k, val)."""
     level = lambda sign: F.bit_or(F.when(sign, F.expr("shiftleft(1, k)")).otherwise(0))
-    cells = grid.select("frame", *spec.ijk(), "val")
     return cells.groupBy("frame", "i", "j").agg(
         level(F.col("val") < 0).alias("free"), level(F.col("val") > 0).alias("occupied"), F.bool_or(probability(F.col("val")) > EVIDENT).alias("evident")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeweave.functions.geometry import compose, relative
+from rangeweave.functions.geometry import compose, relative, rigid, rotation
 
 #: Edge of a tile in metres.
 TILE = 8.0
@@ -65,3 +65,47 @@ def correspondence(points: DataFrame, boxes: DataFrame, moved: DataFrame, key: t
     carried = hit.groupBy(*key).agg(F.min_by(F.struct("bx", "by"), "track_id").alias("_c"))
     out = moved.join(carried, list(key), "left").withColumn("x2", F.coalesce("_c.bx", "x2")).withColumn("y2", F.coalesce("_c.by", "y2"))
     return out.withColumn("is_tracklet", F.col("_c").isNotNull().cast("int")).drop("_c")
+
+
+# -- boxes in space ------------------------------------------------------------------------------
+
+
+def tiled3(boxes: DataFrame, tile: float = TILE, flat: bool = False) -> DataFrame:
+    """boxes (tx, ty, tz, rx, ry, rz, l, w, h) with tx_, ty_, tz_: a row for each tile that their turned extents touch. flat: no tz_."""
+    turn = rotation(F.col("rx"), F.col("ry"), F.col("rz"))
+    for a, c in enumerate("xy" if flat else "xyz"):
+        r = sum((F.abs(turn[a][b]) * F.col(n) / 2 for b, n in enumerate(("l", "w", "h"))), F.lit(0.0))
+        boxes = boxes.withColumn(f"t{c}_", F.explode(F.sequence(F.floor((F.col(f"t{c}") - r) / tile).cast("int"), F.floor((F.col(f"t{c}") + r) / tile).cast("int"))))
+    return boxes
+
+
+def inside3(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """A row for each point (frame, x, y, z, ...) and box around it, with _lx, _ly, _lz: the point seen from the box."""
+    named = points.withColumns({f"t{c}_": _tile(c) for c in "xyz"})
+    met = named.join(tiled3(boxes), ["frame", "tx_", "ty_", "tz_"])
+    turn, off = rotation(F.col("rx"), F.col("ry"), F.col("rz")), [F.col(c) - F.col(f"t{c}") for c in "xyz"]
+    met = met.withColumns({f"_l{c}": turn[0][a] * off[0] + turn[1][a] * off[1] + turn[2][a] * off[2] for a, c in enumerate("xyz")})
+    return met.where((F.abs("_lx") < F.col("l") / 2) & (F.abs("_ly") < F.col("w") / 2) & (F.abs("_lz") < F.col("h") / 2)).drop("tx_", "ty_", "tz_")
+
+
+def object_at3(points: DataFrame, boxes: DataFrame, key: tuple[str, ...] = ("frame", "x", "y", "z")) -> DataFrame:
+    """key (distinct), type: of the box with the least track_id around the point in space."""
+    p = points.select(*key, *(c for c in ("frame", "x", "y", "z") if c not in key)).distinct()
+    hit = inside3(p, boxes).groupBy(*key).agg(F.min_by("objectType", "track_id").alias("type"))
+    return p.join(hit, list(key), "left").select(*key, F.coalesce("type", F.lit(NOTHING)).alias("type"))
+
+
+def correspondence3(points: DataFrame, boxes: DataFrame, moved: DataFrame, key: tuple[str, ...] = ("frame", "x", "y", "z")) -> DataFrame:
+    """moved (key, x2, y2, z2) with the point's place in the next frame, and is_tracklet.
+
+    As `correspondence`, in space: a point in a box whose track goes on keeps its place in the box of least track_id, as that turns and moves.
+    """
+    fields = ("tx", "ty", "tz", "rx", "ry", "rz")
+    later = boxes.select((F.col("frame") - 1).alias("frame"), "track_id", *(F.col(c).alias(f"n_{c}") for c in fields))
+    p = points.select(*key, *(c for c in ("frame", "x", "y", "z") if c not in key)).distinct()
+    hit = inside3(p, boxes.join(later, ["frame", "track_id"]))
+    to = rigid((F.col("_lx"), F.col("_ly"), F.col("_lz")), tuple(F.col(f"n_{c}") for c in fields))
+    carried = hit.groupBy(*key).agg(F.min_by(F.struct(*(c.alias(n) for c, n in zip(to, ("bx", "by", "bz"), strict=True))), "track_id").alias("_c"))
+    out = moved.join(carried, list(key), "left")
+    out = out.withColumns({f"{c}2": F.coalesce(F.col(f"_c.b{c}"), F.col(f"{c}2")) for c in "xyz"})
+    return out.withColumn("is_tracklet", F.col("_c").isNotNull().cast("int")).drop("_c")

@@ -44,6 +44,15 @@ TRACKS = (
     "CAST((s_suppkey % 7) * 0.4 AS DOUBLE) AS rz, CAST(4.5 AS DOUBLE) AS l, CAST(2.0 AS DOUBLE) AS w, "
     "CASE s_nationkey % 3 WHEN 0 THEN 'Car' WHEN 1 THEN 'Pedestrian' ELSE 'Cyclist' END AS objectType"
 )
+#: Tracks as boxes in space, and from over the vehicle a ray past each of them.
+BOX = (
+    "CAST(0.3 * (track_id % 5) - 0.6 AS DOUBLE) AS tz, CAST(0.1 * (track_id % 3) - 0.1 AS DOUBLE) AS rx, CAST(0.05 * (track_id % 4) AS DOUBLE) AS ry, "
+    "CAST(1.6 AS DOUBLE) AS h"
+)
+RAY = (
+    "frame, CAST(track_id AS BIGINT) * 1000 + frame AS ray, CAST(0 AS DOUBLE) AS ox, CAST(0 AS DOUBLE) AS oy, CAST(1.73 AS DOUBLE) AS oz, "
+    "CAST(tx + (track_id % 4) * 0.3 AS DOUBLE) AS dx, CAST(ty AS DOUBLE) AS dy, CAST(-1.6 - (track_id % 3) * 0.1 AS DOUBLE) AS dz"
+)
 WF = "(((di + 2) * 31 + (dj + 2) * 17 + k * 7) % 41) - 20"
 WO = "(((di + 2) * 13 + (dj + 2) * 29 + k * 11) % 61) - 30"
 LEVEL_WEIGHT = "40 + (k * 7) % 21"
@@ -63,7 +72,9 @@ SUPPLIER_DRIVE = f"*, CAST(s_suppkey DIV_ {DRIVE_SUPPLIERS} AS INT) AS drive"
 FRAME_POSE = (
     "frame, CAST(0.3 AS DOUBLE) * frame AS x, CAST(-0.2 AS DOUBLE) * frame AS y, CAST(0.05 AS DOUBLE) AS z, CAST(0.01 AS DOUBLE) AS r, CAST(-0.02 AS DOUBLE) AS p, CAST(0.03 AS DOUBLE) * frame AS h"
 )
-PACKET_SLOT = "l_orderkey DIV_ 64 AS packet_id, (l_orderkey * 7 + l_linenumber * 53) % 384 AS slot, (l_partkey * 31 % 65536) * 256 + l_suppkey % 256 AS v"
+#: The items of 64 orders, in order, fill packets of 384 returns.
+PACKET_ITEM = "l_orderkey DIV_ 64 AS g, row_number() OVER (PARTITION BY l_orderkey DIV_ 64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS n, (l_partkey * 31 % 65536) * 256 + l_suppkey % 256 AS v"
+PACKET_SLOT = "CAST(g * 1000 + n DIV_ 384 AS BIGINT) AS packet_id, CAST(n % 384 AS BIGINT) AS slot, CAST(v AS BIGINT) AS v"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +116,8 @@ def frame_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """packet_id, packet: the returns of 64 orders in a 1206-byte packet."""
-    slots = pick(table(spark, sf_dir, "lineitem"), PACKET_SLOT).groupBy("packet_id", "slot").agg(F.min("v").alias("v"))
+    """packet_id, packet: every line item as a return, 384 in a packet of 1206 bytes, the packets of 64 orders by themselves."""
+    slots = pick(pick(table(spark, sf_dir, "lineitem"), PACKET_ITEM), PACKET_SLOT)
     held = slots.groupBy("packet_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
 
     def ret(slot):
@@ -157,6 +168,14 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(_frames(pick(table(spark, sf_dir, "supplier"), SUPPLIER_DRIVE)), FRAME, TRACKS)
 
 
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pick(tracks(spark, sf_dir), "*", BOX)
+
+
+def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pick(tracks(spark, sf_dir).where("tx <> 0 OR ty <> 0"), RAY)
+
+
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame, x, y, h of the vehicle in the frames that each drive's scans have and one more."""
     return pick(_frames(pick(table(spark, sf_dir, "lineitem"), DRIVE).distinct(), FRAMES + 1), FRAME, POSE)
@@ -186,7 +205,9 @@ SQL = {
     "raw_scan": f"SELECT {RAW_SCAN} FROM lineitem",
     "drive_scan": f"SELECT {DRIVE_SCAN} FROM lineitem",
     "frame_poses": f"SELECT {FRAME_POSE} FROM (SELECT DISTINCT CAST(l_linenumber AS INT) AS frame FROM lineitem)",
-    "slots": f"SELECT packet_id, slot, min(v) AS v FROM (SELECT {PACKET_SLOT} FROM lineitem) GROUP BY ALL",
+    "slots": f"SELECT {PACKET_SLOT} FROM (SELECT {PACKET_ITEM} FROM lineitem)",
+    "boxes": f"SELECT *, {BOX} FROM tracks",
+    "rays": f"SELECT {RAY} FROM tracks WHERE tx <> 0 OR ty <> 0",
     "scan_cells": f"SELECT {FRAME}, {MOVE}, k FROM (SELECT DISTINCT {BASE_CELL} FROM lineitem) CROSS JOIN {_times(FRAMES)}",
     "valued_cells": "SELECT *, CAST(CASE WHEN (i + j + k) % 3 = 0 THEN -0.5 ELSE 1.0 END AS DOUBLE) AS val FROM scan_cells",
     "pose_obs": f"SELECT key, seq, seq * value / 100 AS x, y, h, v_f, v_h FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS seq FROM (SELECT {OBSERVED} FROM events))",

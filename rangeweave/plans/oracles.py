@@ -283,6 +283,40 @@ def _space() -> dict[str, str]:
     }
 
 
+def _boxes_3d() -> dict[str, str]:
+    """Points in turned boxes, where they go, and what rays meet, each by a nested loop over the frame."""
+    m, n = _turn("rx", "ry", "rz"), _turn("n.rx", "n.ry", "n.rz")
+    off = [f"({c} - t{c})" for c in "xyz"]
+    local = ", ".join(f"{' + '.join(f'{m[b][a]} * {off[b]}' for b in range(3))} AS l{c}" for a, c in enumerate("xyz"))
+    pts = f"SELECT DISTINCT frame, {_xy()}, (k - {SPEC.n2 // 2}) * {RES} AS z FROM scan_cells"
+    boxed = f"SELECT * FROM (SELECT p.frame, p.x, p.y, p.z, t.track_id, t.objectType, t.l, t.w, t.h, {local} FROM pts p JOIN boxes t ON p.frame = t.frame) WHERE abs(lx) < l / 2 AND abs(ly) < w / 2 AND abs(lz) < h / 2"
+    names = ("scan_cells", "tracks", "boxes")
+    to = ", ".join(f"arg_min(n.t{c} + {' + '.join(f'{n[a][b]} * l{d}' for b, d in enumerate('xyz'))}, b.track_id) AS {c}2" for a, c in enumerate("xyz"))
+    moved = f"SELECT b.frame, b.x, b.y, b.z, {to} FROM boxed b JOIN boxes n ON n.track_id = b.track_id AND n.frame = b.frame + 1 GROUP BY b.frame, b.x, b.y, b.z"
+
+    def slab(source: str, half: list[str]) -> str:
+        """Rows of source (o0 to o2, d0 to d2: a ray seen from a box) that meet it, with t."""
+        near = ", ".join(f"CASE WHEN d{a} <> 0 THEN least((-({h}) - o{a}) / d{a}, (({h}) - o{a}) / d{a}) END" for a, h in enumerate(half))
+        far = ", ".join(f"CASE WHEN d{a} <> 0 THEN greatest((-({h}) - o{a}) / d{a}, (({h}) - o{a}) / d{a}) END" for a, h in enumerate(half))
+        beside = " AND ".join(f"(d{a} <> 0 OR abs(o{a}) <= {h})" for a, h in enumerate(half))
+        return f"SELECT ray, ox, oy, oz, dx, dy, dz, what, t, t * sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM (SELECT *, greatest(0.0, {near}) AS t, least({far}) AS e FROM ({source}) WHERE {beside}) WHERE t <= e AND t * sqrt(dx * dx + dy * dy + dz * dz) <= 120"
+
+    ray = "r.ray, r.ox, r.oy, r.oz, r.dx, r.dy, r.dz"
+    turned = ", ".join(f"{' + '.join(f'{m[b][a]} * (r.o{c} - t{c})' for b, c in enumerate('xyz'))} AS o{a}, {' + '.join(f'{m[b][a]} * r.d{c}' for b, c in enumerate('xyz'))} AS d{a}" for a in range(3))
+    at = ", ".join(f"r.o{c} - (c.{k} - {size // 2}) * {RES} AS o{a}, r.d{c} AS d{a}" for a, (c, k, size) in enumerate(zip("xyz", "ijk", SPEC.dims, strict=True)))
+    first = f"SELECT ray, dist, what, ox + t * dx AS x, oy + t * dy AS y, oz + t * dz AS z, row_number() OVER (PARTITION BY ray ORDER BY dist, starts_with(what, 'cell'), what) AS n FROM (SELECT * FROM onbox UNION ALL SELECT * FROM oncell)"
+    return {
+        "object_at_3d": with_views(f"SELECT p.frame, {_rounded('p.x', 'p.y', 'p.z').replace('AS p.', 'AS ')}, coalesce(b.type, 'NO_OBJECT') AS type FROM pts p LEFT JOIN (SELECT frame, x, y, z, arg_min(objectType, track_id) AS type FROM boxed GROUP BY ALL) b ON b.frame = p.frame AND b.x = p.x AND b.y = p.y AND b.z = p.z", *names, pts=pts, boxed=boxed),
+        "correspondence_3d": with_views(f"SELECT frame, {_rounded('x', 'y', 'z', 'x2', 'y2', 'z2')} FROM moved", *names, pts=pts, boxed=boxed, moved=moved),
+        "ray_picks": with_views(
+            f"SELECT ray, {_rounded('x', 'y', 'z', 'dist')}, what FROM ({first}) WHERE n = 1", *names, "rays",
+            onbox=slab(f"SELECT {ray}, l, w, h, 'track:' || track_id AS what, {turned} FROM rays r JOIN boxes ON boxes.frame = r.frame", ["l / 2", "w / 2", "h / 2"]),
+            oncell=slab(f"SELECT {ray}, 'cell:' || i || ':' || j || ':' || k AS what, {at} FROM rays r JOIN (SELECT DISTINCT * FROM scan_cells) c ON c.frame = r.frame", [repr(0.75 * SPEC.res / 2)] * 3),
+        ),
+        "grid_merge_stored": with_views("SELECT key, CAST(sum(n_free) AS BIGINT) AS n_free, CAST(sum(n_occ) AS BIGINT) AS n_occ, (10 * sum(n_occ) - sum(n_free)) / 10 AS val FROM grid GROUP BY key", "drive_scan", grid=_grid(SPEC).replace("raw_scan", "drive_scan")),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     x, y, h = ("lag({0}) OVER (PARTITION BY key ORDER BY seq) AS p{0}".format(c) for c in "xyh")
     dx, dy = _travel()
@@ -291,7 +325,7 @@ def all_oracles() -> dict[str, str]:
     image = f"SELECT frame, CAST(trunc(u + 0.5) AS INT) AS w, CAST(trunc(v + 0.5) AS INT) AS h, min(d) AS measured FROM (SELECT frame, {u} / {dep} AS u, {v} / {dep} AS v, {dep} AS d FROM pts WHERE {dep} > 0) WHERE u > -1.5 AND v > -1.5 GROUP BY ALL"
     cell = ", ".join(f"CAST(round({c} / {RES}) AS INT) + {n // 2} AS {k}" for c, n, k in (("x", _N0, "i"), ("y", _N1, "j"), ("x2", _N0, "i2"), ("y2", _N1, "j2")))
     ramp = [f"CAST(round({_unit(f'1.5 - abs(4 * s - {m})')} * 255) AS INT) AS {c}" for c, m in zip("rgb", (3.0, 2.0, 1.0), strict=True)]
-    return _space() | {
+    return _space() | _boxes_3d() | {
         "train_match_rows": on_tracks(
             f"SELECT p.frame, p.i, p.j, p.i2, p.j2, 1 AS label FROM paired p SEMI JOIN scan_cells c ON c.frame = p.frame + 1 AND c.i = p.i2 AND c.j = p.j2 UNION ALL "
             f"SELECT frame, i, j, i + n // 31 - 15, j + n % 31 - 15, 0 FROM (SELECT *, (i * 31 + j * 17) % 961 AS n FROM paired WHERE (i * 7919 + j * 104729) % 10 = 0) WHERE (i + n // 31 - 15 <> i2 OR j + n % 31 - 15 <> j2) AND i + n // 31 - 15 BETWEEN 0 AND {_N0 - 1} AND j + n % 31 - 15 BETWEEN 0 AND {_N1 - 1}",

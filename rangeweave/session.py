@@ -32,17 +32,21 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
 _folders: dict[str, str] = {}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir), read back: lineage ends there.
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
     Where the setting is missing, a local session gets a folder of its own, and a cluster session is refused.
     """
-    spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rangeweave-"))
-    path = f"{top.rstrip('/')}/rangeweave/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/rangeweave/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: lineage ends there."""
+    path = stored_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
