@@ -128,20 +128,25 @@ def foreground_boxes(spark, d):
 # Flow
 
 
-def _scores(spark, d):
-    return flow.column_scores(fx.scan_cells(spark, d), fx.level_weights(spark, d), SPEC, SEARCH, fx.MATCH_OFFSET).where(fx.FOLLOWED)
+def _occupied_columns(spark, d):
+    cells = fx.scan_cells(spark, d)
+    return cells.groupBy("frame", "i", "j").agg(F.lit(0).alias("free"), F.bit_or(F.expr("shiftleft(1, k)")).alias("occupied"), F.lit(True).alias("evident"))
+
+
+#: Weights of levels that are occupied in both scans; no others count.
+OCCUPIED_ONLY = ([0] * SPEC.n2, fx.LEVEL_WEIGHTS, [0] * SPEC.n2)
 
 
 def column_scores(spark, d):
-    return _scores(spark, d)
+    return matcher.scored(_occupied_columns(spark, d), SPEC, OCCUPIED_ONLY, fx.MATCH_OFFSET, SEARCH, windowed=False)
 
 
 def windowed_scores(spark, d):
-    return flow.windowed(_scores(spark, d), SPEC)
+    return matcher.scored(_occupied_columns(spark, d), SPEC, OCCUPIED_ONLY, fx.MATCH_OFFSET, SEARCH)
 
 
 def flow_estep(spark, d):
-    return flow.propose(windowed_scores(spark, d), SPEC)
+    return matcher.proposed(_occupied_columns(spark, d), SPEC, OCCUPIED_ONLY, fx.MATCH_OFFSET, SEARCH)
 
 
 def flow_mstep(spark, d):
@@ -149,9 +154,7 @@ def flow_mstep(spark, d):
 
 
 def flow_solve(spark, d):
-    cols = fx.scan_cells(spark, d).groupBy("frame", "i", "j").agg(F.lit(0).alias("free"), F.bit_or(F.expr("shiftleft(1, k)")).alias("occupied"), F.lit(True).alias("evident"))
-    none = [0] * SPEC.n2
-    return matcher.flow(cols, SPEC, (none, fx.LEVEL_WEIGHTS, none), fx.MATCH_OFFSET, SEARCH, ROUNDS)
+    return matcher.flow(_occupied_columns(spark, d), SPEC, OCCUPIED_ONLY, fx.MATCH_OFFSET, SEARCH, ROUNDS)
 
 
 def _drive_columns(spark, d):

@@ -9,7 +9,7 @@ the grid and deals them; inside a task numpy scores and proposes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,31 +95,40 @@ class Filter:
         return score[i, j] + self.offset <= 0
 
 
-def window_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int, own: np.ndarray | None = None) -> np.ndarray:
-    """[source column, displacement]: 3x3 sums of log match scores in 1 / SCALE. own: the source rows that are wanted (all).
+def displaced_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int) -> Iterator[np.ndarray]:
+    """For each displacement in turn, the log match score of every source column in 1 / SCALE.
 
-    source, later: rows (i, j, free, occupied). A neighbour that is no source counts as EMPTY_SCORE,
-    one outside the grid as OUTSIDE_SCORE; a later column outside the grid has no level known.
+    source, later: rows (i, j, free, occupied); a later column outside the grid has no level known.
     """
-    own = np.ones(len(source), dtype=bool) if own is None else own
-    out = np.empty((int(own.sum()), (2 * w + 1) ** 2), dtype=np.int32)
-    if not len(out):
-        return out
     free, occupied, mixed = (np.array(x, dtype=np.float32) for x in weights)
     mine = np.concatenate([_bits(source[:, 2], spec.n2), _bits(source[:, 3], spec.n2)], axis=1)
     low, size = source[:, :2].min(axis=0), np.ptp(source[:, :2], axis=0) + 1
-    near = ((later[:, :2] >= low - w) & (later[:, :2] < low + size + w)).all(axis=1)
-    later = later[near]
+    later = later[((later[:, :2] >= low - w) & (later[:, :2] < low + size + w)).all(axis=1)]
     f, o = _bits(later[:, 2], spec.n2), _bits(later[:, 3], spec.n2)
     ahead = np.zeros((*(size + 2 * w), 2 * spec.n2), dtype=np.float32)
     ahead[tuple((later[:, :2] - low + w).T)] = np.concatenate([free * f + mixed * o, occupied * o + mixed * f], axis=1)
     i, j = (source[:, :2] - low).T
+    for du, dv in zip(*_shifts(w), strict=True):
+        s = np.einsum("mk,mk->m", mine, ahead[i + w + du, j + w + dv]).astype(np.float64) + offset
+        yield np.rint(-np.log1p(np.exp(-s / 100.0)) * SCALE).astype(np.int32)
+
+
+def window_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int, own: np.ndarray | None = None) -> np.ndarray:
+    """[source column, displacement]: 3x3 sums of displaced_scores. own: the source rows that are wanted (all).
+
+    A neighbour that is no source counts as EMPTY_SCORE, one outside the grid as OUTSIDE_SCORE.
+    """
+    own = np.ones(len(source), dtype=bool) if own is None else own
+    out = np.empty((int(own.sum()), (2 * w + 1) ** 2), dtype=np.int32)
+    if not len(out):
+        return out
+    low, size = source[:, :2].min(axis=0), np.ptp(source[:, :2], axis=0) + 1
+    i, j = (source[:, :2] - low).T
     plane = np.full(size + 2, OUTSIDE_SCORE, dtype=np.int32)
     a, b = (slice(max(0, 1 - low[k]), spec.dims[k] - low[k] + 1) for k in (0, 1))
     plane[a, b] = EMPTY_SCORE
-    for d, (du, dv) in enumerate(zip(*_shifts(w), strict=True)):
-        s = np.einsum("mk,mk->m", mine, ahead[i + w + du, j + w + dv]).astype(np.float64) + offset
-        plane[i + 1, j + 1] = np.rint(-np.log1p(np.exp(-s / 100.0)) * SCALE)
+    for d, scores in enumerate(displaced_scores(source, later, spec, weights, offset, w)):
+        plane[i + 1, j + 1] = scores
         out[:, d] = _box(plane, 1)[i[own], j[own]]
     return out
 
@@ -242,6 +251,39 @@ def flow(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEI
     return _paired(cols).groupBy("frame").applyInArrow(run, FOUND)
 
 
+def scored(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH, windowed: bool = True) -> DataFrame:
+    """frame, i, j, du, dv and win (of the 3x3 window) or score (of the column alone): a row for each evident column and displacement."""
+    name = "win" if windowed else "score"
+
+    def run(key: tuple, pair: pa.Table) -> pa.Table:
+        source, ahead = _sources(pair, spec, None)
+        source = source if len(ahead) else source[:0]
+        n, (du, dv) = len(source), _shifts(w)
+        if windowed or not n:
+            value = window_scores(source, ahead, spec, weights, offset, w)
+        else:
+            value = np.stack(list(displaced_scores(source, ahead, spec, weights, offset, w)), axis=1)
+        cols = [np.full(n * len(du), key[0].as_py(), dtype=np.int32), *(np.repeat(source[:, a], len(du)) for a in (0, 1)), np.tile(du, n), np.tile(dv, n)]
+        return pa.table([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(value.ravel().astype(np.int64))], names=["frame", "i", "j", "du", "dv", name])
+
+    ship(cols.sparkSession)
+    return _paired(cols).groupBy("frame").applyInArrow(run, f"frame int, i int, j int, du int, dv int, {name} bigint")
+
+
+def proposed(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH) -> DataFrame:
+    """The first proposals of `flow`, before targets are settled: flow.propose of the windows."""
+
+    def run(key: tuple, pair: pa.Table) -> pa.Table:
+        source, ahead = _sources(pair, spec, None)
+        source = source if len(ahead) else source[:0]
+        i, j = source[:, 0], source[:, 1]
+        u, v, score = moves(window_scores(source, ahead, spec, weights, offset, w), i, j, spec, w)
+        return _found(key[0].as_py(), i, j, u, v, score > _NONE, score=score)
+
+    ship(cols.sparkSession)
+    return _paired(cols).groupBy("frame").applyInArrow(run, FOUND)
+
+
 # -- tiles ---------------------------------------------------------------------------------------
 
 #: Edge of a tile in columns.

@@ -89,3 +89,22 @@ def test_memory_of_a_dense_pair():
 
 def test_tiles_of_nothing(spark, cols):
     assert matcher.flow_tiles(cols.limit(0), SPEC, w=2, rounds=3).count() == 0
+
+
+def test_kernel_and_joins_agree(spark, cols, cells):
+    """The plain joins of flow.py (levels that are occupied in both scans alone) against the kernel."""
+    from rangeweave.operators import flow
+
+    weights = [30 + 5 * k for k in range(14)]
+    only = ([0] * 14, weights, [0] * 14)
+    occupied = cells.where("val > 0")
+    evident = matcher.columns_of(occupied).withColumn("evident", F.lit(True))
+    model = spark.createDataFrame(list(enumerate(weights)), "k int, wo int")
+    alone = flow.column_scores(occupied.select("frame", "i", "j", "k"), model, SPEC, 2, -141).where("frame < 2")
+    win = flow.windowed(alone, SPEC)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(matcher.scored(evident, SPEC, only, -141, 2, windowed=False)) == rows(alone)
+    assert rows(matcher.scored(evident, SPEC, only, -141, 2)) == rows(win)
+    first = rows(flow.propose(win, SPEC))
+    assert rows(matcher.proposed(evident, SPEC, only, -141, 2)) == first
+    assert rows(matcher.flow(evident, SPEC, only, -141, 2, 2)) == rows(flow.solve(win, SPEC, 2))

@@ -248,3 +248,30 @@ def test_motion_seen_from_another_pose():
     same, turned = m.seen_from(0.0, 0.0, 0.0), m.seen_from(1.0, 2.0, 0.5)
     assert same.place == pytest.approx(m.place) and np.allclose(same.sigma, m.sigma, atol=1e-9)
     assert turned.place[2] == pytest.approx(m.place[2] - 0.5) and np.trace(turned.sigma) == pytest.approx(np.trace(m.sigma))
+
+
+def test_full_evaluation_is_a_loop(spark, data):
+    """Motion, mask and ground of eval_rows_full, put together cell by cell."""
+    from rangeweave.operators import poses
+    from rangeweave.plans import fixtures as fx
+
+    flow = {tuple(r)[:3]: r for r in catalog.flow_cells_full(spark, data).collect()}
+    mask = {tuple(r)[:3] if len(r) == 4 else (r["frame"], r["i"], r["j"]): r["background"] for r in catalog.background_filter(spark, data).collect()}
+    ground = {(r["frame"], r["i"], r["j"]): (r["x2"], r["y2"]) for r in poses.project_points(catalog._places(spark, data), catalog._filtered_poses(spark, data)).collect()}
+    raw = {(r["frame"], r["i"], r["j"]): (r["x2"], r["y2"]) for r in poses.project_points(catalog._places(spark, data), fx.poses(spark, data)).collect()}
+    rows = catalog._eval_full(spark, data).collect()
+    assert len(rows) > 500 and any(ground[k] != raw[k] for k in ground)
+    moved = lost = 0
+    for r in rows:
+        at = r["frame"], r["i"], r["j"]
+        f = flow.get(at)
+        if (f is None or not f["valid"]) and mask[at]:
+            lost += 1
+            want = ground[at][0] - r["x"], ground[at][1] - r["y"]
+        else:
+            moved += f is not None
+            want = (f["u"] * 0.3, f["v"] * 0.3) if f else (0.0, 0.0)
+        assert (r["u"], r["v"]) == pytest.approx(want) and r["filter"] == mask[at]
+        assert r["is_tracklet"] or (r["x2"], r["y2"]) == pytest.approx(raw[at])
+    assert moved > 50 and lost > 50
+    assert not any(mask[k] for k in flow)
