@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeweave.functions import colour
-from rangeweave.functions.geometry import in_view, project
+from rangeweave.functions.geometry import in_view, project, relative
 from rangeweave.operators import background, depth, evaluate, filters, flow, gridstore, matcher, matching, occupancy, patches, picks, poses, projection, registration, tracks
 from rangeweave.plans import fixtures as fx
 from rangeweave.plans import oracles
@@ -457,6 +457,16 @@ def flow_arrows(spark, d):
     return f.select("frame", _r(x).alias("x"), _r(y).alias("y"), _r(x - F.col("u") * SPEC.res).alias("x_from"), _r(y - F.col("v") * SPEC.res).alias("y_from"))
 
 
+def flow_arrows_world(spark, d):
+    """Arrows of occupied cells over the ground, with their heights."""
+    at = fx.poses(spark, d)
+    both = at.join(at.selectExpr("frame - 1 AS frame", "x AS bx", "y AS by", "h AS bh"), "frame")
+    moved = relative((F.col("x"), F.col("y"), F.col("h")), (F.col("bx"), F.col("by"), F.col("bh")))
+    moved = both.select("frame", *(c.alias(n) for c, n in zip(moved, ("mx", "my", "mh"), strict=True)))
+    out = evaluate.flow_arrows(fx.scan_cells(spark, d), flow_solve(spark, d), SPEC, moved)
+    return out.select("frame", "i", "j", "k", *(_r(c).alias(c) for c in ("x", "y", "z", "x_from", "y_from")))
+
+
 def column_boxes(spark, d):
     """The boxes of the columns that the tracks' centres pick."""
     picks = fx.tracks(spark, d).select("frame", SPEC.nearest(F.col("tx"), 0).alias("i"), SPEC.nearest(F.col("ty"), 1).alias("j")).distinct().where(SPEC.inside(F.col("i"), F.col("j")))
@@ -496,7 +506,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         grid_subset, dense_trits, z_slice_dense, posed_grid, packet_returns, count_nonzero, filtered_states, foreground_boxes, background_filter, filter_smooth, foreground_cells, column_scores, windowed_scores,
         flow_estep, flow_mstep, flow_solve, flow_step_full, flow_step_tiles, flow_solve_full, flow_reverse, poses_mercator, relative_pose, pose_chain, relative_pose6, pose_chain6, ego_project, object_at, active_tracks,
         correspondence, camera_visible, eval_rows, eval_by_type, eval_tracklets, flow_cells_full, eval_rows_full, object_at_3d, correspondence_3d, ray_picks, grid_merge_stored, train_filter_rows, pose_filter, tracklets, tracklet_arrows, project_tracklets, project_grid, zbuffer,
-        depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, scan_match_full, scan_match_log, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, pose_trail,
+        depth_fill, train_match_rows, train_match_levels, pick_lookup, column_boxes, track_boxes, image_flow_lines, roi_outlines, scan_match, scan_match_full, scan_match_log, roi_samples, depth_errors, point_colours, flow_table, occupied_boxes, flow_arrows, flow_arrows_world, pose_trail,
     )}
 
 

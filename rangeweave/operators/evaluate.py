@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeweave.functions.geometry import in_view
+from rangeweave.functions.geometry import in_view, relative
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators.occupancy import probability
 from rangeweave.operators.poses import project_points
@@ -96,6 +96,22 @@ def lookup(points: DataFrame, flow: DataFrame, filtered: DataFrame, types: DataF
     return at.select("frame", "x", "y", "i", "j", zero("u"), zero("v"), zero("valid"), zero("background"), "type", in_view(F.col("x"), F.col("y"), camera).cast("int").alias("seen"))
 
 
+def flow_arrows(cells: DataFrame, flow: DataFrame, spec: GridSpec, moved: DataFrame | None = None) -> DataFrame:
+    """frame, i, j, k, x, y, z, x_from, y_from: each occupied cell (frame, i, j, k) of a column with a valid motion, and where it comes from.
+
+    moved: frame, mx, my, mh, the vehicle's motion; the place that a cell comes from is then seen from there,
+    so that arrows show motion over the ground, not against the vehicle.
+    """
+    met = cells.join(flow.where("valid = 1").select(*CELL, "u", "v"), CELL)
+    x, y, z = (spec.metres(F.col(c), a) for a, c in enumerate("ijk"))
+    met = met.select(*CELL, "k", x.alias("x"), y.alias("y"), z.alias("z"), (x - F.col("u") * spec.res).alias("x_from"), (y - F.col("v") * spec.res).alias("y_from"))
+    if moved is None:
+        return met
+    met = met.join(moved, "frame")
+    there = relative((F.col("mx"), F.col("my"), F.col("mh")), (F.col("x_from"), F.col("y_from"), F.lit(0.0)))
+    return met.select(*CELL, "k", "x", "y", "z", there[0].alias("x_from"), there[1].alias("y_from"))
+
+
 def nearest_hit(hits: DataFrame, by: str = "ray") -> DataFrame:
     """by, x, y, z, dist: of each ray's intersections (by, dist, x, y, z) the nearest one."""
     return hits.groupBy(by).agg(F.min(F.struct("dist", "x", "y", "z")).alias("m")).select(by, "m.x", "m.y", "m.z", "m.dist")

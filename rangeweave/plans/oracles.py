@@ -5,7 +5,7 @@ from __future__ import annotations
 from rangeweave.functions.geometry import VIEW_HEIGHT, VIEW_WIDTH
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators import matcher
-from rangeweave.plans.fixtures import CAMERA, DRIVE_FILTER_OFFSET, FILTER_OFFSET, FOLLOWED, MATCH_OFFSET, SPEC, with_views
+from rangeweave.plans.fixtures import CAMERA, DRIVE_FILTER_OFFSET, FILTER_OFFSET, FOLLOWED, MATCH_OFFSET, SPEC, SQL, with_views
 from rangeweave.sources import scans
 
 SEARCH, ROUNDS = 3, 3
@@ -325,7 +325,14 @@ def all_oracles() -> dict[str, str]:
     image = f"SELECT frame, CAST(trunc(u + 0.5) AS INT) AS w, CAST(trunc(v + 0.5) AS INT) AS h, min(d) AS measured FROM (SELECT frame, {u} / {dep} AS u, {v} / {dep} AS v, {dep} AS d FROM pts WHERE {dep} > 0) WHERE u > -1.5 AND v > -1.5 GROUP BY ALL"
     cell = ", ".join(f"CAST(round({c} / {RES}) AS INT) + {n // 2} AS {k}" for c, n, k in (("x", _N0, "i"), ("y", _N1, "j"), ("x2", _N0, "i2"), ("y2", _N1, "j2")))
     ramp = [f"CAST(round({_unit(f'1.5 - abs(4 * s - {m})')} * 255) AS INT) AS {c}" for c, m in zip("rgb", (3.0, 2.0, 1.0), strict=True)]
+    ground = "(cos(a.h) * (b.x - a.x) + sin(a.h) * (b.y - a.y))", "(-sin(a.h) * (b.x - a.x) + cos(a.h) * (b.y - a.y))"
+    world = on_flow(
+        f"SELECT frame, i, j, k, {_rounded('x', 'y', 'z')}, round(cos(mh) * (fx - mx) + sin(mh) * (fy - my), 6) AS x_from, round(-sin(mh) * (fx - mx) + cos(mh) * (fy - my), 6) AS y_from FROM arrows JOIN moved USING (frame)", ROUNDS,
+        poses=SQL["poses"].replace("DIV_", "//"), moved=f"SELECT a.frame, {ground[0]} AS mx, {ground[1]} AS my, {_wrap('(b.h - a.h)')} AS mh FROM poses a JOIN poses b ON b.frame = a.frame + 1",
+        arrows=f"SELECT c.frame, c.i, c.j, c.k, {_xy('c.')}, (c.k - {SPEC.n2 // 2}) * {RES} AS z, (c.i - {SPEC.n0 // 2}) * {RES} - m.u * {RES} AS fx, (c.j - {SPEC.n1 // 2}) * {RES} - m.v * {RES} AS fy FROM scan_cells c JOIN m{ROUNDS} m ON m.frame = c.frame AND m.i = c.i AND m.j = c.j WHERE m.valid = 1",
+    )
     return _space() | _boxes_3d() | {
+        "flow_arrows_world": world,
         "train_match_rows": on_tracks(
             f"SELECT p.frame, p.i, p.j, p.i2, p.j2, 1 AS label FROM paired p SEMI JOIN scan_cells c ON c.frame = p.frame + 1 AND c.i = p.i2 AND c.j = p.j2 UNION ALL "
             f"SELECT frame, i, j, i + n // 31 - 15, j + n % 31 - 15, 0 FROM (SELECT *, (i * 31 + j * 17) % 961 AS n FROM paired WHERE (i * 7919 + j * 104729) % 10 = 0) WHERE (i + n // 31 - 15 <> i2 OR j + n % 31 - 15 <> j2) AND i + n // 31 - 15 BETWEEN 0 AND {_N0 - 1} AND j + n % 31 - 15 BETWEEN 0 AND {_N1 - 1}",
