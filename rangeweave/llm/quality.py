@@ -58,12 +58,9 @@ def keys_of(words: list[bytes]) -> np.ndarray:
 
 
 def pairs(keys: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words: the hash of a pair is a function of the difference of its words' 64-bit keys.
-
-    So all pairs of a word with itself share a row, whose vector is learned like any other.
-    """
+    """Buckets of neighbouring words, in order: hashed from both words' 64-bit keys like any other n-gram."""
     with np.errstate(over="ignore"):
-        return _bucket(keys[1:] - keys[:-1])
+        return _bucket((keys[:-1] * _MIX) ^ keys[1:])
 
 
 class Scorer:
