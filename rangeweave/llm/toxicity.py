@@ -1,10 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are its distinct word n-grams, hashed to ``BUCKETS``: single words in four normal forms
-(lower-cased and bare of punctuation, whole or cut to a stem of 4, 5 or 6 bytes, since insults come
-inflected), pairs of neighbours, and skip-grams with one word between. FTRL-proximal keeps a rate per coordinate; its L1 term leaves most
-weights at zero, so only the few others are broadcast (indices and values, 12 bytes each, BUCKETS at
-most). Training takes a bounded labelled sample (``ROWS`` documents); scoring is one pass without a
+Features of a text are its distinct word n-grams, hashed to ``BUCKETS``: single words (lower-cased and
+bare of punctuation), pairs of neighbours, and skip-grams with one word between. FTRL-proximal keeps a
+rate per coordinate; its L1 term leaves most weights at zero, so only the few others are broadcast
+(indices and values, 12 bytes each, BUCKETS at most). Training takes a bounded labelled sample (``ROWS`` documents); scoring is one pass without a
 shuffle.
 """
 
@@ -27,8 +26,6 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.1
 EPOCHS = 4
 #: Documents of the training sample, at most.
 ROWS = 10_000
-#: Lengths of the stems.
-STEMS = (4, 5, 6)
 #: Words a worker remembers before it starts anew.
 MEMO = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,30 +37,24 @@ class Features:
 
     def __init__(self):
         self.memo: dict[bytes, int] = {}
-        self.stems: dict[bytes, list[int]] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-            self.stems.clear()
-        distinct = set(words)
         long = []
-        for w in distinct.difference(memo):
+        for w in set(words).difference(memo):
             if len(w) > MEMO_BYTES:
                 long.append(w)
-            bare = w.strip(_PUNCT)
-            memo[w] = xxhash.xxh3_64_intdigest(bare)
-            self.stems[w] = [xxhash.xxh3_64_intdigest(bare[:n], n) for n in STEMS if len(bare) >= n]
-        stems = np.fromiter((h for w in distinct for h in self.stems[w]), dtype=np.uint64)
+            memo[w] = xxhash.xxh3_64_intdigest(w.strip(_PUNCT))
         k = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
         for w in long:
-            del memo[w], self.stems[w]
+            del memo[w]
         with np.errstate(over="ignore"):
             near = (k[:-1] * _MIX) ^ k[1:]
             skip = (k[:-2] * _MIX * _MIX) ^ k[2:]
-        return np.unique((np.concatenate([k, stems, near, skip]) * _MIX >> np.uint64(64 - 20)).astype(np.int32))
+        return np.unique((np.concatenate([k, near, skip]) * _MIX >> np.uint64(64 - 20)).astype(np.int32))
 
 
 @dataclass
