@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +48,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are removed at its end: only for work whose result is written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            remove(spark, path)
+        _made.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/rangeweave/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rangeweave/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
+    if _made.get() is not None:
+        _made.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

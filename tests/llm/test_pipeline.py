@@ -2,15 +2,17 @@
 
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from rangeweave.llm import bpe, quality, simhash
-from rangeweave.llm.common import crc_mod
+from rangeweave.llm.common import crc_mod, new_path
 from tests.llm import brute
 
 
@@ -55,7 +57,10 @@ def test_stages(spark, data, tmp_path):
         assert kept == want
         assert len(kept) > 0.5 * len(rows)
         rows = kept
+    tables = Path(new_path(spark, "x")).parent
+    before = set(tables.iterdir()) if tables.exists() else set()
     whole = cp.run(spark, data)
+    assert [p.name.rsplit("-", 1)[0] for p in set(tables.iterdir()) - before] == ["secret-scans"]
     assert {r["doc_id"]: bytes(r["ids"]) for r in whole.collect()} == {d: bytes(r["ids"]) for d, r in got.items()}
 
 
@@ -133,3 +138,20 @@ def test_extra_columns_with_inside_names_stay_as_they_are(spark, data):
     assert found == [5, 8, 8]
     near = {r["doc_id"]: r["h"] for r in cp.near_duplicate_stage(spark, docs, data).collect()}
     assert near == {1: "h0", 3: "h2", 4: "h4", 5: "h6", 6: "h7"}  # of equal documents the first by the other columns
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 7])
+def test_many_named_documents(spark, data, docs, monkeypatch, bits):
+    """Beyond the bound of a broadcast the same rows come out, whatever the filter lets through."""
+    stages = (cp.near_duplicate_stage, cp.decontamination_stage)
+    want = [Counter(map(str, s(spark, docs, data).collect())) for s in stages]
+    monkeypatch.setattr(cp, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(cp, "FILTER_BITS", bits)
+    assert [Counter(map(str, s(spark, docs, data).collect())) for s in stages] == want
+    packed = docs.select(F.struct("doc_id", "text").alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    found = packed.where("_row.doc_id % 3 = 0 OR _row.doc_id IS NULL").select(F.col("_row.doc_id").alias("_d"), F.col("_th").alias("_h"))
+    named = cp._named(packed, found)
+    inside = F.coalesce(F.col("_row.doc_id") % 3 == 0, F.lit(True))
+    assert named.count() == docs.count() and named.where(inside & ~F.col("_maybe")).isEmpty()
+    assert bits == 1 << 7 or named.where(~inside & F.col("_maybe")).isEmpty()
+    assert named.where("_maybe").count() >= found.count()
