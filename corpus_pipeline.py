@@ -6,24 +6,44 @@ Each stage takes all rows that the one before it kept. All but the last return t
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeweave.llm import bpe, decontaminate, quality, secrets, simhash
-from rangeweave.llm.common import crc_mod, staged, table
+from rangeweave.llm.common import crc_mod, new_path, passing, remove, staged, table
 
-#: Documents that may be named in a broadcast (16 bytes each); more are joined by a shuffle.
+#: Documents that may be named in a broadcast (16 bytes each). More are joined by a shuffle, of the rows that a filter can't rule out.
 BROADCAST_IDS = 1_000_000
+#: Bits of that filter: 32 MB, however many documents are named.
+FILTER_BITS = 1 << 28
 #: Rows that share a doc_id are told apart by the hash of their text.
 DOCUMENT = ["doc_id", "_th"]
 
 
+def _bit(*document: str) -> Column:
+    return F.pmod(F.xxhash64(*document), F.lit(FILTER_BITS)) + 1
+
+
+def _named(packed: DataFrame, found: DataFrame) -> DataFrame:
+    """packed with _maybe: false where the document surely is not in found. No row moves; the bitmap has FILTER_BITS bits at most."""
+    bits = found.select(_bit("_d", "_h").alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    at = packed.withColumn("_bit", _bit("_row.doc_id", "_th"))
+    met = at.join(F.broadcast(bits), F.bitmap_bucket_number("_bit") == F.col("_slot"), "left")
+    place = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.select("_row", "_th", (F.coalesce(F.getbit(byte, (place % 8).cast("int")), F.lit(0)) == 1).alias("_maybe"))
+
+
 def _meeting(docs: DataFrame, documents: DataFrame, how: str) -> DataFrame:
     """_row (all columns of docs, whatever their names) and _th of docs, joined by document ("left_anti" or "left_semi"); a null id is an id like others."""
     found = documents.select(*DOCUMENT).distinct().toDF("_d", "_h")
-    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_th"))
-    return packed.join(found, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), how)
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h"))
+    if found.count() <= BROADCAST_IDS:
+        return packed.join(F.broadcast(found), same, how)
+    marked = _named(packed, found)
+    met = marked.where("_maybe").drop("_maybe").join(found, same, how)
+    return met if how == "left_semi" else met.unionByName(marked.where("NOT _maybe").drop("_maybe"))
 
 
 def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -91,11 +111,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null text counts as empty; empty texts are judged like others (they are near-duplicates of one another, so one stays). Very long
     texts are taken whole. Rows that share a doc_id are told apart by their text; null ids are ids. Extra columns are carried up to the
-    last stage, whatever their names. An empty table gives an empty result.
+    last stage, whatever their names. An empty table gives an empty result. Of the tables that the stages write only the last is left.
     """
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if stage is not bpe_stage:
-            docs = staged(docs, name.replace(" ", "-"))
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name.replace(" ", "-"))
+        with passing(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
