@@ -29,6 +29,15 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small)
 
 
+def by_frame(df: DataFrame) -> DataFrame:
+    """df dealt by frame to all shuffle partitions, whatever its size.
+
+    What then groups or joins by frame and more needs no exchange, so rows that are made of others after this don't travel.
+    A frame is one scan: its grid bounds what a task holds of it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame")
+
+
 _folders: dict[str, str] = {}
 
 

@@ -67,6 +67,14 @@ def test_picks_are_the_nearest_hits(spark):
     assert 40 < found < len(rays)
 
 
+def test_tiles_of_rays_are_not_broadcast(spark, data):
+    from rangeweave import catalog
+
+    plan = catalog.ray_picks(spark, data)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [frame#" in line and ("i#" in line or "tx_#" in line)]
+    assert joins and not any("BroadcastHashJoin" in line for line in joins)
+
+
 def test_boxes_in_space_are_a_nested_loop(spark):
     rng = np.random.default_rng(2)
     given = boxes(rng, 12)
