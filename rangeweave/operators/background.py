@@ -1,7 +1,8 @@
 """Background columns: a learned linear window over the cells around each column.
 
 The window's contributions go out from the occupied and free cells (the sparse side): each cell adds
-its weight to the 25 columns around it. A column that no cell reaches keeps the offset alone.
+its weight to the 25 columns around it. A column that no cell reaches keeps the offset alone. Cells travel by frame
+before they go out, so the weights are added up where they arise.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeweave.functions.grid_index import GridSpec
-from rangeweave.session import bounded
+from rangeweave.session import bounded, by_frame
 
 WINDOW = 2
 #: Rows of a model that may be broadcast; that of 14 levels has 350.
@@ -27,24 +28,32 @@ def columns(frames: DataFrame, spec: GridSpec) -> DataFrame:
     return every.select("frame", "i", F.explode(F.sequence(F.lit(0), F.lit(spec.n1 - 1))).alias("j"))
 
 
+def _sent(cells: DataFrame, model: DataFrame) -> DataFrame:
+    """frame, i, j, w: what each cell adds to the columns around it, in the grid or not."""
+    around = cells.where("val <> 0").withColumn("di", _offsets(WINDOW)).withColumn("dj", _offsets(WINDOW))
+    met = around.join(bounded(model, MODEL_ROWS), ["di", "dj", "k"])
+    weight = F.when(F.col("val") < 0, F.col("wf")).otherwise(F.col("wo"))
+    return met.select("frame", (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), weight.alias("w"))
+
+
 def scores(cells: DataFrame, model: DataFrame, spec: GridSpec) -> DataFrame:
     """frame, i, j, score (without the offset) of columns that some cell reaches.
 
     cells: frame, i, j, k, val; model: di, dj, k, wf, wo. The cell at (i + di, j + dj, k) adds wf to
     column (i, j) if it is free, wo if it is occupied.
     """
-    around = cells.where("val <> 0").withColumn("di", _offsets(WINDOW)).withColumn("dj", _offsets(WINDOW))
-    met = around.join(bounded(model, MODEL_ROWS), ["di", "dj", "k"])
-    weight = F.when(F.col("val") < 0, F.col("wf")).otherwise(F.col("wo"))
-    to = met.select("frame", (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), weight.alias("w"))
+    to = _sent(by_frame(cells), model)
     return to.where(spec.inside(F.col("i"), F.col("j"))).groupBy("frame", "i", "j").agg(F.sum("w").alias("score"))
 
 
 def classify(cells: DataFrame, model: DataFrame, spec: GridSpec, offset) -> DataFrame:
     """frame, i, j, score, background (1 unless the score with the offset is above 0), every column."""
-    every = columns(cells.select("frame").distinct(), spec)
-    total = F.coalesce("score", F.lit(0)) + offset
-    return every.join(scores(cells, model, spec), ["frame", "i", "j"], "left").select("frame", "i", "j", total.alias("score"), F.when(total > 0, 0).otherwise(1).alias("background"))
+    found = scores(cells, model, spec)
+    every = columns(by_frame(cells.select("frame").distinct()), spec).select("frame", "i", "j", F.lit(0).cast(found.schema["score"].dataType).alias("score"))
+    total = F.sum("score") + offset
+    # The columns, in one and the same partition with their frame's scores, are added to them: a join would deal both by column.
+    out = found.unionByName(every).groupBy("frame", "i", "j").agg(total.alias("score"))
+    return out.select("frame", "i", "j", "score", F.when(F.col("score") > 0, 0).otherwise(1).alias("background"))
 
 
 def smooth(filtered: DataFrame, spec: GridSpec) -> DataFrame:
