@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rangeweave.functions.geometry import rigid
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators.background import columns
+from rangeweave.session import by_frame
 
 # Fixed values of the sensor model.
 ORIGIN = (0.0, 0.0, 1.73)
@@ -40,16 +41,15 @@ def posed(points: DataFrame, poses: DataFrame, origin: tuple[float, float, float
 def ends(points: DataFrame, spec: GridSpec, masked: bool = True) -> DataFrame:
     """frame, e0, e1, e2 (end cell, maybe outside), rays, hits; of posed points also o0, o1, o2, the origin's cell.
 
-    These few rows become many when they are walked, so they are dealt to all shuffle partitions:
-    by size alone they would be put together in one task.
+    These few rows become many when they are walked, so they are dealt to all shuffle partitions (by size alone they
+    would be put together in one task) and by frame, so that the cells of the walks are added up where they arise.
     """
     moved = "body" in points.columns
     hit = ~(F.col("body") if moved else own_body(F.col("x"), F.col("y"))) if masked else F.lit(True)
     cells = [spec.endpoint(F.col(c), a).alias(f"e{a}") for a, c in enumerate("xyz")]
     cells += [spec.endpoint(F.col(f"o{c}"), a).alias(f"o{a}") for a, c in enumerate("xyz")] if moved else []
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = points.select("frame", *cells, hit.cast("long").alias("h")).groupBy("frame", *(c for n in ("e", "o")[: 1 + moved] for c in (f"{n}0", f"{n}1", f"{n}2"))).agg(F.count("*").alias("rays"), F.sum("h").alias("hits"))
-    return counted.repartition(parts)
+    return by_frame(counted)
 
 
 def origin_cell(spec: GridSpec, origin: tuple[float, float, float]) -> tuple[int, int, int]:
