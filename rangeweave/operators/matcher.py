@@ -21,7 +21,7 @@ from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators.background import MODEL_ROWS, WINDOW
 from rangeweave.operators.flow import EMPTY_SCORE, LENGTH_COST, OUTSIDE_SCORE, SCALE, SMOOTH, resolve
 from rangeweave.operators.occupancy import probability
-from rangeweave.session import bounded, ship, stored
+from rangeweave.session import bounded, by_frame, ship, stored
 
 # Fixed values, in hundredths: what a level adds that is free in both scans, occupied in both, or free
 # in one and occupied in the other; and the offset of the sum.
@@ -95,86 +95,138 @@ class Filter:
         return score[i, j] + self.offset <= 0
 
 
-def displaced_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int) -> Iterator[np.ndarray]:
-    """For each displacement in turn, the log match score of every source column in 1 / SCALE.
+def _distinct(masks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(free bits, occupied bits, which of them each row has) of the distinct pairs of masks (free, occupied)."""
+    pair, which = np.unique(masks[:, 0].astype(np.int64) << 32 | masks[:, 1], return_inverse=True)
+    return _bits(pair >> 32, n), _bits(pair & 0xFFFFFFFF, n), which
+
+
+#: Numbers that a task holds at once while it scores.
+AT_ONCE = 500_000
+
 
-    source, later: rows (i, j, free, occupied); a later column outside the grid has no level known.
+def all_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int, more: int = 0) -> np.ndarray:
+    """[source column, displacement]: the log match score in 1 / SCALE, and `more` rows that are left to the caller.
+
+    source, later: rows (i, j, free, occupied); a later column outside the grid has no level known. What a pair of columns scores
+    depends on their levels alone, so distinct ones are scored, each pair once, and displacements look that up, unless there are more such
+    pairs than scores.
     """
+    out = np.empty((len(source) + more, (2 * w + 1) ** 2), dtype=np.int32)
+    if not len(source):
+        return out
     free, occupied, mixed = (np.array(x, dtype=np.float32) for x in weights)
-    mine = np.concatenate([_bits(source[:, 2], spec.n2), _bits(source[:, 3], spec.n2)], axis=1)
+    most = int(np.abs(np.stack([free, occupied, mixed])).max(axis=0).sum()) + 1
+    logs = np.rint(-np.log1p(np.exp(-(np.arange(-most, most + 1, dtype=np.float64) + offset) / 100.0)) * SCALE).astype(np.int32)
     low, size = source[:, :2].min(axis=0), np.ptp(source[:, :2], axis=0) + 1
     later = later[((later[:, :2] >= low - w) & (later[:, :2] < low + size + w)).all(axis=1)]
-    f, o = _bits(later[:, 2], spec.n2), _bits(later[:, 3], spec.n2)
-    ahead = np.zeros((*(size + 2 * w), 2 * spec.n2), dtype=np.float32)
-    ahead[tuple((later[:, :2] - low + w).T)] = np.concatenate([free * f + mixed * o, occupied * o + mixed * f], axis=1)
-    i, j = (source[:, :2] - low).T
-    for du, dv in zip(*_shifts(w), strict=True):
-        s = np.einsum("mk,mk->m", mine, ahead[i + w + du, j + w + dv]).astype(np.float64) + offset
-        yield np.rint(-np.log1p(np.exp(-s / 100.0)) * SCALE).astype(np.int32)
+    f, o, which = _distinct(np.concatenate([later[:, 2:4], np.zeros((1, 2), dtype=later.dtype)]), spec.n2)
+    ahead = np.concatenate([free * f + mixed * o, occupied * o + mixed * f], axis=1).T
+    at = np.full(size + 2 * w, which[-1], dtype=np.int64)  # the last is the column of which nothing is known
+    at[tuple((later[:, :2] - low + w).T)] = which[:-1]
+    around = np.lib.stride_tricks.sliding_window_view(at, (2 * w + 1, 2 * w + 1))
+    f, o, mine = _distinct(source[:, 2:4], spec.n2)
+    own = np.concatenate([f, o], axis=1)
+    order, (i, j) = np.argsort(mine, kind="stable"), (source[:, :2] - low).T
+    if len(own) * ahead.shape[1] > out.size:
+        for d, (du, dv) in enumerate(zip(*_shifts(w), strict=True)):
+            out[: len(source), d] = logs[np.einsum("mk,mk->m", own[mine], ahead.T[at[i + w + du, j + w + dv]]).astype(np.int64) + most]
+        return out
+    for rows in np.array_split(order, max(1, -(-len(order) * max(out.shape[1], ahead.shape[1]) // AT_ONCE))):
+        first = mine[rows[0]] if len(rows) else 0
+        if len(rows):
+            score = logs[(own[first : mine[rows[-1]] + 1] @ ahead).astype(np.int64) + most].ravel()
+            near = around[i[rows], j[rows]].reshape(len(rows), -1)
+            near += ((mine[rows] - first) * ahead.shape[1])[:, None]
+            out[rows] = score[near]
+    return out
+
+
+def displaced_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int) -> Iterator[np.ndarray]:
+    """For each displacement in turn, all_scores of every source column."""
+    yield from all_scores(source, later, spec, weights, offset, w).T
 
 
 def window_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int, own: np.ndarray | None = None) -> np.ndarray:
     """[source column, displacement]: 3x3 sums of displaced_scores. own: the source rows that are wanted (all).
 
-    A neighbour that is no source counts as EMPTY_SCORE, one outside the grid as OUTSIDE_SCORE.
+    A neighbour that is no source counts as EMPTY_SCORE, one outside the grid as OUTSIDE_SCORE. The sums take the scores' place,
+    some displacements at a time.
     """
     own = np.ones(len(source), dtype=bool) if own is None else own
-    out = np.empty((int(own.sum()), (2 * w + 1) ** 2), dtype=np.int32)
-    if not len(out):
-        return out
+    if not own.any():
+        return np.empty((0, (2 * w + 1) ** 2), dtype=np.int32)
+    n = len(source)
+    out = all_scores(source, later, spec, weights, offset, w, 2)
+    out[n], out[n + 1] = EMPTY_SCORE, OUTSIDE_SCORE
     low, size = source[:, :2].min(axis=0), np.ptp(source[:, :2], axis=0) + 1
     i, j = (source[:, :2] - low).T
-    plane = np.full(size + 2, OUTSIDE_SCORE, dtype=np.int32)
+    row = np.full(size + 2, n + 1)
     a, b = (slice(max(0, 1 - low[k]), spec.dims[k] - low[k] + 1) for k in (0, 1))
-    plane[a, b] = EMPTY_SCORE
-    for d, scores in enumerate(displaced_scores(source, later, spec, weights, offset, w)):
-        plane[i + 1, j + 1] = scores
-        out[:, d] = _box(plane, 1)[i[own], j[own]]
-    return out
+    row[a, b] = n
+    row[i + 1, j + 1] = np.arange(n)
+    near = [row[i[own] + a, j[own] + b] for a in range(3) for b in range(3)]
+    held = np.flatnonzero(own)
+    step = max(1, AT_ONCE // (n + 2))
+    for d in range(0, out.shape[1], step):
+        part = out[:, d : d + step].copy()
+        total = part[near[0]]
+        for x in near[1:]:
+            total += part[x]
+        out[held, d : d + step] = total
+    return out[:n] if own.all() else out[held]
 
 
 def moves(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int, weight: int = 1, near: np.ndarray | None = None, owners: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """u, v, score (the least int, and no motion, where none is admissible): each source's best displacement.
 
     near: rows (i, j, u, v) of what moved in the round before; they pull the sources within SMOOTH. owners: rows (target
-    i, j, source i, j, score); a target is open to its owner and to sources that score higher. The best of all
-    displacements is kept while they are gone through, so memory follows the columns, not columns times displacements.
+    i, j, source i, j, score); a target is open to its owner and to sources that score higher. Sources are gone through some at
+    a time, so that what is held beside win is bounded.
     """
     top, at = np.full(len(i), _NONE, dtype=np.int32), np.zeros(len(i), dtype=np.int64)
     du, dv = _shifts(w)
     if len(i):
-        pad = max(w, SMOOTH)
+        pad, side = max(w, SMOOTH), 2 * w + 1
         low = np.array([i.min() - pad, j.min() - pad])
         shape = tuple(np.array([i.max() + pad + 1, j.max() + pad + 1]) - low)
         x, y = i - low[0], j - low[1]
         inside = lambda c: ((c >= low) & (c < low + shape)).all(axis=1)
-        pulled = near is not None and len(near)
-        if pulled:
+        a = np.arange(-w, w + 1, dtype=np.int32)
+        ways = [LENGTH_COST * a * a + np.zeros((len(i), 1), dtype=np.int32)] * 2  # what a step on one axis takes off the score
+        if near is not None and len(near):
             near = near[inside(near[:, :2])]
 
             def around(value: np.ndarray) -> np.ndarray:
                 plane = np.zeros(shape, dtype=np.int32)
                 plane[tuple((near[:, :2] - low).T)] = value
-                return _box(plane, SMOOTH)[x - SMOOTH, y - SMOOTH] - plane[x, y]
+                return (_box(plane, SMOOTH)[x - SMOOTH, y - SMOOTH] - plane[x, y])[:, None]
 
             u, v = near[:, 2], near[:, 3]
-            n, su, sv, s2 = around(np.ones_like(u)), around(u), around(v), around(u * u + v * v)
-        owned = owners is not None and len(owners)
-        if owned:
+            n = around(np.ones_like(u))
+            ways = [c + weight * (n * a * a - 2 * around(m) * a) for c, m in zip(ways, (u, v), strict=True)]
+            ways[0] = ways[0] + weight * around(u * u + v * v)
+        # Beyond the grid no score is high enough; inside, one has to exceed the owner's.
+        best, mine = np.full(shape, np.iinfo(np.int32).max, dtype=np.int32), np.full(shape, -1, dtype=np.int64)
+        p, q = (slice(max(0, -low[k]), max(0, spec.dims[k] - low[k])) for k in (0, 1))
+        best[p, q] = _NONE
+        if owners is not None and len(owners):
             owners = owners[inside(owners[:, :2])]
-            best, who = np.full(shape, _NONE, dtype=np.int32), np.full(shape, -1, dtype=np.int64)
-            to = tuple((owners[:, :2] - low).T)
-            best[to], who[to] = owners[:, 4], owners[:, 2].astype(np.int64) * spec.n1 + owners[:, 3]
-            me = i.astype(np.int64) * spec.n1 + j
-        for d, (a, b) in enumerate(zip(du.tolist(), dv.tolist(), strict=True)):
-            ok = (i + a >= 0) & (i + a < spec.n0) & (j + b >= 0) & (j + b < spec.n1)
-            s = win[:, d] - LENGTH_COST * (a * a + b * b)
-            if pulled:
-                s = s - weight * (s2 + n * (a * a + b * b) - 2 * (su * a + sv * b))
-            if owned:
-                ok &= (s > best[x + a, y + b]) | (who[x + a, y + b] == me)
-            ok &= s > top  # of equals the first stays: least du, then least dv
-            top[ok], at[ok] = s[ok], d
+            best[tuple((owners[:, :2] - low).T)] = owners[:, 4]
+            owners = owners[inside(owners[:, 2:4]) & (np.abs(owners[:, :2] - owners[:, 2:4]) <= w).all(axis=1)]
+            mine[tuple((owners[:, 2:4] - low).T)] = (owners[:, 0] - owners[:, 2] + w) * side + owners[:, 1] - owners[:, 3] + w
+        least = np.lib.stride_tricks.sliding_window_view(best, (side, side))
+        kept = mine[x, y]
+        for rows in np.array_split(np.arange(len(i)), -(-len(i) * len(du) // AT_ONCE)):
+            s = win[rows].reshape(len(rows), side, side)
+            s -= ways[0][rows][:, :, None]
+            s -= ways[1][rows][:, None, :]
+            s, ok = s.reshape(len(rows), -1), (s > least[x[rows] - w, y[rows] - w]).reshape(len(rows), -1)
+            has = np.flatnonzero(kept[rows] >= 0)
+            ok[has, kept[rows[has]]] = True
+            s[~ok] = _NONE
+            at[rows] = s.argmax(axis=1)  # of equals the first: least du, then least dv
+            top[rows] = s[np.arange(len(rows)), at[rows]]
     there = top > _NONE
     return np.where(there, du[at], 0), np.where(there, dv[at], 0), top
 
@@ -219,9 +271,13 @@ def _sources(t: pa.Table, spec: GridSpec, filter: Filter | None) -> tuple[np.nda
 
 def _paired(cols: DataFrame) -> DataFrame:
     """cols of every frame, and once more, as later ones, of the frame before."""
-    keys = [*_COLUMNS, "evident"]
-    both = cols.select(F.col("frame").cast("int").alias("frame"), F.lit(False).alias("later"), *keys)
-    return both.unionByName(cols.select((F.col("frame") - 1).cast("int").alias("frame"), F.lit(True).alias("later"), *keys))
+    both = cols.withColumn("later", F.explode(F.array(F.lit(False), F.lit(True))))  # one pass: a union would make the columns twice
+    return both.select((F.col("frame") - F.col("later").cast("int")).cast("int").alias("frame"), "later", *_COLUMNS, "evident")
+
+
+def _pairs(cols: DataFrame) -> DataFrame:
+    """Pairs of scans, dealt to all shuffle partitions: by size alone a task would get many, and each is much work."""
+    return by_frame(_paired(cols)).groupBy("frame")
 
 
 FOUND = "frame int, i int, j int, u int, v int, valid int, score bigint"
@@ -248,7 +304,7 @@ def flow(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEI
         return _found(key[0].as_py(), i, j, u, v, valid, score=score)
 
     ship(cols.sparkSession)
-    return _paired(cols).groupBy("frame").applyInArrow(run, FOUND)
+    return _pairs(cols).applyInArrow(run, FOUND)
 
 
 def scored(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH, windowed: bool = True) -> DataFrame:
@@ -267,7 +323,7 @@ def scored(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = W
         return pa.table([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(value.ravel().astype(np.int64))], names=["frame", "i", "j", "du", "dv", name])
 
     ship(cols.sparkSession)
-    return _paired(cols).groupBy("frame").applyInArrow(run, f"frame int, i int, j int, du int, dv int, {name} bigint")
+    return _pairs(cols).applyInArrow(run, f"frame int, i int, j int, du int, dv int, {name} bigint")
 
 
 def proposed(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH) -> DataFrame:
@@ -281,7 +337,7 @@ def proposed(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] =
         return _found(key[0].as_py(), i, j, u, v, score > _NONE, score=score)
 
     ship(cols.sparkSession)
-    return _paired(cols).groupBy("frame").applyInArrow(run, FOUND)
+    return _pairs(cols).applyInArrow(run, FOUND)
 
 
 # -- tiles ---------------------------------------------------------------------------------------

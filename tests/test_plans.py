@@ -14,3 +14,14 @@ def exchanges(df):
 def test_weights_are_added_up_where_they_arise(spark, data, name):
     keys = exchanges(getattr(catalog, name)(spark, data))
     assert keys and not [k for k in keys if " i#" in k]
+
+
+def test_walked_cells_are_added_up_where_they_arise(spark, data):
+    keys = exchanges(catalog.occupancy_grid(spark, data))
+    assert keys and not [k for k in keys if "key#" in k]
+
+
+def test_columns_of_a_pair_are_made_once(spark, data):
+    plan = catalog.flow_step_full(spark, data)._jdf.queryExecution().executedPlan().toString()
+    keys = exchanges(catalog.flow_step_full(spark, data))
+    assert plan.count("Scan parquet") == 1 and not [k for k in keys if "key#" in k or " i#" in k]
