@@ -118,16 +118,17 @@ def frame_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """packet_id, packet: every line item as a return, 384 in a packet of 1206 bytes, the packets of 64 orders by themselves."""
     slots = pick(pick(table(spark, sf_dir, "lineitem"), PACKET_ITEM), PACKET_SLOT)
-    held = slots.groupBy("packet_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
+    # Slots are numbered without a gap, so an array in their order has each at its number.
+    held = slots.groupBy("packet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda x: x["v"]).alias("m"))
 
     def ret(slot):
-        v = F.coalesce(F.try_element_at("m", slot), F.lit(0).cast("long"))
+        v = F.coalesce(F.get("m", slot), F.lit(0).cast("long"))
         raw = F.shiftright(v, 8)
         return F.lpad(F.hex(raw % 256 * 65536 + F.shiftright(raw, 8) * 256 + v % 256), 6, "0")
 
     def block(b):
         angle = (F.col("packet_id") * 97 + b * 40) % 36000
-        return F.concat(F.lit("FFEE"), F.lpad(F.hex(angle % 256 * 256 + F.shiftright(angle, 8)), 4, "0"), F.array_join(F.transform(F.sequence(b * 32, b * 32 + 31), lambda s: ret(s.cast("long"))), ""))
+        return F.concat(F.lit("FFEE"), F.lpad(F.hex(angle % 256 * 256 + F.shiftright(angle, 8)), 4, "0"), F.array_join(F.transform(F.sequence(b * 32, b * 32 + 31), ret), ""))
 
     body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), block), "")
     return held.select("packet_id", F.unhex(F.concat(body, F.lit("00" * 6))).alias("packet"))

@@ -118,17 +118,19 @@ def decode_packets(packets: DataFrame, lasers: DataFrame | None = None, keep: Co
     lasers: firing, sorted, phi (without: the stock table). keep: a condition on firing, sorted, theta, range, which
     takes the place of "range is at least NEAREST". intensities: laser (sorted), raw, mapped.
     """
-    p = packets.where(F.octet_length("packet") == PACKET).select("packet_id", F.hex("packet").alias("h"))
-    number = lambda at, n: F.conv(F.substring("h", 2 * at + 1, F.lit(2 * n)), 16, 10).cast("int")
-    low_first = lambda at: number(at, 1) + 256 * number(at + 1, 1)
-    p = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    base = F.col("block") * BLOCK_BYTES
-    turn = low_first(base + 2) * ANGLE_UNIT
-    p = p.where(low_first(base) == MARK).withColumn("_turn", F.when(turn >= 2 * math.pi, 0.0).otherwise(turn))
+    p = packets.where(F.octet_length("packet") == PACKET)
+    # Bytes are cut from the block and the return that they are in, as numbers once: hex text is searched from its beginning.
+    part = lambda c, at, n: F.substring(c, at + 1, F.lit(n))
+    number = lambda c: F.conv(F.hex(c), 16, 10).cast("int")
+    low_first = lambda n: n % 256 * 256 + F.shiftright(n, 8)
+    p = p.select("packet_id", "packet", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    p = p.select("packet_id", "block", part(F.col("packet"), F.col("block") * BLOCK_BYTES, BLOCK_BYTES).alias("_b"))
+    turn = low_first(number(part(F.col("_b"), F.lit(2), 2))) * ANGLE_UNIT
+    p = p.where(low_first(number(part(F.col("_b"), F.lit(0), 2))) == MARK).withColumn("_turn", F.when(turn >= 2 * math.pi, 0.0).otherwise(turn))
     p = p.withColumn("firing", F.explode(F.sequence(F.lit(0), F.lit(RETURNS - 1))))
-    ret = base + 4 + 3 * F.col("firing")
     late = F.col("_turn") + SPIN_RATE * F.col("firing") * LASER_DELAY
-    p = p.select("packet_id", "block", "firing", F.when(late >= 2 * math.pi, late - 2 * math.pi).otherwise(late).alias("theta"), (low_first(ret) * RANGE_UNIT).alias("range"), number(ret + 2, 1).alias("intensity"))
+    p = p.select("packet_id", "block", "firing", F.when(late >= 2 * math.pi, late - 2 * math.pi).otherwise(late).alias("theta"), number(part(F.col("_b"), 4 + 3 * F.col("firing"), 3)).alias("_v"))
+    p = p.select("packet_id", "block", "firing", "theta", (low_first(F.shiftright("_v", 8)) * RANGE_UNIT).alias("range"), (F.col("_v") % 256).alias("intensity"))
     p = p.join(bounded(laser_table(p.sparkSession) if lasers is None else lasers, 1_000), "firing")
     p = p.where(F.col("range") >= NEAREST if keep is None else keep)
     if intensities is not None:

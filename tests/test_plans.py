@@ -25,3 +25,8 @@ def test_columns_of_a_pair_are_made_once(spark, data):
     plan = catalog.flow_step_full(spark, data)._jdf.queryExecution().executedPlan().toString()
     keys = exchanges(catalog.flow_step_full(spark, data))
     assert plan.count("Scan parquet") == 1 and not [k for k in keys if "key#" in k or " i#" in k]
+
+
+def test_packets_are_not_searched(spark, data):
+    plan = catalog.packet_returns(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "map_from_entries" not in plan and "hex(packet" not in plan
