@@ -79,13 +79,15 @@ def match_rows(match: DataFrame, columns: DataFrame, spec: GridSpec, span: int =
 def match_levels(pairs: DataFrame, cells: DataFrame, spec: GridSpec) -> DataFrame:
     """pairs (frame, i, j, i2, j2, label) with p1, p2: arrays of the levels' probabilities in both columns, a half where unknown."""
     key = ["frame", "i", "j"]
-    level = F.map_from_entries(F.collect_list(F.struct("k", probability(F.col("val")).alias("p"))))
-    held = cells.where("val <> 0").groupBy(*key).agg(level.alias("m"))
+    # A column a level, each a maximum: what an aggregate by hash holds in a row, where collected lists are sorted by key first.
+    names = [f"_p{k}" for k in range(spec.n2)]
+    p = probability(F.col("val"))
+    held = cells.where("val <> 0").groupBy(*key).agg(*(F.max(F.when(F.col("k") == k, p)).alias(n) for k, n in enumerate(names)))
+    held = held.select(*key, F.array(*(F.coalesce(n, F.lit(0.5)) for n in names)).alias("m"))
     later = held.select((F.col("frame") - 1).alias("frame"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("m").alias("m2"))
-    ks = F.sequence(F.lit(0), F.lit(spec.n2 - 1))
-    full = lambda m: F.transform(ks, lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.5)))
+    none = F.array(*[F.lit(0.5)] * spec.n2)
     met = pairs.join(held, key, "left").join(later, ["frame", "i2", "j2"], "left")
-    return met.select(*key, "i2", "j2", "label", full(F.col("m")).alias("p1"), full(F.col("m2")).alias("p2"))
+    return met.select(*key, "i2", "j2", "label", F.coalesce("m", none).alias("p1"), F.coalesce("m2", none).alias("p2"))
 
 
 def lookup(points: DataFrame, flow: DataFrame, filtered: DataFrame, types: DataFrame, camera: list[float], spec: GridSpec) -> DataFrame:

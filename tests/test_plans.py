@@ -35,3 +35,8 @@ def test_packets_are_not_searched(spark, data):
 def test_pairs_of_points_are_no_rows(spark, data):
     plan = catalog.scan_match(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and not [line for line in plan.splitlines() if "Join [" in line and "tx#" in line]
+
+
+def test_levels_are_not_collected(spark, data):
+    plan = catalog.train_match_levels(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "collect_list" not in plan
