@@ -318,7 +318,7 @@ def scored(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = W
         if windowed or not n:
             value = window_scores(source, ahead, spec, weights, offset, w)
         else:
-            value = np.stack(list(displaced_scores(source, ahead, spec, weights, offset, w)), axis=1)
+            value = all_scores(source, ahead, spec, weights, offset, w)
         cols = [np.full(n * len(du), key[0].as_py(), dtype=np.int32), *(np.repeat(source[:, a], len(du)) for a in (0, 1)), np.tile(du, n), np.tile(dv, n)]
         return pa.table([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(value.ravel().astype(np.int64))], names=["frame", "i", "j", "du", "dv", name])
 
