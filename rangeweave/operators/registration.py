@@ -5,8 +5,10 @@ across. A round finds each source point's nearest target point and weighs the of
 pairs, the error is a quadratic form in the twelve entries of the motion, so 73 sums a pair of scans
 say all that the Gauss-Newton steps of the round need to know; no point is visited again until the next round.
 
-Spark deals points to square tiles (targets also to the tiles that they are within reach of), brings source and target of a tile together,
-and adds up the tiles' sums; a task holds one tile of one pair. Pairs that have converged leave the loop.
+Spark deals the points to pairs of scans, each to the pair that it is the source of and the one that it is the target of, and a pair is matched where its
+points meet: they are shuffled once, whatever the rounds. That holds for pairs of up to `WHOLE` points, more than a sensor gives. Larger pairs go by
+square tiles (targets also to the tiles that they are within reach of): Spark brings source and target of a tile together and adds up the tiles' sums
+every round; a task holds one tile of one pair. Pairs that have converged leave the loop. Both give the same motions.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeweave.session import ship, stored
+from rangeweave.session import by_frame, ship, stored
 
 # Neighbours that span a plane, variance along the normal, metres beyond which points are no pair,
 # rounds after which a match has failed, and Gauss-Newton steps of a round.
@@ -26,65 +28,109 @@ TURN_END, MOVE_END = 2e-3, 5e-4
 #: Edge of a tile in metres; beyond `FAR` metres no neighbour is looked for.
 TILE, FAR = 12.0, 96.0
 #: Candidate pairs that a task measures at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 300_000
+#: 27 voxels hold this many times what a ball with their edge as radius does.
+BALL = 7
+#: Points of both scans together up to which a task takes a pair as a whole; the sensor's largest scan has 130,000.
+WHOLE = 400_000
 
 
 # -- nearest points within a tile ----------------------------------------------------------------
 
 
-def nearest(points: np.ndarray, queries: np.ndarray, k: int, reach: float, cell: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+def nearest(points: np.ndarray, queries: np.ndarray, k: int, reach: float, cell: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """(indices [queries, k] of the k nearest points within reach, -1 where there are fewer; squared distances).
 
     Points are hashed to voxels; a query looks into the 27 around it and is done when k of its candidates are
-    within one edge, beyond which something could be missed. Others look again, into voxels of twice the edge.
+    within one edge, beyond which something could be missed. Others look again, into larger voxels; edges at which these hold
+    too few candidates are passed over. Queries of a voxel have the same candidates, which are gathered once for all of them.
     Equally near points come in the order of their indices.
     """
     found = np.full((len(queries), k), -1)
     far = np.full((len(queries), k), np.inf)
     todo = np.arange(len(queries))
-    shifts = np.stack(np.meshgrid(*[[-1, 0, 1]] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
-    low = np.minimum(points.min(axis=0, initial=np.inf), queries.min(axis=0, initial=np.inf)) if len(points) else None
-    while len(todo) and len(points):
+    if not len(points) or not len(queries):
+        return found, far
+    low, high = np.minimum(points.min(axis=0), queries.min(axis=0)), np.maximum(points.max(axis=0), queries.max(axis=0))
+    runs = np.stack(np.meshgrid([-1, 0, 1], [-1, 0, 1], indexing="ij"), axis=-1).reshape(-1, 2)
+    while len(todo):
         cell = min(cell, reach)
-        span = np.floor((np.maximum(points.max(axis=0), queries.max(axis=0)) - low) / cell).astype(np.int64) + 4
-        code = lambda c, span=span: (c[..., 0] * span[1] + c[..., 1]) * span[2] + c[..., 2]
-        key = code(np.floor((points - low) / cell).astype(np.int64) + 1)
+        span = np.floor((high - low) / cell).astype(np.int64) + 4
+        code = lambda x, cell=cell, span=span: ((c := np.floor((x - low) / cell).astype(np.int64) + 1)[:, 0] * span[1] + c[:, 1]) * span[2] + c[:, 2]
+        key = code(points)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        at = np.floor((queries[todo] - low) / cell).astype(np.int64) + 1
-        around = code(at[:, None, :] + shifts)
-        begin, end = np.searchsorted(key, around), np.searchsorted(key, around, side="right")
+        voxel, mine = np.unique(code(queries[todo]), return_inverse=True)
+        # Voxels that follow each other in z have codes in a row: nine runs of three.
+        around = voxel + ((runs[:, 0] * span[1] + runs[:, 1]) * span[2])[:, None]
+        if span.prod() <= 64 * (len(points) + len(queries)):  # what comes before each voxel, by its number; where they are too many, by a search
+            before = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=span.prod() + 1))])
+            begin, end = before[around.T - 1], before[around.T + 2]
+        else:
+            begin, end = (np.ascontiguousarray(x.T) for x in (np.searchsorted(key, around - 1), np.searchsorted(key, around + 1, side="right")))
         work = (end - begin).sum(axis=1)
+        if cell < reach and np.median(work[mine]) < BALL * k:
+            cell *= float(np.clip((BALL * k / max(np.median(work[mine]), 1)) ** (1 / 3), 1.1, 2.0))
+            continue
         left = []
-        for part in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(np.cumsum(work) // AT_ONCE)) + 1):
-            n = (end[part] - begin[part]).ravel()
-            who = np.repeat(np.repeat(part, len(shifts)), n)
-            which = order[np.repeat(begin[part].ravel() - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            d2 = ((points[which] - queries[todo[who]]) ** 2).sum(axis=1)
+        by = np.lexsort((mine, work[mine]))
+        for part in np.split(by, np.flatnonzero(np.diff(np.cumsum(work[mine[by]]) // AT_ONCE)) + 1):
+            here, row = np.unique(mine[part], return_inverse=True)
+            n = end[here] - begin[here]
+            width = max(int(work[here].max()), 1)
+            held = np.full((len(here), width), len(points))
+            flat = n.ravel()
+            held[np.arange(width) < work[here][:, None]] = order[np.repeat(begin[here].ravel() - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())]
+            held.sort(axis=1)
+            q, d2 = queries[todo[part]], None
+            there = held < len(points)
+            for a in range(3):
+                off = np.where(there, points[np.where(there, held, 0), a], np.inf)[row]
+                off -= q[:, a, None]
+                off *= off
+                d2 = off if d2 is None else np.add(d2, off, out=d2)
             near = d2 <= cell * cell
-            who, which, d2 = who[near], which[near], d2[near]
-            by = np.lexsort((which, d2, who))
-            who, which, d2 = who[by], which[by], d2[by]
-            count = np.bincount(who - part[0], minlength=len(part)) if len(part) else np.empty(0, dtype=np.int64)
-            rank = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-            done = (count >= k) | (cell >= reach)
-            keep = (rank < k) & done[who - part[0]] if len(part) else np.empty(0, dtype=bool)
-            found[todo[who[keep]], rank[keep]], far[todo[who[keep]], rank[keep]] = which[keep], d2[keep]
+            done = (near.sum(axis=1) >= k) | (cell >= reach)
             left.append(part[~done])
+            if not done.any():
+                continue
+            d2, near, row, asked = d2[done], near[done], row[done], todo[part[done]]
+            if width > k:
+                last = np.partition(d2, k - 1, axis=1)[:, k - 1]
+                near &= d2 <= last[:, None]
+            r, c = np.nonzero(near)
+            v = d2[r, c]
+            if width > k:  # of those as far as the last one, the first by index
+                tie = v == last[r]
+                count = np.cumsum(tie)
+                starts = np.searchsorted(r, np.arange(len(asked)))
+                before = np.append(0, count)[starts]
+                open_ = k - np.bincount(r[~tie], minlength=len(asked))
+                keep = ~tie | (count - before[r] <= open_[r])
+                r, c, v = r[keep], c[keep], v[keep]
+            at = np.arange(len(r)) - np.searchsorted(r, np.arange(len(asked)))[r]
+            which, dist = np.full((len(asked), k), -1), np.full((len(asked), k), np.inf)
+            which[r, at], dist[r, at] = held[row[r], c], v
+            by_distance = np.argsort(dist, axis=1, kind="stable")
+            found[asked], far[asked] = np.take_along_axis(which, by_distance, axis=1), np.take_along_axis(dist, by_distance, axis=1)
         todo = todo[np.concatenate(left)]
         if cell >= reach:
             break
-        cell *= 2
+        cell *= 1.5
     return found, far
 
 
 def normals(points: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Unit normal of the plane through each row's points (-1: none): the direction in which they spread least."""
-    there = (found >= 0)[..., None]
-    n = np.maximum(there.sum(axis=1), 1)
-    p = np.where(there, points[found], 0.0)
-    off = np.where(there, p - (p.sum(axis=1) / n)[:, None, :], 0.0)
-    return np.linalg.eigh(np.einsum("nka,nkb->nab", off, off))[1][:, :, 0]
+    there = found >= 0
+    off = points[found]  # -1, the last point, counts as none below
+    if there.all():
+        off -= off.mean(axis=1)[:, None, :]
+    else:
+        off[~there] = 0.0
+        off -= (off.sum(axis=1) / np.maximum(there.sum(axis=1), 1)[:, None])[:, None, :]
+        off[~there] = 0.0
+    return np.linalg.eigh(off.transpose(0, 2, 1) @ off)[1][:, :, 0]
 
 
 # -- points to tiles -----------------------------------------------------------------------------
@@ -107,6 +153,14 @@ def _xyz(t: pa.Table, names: tuple[str, str, str] = ("x", "y", "z")) -> np.ndarr
     return np.stack([t.column(c).to_numpy().astype(float) for c in names], axis=1)
 
 
+def _last_reach(tile: float) -> float:
+    """Metres to which a point's neighbours are looked for at last: a quarter of a tile, doubled while it stays within FAR."""
+    reach = tile / 4
+    while 2 * reach <= FAR:
+        reach *= 2
+    return reach
+
+
 def surfaces(points: DataFrame, k: int = NEIGHBOURS, tile: float = TILE) -> DataFrame:
     """points (frame, point_id, x, y, z) with nx, ny, nz: the normal of the plane through the k nearest points of the scan, itself included.
 
@@ -219,6 +273,49 @@ POSE = ["x", "y", "z", "r", "p", "h"]
 STATE = "frame bigint, m array<double>, rounds int, done boolean, n bigint, error double"
 
 
+def _moved(old: np.ndarray, n: int, sums: np.ndarray) -> tuple[np.ndarray, float | None, bool]:
+    """The motion that a round's sums of n points lead to, its error, and whether the loop ends with it."""
+    if not n:
+        return old, None, False
+    new = descend(old, sums)
+    error = float(np.sqrt(max(error_of(new, sums), 0.0) / n))
+    return new, error, bool((np.abs(new - old)[:, :3] < TURN_END).all() and (np.abs(new - old)[:, 3] < MOVE_END).all())
+
+
+def _state(frame: int, m: np.ndarray, rounds: int, done: bool, n: int, error: float | None) -> pa.Table:
+    return pa.table({"frame": pa.array([frame], pa.int64()), "m": pa.array([m.ravel().tolist()], pa.list_(pa.float64())), "rounds": pa.array([rounds], pa.int32()),
+                     "done": [done], "n": pa.array([n], pa.int64()), "error": pa.array([error], pa.float64())})
+
+
+def _whole(points: DataFrame, going: DataFrame, rounds: int, reach: float, k: int, far: float) -> DataFrame:
+    """STATE of the pairs in going (frame, m, rounds) after all their rounds; a task holds the two scans of a pair."""
+
+    def match(asked: pa.Table, here: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in _state(0, np.eye(3, 4), 0, False, 0, None).schema})
+        later = here.column("later").to_numpy(zero_copy_only=False)
+        scans = []
+        for side in (later, ~later):
+            p = _xyz(here)[side]
+            p = p[np.lexsort(p.T[::-1])]  # equally near points in an order that doesn't depend on how rows arrive
+            scans.append((p, normals(p, nearest(p, p, k, far)[0]) if len(p) else p))
+        (p, pn), (q, qn) = scans
+        m, n, error, done, r = np.array(asked.column("m")[0].as_py()).reshape(3, 4), 0, None, False, 0
+        while r < rounds and not done:
+            found = nearest(q, p @ m[:, :3].T + m[:, 3], 1, reach)[0][:, 0]
+            met = np.flatnonzero(found >= 0)
+            n, r = len(met), r + 1
+            if not n:  # nor in any other round: the motion stays
+                error, r = None, rounds
+                break
+            m, error, done = _moved(m, n, pair_sums(m, p[met], pn[met], q[found[met]], qn[found[met]]))
+        return _state(asked.column("frame")[0].as_py(), m, r, done, n, error)
+
+    both = points.select("frame", *"xyz").withColumn("later", F.explode(F.array(F.lit(False), F.lit(True))))
+    both = both.withColumn("frame", F.col("frame") - F.col("later").cast("int")).join(going.select("frame"), "frame", "left_semi")
+    return by_frame(going).groupBy("frame").cogroup(by_frame(both).groupBy("frame")).applyInArrow(match, STATE)
+
+
 def _targets(planes: DataFrame, tile: float, reach: float) -> DataFrame:
     return _touched(planes.select("frame", "x", "y", "z", "nx", "ny", "nz"), tile, reach)
 
@@ -250,30 +347,42 @@ def _round(source: DataFrame, target: DataFrame, going: DataFrame, tile: float,
         """One pair: the sums of its tiles, and the motion that they lead to."""
         old = np.array(t.column("m")[0].as_py()).reshape(3, 4)
         n = sum(x or 0 for x in t.column("n").to_pylist())
-        new, error, done = old, None, False
-        if n:
-            total = np.sum([x for x in t.column("sums").to_pylist() if x], axis=0)
-            new = descend(old, total)
-            error = np.sqrt(max(error_of(new, total), 0.0) / n)
-            done = bool((np.abs(new - old)[:, :3] < TURN_END).all() and (np.abs(new - old)[:, 3] < MOVE_END).all())
-        return pa.table({"frame": t.column("frame")[:1], "m": pa.array([new.ravel().tolist()], pa.list_(pa.float64())), "rounds": pa.array([t.column("rounds")[0].as_py() + 1], pa.int32()),
-                         "done": [done], "n": pa.array([n], pa.int64()), "error": pa.array([error], pa.float64())})
+        new, error, done = _moved(old, n, np.sum([x for x in t.column("sums").to_pylist() if x], axis=0))
+        return _state(t.column("frame")[0].as_py(), new, t.column("rounds")[0].as_py() + 1, done, n, error)
 
     return going.join(sums, "frame", "left").groupBy("frame").applyInArrow(step, STATE)
 
 
-def match_scans(points: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, reach: float = REACH, k: int = NEIGHBOURS, tile: float = TILE) -> DataFrame:
+def _by_tiles(points: DataFrame, going: DataFrame, rounds: int, reach: float, k: int, tile: float) -> DataFrame:
+    """STATE of the pairs in going (frame, m, rounds) after all their rounds."""
+    scans = going.select(F.explode(F.array("frame", F.col("frame") + 1)).alias("frame")).distinct()
+    planes = surfaces(points.join(scans, "frame", "left_semi"), k, tile)
+    target = stored(_targets(planes, tile, reach), "targets")
+    source = planes.select((F.col("frame") - 1).alias("frame"), *(F.col(c).alias(n) for c, n in zip(("x", "y", "z", "nx", "ny", "nz"), ("px", "py", "pz", "mx", "my", "mz"), strict=True)))
+    ended = []
+    for r in range(rounds):
+        now = stored(_round(source, target, going, tile, reach), "motions")
+        ended.append(now.where("done" if r < rounds - 1 else "true"))
+        going = now.where("NOT done").select("frame", "m", "rounds")
+        if going.isEmpty():
+            break
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def match_scans(points: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, reach: float = REACH, k: int = NEIGHBOURS, tile: float = TILE, whole: int = WHOLE) -> DataFrame:
     """frame, x, y, z, r, p, h, rounds, converged, n, error: the pose of scan frame + 1 seen from scan frame.
 
     points: frame, point_id, x, y, z; seeds: frame, x, y, z, r, p, h (the motion that is expected), a row a pair. A match
     has converged if it took fewer than `rounds` rounds; all other poses are zeros. n: points with a partner in the last
     round; error: root of the mean weighted square distance. Pairs with an empty scan, or too far apart to have partners, do not converge.
+    whole: points of a pair beyond which it goes by tiles.
     """
     spark = points.sparkSession
     ship(spark)
-    planes = surfaces(points.withColumn("frame", F.col("frame").cast("long")), k, tile)
-    target = stored(_targets(planes, tile, reach), "targets")
-    source = planes.select((F.col("frame") - 1).alias("frame"), *(F.col(c).alias(n) for c, n in zip(("x", "y", "z", "nx", "ny", "nz"), ("px", "py", "pz", "mx", "my", "mz"), strict=True)))
+    points = stored(points.select(F.col("frame").cast("long").alias("frame"), "point_id", *(F.col(c).cast("double").alias(c) for c in "xyz")), "points")
 
     def begin(batches):
         for b in batches:
@@ -282,17 +391,14 @@ def match_scans(points: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, reach
             yield pa.RecordBatch.from_arrays([b.column("frame"), flat], names=["frame", "m"])
 
     first = seeds.select(F.col("frame").cast("long").alias("frame"), *(F.col(c).cast("double").alias(c) for c in POSE))
-    going = stored(first.mapInArrow(begin, "frame bigint, m array<double>").withColumn("rounds", F.lit(0)), "motions")
-    ended = []
-    for r in range(rounds):
-        now = stored(_round(source, target, going, tile, reach), "motions")
-        ended.append(now.where("done" if r < rounds - 1 else "true"))
-        going = now.where("NOT done").select("frame", "m", "rounds")
-        if going.isEmpty():
-            break
-    out = ended[0]
-    for e in ended[1:]:
-        out = out.unionByName(e)
+    sizes = points.groupBy("frame").agg(F.count("*").alias("size"))
+    sizes = sizes.unionByName(sizes.select((F.col("frame") - 1).alias("frame"), "size")).groupBy("frame").agg(F.sum("size").alias("size"))
+    asked = first.mapInArrow(begin, "frame bigint, m array<double>").withColumn("rounds", F.lit(0)).join(sizes, "frame", "left")
+    asked = stored(asked.withColumn("large", F.coalesce("size", F.lit(0)) > whole).drop("size"), "motions")
+    out = stored(_whole(points, asked.where("NOT large").drop("large"), rounds, reach, k, _last_reach(tile)), "motions")
+    large = asked.where("large").drop("large")
+    if not large.isEmpty():
+        out = out.unionByName(_by_tiles(points, large, rounds, reach, k, tile))
     at = lambda a, b: F.element_at("m", 4 * a + b + 1)
     pose = [at(0, 3), at(1, 3), at(2, 3), F.atan2(at(2, 1), at(2, 2)), F.atan2(-at(2, 0), F.hypot(at(0, 0), at(1, 0))), F.atan2(at(1, 0), at(0, 0))]
     good = F.col("done") & (F.col("rounds") < rounds)

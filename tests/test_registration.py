@@ -141,3 +141,36 @@ def test_tiles_do_not_matter(spark):
     poses = [[reg.match_scans(both, seeds, k=8, tile=t).first()[c] for c in reg.POSE] for t in (5.0, 40.0)]
     assert np.allclose(*poses, atol=1e-7)
     assert poses[0] == pytest.approx(reg.pose_of(m), abs=2e-3)
+
+
+def test_a_pair_as_a_whole_is_its_tiles_and_travels_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a = scene(rng, 500)
+    moves = reg.matrix_of(np.array([[0.3, -0.2, 0.05, 0.01, 0, 0.03], [0.2, 0.1, 0.0, 0.0, 0.01, -0.02]]))
+    b = there_and_back(a, moves[0])
+    points = frame(spark, a, b, there_and_back(b, moves[1]))
+    seeds = spark.createDataFrame([(f, *[0.0] * 6) for f in (0, 1, 4)], "frame int, x double, y double, z double, r double, p double, h double")
+    with monkeypatch.context() as patch:
+        patch.setattr(reg, "_round", None)  # no job a round
+        whole = reg.match_scans(points, seeds, 12, k=8)
+    want = {r["frame"]: r for r in reg.match_scans(points, seeds, 12, k=8, whole=0).collect()}
+    got = {r["frame"]: r for r in whole.collect()}
+    assert set(got) == set(want) == {0, 1, 4}
+    for f, r in got.items():
+        assert [r[c] for c in ("rounds", "converged", "n")] == [want[f][c] for c in ("rounds", "converged", "n")]
+        assert np.allclose([r[c] for c in reg.POSE], [want[f][c] for c in reg.POSE], atol=1e-9)
+        assert (r["error"] is None) == (want[f]["error"] is None) and (r["error"] is None or r["error"] == pytest.approx(want[f]["error"], abs=1e-4))
+    # a pair of more points than `whole` goes by tiles beside those that don't
+    mixed = {r["frame"]: r for r in reg.match_scans(points.where("frame < 2 OR point_id < 450"), seeds, 12, k=8, whole=950).collect()}
+    assert set(mixed) == {0, 1, 4} and all(mixed[f]["converged"] for f in (0, 1))
+
+
+def test_nearest_in_a_sparse_space_is_searched_by_voxel():
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.uniform(-5000, 5000, (60, 3)), rng.normal(0, 0.3, (300, 3))])
+    q = np.concatenate([p[:5] + 0.01, rng.normal(0, 0.3, (20, 3))])
+    found, d2 = reg.nearest(p, q, 5, 2.0)
+    for i, x in enumerate(q):
+        d = ((p - x) ** 2).sum(axis=1)
+        want = [j for j in np.lexsort((np.arange(len(p)), d)) if d[j] <= 4.0][:5]
+        assert [j for j in found[i] if j >= 0] == want and np.allclose(d2[i][: len(want)], d[want])
