@@ -111,11 +111,11 @@ def filter_smooth(spark, d):
 
 
 def foreground_cells(spark, d):
-    return background.foreground(fx.valued_cells(spark, d), background_filter(spark, d))
+    return background.foreground(fx.valued_cells(spark, d), fx.bg_model(spark, d), SPEC, fx.FILTER_OFFSET)
 
 
 def filtered_states(spark, d):
-    both = fx.valued_cells(spark, d).join(background_filter(spark, d).select("frame", "i", "j", "background"), ["frame", "i", "j"], "left")
+    both = background.marked(fx.valued_cells(spark, d), fx.bg_model(spark, d), SPEC, fx.FILTER_OFFSET)
     p = _r(occupancy.probability(F.col("val"), F.col("background")))
     return both.groupBy("frame", occupancy.state(F.col("val"), F.col("background")).alias("state"), p.alias("p")).agg(F.count("*").alias("n"))
 

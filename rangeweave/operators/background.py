@@ -2,16 +2,20 @@
 
 The window's contributions go out from the occupied and free cells (the sparse side): each cell adds
 its weight to the 25 columns around it. A column that no cell reaches keeps the offset alone. Cells travel by frame
-before they go out, so the weights are added up where they arise.
+before they go out, so the weights are added up where they arise. `marked` tells each cell whether its column is background without a join:
+a group is one scan, whose cells travel once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from rangeweave.functions.grid_index import GridSpec
-from rangeweave.session import bounded, by_frame
+from rangeweave.session import bounded, by_frame, ship
 
 WINDOW = 2
 #: Rows of a model that may be broadcast; that of 14 levels has 350.
@@ -64,6 +68,38 @@ def smooth(filtered: DataFrame, spec: GridSpec) -> DataFrame:
     return n.select("frame", "i", "j", F.when(2 * F.col("b") >= F.col("n"), 1).otherwise(0).alias("background"))
 
 
-def foreground(cells: DataFrame, filtered: DataFrame) -> DataFrame:
+def marked(cells: DataFrame, model: DataFrame, spec: GridSpec, offset) -> DataFrame:
+    """cells with background: that of their column, as `classify` has it; null outside the grid. model comes to the driver, refused beyond MODEL_ROWS rows."""
+    rows = bounded(model, MODEL_ROWS).select("di", "dj", "k", "wf", "wo").collect()
+    levels = np.unique(np.array([r["k"] for r in rows], dtype=np.int64))
+    weights = np.zeros((2, 2 * WINDOW + 1, 2 * WINDOW + 1, len(levels) + 1))  # the last level: one that the model doesn't have
+    for r in rows:
+        if max(abs(r["di"]), abs(r["dj"])) <= WINDOW:
+            weights[:, r["di"] + WINDOW, r["dj"] + WINDOW, np.searchsorted(levels, r["k"])] += r["wf"], r["wo"]
+    bias = float(offset)
+
+    def run(scan: pa.Table) -> pa.Table:
+        i, j, k = (scan.column(c).to_numpy().astype(np.int64) for c in "ijk")
+        val = scan.column("val").to_numpy(zero_copy_only=False).astype(float)
+        at = np.searchsorted(levels, k)
+        level = np.where((at < len(levels)) & (np.append(levels, 0)[at] == k), at, len(levels))
+        sent = np.flatnonzero(np.abs(val) > 0)
+        kind = (val[sent] > 0).astype(np.int64)
+        score = np.full(spec.n0 * spec.n1, bias)
+        inside = lambda a, b: (a >= 0) & (a < spec.n0) & (b >= 0) & (b < spec.n1)
+        for di in range(-WINDOW, WINDOW + 1):
+            for dj in range(-WINDOW, WINDOW + 1):
+                a, b = i[sent] - di, j[sent] - dj
+                w, ok = weights[kind, di + WINDOW, dj + WINDOW, level[sent]], inside(a, b)
+                score += np.bincount((a * spec.n1 + b)[ok], weights=w[ok], minlength=len(score))
+        there = inside(i, j)
+        back = (score[np.where(there, i * spec.n1 + j, 0)] <= 0).astype(np.int32)
+        return scan.append_column("background", pa.array(back, mask=~there))
+
+    ship(cells.sparkSession)
+    return by_frame(cells).groupBy("frame").applyInArrow(run, StructType([*cells.schema.fields]).add("background", IntegerType()))
+
+
+def foreground(cells: DataFrame, model: DataFrame, spec: GridSpec, offset) -> DataFrame:
     """The cells whose column is not background."""
-    return cells.join(filtered.where("background = 1").select("frame", "i", "j"), ["frame", "i", "j"], "left_anti")
+    return marked(cells, model, spec, offset).where("background IS NULL OR background <> 1").drop("background")

@@ -108,3 +108,20 @@ def test_kernel_and_joins_agree(spark, cols, cells):
     first = rows(flow.propose(win, SPEC))
     assert rows(matcher.proposed(evident, SPEC, only, -141, 2)) == first
     assert rows(matcher.flow(evident, SPEC, only, -141, 2, 2)) == rows(flow.solve(win, SPEC, 2))
+
+
+def test_marked_cells_are_the_classified_columns(spark):
+    from rangeweave.plans import fixtures as fx
+
+    rng = np.random.default_rng(8)
+    rows = [(int(f), int(i), int(j), int(k), float(v)) for f, i, j, k, v in zip(rng.integers(0, 3, 900), rng.integers(-3, 12, 900), rng.integers(-2, 13, 900), rng.integers(0, 16, 900), rng.choice([-0.5, 0.0, 1.0], 900), strict=True)]
+    cells = spark.createDataFrame(rows, "frame int, i int, j int, k int, val double").repartition(5)
+    spec = type(fx.SPEC)(10, 11, 14, 0.3)
+    model = fx.bg_model(spark, "/root/testdata/sf0.001")
+    want = {(r["frame"], r["i"], r["j"]): r["background"] for r in background.classify(cells, model, spec, -12).collect()}
+    got = background.marked(cells, model, spec, -12).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(rows)
+    assert all(r["background"] == want.get((r["frame"], r["i"], r["j"])) for r in got)
+    assert {r["background"] for r in got} == {0, 1, None}
+    left = background.foreground(cells, model, spec, -12)
+    assert left.columns == cells.columns and left.count() == sum(r["background"] != 1 for r in got)

@@ -40,3 +40,9 @@ def test_pairs_of_points_are_no_rows(spark, data):
 def test_levels_are_not_collected(spark, data):
     plan = catalog.train_match_levels(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("name", ["filtered_states", "foreground_cells", "foreground_boxes"])
+def test_cells_learn_of_their_column_without_a_join(spark, data, name):
+    df = getattr(catalog, name)(spark, data)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString() and not [k for k in exchanges(df) if " i#" in k]
