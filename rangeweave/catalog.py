@@ -234,9 +234,9 @@ def active_tracks(spark, d):
     return tracks.active(nested)
 
 
-def _match(spark, d):
-    """By column: frame, i, j, x, y, x2, y2, gx, gy, is_tracklet."""
-    p = _places(spark, d)
+def _match(spark, d, places=None):
+    """By column (of places, or of all): frame, i, j, x, y, x2, y2, gx, gy, is_tracklet."""
+    p = _places(spark, d) if places is None else places
     ground = poses.project_points(p, fx.poses(spark, d)).withColumn("gx", F.col("x2")).withColumn("gy", F.col("y2"))
     return tracks.correspondence(p, fx.tracks(spark, d), ground, ("frame", "i", "j"))
 
@@ -253,9 +253,16 @@ def camera_visible(spark, d):
 # Evaluation and training
 
 
+def _in_camera(columns: DataFrame) -> DataFrame:
+    """Those (frame, i, j, ...) whose place is in view: no others are evaluated, so they needn't meet anything."""
+    return columns.where(in_view(SPEC.metres(F.col("i"), 0), SPEC.metres(F.col("j"), 1), fx.CAMERA))
+
+
 def _eval(spark, d):
-    types = tracks.object_at(_places(spark, d), fx.tracks(spark, d), ("frame", "i", "j"))
-    return evaluate.eval_rows(fx.scan_cells(spark, d), flow_solve(spark, d), background_filter(spark, d), _match(spark, d), types, fx.CAMERA, SPEC)
+    seen = _in_camera(_places(spark, d))
+    types = tracks.object_at(seen, fx.tracks(spark, d), ("frame", "i", "j"))
+    cells, flow_, filtered = (_in_camera(x) for x in (fx.scan_cells(spark, d), flow_solve(spark, d), background_filter(spark, d)))
+    return evaluate.eval_rows(cells, flow_, filtered, _match(spark, d, seen), types, fx.CAMERA, SPEC)
 
 
 def eval_tracklets(spark, d):
@@ -326,12 +333,13 @@ def _filtered_poses(spark, d):
 
 
 def _eval_full(spark, d):
-    p = _places(spark, d)
+    p = _in_camera(_places(spark, d))
     raw = poses.project_points(p, fx.poses(spark, d))
     ground = poses.project_points(p, _filtered_poses(spark, d)).select("frame", "i", "j", F.col("x2").alias("gx"), F.col("y2").alias("gy"))
     match = tracks.correspondence(p, fx.tracks(spark, d), raw.join(ground, ["frame", "i", "j"]), ("frame", "i", "j"))
     types = tracks.object_at(p, fx.tracks(spark, d), ("frame", "i", "j"))
-    return evaluate.eval_rows(fx.scan_cells(spark, d), flow_cells_full(spark, d), background_filter(spark, d), match, types, fx.CAMERA, SPEC)
+    cells, flow_, filtered = (_in_camera(x) for x in (fx.scan_cells(spark, d), flow_cells_full(spark, d), background_filter(spark, d)))
+    return evaluate.eval_rows(cells, flow_, filtered, match, types, fx.CAMERA, SPEC)
 
 
 def eval_rows_full(spark, d):

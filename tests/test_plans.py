@@ -46,3 +46,24 @@ def test_levels_are_not_collected(spark, data):
 def test_cells_learn_of_their_column_without_a_join(spark, data, name):
     df = getattr(catalog, name)(spark, data)
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString() and not [k for k in exchanges(df) if " i#" in k]
+
+
+@pytest.mark.parametrize("name", ["_eval", "_eval_full"])
+def test_only_what_the_camera_sees_meets(spark, data, name, monkeypatch):
+    given = []
+    monkeypatch.setattr(catalog.evaluate, "eval_rows", lambda *inputs: given.extend(inputs[:5]))
+    getattr(catalog, name)(spark, data)
+    assert len(given) == 5
+    for df in given:
+        columns = df.select("frame", "i", "j").distinct()
+        assert columns.count() == catalog._in_camera(columns).count() > 0
+
+
+def test_evaluation_in_view_is_that_of_all_columns(spark, data):
+    from rangeweave.operators import evaluate, tracks
+    from rangeweave.plans import fixtures as fx
+
+    types = tracks.object_at(catalog._places(spark, data), fx.tracks(spark, data), ("frame", "i", "j"))
+    want = evaluate.eval_rows(fx.scan_cells(spark, data), catalog.flow_solve(spark, data), catalog.background_filter(spark, data), catalog._match(spark, data), types, fx.CAMERA, fx.SPEC)
+    got = catalog._eval(spark, data)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
