@@ -158,25 +158,23 @@ def flow_solve(spark, d):
 
 
 def _drive_columns(spark, d):
-    return matcher.columns(occupancy.accumulate(fx.drive_scan(spark, d), SPEC), SPEC)
-
-
-def _mask(spark, d):
-    return matcher.Filter.of(fx.bg_model(spark, d), SPEC, fx.DRIVE_FILTER_OFFSET)
+    """Of the traced drives; background columns aren't evident."""
+    mask = matcher.Filter.of(fx.bg_model(spark, d), SPEC, fx.DRIVE_FILTER_OFFSET)
+    return matcher.scan_columns(fx.drive_scan(spark, d), SPEC, mask)
 
 
 def flow_step_full(spark, d):
     """The first round of the full match of the foreground columns."""
-    return matcher.flow(_drive_columns(spark, d), SPEC, rounds=1, filter=_mask(spark, d))
+    return matcher.flow(_drive_columns(spark, d), SPEC, rounds=1)
 
 
 def flow_step_tiles(spark, d):
     """The same by tiles of 64 columns."""
-    return matcher.flow_tiles(_drive_columns(spark, d), SPEC, rounds=1, filter=_mask(spark, d))
+    return matcher.flow_tiles(_drive_columns(spark, d), SPEC, rounds=1)
 
 
 def flow_solve_full(spark, d):
-    return matcher.flow(_drive_columns(spark, d), SPEC, filter=_mask(spark, d))
+    return matcher.flow(_drive_columns(spark, d), SPEC)
 
 
 def flow_reverse(spark, d):
@@ -382,7 +380,7 @@ def tracklet_arrows(spark, d):
 def project_tracklets(spark, d):
     """The grid of a frame, carried on by the tracklets that the frame before left in its columns."""
     motion = _drive_tracklets(spark, d).select((F.col("frame") + 1).alias("frame"), "i", "j", "x", "y", "h", "v", "w")
-    return projection.project_grid(_drive_cells(spark, d), motion, SPEC, 0.5)
+    return projection.project_scans(fx.drive_scan(spark, d), motion, SPEC, 0.5)
 
 
 def project_grid(spark, d):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators.background import MODEL_ROWS, WINDOW
 from rangeweave.operators.flow import EMPTY_SCORE, LENGTH_COST, OUTSIDE_SCORE, SCALE, SMOOTH, resolve
-from rangeweave.operators.occupancy import probability
+from rangeweave.operators.occupancy import LOG_MAX, LOG_MIN, by_scan, probability
 from rangeweave.session import bounded, by_frame, ship, stored
 
 # Fixed values, in hundredths: what a level adds that is free in both scans, occupied in both, or free
@@ -57,7 +57,7 @@ def _box(plane: np.ndarray, r: int) -> np.ndarray:
     """Sums of the (2r+1)**2 cells around each cell of a plane that is padded by r."""
     for axis in (0, 1):
         size = plane.shape[axis] - 2 * r
-        plane = sum(np.take(plane, range(k, k + size), axis=axis) for k in range(2 * r + 1))
+        plane = sum(plane[k : k + size] if axis == 0 else plane[:, k : k + size] for k in range(2 * r + 1))
     return plane
 
 
@@ -89,9 +89,10 @@ class Filter:
         i, j = (cols[:, a] - cols[:, a].min() + WINDOW for a in (0, 1))
         f, o = _bits(cols[:, 2], spec.n2), _bits(cols[:, 3], spec.n2)
         score = np.zeros((i.max() + 2 * WINDOW + 1, j.max() + 2 * WINDOW + 1))
-        for a in range(2 * WINDOW + 1):
-            for b in range(2 * WINDOW + 1):
-                score[i - a + WINDOW, j - b + WINDOW] += f @ self.free[a, b] + o @ self.occupied[a, b]
+        sent = self.free.reshape(-1, spec.n2) @ f.T + self.occupied.reshape(-1, spec.n2) @ o.T
+        at = i * score.shape[1] + j
+        for w, (a, b) in zip(sent, np.ndindex(*self.free.shape[:2]), strict=True):
+            score.ravel()[at - (a - WINDOW) * score.shape[1] - b + WINDOW] += w
         return score[i, j] + self.offset <= 0
 
 
@@ -105,14 +106,14 @@ def _distinct(masks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
 AT_ONCE = 500_000
 
 
-def all_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int, more: int = 0) -> np.ndarray:
-    """[source column, displacement]: the log match score in 1 / SCALE, and `more` rows that are left to the caller.
+def all_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: Sequence[Sequence[int]], offset: int, w: int) -> np.ndarray:
+    """[source column, displacement]: the log match score in 1 / SCALE.
 
     source, later: rows (i, j, free, occupied); a later column outside the grid has no level known. What a pair of columns scores
-    depends on their levels alone, so distinct ones are scored, each pair once, and displacements look that up, unless there are more such
-    pairs than scores.
+    depends on their levels alone, so distinct ones are scored, each pair once, and displacements look that up. If there are more such
+    pairs than scores, squares of sources are scored with all that is in their reach, some 2 (at most 2.25) pairs for each score.
     """
-    out = np.empty((len(source) + more, (2 * w + 1) ** 2), dtype=np.int32)
+    out = np.empty((len(source), (2 * w + 1) ** 2), dtype=np.int32)
     if not len(source):
         return out
     free, occupied, mixed = (np.array(x, dtype=np.float32) for x in weights)
@@ -129,8 +130,18 @@ def all_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights: S
     own = np.concatenate([f, o], axis=1)
     order, (i, j) = np.argsort(mine, kind="stable"), (source[:, :2] - low).T
     if len(own) * ahead.shape[1] > out.size:
-        for d, (du, dv) in enumerate(zip(*_shifts(w), strict=True)):
-            out[: len(source), d] = logs[np.einsum("mk,mk->m", own[mine], ahead.T[at[i + w + du, j + w + dv]]).astype(np.int64) + most]
+        # Sources that are close together see much the same later columns: a square of them meets those within its reach in one product.
+        edge, wide, side = w + 1, 3 * w + 1, 2 * w + 1
+        place = np.full(size + 3 * w, which[-1], dtype=np.int64)
+        place[: at.shape[0], : at.shape[1]] = at
+        own, ahead = np.pad(own, [(0, 0), (0, 1)], constant_values=1), np.pad(ahead, [(0, 1), (0, 0)], constant_values=most)[:, place]
+        square = i // edge * size[1] + j // edge
+        order = np.argsort(square, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(square[order])) + 1):
+            a, b = i[rows[0]] // edge * edge, j[rows[0]] // edge * edge
+            score = own[mine[rows]] @ ahead[:, a : a + wide, b : b + wide].reshape(len(ahead), -1)
+            seen = np.lib.stride_tricks.sliding_window_view(score.reshape(-1, wide, wide), (side, side), axis=(1, 2))
+            out[rows] = logs[seen[np.arange(len(rows)), i[rows] - a, j[rows] - b].reshape(len(rows), -1).astype(np.int64)]
         return out
     for rows in np.array_split(order, max(1, -(-len(order) * max(out.shape[1], ahead.shape[1]) // AT_ONCE))):
         first = mine[rows[0]] if len(rows) else 0
@@ -157,24 +168,25 @@ def window_scores(source: np.ndarray, later: np.ndarray, spec: GridSpec, weights
     if not own.any():
         return np.empty((0, (2 * w + 1) ** 2), dtype=np.int32)
     n = len(source)
-    out = all_scores(source, later, spec, weights, offset, w, 2)
-    out[n], out[n + 1] = EMPTY_SCORE, OUTSIDE_SCORE
+    out = all_scores(source, later, spec, weights, offset, w)
     low, size = source[:, :2].min(axis=0), np.ptp(source[:, :2], axis=0) + 1
     i, j = (source[:, :2] - low).T
     row = np.full(size + 2, n + 1)
     a, b = (slice(max(0, 1 - low[k]), spec.dims[k] - low[k] + 1) for k in (0, 1))
     row[a, b] = n
     row[i + 1, j + 1] = np.arange(n)
-    near = [row[i[own] + a, j[own] + b] for a in range(3) for b in range(3)]
+    near = np.stack([row[i[own] + a, j[own] + b] for a in range(3) for b in range(3)])
+    still = ((near == n) * EMPTY_SCORE + (near == n + 1) * OUTSIDE_SCORE).sum(axis=0, dtype=np.int32)[:, None]
+    met = [(r, x[r]) for x in near for r in [np.flatnonzero(x < n)]]
     held = np.flatnonzero(own)
-    step = max(1, AT_ONCE // (n + 2))
+    step = max(1, AT_ONCE // n)
     for d in range(0, out.shape[1], step):
         part = out[:, d : d + step].copy()
-        total = part[near[0]]
-        for x in near[1:]:
-            total += part[x]
+        total = np.repeat(still, part.shape[1], axis=1)
+        for r, x in met:
+            total[r] += part[x]
         out[held, d : d + step] = total
-    return out[:n] if own.all() else out[held]
+    return out if own.all() else out[held]
 
 
 def moves(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int, weight: int = 1, near: np.ndarray | None = None, owners: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -217,29 +229,69 @@ def moves(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int,
             mine[tuple((owners[:, 2:4] - low).T)] = (owners[:, 0] - owners[:, 2] + w) * side + owners[:, 1] - owners[:, 3] + w
         least = np.lib.stride_tricks.sliding_window_view(best, (side, side))
         kept = mine[x, y]
-        for rows in np.array_split(np.arange(len(i)), -(-len(i) * len(du) // AT_ONCE)):
-            s = win[rows].reshape(len(rows), side, side)
-            s -= ways[0][rows][:, :, None]
+        step = max(1, AT_ONCE // len(du))
+        for begin in range(0, len(i), step):
+            rows = slice(begin, begin + step)
+            s = win[rows].reshape(-1, side, side) - ways[0][rows][:, :, None]
             s -= ways[1][rows][:, None, :]
-            s, ok = s.reshape(len(rows), -1), (s > least[x[rows] - w, y[rows] - w]).reshape(len(rows), -1)
+            shut = (s <= least[x[rows] - w, y[rows] - w]).reshape(len(s), -1)
             has = np.flatnonzero(kept[rows] >= 0)
-            ok[has, kept[rows[has]]] = True
-            s[~ok] = _NONE
+            shut[has, kept[rows][has]] = False
+            s = s.reshape(len(s), -1)
+            np.copyto(s, _NONE, where=shut)
             at[rows] = s.argmax(axis=1)  # of equals the first: least du, then least dv
-            top[rows] = s[np.arange(len(rows)), at[rows]]
+            top[rows] = s[np.arange(len(s)), at[rows]]
     there = top > _NONE
     return np.where(there, du[at], 0), np.where(there, dv[at], 0), top
 
 
+def _stirred(win: np.ndarray, i: np.ndarray, j: np.ndarray, w: int, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Whether each source may propose something else after the state now (u, v, valid, score) than it did after the one before.
+
+    It does only if it moved itself, if a pull on it changed, or if among the targets of sources that moved are its own choice or one that it
+    wants as much: pulls only lower a score, so one without them tells.
+    """
+    moved = (before != now).any(axis=0)
+    pad, side = max(w, SMOOTH), 2 * w + 1
+    x, y = i - i.min() + pad, j - j.min() + pad
+    shape = x.max() + pad + 1, y.max() + pad + 1
+    held = np.concatenate([np.stack([x + s[0], y + s[1]])[:, moved & (s[2] == 1)] for s in (before, now)], axis=1)
+    pulled, open_, best = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool), np.full(shape, _NONE)
+    ok = now[2] == 1
+    best[x[ok] + now[0, ok], y[ok] + now[1, ok]] = now[3, ok]
+    open_[tuple(held)] = True
+    for a, b in np.ndindex(2 * SMOOTH + 1, 2 * SMOOTH + 1):
+        pulled[x[moved] + a - SMOOTH, y[moved] + b - SMOOTH] = True
+    out = moved | pulled[x, y] | open_[x + now[0], y + now[1]]
+    there = np.full((shape[0] + 2 * pad, shape[1] + 2 * pad), -1)
+    there[x + pad, y + pad] = np.arange(len(i))
+    around = np.lib.stride_tricks.sliding_window_view(there, (side, side))
+    length = (LENGTH_COST * np.add.outer(np.arange(-w, w + 1) ** 2, np.arange(-w, w + 1) ** 2)).ravel()
+    to = np.argwhere(open_)
+    for t in np.array_split(to, len(to) * side * side // AT_ONCE + 1):
+        near = around[t[:, 0] + pad - w, t[:, 1] + pad - w].reshape(len(t), side * side)[:, ::-1]  # by the displacement to the target
+        k, d = np.nonzero(near >= 0)
+        source = near[k, d]
+        most = win[source, d] - length[d]
+        out[source[(most >= now[3, source]) & (most > best[t[k, 0], t[k, 1]])]] = True
+    return out
+
+
 def settle(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int, rounds: int, weight: int = 1) -> tuple[np.ndarray, ...]:
     """u, v, valid, score (no admissible displacement: the least int) of the sources after the rounds of flow.propose and flow.resolve.
 
-    Ends before, once a round changes nothing.
+    Ends before, once a round changes nothing. From the third round on, only sources that the last one can have stirred propose anew.
     """
     i, j = i.astype(np.int32), j.astype(np.int32)
-    last = near = owners = None
+    before = last = near = owners = None
+    u, v, score = np.zeros((3, len(i)), dtype=np.int32)
     for _ in range(rounds):
-        u, v, score = moves(win, i, j, spec, w, weight, near, owners)
+        rows = np.ones(len(i), dtype=bool) if before is None or weight < 0 else _stirred(win, i, j, w, before, last)
+        all_ = rows.all()
+        new = moves(win if all_ else win[rows], i[rows], j[rows], spec, w, weight, near, owners)
+        u, v, score = new if all_ else (np.copy(x) for x in (u, v, score))
+        if not all_:
+            u[rows], v[rows], score[rows] = new
         there = score > _NONE
         to = np.where(there, (i + u).astype(np.int64) * spec.n1 + j + v, -1)
         order = np.lexsort((j, i, -score.astype(np.int64), to))
@@ -249,7 +301,7 @@ def settle(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int
         now = np.stack([u, v, valid, score])
         if last is not None and (now == last).all():
             break
-        last, ok = now, valid == 1
+        before, last, ok = last, now, valid == 1
         near, owners = np.stack([i, j, u, v], axis=1)[ok], np.stack([i + u, j + v, i, j, score], axis=1)[ok]
     return u, v, valid, score
 
@@ -261,6 +313,26 @@ def _rows(t: pa.Table) -> np.ndarray:
     return np.stack([t.column(c).to_numpy().astype(np.int32) for c in _COLUMNS], axis=1)
 
 
+def scan_columns(points: DataFrame, spec: GridSpec, filter: Filter | None = None) -> DataFrame:
+    """`columns` of the grid of points (frame, x, y, z), made where their scan is traced: its cells are no rows.
+
+    filter: columns that it takes for background aren't evident, so that they have no motion in `flow`, which then needs no filter.
+    """
+    bits = 1 << np.arange(spec.n2, dtype=np.int32)
+
+    def made(free: np.ndarray, occupied: np.ndarray) -> dict[str, np.ndarray]:
+        known = np.flatnonzero((free + occupied).reshape(-1, spec.n2).any(axis=1))
+        val = (10 * occupied - free).reshape(-1, spec.n2)[known] / 10
+        evident = (1 - 1 / (1 + np.exp(np.clip(val, LOG_MIN, LOG_MAX))) > EVIDENT).any(axis=1)
+        i, j = np.divmod(known.astype(np.int32), np.int32(spec.n1))
+        masks = [x.dot(bits).astype(np.int32) for x in (val < 0, val > 0)]
+        if filter is not None:
+            evident &= ~filter.background(np.stack([i, j, *masks], axis=1), spec)
+        return dict(zip((*_COLUMNS, "evident"), (i, j, *masks, evident), strict=True))
+
+    return by_scan(points, spec, made, "i int, j int, free int, occupied int, evident boolean")
+
+
 def _sources(t: pa.Table, spec: GridSpec, filter: Filter | None) -> tuple[np.ndarray, np.ndarray]:
     """(columns of the earlier scan that have a motion to be found, columns of the later scan)."""
     x, later, evident = _rows(t), t.column("later").to_numpy(), t.column("evident").to_numpy()
@@ -269,15 +341,17 @@ def _sources(t: pa.Table, spec: GridSpec, filter: Filter | None) -> tuple[np.nda
     return first[known], ahead
 
 
-def _paired(cols: DataFrame) -> DataFrame:
-    """cols of every frame, and once more, as later ones, of the frame before."""
+def _paired(cols: DataFrame, filter: Filter | None) -> DataFrame:
+    """cols of every frame, and once more, as later ones, of the frame before. Earlier ones that aren't evident matter to a filter alone."""
     both = cols.withColumn("later", F.explode(F.array(F.lit(False), F.lit(True))))  # one pass: a union would make the columns twice
+    if filter is None:
+        both = both.where("later OR evident")
     return both.select((F.col("frame") - F.col("later").cast("int")).cast("int").alias("frame"), "later", *_COLUMNS, "evident")
 
 
-def _pairs(cols: DataFrame) -> DataFrame:
+def _pairs(cols: DataFrame, filter: Filter | None = None) -> DataFrame:
     """Pairs of scans, dealt to all shuffle partitions: by size alone a task would get many, and each is much work."""
-    return by_frame(_paired(cols)).groupBy("frame")
+    return by_frame(_paired(cols, filter)).groupBy("frame")
 
 
 FOUND = "frame int, i int, j int, u int, v int, valid int, score bigint"
@@ -304,7 +378,7 @@ def flow(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEI
         return _found(key[0].as_py(), i, j, u, v, valid, score=score)
 
     ship(cols.sparkSession)
-    return _pairs(cols).applyInArrow(run, FOUND)
+    return _pairs(cols, filter).applyInArrow(run, FOUND)
 
 
 def scored(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]] = WEIGHTS, offset: int = OFFSET, w: int = SEARCH, windowed: bool = True) -> DataFrame:
@@ -362,7 +436,7 @@ def flow_tiles(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]]
     """
     ship(cols.sparkSession)
     halo = F.when(F.col("later"), w + 1).otherwise(1 if filter is None else 1 + 2 * WINDOW)
-    paired = _paired(cols)
+    paired = _paired(cols, filter)
     given = _dealt(paired, spec, edge, halo)
     followed = paired.where("later").select("frame").distinct()
 

@@ -7,19 +7,25 @@ floating point, which makes the result independent of the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeweave.functions.geometry import rigid
 from rangeweave.functions.grid_index import GridSpec
 from rangeweave.operators.background import columns
-from rangeweave.session import by_frame
+from rangeweave.session import by_frame, ship
 
 # Fixed values of the sensor model.
 ORIGIN = (0.0, 0.0, 1.73)
 OCCUPIED, FREE = 1.0, -0.1
 LOG_MAX, LOG_MIN = 3.0, -1.0
 EMPTY = 1e-2
+#: Steps of walks that a task holds at once.
+AT_ONCE = 100_000
 
 
 def own_body(x: Column, y: Column) -> Column:
@@ -97,6 +103,56 @@ def totals(counts: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("val", (10 * F.col("n_occ") - F.col("n_free")) / 10)
 
 
+def traced(end: np.ndarray, rays: np.ndarray, hits: np.ndarray, spec: GridSpec, origin: tuple[float, float, float] = ORIGIN, max_cells: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Free and occupied evidence of every cell of a scan, by key: the counts of `accumulate`. end: rows e0, e1, e2 (distinct or not)."""
+    start, dims, size = np.array(origin_cell(spec, origin)), np.array(spec.dims), spec.n0 * spec.n1 * spec.n2
+    key = lambda c: (c[0] * spec.n1 + c[1]) * spec.n2 + c[2]
+    there = ((end >= 0) & (end < dims)).all(axis=1)
+    occupied = np.bincount(key(end[there].T), weights=hits[there], minlength=size).astype(np.int64)
+    free = np.zeros(size, dtype=np.int64)
+    if ((start < 0) | (start >= dims)).any():
+        return free, occupied
+    off = end - start
+    n = np.abs(off).max(axis=1, initial=0)
+    steps = np.minimum(n, (max_cells or max(spec.dims)) - 1)
+    stride = (spec.n1 * spec.n2, spec.n2, 1)
+    for rows in np.array_split(np.argsort(steps), len(end) * max(spec.dims) // AT_ONCE + 1):
+        s = np.arange(steps[rows].max(initial=0), dtype=float)[:, None]
+        ok, cell = s < steps[rows], np.full((len(s), len(rows)), key(start))
+        for a in range(3):
+            # The rounded proportion is the floor of a quotient of integers far below 2 ** 53, so doubles have it exactly.
+            c = np.multiply(2.0 * np.abs(off[rows, a]), s)
+            c += n[rows]
+            c /= np.maximum(2 * n[rows], 1)
+            if not there[rows].all():
+                ok &= c < np.where(off[rows, a] < 0, start[a] + 1, dims[a] - start[a])
+            c = c.astype(np.int64)
+            c *= np.sign(off[rows, a]) * stride[a]
+            cell += c
+        np.add.at(free, cell[ok], np.broadcast_to(rays[rows], ok.shape)[ok])
+    return free, occupied
+
+
+def by_scan(points: DataFrame, spec: GridSpec, made: Callable[..., dict[str, np.ndarray]], schema: str, beside: DataFrame | None = None) -> DataFrame:
+    """frame and the columns (schema) that `made` makes of a scan's free and occupied evidence, and of its rows of beside; a scan is a group.
+
+    Walks are added up in numpy: of a scan only its counted ends come in, and what is made of its grid goes out. For many scans; the
+    ends of a few are better dealt to all tasks, by `accumulate`.
+    """
+
+    def run(key: tuple, scan: pa.Table, *others: pa.Table) -> pa.Table:
+        end = np.stack([scan.column(f"e{a}").to_numpy().astype(np.int64) for a in range(3)], axis=1)
+        out = made(*traced(end, scan.column("rays").to_numpy(), scan.column("hits").to_numpy(), spec), *others)
+        return pa.table({"frame": pa.repeat(key[0], len(next(iter(out.values()))))} | {c: pa.array(x) for c, x in out.items()})
+
+    ship(points.sparkSession)
+    schema = f"frame {points.schema['frame'].dataType.simpleString()}, {schema}"
+    scans = ends(points, spec).where("e0 IS NOT NULL AND e1 IS NOT NULL AND e2 IS NOT NULL").groupBy("frame")
+    if beside is None:
+        return scans.applyInArrow(lambda key, scan: run(key, scan), schema)
+    return scans.cogroup(beside.groupBy("frame")).applyInArrow(lambda key, scan, other: run(key, scan, other), schema)
+
+
 def merge(*grids: DataFrame) -> DataFrame:
     """key, n_free, n_occ, val of all grids and frames together."""
     out = grids[0].select("key", "n_free", "n_occ")
