@@ -369,12 +369,8 @@ def tracklets(spark, d):
     return _drive_tracklets(spark, d)
 
 
-def _drive_cells(spark, d):
-    return occupancy.clean(occupancy.accumulate(fx.drive_scan(spark, d), SPEC)).select("frame", *SPEC.ijk(), "val")
-
-
 def tracklet_arrows(spark, d):
-    return filters.arrows(_drive_tracklets(spark, d), _drive_cells(spark, d).where("val > 0").select("frame", "i", "j", "k"), SPEC)
+    return filters.arrows(_drive_tracklets(spark, d), occupancy.scan_occupied(fx.drive_scan(spark, d), SPEC), SPEC)
 
 
 def project_tracklets(spark, d):

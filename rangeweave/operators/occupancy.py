@@ -153,6 +153,16 @@ def by_scan(points: DataFrame, spec: GridSpec, made: Callable[..., dict[str, np.
     return scans.cogroup(beside.groupBy("frame")).applyInArrow(lambda key, scan, other: run(key, scan, other), schema)
 
 
+def scan_occupied(points: DataFrame, spec: GridSpec) -> DataFrame:
+    """frame, i, j, k of the cells whose log-odds are above 0 in the grid of points; the free ones, which are many, are no rows."""
+
+    def made(free: np.ndarray, occupied: np.ndarray) -> dict[str, np.ndarray]:
+        ijk = np.unravel_index(np.flatnonzero(10 * occupied > free), spec.dims)
+        return {c: x.astype(np.int32) for c, x in zip("ijk", ijk, strict=True)}
+
+    return by_scan(points, spec, made, "i int, j int, k int")
+
+
 def merge(*grids: DataFrame) -> DataFrame:
     """key, n_free, n_occ, val of all grids and frames together."""
     out = grids[0].select("key", "n_free", "n_occ")

@@ -113,3 +113,14 @@ def test_rounds_ask_again_only_where_something_stirred(monkeypatch, w):
     monkeypatch.setattr(matcher, "_stirred", lambda win, i, *a: np.ones(len(i), dtype=bool), raising=False)
     every = matcher.settle(win, i, j, spec, w, 40)
     assert all((a == b).all() for a, b in zip(few, every, strict=True)) and sum(asked) - n > n
+
+
+def test_arrows_make_rows_of_occupied_cells_alone(spark, points, data):
+    near = points.where("abs(x) < 1000 OR x IS NULL")
+    want = occupancy.accumulate(near, SPEC).where("val > 0").select("frame", *SPEC.ijk())
+    got = occupancy.scan_occupied(near, SPEC)
+    assert rows(got) == rows(want) and got.schema.simpleString() == want.schema.simpleString()
+    arrows = catalog.tracklet_arrows(spark, data)
+    assert not walked(arrows)
+    cells = occupancy.accumulate(fx.drive_scan(spark, data), fx.SPEC).where("val > 0").select("frame", *fx.SPEC.ijk())
+    assert rows(arrows) == rows(filters.arrows(catalog.tracklets(spark, data), cells, fx.SPEC))
