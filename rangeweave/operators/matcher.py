@@ -436,9 +436,9 @@ def flow_tiles(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]]
     """
     ship(cols.sparkSession)
     halo = F.when(F.col("later"), w + 1).otherwise(1 if filter is None else 1 + 2 * WINDOW)
-    paired = _paired(cols, filter)
-    given = _dealt(paired, spec, edge, halo)
+    paired = _paired(stored(cols, "columns"), filter)
     followed = paired.where("later").select("frame").distinct()
+    given = _dealt(paired, spec, edge, halo).join(followed, "frame", "left_semi")
 
     def propose(key: tuple, here: pa.Table, state: pa.Table) -> pa.Table:
         frame, tx, ty = (k.as_py() for k in key)
@@ -459,7 +459,6 @@ def flow_tiles(cols: DataFrame, spec: GridSpec, weights: Sequence[Sequence[int]]
         return tiles.groupBy(*_TILE).cogroup(state.groupBy(*_TILE)).applyInArrow(propose, FOUND)
 
     tile = [F.floor(F.col("i") / edge).alias("tx"), F.floor(F.col("j") / edge).alias("ty")]
-    given = stored(given.join(followed, "frame", "left_semi"), "tiles")
     state = given.sparkSession.createDataFrame([], "frame int, tx bigint, ty bigint, pull boolean, a int, b int, c int, d int, e bigint")
     claims = stored(proposed(given, state), "claims")
     found, changed = stored(resolve(claims), "moves"), None

@@ -124,3 +124,18 @@ def test_arrows_make_rows_of_occupied_cells_alone(spark, points, data):
     assert not walked(arrows)
     cells = occupancy.accumulate(fx.drive_scan(spark, data), fx.SPEC).where("val > 0").select("frame", *fx.SPEC.ijk())
     assert rows(arrows) == rows(filters.arrows(catalog.tracklets(spark, data), cells, fx.SPEC))
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_tiles_make_their_columns_once(spark, points, rounds):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cols = matcher.scan_columns(points.where("abs(x) < 1000"), SPEC)
+    seen = cols.mapInArrow(counted, cols.schema)
+    got = rows(matcher.flow_tiles(seen, SPEC, w=3, rounds=rounds, edge=10))
+    assert got == rows(matcher.flow(cols, SPEC, w=3, rounds=rounds)) and got and made.value == cols.count()
