@@ -238,7 +238,7 @@ def moves(win: np.ndarray, i: np.ndarray, j: np.ndarray, spec: GridSpec, w: int,
             has = np.flatnonzero(kept[rows] >= 0)
             shut[has, kept[rows][has]] = False
             s = s.reshape(len(s), -1)
-            np.copyto(s, _NONE, where=shut)
+            s = np.where(shut, np.int32(_NONE), s)
             at[rows] = s.argmax(axis=1)  # of equals the first: least du, then least dv
             top[rows] = s[np.arange(len(s)), at[rows]]
     there = top > _NONE
@@ -249,9 +249,11 @@ def _stirred(win: np.ndarray, i: np.ndarray, j: np.ndarray, w: int, before: np.n
     """Whether each source may propose something else after the state now (u, v, valid, score) than it did after the one before.
 
     It does only if it moved itself, if a pull on it changed, or if among the targets of sources that moved are its own choice or one that it
-    wants as much: pulls only lower a score, so one without them tells.
+    wants as much: pulls only lower a score, so one without them tells. Where that is as much work as to propose anew, all may.
     """
     moved = (before != now).any(axis=0)
+    if moved.sum() * (1 + 8 * len(i) / ((np.ptp(i) + 1) * (np.ptp(j) + 1))) > len(i) / 2:
+        return np.ones(len(i), dtype=bool)
     pad, side = max(w, SMOOTH), 2 * w + 1
     x, y = i - i.min() + pad, j - j.min() + pad
     shape = x.max() + pad + 1, y.max() + pad + 1

@@ -102,13 +102,13 @@ def test_scores_of_many_different_columns_are_looked_up_once(monkeypatch):
 @pytest.mark.parametrize("w", [2, 5])
 def test_rounds_ask_again_only_where_something_stirred(monkeypatch, w):
     rng, spec = np.random.default_rng(w), GridSpec(60, 50, 14, 0.3)
-    i, j = (x.astype(np.int32) for x in np.divmod(rng.choice(3000, 400, replace=False), 50))
-    win = rng.integers(-9000, -8800, (400, (2 * w + 1) ** 2)).astype(np.int32)
+    i, j = (x.astype(np.int32) for x in np.divmod(rng.choice(3000, 200, replace=False), 50))
+    win = rng.integers(-9000, -8000, (200, (2 * w + 1) ** 2)).astype(np.int32)
     asked, plain = [], matcher.moves
     monkeypatch.setattr(matcher, "moves", lambda win, *a: asked.append(len(win)) or plain(win, *a))
     few = matcher.settle(win, i, j, spec, w, 40)
     n = sum(asked)
-    assert n < 0.7 * 400 * len(asked) and len(asked) > 3
+    assert n < 0.7 * 200 * len(asked) and len(asked) > 3
     # All of them in every round, as flow.propose has it.
     monkeypatch.setattr(matcher, "_stirred", lambda win, i, *a: np.ones(len(i), dtype=bool), raising=False)
     every = matcher.settle(win, i, j, spec, w, 40)
